@@ -63,18 +63,22 @@ def normalise(raw: Column) -> Column:
     """
     cleaned = F.transform(
         raw,
-        lambda o: F.struct(
+        lambda o, i: F.struct(
             comparison_form(squash(o["description"])).alias("form"),
+            i.alias("pos"),
             o["label"].alias("label"),
             squash(o["description"]).alias("description"),
         ),
     )
-    kept = F.filter(cleaned, lambda o: o["description"] != "")
-    forms = F.transform(kept, lambda o: o["form"])
-    first = F.filter(
-        kept, lambda o, i: F.array_position(forms, o["form"]) == i.cast("bigint") + 1
+    by_form = F.array_sort(F.filter(cleaned, lambda o: o["description"] != ""))
+    # next to its predecessor, a repeated form shows without searching the list
+    shifted = F.concat(F.array(F.lit(None)), F.transform(by_form, lambda o: o["form"]))
+    beside = F.zip_with(by_form, shifted, lambda o, p: F.struct(o.alias("o"), p.alias("p")))
+    firsts = F.filter(
+        beside,
+        lambda z: z["o"].isNotNull() & (z["p"].isNull() | (z["p"] != z["o"]["form"])),
     )
-    ordered = F.array_sort(first)  # form is the first field
+    ordered = F.transform(firsts, lambda z: z["o"])
     return F.transform(
         ordered,
         lambda o: F.struct(
@@ -103,7 +107,14 @@ def _forms(offers: Column) -> Column:
 
 def missing_from(offers: Column, other: Column) -> Column:
     """Offers of the first list whose comparison form is not in the second."""
-    known = _forms(other)
-    return F.filter(
-        offers, lambda o: ~F.array_contains(known, comparison_form(o["description"]))
-    )
+    # the known forms ride in the accumulator, so they are computed once per row
+    none = F.filter(offers, lambda o: F.lit(False))
+    start = F.struct(_forms(other).alias("known"), none.alias("out"))
+
+    def step(acc: Column, o: Column) -> Column:
+        return F.when(F.array_contains(acc["known"], comparison_form(o["description"])), acc).otherwise(
+            F.struct(acc["known"].alias("known"), F.concat(acc["out"], F.array(o)).alias("out"))
+        )
+
+    different = F.aggregate(offers, start, step, lambda acc: acc["out"])
+    return F.when(offers == other, none).otherwise(different)

@@ -6,7 +6,7 @@ import importlib
 
 from pricelark.plans.registry import ORACLES, QUERIES
 
-MODULES = ["alerting"]
+MODULES = ["alerting", "catalogue", "delivery"]
 
 
 def all_queries() -> tuple[dict, dict]:
