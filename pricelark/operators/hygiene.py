@@ -238,7 +238,7 @@ def held_summaries(held: DataFrame, size: int = HELD_BATCH, limit: int | None =
     src = row_numbers(slice_hot_keys(held, ["release_at"], ["fired_at", "alert_id"], limit))
     line = F.concat(
         F.lit("• "),
-        F.array_join(F.slice(F.split("message", "\n"), 2, 2147483647), " — "),
+        F.array_join(F.filter(F.split("message", "\n"), lambda _, i: i > 0), " — "),
     )
     entry = F.struct(significance().alias("s"), "fired_at", "alert_id", line.alias("line"))
     batches = src.df.groupBy(

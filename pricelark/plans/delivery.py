@@ -172,13 +172,13 @@ def alert_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "delivery_latest",
-    """WITH outcomes AS (SELECT user_id AS alert_id, ts AS at, event_id AS seq,
+    """WITH outcomes AS (SELECT user_id AS alert_id, ts AS at_, event_id AS seq,
         CASE event_type WHEN 'click' THEN 'pending' WHEN 'view' THEN 'delivered' WHEN 'signup' THEN 'retry' ELSE 'failed' END AS outcome,
         CASE WHEN event_type IN ('error', 'purchase') THEN event_type END AS error FROM events),
-      last AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY alert_id ORDER BY at DESC, seq DESC) AS rn,
+      last AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY alert_id ORDER BY at_ DESC, seq DESC) AS rn,
         count(*) OVER (PARTITION BY alert_id) AS attempts FROM outcomes) WHERE rn = 1)
     SELECT alert_id, CASE WHEN outcome = 'retry' THEN 'pending' ELSE outcome END AS status,
-      CASE WHEN outcome = 'delivered' THEN at END AS delivered_at, CASE WHEN outcome = 'failed' THEN error END AS error, attempts FROM last""",
+      CASE WHEN outcome = 'delivered' THEN at_ END AS delivered_at, CASE WHEN outcome = 'failed' THEN error END AS error, attempts FROM last""",
 )
 def delivery_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.col("event_type")
@@ -237,7 +237,7 @@ def _message_sql() -> str:
         "price": f"coalesce({inr_sql('coalesce(new_paise, old_paise)')}, '—')",
         "changePct": f"coalesce({_num_sql('change_pct')} || '%', '—')",
         "changeArrow": f"CASE WHEN {move} > 0 THEN '▲' WHEN {move} < 0 THEN '▼' ELSE '■' END",
-        "target": f"coalesce({inr_sql('CASE WHEN type = ''target_price'' THEN target_paise END')}, '—')".replace("''", "'"),
+        "target": f"coalesce({inr_sql('fired.target_paise')}, '—')",
         "addedOffers": f"CASE WHEN len(coalesce(added, [])) = 0 THEN 'None' ELSE {bullets.format('added')} END",
         "removedOffers": f"CASE WHEN len(coalesce(removed, [])) = 0 THEN 'None' ELSE {bullets.format('removed')} END",
         "failureReason": _case("failure_reason", FAILURE_REASON_LABELS, "'Repeated failures'"),
