@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from pricelark.functions.binding import let
+
 # Category labels at the start of an offer text, tried in order.
 LABEL_PREFIXES = [
     ("no_cost_emi", r"^\s*no[\s-]?cost\s*emi\b"),
@@ -30,8 +34,14 @@ DECORATION = r"[|•·*_]+"
 # whitespace as the web defines it; the regex engine's own \\s is ASCII only
 SPACE = r"[\s\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF]"
 _WORD = "[A-Za-z0-9_]"
-# ASCII word boundary; the engine's own one follows Unicode letters
-_EDGE = f"(?:(?<={_WORD})(?!{_WORD})|(?<!{_WORD})(?={_WORD}))"
+# no text without one of these words can have a category
+_ANY_WORD = "(?i)emi|cash|coupon|partner|exchange|gst|business|bank|card|instant|upi"
+
+
+def _ascii_edges(pattern: str) -> str:
+    """ASCII word boundaries; the engine's own ones follow Unicode letters."""
+    pattern = re.sub(r"\\b(?=[\w(])", lambda _: f"(?<!{_WORD})", pattern)
+    return pattern.replace(r"\b", f"(?!{_WORD})")
 
 
 def squash(text: Column) -> Column:
@@ -48,10 +58,9 @@ def comparison_form(text: Column) -> Column:
 def classify(text: Column) -> Column:
     """Offer category by leading label, else by keyword, else 'other'."""
     plain = F.regexp_replace(text, SPACE, " ")
-    out = None
+    out = F.when(~text.rlike(_ANY_WORD), F.lit("other"))
     for kind, pattern in LABEL_PREFIXES + KEYWORDS:
-        test = plain.rlike("(?i)" + pattern.replace(r"\b", _EDGE))
-        out = F.when(test, F.lit(kind)) if out is None else out.when(test, F.lit(kind))
+        out = out.when(plain.rlike("(?i)" + _ascii_edges(pattern)), F.lit(kind))
     return out.otherwise(F.lit("other"))
 
 
@@ -71,16 +80,16 @@ def normalise(raw: Column) -> Column:
         ),
     )
     by_form = F.array_sort(F.filter(cleaned, lambda o: o["description"] != ""))
-    # next to its predecessor, a repeated form shows without searching the list
-    shifted = F.concat(F.array(F.lit(None)), F.transform(by_form, lambda o: o["form"]))
-    beside = F.zip_with(by_form, shifted, lambda o, p: F.struct(o.alias("o"), p.alias("p")))
-    firsts = F.filter(
-        beside,
-        lambda z: z["o"].isNotNull() & (z["p"].isNull() | (z["p"] != z["o"]["form"])),
-    )
-    ordered = F.transform(firsts, lambda z: z["o"])
+
+    def first_of_form(entries: Column) -> Column:
+        # next to its predecessor, a repeated form shows without searching the list
+        return F.filter(
+            entries,
+            lambda o, i: (i == 0) | (F.get(entries, i - 1)["form"] != o["form"]),
+        )
+
     return F.transform(
-        ordered,
+        let(by_form, first_of_form),
         lambda o: F.struct(
             classify(
                 F.when(

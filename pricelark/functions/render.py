@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pricelark.functions.clock import stamp
@@ -131,16 +131,24 @@ def fill(template: str, values: dict[str, Column]) -> Column:
     return F.concat(*cols) if cols else F.lit("")
 
 
-def message(settings: Settings) -> Column:
-    """The rendered alert, by the user's template for its type or the default one."""
+def with_message(alerts: DataFrame, settings: Settings) -> DataFrame:
+    """Add ``message``: the user's template for the alert's type, or the default one.
+
+    The variables are columns of their own first, so each is computed once however
+    many templates name it.
+    """
     values = variables(settings)
+    named = alerts.withColumns({"_v_" + n: v for n, v in values.items()})
+    refs = {n: F.col("_v_" + n) for n in values}
     out = None
     for kind, default in DEFAULT_TEMPLATES.items():
         own = settings.templates.get(kind, "")
-        text = fill(own if own.strip() else default, values)
+        text = fill(own if own.strip() else default, refs)
         test = F.col("type") == kind
         out = F.when(test, text) if out is None else out.when(test, text)
-    return F.regexp_replace(out, r"\s+$", "")
+    return named.withColumn("message", F.regexp_replace(out, r"\s+$", "")).drop(
+        *["_v_" + n for n in values]
+    )
 
 
 def units(text: Column) -> Column:

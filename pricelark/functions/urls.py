@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from pricelark.functions.binding import let
+
 # Domains each marketplace claims, and its id shapes.
 DOMAINS = {
     "amazon_in": ["amazon.in", "amzn.in"],
@@ -38,13 +42,11 @@ class Registry:
             self.domains[key] = marketplace
 
     def marketplace_of(self, host: Column) -> Column:
-        """Exact domain first, then any parent domain."""
-        out = F.lit(None).cast("string")
-        for domain, name in reversed(self.domains.items()):
-            out = F.when(host.endswith("." + domain), F.lit(name)).otherwise(out)
-        for domain, name in reversed(self.domains.items()):
-            out = F.when(host == domain, F.lit(name)).otherwise(out)
-        return out
+        """The marketplace that claims the host or the nearest parent of it."""
+        longest = sorted(self.domains, key=len, reverse=True)
+        pattern = r"(?:^|\.)(" + "|".join(re.escape(d) for d in longest) + ")$"
+        names = F.create_map(*[F.lit(x) for pair in self.domains.items() for x in pair])
+        return F.try_element_at(names, F.regexp_extract(host, pattern, 1))
 
 
 def default_registry() -> Registry:
@@ -55,11 +57,14 @@ def default_registry() -> Registry:
 
 
 def _group(text: Column, pattern: str, group: int = 1) -> Column:
-    return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
+    """A group of the first match, null without a match; the text is searched once."""
+    return F.try_element_at(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), F.lit(1))
 
 
-def _param(query: Column, name: str) -> Column:
-    return _group(query, r"(?:^|&)" + name + r"=([^&]*)")
+def _param(query: Column, name: str, shape: str) -> Column:
+    """The first value of a query parameter, when it has the shape."""
+    value = r"(?:^|&)" + name + "=([^&]*)"
+    return _group(_group(query, value), "(" + shape + ")")
 
 
 def recognise(url: Column, registry: Registry | None = None) -> Column:
@@ -68,36 +73,57 @@ def recognise(url: Column, registry: Registry | None = None) -> Column:
     Never fails: malformed text is an unsupported URL without a site.
     """
     registry = registry or default_registry()
-    host = F.regexp_replace(F.lower(_group(url, _SHAPE, 2)), r"^www\.", "")
-    path, query = _group(url, _SHAPE, 3), _group(url, _SHAPE, 4)
-    marketplace = registry.marketplace_of(host)
-    in_query = _param(query, "asin")
-    asin = F.coalesce(
-        *[_group(path, p) for p in ASIN_PATHS], F.when(in_query.rlike(ASIN), in_query)
-    )
-    item = _group(path, ITEM_PATH)
-    pid = _param(query, "pid")
-    variant = F.when(pid.rlike(VARIANT), pid)
-    listing_id = F.when(marketplace == "amazon_in", asin).when(
-        (marketplace == "flipkart") & item.isNotNull(), F.coalesce(variant, item)
+    parts = F.struct(
+        F.regexp_replace(F.lower(_group(url, _SHAPE, 2)), r"^www\.", "").alias("host"),
+        _group(url, _SHAPE, 3).alias("path"),
+        _group(url, _SHAPE, 4).alias("query"),
     )
-    canonical = F.when(
-        marketplace == "amazon_in", F.concat(F.lit("https://www.amazon.in/dp/"), asin)
-    ).when(
-        marketplace == "flipkart",
-        F.concat(
+
+    def ids(u: Column) -> Column:
+        """The id the site's own path shape carries; the other site's are not searched."""
+        asin = F.coalesce(
+            *[_group(u["path"], p) for p in ASIN_PATHS], _param(u["query"], "asin", ASIN)
+        )
+        return F.struct(
+            u["host"].alias("host"),
+            u["marketplace"].alias("marketplace"),
+            F.when(u["marketplace"] == "amazon_in", asin)
+            .when(u["marketplace"] == "flipkart", _group(u["path"], ITEM_PATH))
+            .alias("id"),
+            F.when(
+                u["marketplace"] == "flipkart", _param(u["query"], "pid", VARIANT)
+            ).alias("variant"),
+        )
+
+    def form(x: Column) -> Column:
+        in_a, in_b = x["marketplace"] == "amazon_in", x["marketplace"] == "flipkart"
+        found = x["id"]
+        by_item = F.concat(
             F.lit("https://www.flipkart.com/product/p/"),
-            item,
-            F.coalesce(F.concat(F.lit("?pid="), variant), F.lit("")),
-        ),
-    )
-    return F.struct(
-        F.when(marketplace.isNull(), "unsupported")
-        .when(listing_id.isNull(), "not_a_listing")
-        .otherwise("listing")
-        .alias("kind"),
-        marketplace.alias("marketplace"),
-        canonical.alias("canonical_url"),
-        listing_id.alias("marketplace_product_id"),
-        F.when(marketplace.isNull(), host).alias("detected_site"),
-    )
+            found,
+            F.coalesce(F.concat(F.lit("?pid="), x["variant"]), F.lit("")),
+        )
+        return F.struct(
+            F.when(x["marketplace"].isNull(), "unsupported")
+            .when(found.isNull(), "not_a_listing")
+            .otherwise("listing")
+            .alias("kind"),
+            x["marketplace"].alias("marketplace"),
+            F.when(in_a, F.concat(F.lit("https://www.amazon.in/dp/"), found))
+            .when(in_b, by_item)
+            .alias("canonical_url"),
+            F.when(in_b & found.isNotNull(), F.coalesce(x["variant"], found))
+            .otherwise(found)
+            .alias("marketplace_product_id"),
+            F.when(x["marketplace"].isNull(), x["host"]).alias("detected_site"),
+        )
+
+    def site(u: Column) -> Column:
+        return F.struct(
+            u["host"].alias("host"),
+            registry.marketplace_of(u["host"]).alias("marketplace"),
+            u["path"].alias("path"),
+            u["query"].alias("query"),
+        )
+
+    return let(parts, lambda u: let(site(u), lambda v: let(ids(v), form)))

@@ -10,6 +10,7 @@ from pricelark.functions.offers import offers_hash
 from pricelark.model import OFFERS, Settings
 from pricelark.operators.sequence import (
     SUCCESS,
+    CheckLog,
     eligible,
     low_high_specs,
     only_checks,
@@ -24,7 +25,7 @@ from pricelark.operators.slices import running
 
 
 def annotated(
-    checks: DataFrame,
+    checks: CheckLog | DataFrame,
     settings: Settings,
     controls: DataFrame | None = None,
     limit: int | None = None,
@@ -98,6 +99,8 @@ def fired(settings: Settings) -> dict[str, Column]:
     }
 
 
+_OFFERS = "array<struct<type:string,description:string>>"
+
 # which payload fields a rule fills; every other field of the alert row is null
 _PAYLOAD = {
     "target_price": {"old_paise", "new_paise", "target_paise", "change_pct"},
@@ -110,65 +113,57 @@ _PAYLOAD = {
 }
 
 
+_VALUES = {
+    "old_paise": ("had_success", "prev_price", "bigint"),
+    "new_paise": (None, "price_paise", "bigint"),
+    "target_paise": (None, "target_paise", "bigint"),
+    "threshold_bp": (None, "_limit", "bigint"),
+    "change_pct": (None, "_change", "double"),
+    "old_offers": (None, "prev_offers", _OFFERS),
+    "new_offers": (None, "offers", _OFFERS),
+    "added": (None, "added", _OFFERS),
+    "removed": (None, "removed", _OFFERS),
+    "failure_reason": (None, "failure_reason", "string"),
+    "consecutive_failures": (None, "run_len", "bigint"),
+}
+
+
+def _event(kind: str, rule: int) -> str:
+    """The alert row of one rule as a SQL struct."""
+    fields = [f"'rule', {rule}", f"'type', '{kind}'"]
+    for name, (only_if, value, sql_type) in _VALUES.items():
+        if name not in _PAYLOAD[kind]:
+            value = "NULL"
+        elif only_if:
+            value = f"CASE WHEN {only_if} THEN {value} END"
+        fields.append(f"'{name}', CAST({value} AS {sql_type})")
+    return f"named_struct({', '.join(fields)})"
+
+
 def evaluate(log: DataFrame, settings: Settings, types: list[str] | None = None) -> DataFrame:
     """Explode the rules that fired on each annotated row into alert rows."""
-    values = {
-        "old_paise": F.when(F.col("had_success"), PREV),
-        "new_paise": PRICE,
-        "target_paise": F.col("target_paise"),
-        "threshold_bp": threshold_bp(settings),
-        "change_pct": F.when(F.col("had_success") & PREV.isNotNull(), change_pct(PREV, PRICE)),
-        "old_offers": F.col("prev_offers"),
-        "new_offers": F.col("offers"),
-        "added": F.col("added"),
-        "removed": F.col("removed"),
-        "failure_reason": F.col("failure_reason"),
-        "consecutive_failures": F.col("run_len"),
-    }
-    kinds = {
-        "old_paise": "bigint",
-        "new_paise": "bigint",
-        "target_paise": "bigint",
-        "threshold_bp": "bigint",
-        "change_pct": "double",
-        "old_offers": OFFERS,
-        "new_offers": OFFERS,
-        "added": OFFERS,
-        "removed": OFFERS,
-        "failure_reason": "string",
-        "consecutive_failures": "bigint",
-    }
     tests = fired(settings)
+    rules = {k: i for i, k in enumerate(tests)}
     wanted = [t for t in tests if types is None or t in types]
-
-    def event(kind: str) -> Column:
-        fields = [
-            (v if f in _PAYLOAD[kind] else F.lit(None)).cast(kinds[f]).alias(f)
-            for f, v in values.items()
-        ]
-        row = F.struct(
-            F.lit(list(tests).index(kind)).alias("rule"), F.lit(kind).alias("type"), *fields
-        )
-        return F.when(tests[kind], row)
-
+    log = log.withColumns(
+        {
+            "_limit": threshold_bp(settings),
+            "_change": F.when(F.col("had_success") & PREV.isNotNull(), change_pct(PREV, PRICE)),
+        }
+    )
+    head = ["product_id", "check_id", "checked_at AS fired_at"]
     if len(wanted) == 1:  # a single rule is a filter; no array to build
         kind = wanted[0]
-        return log.filter(tests[kind]).select(
-            "product_id",
-            "check_id",
-            F.col("checked_at").alias("fired_at"),
-            event(kind).alias("e"),
-        ).select("product_id", "check_id", "fired_at", "e.*")
-    return log.select(
-        "product_id",
-        "check_id",
-        F.col("checked_at").alias("fired_at"),
-        F.explode(F.array_compact(F.array(*[event(t) for t in wanted]))).alias("e"),
-    ).select("product_id", "check_id", "fired_at", "e.*")
+        events = log.filter(tests[kind]).selectExpr(*head, f"{_event(kind, rules[kind])} AS e")
+    else:
+        flagged = log.withColumns({f"_f_{t}": tests[t] for t in wanted})
+        rows = ", ".join(f"CASE WHEN _f_{t} THEN {_event(t, rules[t])} END" for t in wanted)
+        events = flagged.selectExpr(*head, f"explode(array_compact(array({rows}))) AS e")
+    return events.select("product_id", "check_id", "fired_at", "e.*")
 
 
 def alerts(
-    checks: DataFrame,
+    checks: CheckLog | DataFrame,
     settings: Settings,
     types: list[str] | None = None,
     controls: DataFrame | None = None,
@@ -194,7 +189,7 @@ def alerts(
 
 
 def product_state(
-    checks: DataFrame,
+    checks: CheckLog | DataFrame,
     settings: Settings,
     controls: DataFrame | None = None,
     limit: int | None = None,
@@ -236,7 +231,7 @@ def product_state(
     ).drop("was_auto_paused")
 
 
-def history_rows(checks: DataFrame, settings: Settings, limit: int | None = None) -> DataFrame:
+def history_rows(checks: CheckLog | DataFrame, settings: Settings, limit: int | None = None) -> DataFrame:
     """One history row per check, success or failure, with the effective offers."""
     log = annotated(checks, settings, None, limit, failures=False)
     return log.select(

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pricelark.functions.money import format_inr, near_low
-from pricelark.functions.render import escape_html, lookup, message, plain_number
+from pricelark.functions.render import escape_html, lookup, plain_number, with_message
 from pricelark.model import MARKETPLACE_LABELS, OFFERS, Settings
 
 _OPTIONAL = {
@@ -33,7 +33,7 @@ def rendered(alerts: DataFrame, products: DataFrame, settings: Settings) -> Data
         "product_id", "display_name", "marketplace", F.col("canonical_url").alias("url")
     )
     joined = alerts.join(names, "product_id", "left")
-    return joined.withColumn("message", message(settings)).drop("url")
+    return with_message(joined, settings).drop("url")
 
 
 def _count(n: Column, word: str) -> Column:

@@ -259,17 +259,21 @@ def held_summaries(held: DataFrame, size: int = HELD_BATCH, limit: int | None =
     )
 
 
-def grouped_messages(alerts: DataFrame, order: str, size: int = GROUP_LIMIT) -> DataFrame:
+def grouped_messages(
+    alerts: DataFrame, order: str, size: int = GROUP_LIMIT, bounded: bool = False
+) -> DataFrame:
     """Alerts of one product and time as one message, joined by blank lines.
 
     A group above ``size`` alerts is split by hash into messages of about that size.
+    ``bounded`` says the alerts come from one check each, so a group is at most the
+    number of rules and need not be measured.
     """
     keys = ["subject", "fired_at"]
     named = alerts.withColumn(
         "subject", F.coalesce(F.col("product_id").cast("string"), F.lit("system"))
     )
     big = named.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > size)
-    if big.isEmpty():
+    if bounded or big.isEmpty():
         parts = named.withColumn("part", F.lit(0).cast("bigint"))
     else:
         salt = F.pmod(F.xxhash64(order), F.ceil(F.col("_n") / size))

@@ -52,13 +52,15 @@ def review(rows: DataFrame, existing: DataFrame, registry: Registry | None = Non
     bad_target = F.coalesce(~(F.col("target_rupees") > 0), F.lit(False))
     listing = F.col("kind") == "listing"
     able = listing & ~bad_target
-    first = (
-        seen.filter(able).groupBy("canonical_url").agg(F.min("row_number").alias("_first"))
+    # conditional minimum and null-safe match: no filter that would parse the URLs again
+    first = seen.groupBy(F.col("canonical_url").alias("_url")).agg(
+        F.min(F.when(able, F.col("row_number"))).alias("_first")
     )
-    known = existing.select("canonical_url", F.col("display_name").alias("_known"))
-    joined = seen.join(
-        first.join(known, "canonical_url", "left"), "canonical_url", "left"
+    known = existing.select(
+        F.col("canonical_url").alias("_url"), F.col("display_name").alias("_known")
     )
+    facts = first.join(known, "_url", "left")
+    joined = seen.join(facts, F.col("canonical_url").eqNullSafe(F.col("_url")), "left")
     site = F.coalesce(
         F.concat(F.lit(" ("), F.col("detected_site"), F.lit(")")), F.lit("")
     )
@@ -101,7 +103,7 @@ def review(rows: DataFrame, existing: DataFrame, registry: Registry | None = Non
         reason = F.when(test, why) if reason is None else reason.when(test, why)
     return joined.select(
         "*", disposition.otherwise("valid").alias("disposition"), reason.alias("reason")
-    ).drop("_first", "_known")
+    ).drop("_first", "_known", "_url")
 
 
 def execute(reviewed: DataFrame, existing: DataFrame, now: Column) -> DataFrame:

@@ -19,7 +19,7 @@ def next_check(at: Column, minutes: Column, factor: Column | float = 1.0) -> Col
     """Interval scaled by a jitter factor in 0.9..1.1 after a check."""
     factor = F.lit(factor) if isinstance(factor, (int, float)) else factor
     return F.timestamp_micros(
-        (F.unix_micros(at) + minutes * 60_000_000 * factor).cast("bigint")
+        (F.unix_micros(at) + minutes.cast("bigint") * 60_000_000 * factor).cast("bigint")
     )
 
 

@@ -9,6 +9,8 @@ check of the same time.
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,15 +47,29 @@ def log_of(checks: DataFrame, controls: DataFrame | None = None) -> DataFrame:
         F.col("at").alias("checked_at"),
         F.lit(0).alias("ord"),
         "action",
-        F.col("target_paise").alias("new_target"),
+        F.when(F.col("action") != "clear_target", F.col("target_paise")).alias("new_target"),
     )
     return log.unionByName(markers, allowMissingColumns=True)
 
 
+class CheckLog(NamedTuple):
+    """A check log and, when known from a cheaper scan, its rows and time range per product."""
+
+    checks: DataFrame
+    sizes: DataFrame | None = None
+
+
+def as_log(log: CheckLog | DataFrame) -> CheckLog:
+    return log if isinstance(log, CheckLog) else CheckLog(log)
+
+
 def sliced_log(
-    checks: DataFrame, controls: DataFrame | None = None, limit: int | None = None
+    log: CheckLog | DataFrame, controls: DataFrame | None = None, limit: int | None = None
 ) -> Sliced:
-    return slice_hot_keys(log_of(checks, controls), KEY, ORDER, limit)
+    log = as_log(log)
+    # commands add rows the sizes do not know about
+    sizes = log.sizes if controls is None else None
+    return slice_hot_keys(log_of(log.checks, controls), KEY, ORDER, limit, sizes)
 
 
 def with_target(src: Sliced) -> Sliced:
@@ -102,34 +118,35 @@ def low_high_specs() -> list[Running]:
 
 
 def offer_specs() -> list[Running]:
-    """Inputs of the effective offers, before and at the row."""
+    """The last offers seen on a buyable listing, and the first ones seen at all."""
     some = SUCCESS & (F.size("offers") > 0)
     usable = F.when(some & (F.col("stock_status") != "out_of_stock"), F.col("offers"))
-    any_offers = F.when(some, F.struct(*[F.col(c) for c in ORDER], F.col("offers")))
     return [
-        Running("_use_before", usable, "last", False),
-        Running("_use_upto", usable, "last", True),
-        Running("_any_before", any_offers, "min", False),
-        Running("_any_upto", any_offers, "min", True),
+        Running("_usable", usable, "last"),
+        Running("_earliest", F.when(some, F.col("offers")), "first"),
     ]
 
 
 def with_offers(src: Sliced) -> DataFrame:
-    """Effective offers before and at each successful check, and the reliable difference."""
+    """Effective offers before and at each check, and the reliable difference.
+
+    A check without offers, or of an unbuyable listing, keeps the last known ones.
+    """
     none = F.array().cast(OFFERS)
-    prev = F.coalesce(F.col("_use_before"), F.col("_any_before.offers"), none)
-    eff = F.coalesce(F.col("_use_upto"), F.col("_any_upto.offers"), none)
+    prev = F.coalesce(F.col("_usable"), F.col("_earliest"), none)
     unreliable = ((F.size("offers") == 0) | (F.col("stock_status") == "out_of_stock")) & (
         F.size("prev_offers") > 0
     )
-    compared = SUCCESS & F.col("had_success") & ~unreliable
-    out = src.df.withColumns({"prev_offers": prev, "eff_offers": eff})
+    fresh = F.coalesce(SUCCESS & ~unreliable, F.lit(False))
+    out = src.df.withColumn("prev_offers", prev).withColumn("_fresh", fresh)
+    compared = F.col("_fresh") & F.col("had_success")
     return out.withColumns(
         {
+            "eff_offers": F.when(F.col("_fresh"), F.col("offers")).otherwise(F.col("prev_offers")),
             "added": F.when(compared, missing_from(F.col("offers"), F.col("prev_offers"))),
             "removed": F.when(compared, missing_from(F.col("prev_offers"), F.col("offers"))),
         }
-    ).drop("_use_before", "_use_upto", "_any_before", "_any_upto")
+    ).drop("_usable", "_earliest", "_fresh")
 
 
 def with_failures(src: Sliced, limit: int) -> Sliced:

@@ -26,7 +26,7 @@ HOT = "_hot"
 
 @dataclass(frozen=True)
 class Running:
-    """One running value: ``kind`` is last, min, max or sum of ``expr`` in row order.
+    """One running value: ``kind`` is first, last, min, max or sum of ``expr`` in row order.
 
     ``inclusive`` says whether the current row counts.
     """
@@ -60,31 +60,30 @@ def slice_hot_keys(
     keys: Sequence[str],
     order: Sequence[str],
     limit: int | None = None,
+    sizes: DataFrame | None = None,
 ) -> Sliced:
     """Add the slice column. ``order[0]`` must be a timestamp.
 
+    ``sizes(keys, n, lo, hi)`` may give upper bounds of the rows and the time range
+    per key from a cheaper scan than ``df`` itself.
     The plan table holds only keys above ``limit`` rows, so at most
     total / limit rows; it is joined without a hint and AQE picks the join by
     its measured size.
     """
     limit = HOT_ROWS if limit is None else limit
-    plan = (
-        df.groupBy(*keys)
-        .agg(
-            F.count("*").alias("_n"),
-            F.min(_micros(order[0])).alias("_lo"),
-            F.max(_micros(order[0])).alias("_hi"),
+    if sizes is None:
+        at = F.col(order[0])
+        sizes = df.groupBy(*keys).agg(
+            F.count("*").alias("n"), F.min(at).alias("lo"), F.max(at).alias("hi")
         )
-        .filter(F.col("_n") > limit)
-    )
+    plan = sizes.filter(F.col("n") > limit)
     if plan.isEmpty():
         return Sliced(df.withColumn(SLICE, F.lit(0).cast("long")), tuple(keys), tuple(order), False)
     # four slices per limit leave room for uneven arrival within the span
-    pieces = F.ceil(F.col("_n") * 4 / F.lit(limit))
-    plan = plan.select(
+    plan = plan.selectExpr(
         *keys,
-        "_lo",
-        F.greatest(F.lit(1), F.ceil((F.col("_hi") - F.col("_lo") + 1) / pieces)).alias("_width"),
+        "unix_micros(lo) AS _lo",
+        f"greatest(1, ceil((unix_micros(hi) - unix_micros(lo) + 1) / ceil(n * 4 / {limit}))) AS _width",
     )
     joined = df.join(plan, list(keys), "left")
     sliced = joined.select(
@@ -99,6 +98,7 @@ def slice_hot_keys(
 
 def _agg(kind: str, value: Column) -> Column:
     return {
+        "first": lambda: F.first(value, ignorenulls=True),
         "last": lambda: F.last(value, ignorenulls=True),
         "min": lambda: F.min(value),
         "max": lambda: F.max(value),
@@ -120,10 +120,11 @@ def running(src: Sliced, specs: Sequence[Running]) -> Sliced:
         return Sliced(local, src.keys, src.order, False)
 
     def whole(s: Running) -> Column:
-        if s.kind != "last":
+        if s.kind not in ("first", "last"):
             return _agg(s.kind, s.expr).alias(s.name)
         at = F.struct(*[F.col(c) for c in src.order], s.expr.alias("_v"))
-        return F.max(F.when(s.expr.isNotNull(), at))["_v"].alias(s.name)
+        pick = F.max if s.kind == "last" else F.min
+        return pick(F.when(s.expr.isNotNull(), at))["_v"].alias(s.name)
 
     per_slice = src.df.filter(F.col(HOT)).groupBy(*src.keys, SLICE).agg(*[whole(s) for s in specs])
     before = (
@@ -139,6 +140,8 @@ def running(src: Sliced, specs: Sequence[Running]) -> Sliced:
         here, there = F.col(s.name), F.col("_c_" + s.name)
         if s.kind == "last":
             out = F.coalesce(here, there)
+        elif s.kind == "first":
+            out = F.coalesce(there, here)
         elif s.kind == "min":
             out = F.least(here, there)
         elif s.kind == "max":

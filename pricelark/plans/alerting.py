@@ -33,7 +33,7 @@ SETTINGS = Settings()
     ),
 )
 def alert_target_price(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.alerts(M.checks(spark, sf_dir), SETTINGS, ["target_price"]).select(
+    return A.alerts(M.check_log(spark, sf_dir), SETTINGS, ["target_price"]).select(
         "product_id", "check_id", "fired_at", "old_paise", "new_paise", "target_paise", "change_pct"
     )
 
@@ -48,7 +48,7 @@ def alert_target_price(spark: SparkSession, sf_dir: str) -> DataFrame:
     ),
 )
 def alert_threshold_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.alerts(M.checks(spark, sf_dir), SETTINGS, ["threshold_drop"]).select(
+    return A.alerts(M.check_log(spark, sf_dir), SETTINGS, ["threshold_drop"]).select(
         "product_id", "check_id", "fired_at", "old_paise", "new_paise", "threshold_bp", "change_pct"
     )
 
@@ -63,7 +63,7 @@ def alert_threshold_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
     ),
 )
 def alert_price_change(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.alerts(M.checks(spark, sf_dir), SETTINGS, ["price_change"]).select(
+    return A.alerts(M.check_log(spark, sf_dir), SETTINGS, ["price_change"]).select(
         "product_id", "check_id", "fired_at", "old_paise", "new_paise", "change_pct"
     )
 
@@ -76,7 +76,7 @@ def alert_price_change(spark: SparkSession, sf_dir: str) -> DataFrame:
     ),
 )
 def alert_back_in_stock(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.alerts(M.checks(spark, sf_dir), SETTINGS, ["back_in_stock"]).select(
+    return A.alerts(M.check_log(spark, sf_dir), SETTINGS, ["back_in_stock"]).select(
         "product_id", "check_id", "fired_at", "new_paise"
     )
 
@@ -99,7 +99,7 @@ def _texts(offers: str):
     ),
 )
 def alert_offer_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = A.alerts(M.checks(spark, sf_dir), SETTINGS, ["offer_added", "offer_removed"])
+    found = A.alerts(M.check_log(spark, sf_dir), SETTINGS, ["offer_added", "offer_removed"])
     side = F.when(F.col("type") == "offer_added", _texts("added")).otherwise(_texts("removed"))
     return found.select(
         "product_id", "check_id", "fired_at", "type", side.alias("offers"), "new_paise"
@@ -115,7 +115,7 @@ def alert_offer_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     ),
 )
 def alert_auto_paused(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.alerts(M.checks(spark, sf_dir), SETTINGS, ["auto_paused"]).select(
+    return A.alerts(M.check_log(spark, sf_dir), SETTINGS, ["auto_paused"]).select(
         "product_id", "check_id", "fired_at", "failure_reason", "consecutive_failures"
     )
 
@@ -148,7 +148,7 @@ all_alerts AS (
 
 @query("alerts_all", sql(ALL_ALERTS_SQL, "SELECT * FROM all_alerts"))
 def alerts_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.alerts(M.checks(spark, sf_dir), SETTINGS).select(
+    return A.alerts(M.check_log(spark, sf_dir), SETTINGS).select(
         "product_id", "check_id", "fired_at", "type", "old_paise", "new_paise", "change_pct"
     )
 
@@ -189,7 +189,7 @@ state AS (
     ),
 )
 def product_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    state = A.product_state(M.checks(spark, sf_dir), SETTINGS)
+    state = A.product_state(M.check_log(spark, sf_dir), SETTINGS)
     return state.withColumn("current_offers", _texts("current_offers"))
 
 
@@ -222,7 +222,7 @@ def all_time_low_high(spark: SparkSession, sf_dir: str) -> DataFrame:
     ),
 )
 def running_low_high(spark: SparkSession, sf_dir: str) -> DataFrame:
-    src = running(S.sliced_log(M.checks(spark, sf_dir)), S.low_high_specs())
+    src = running(S.sliced_log(M.check_log(spark, sf_dir)), S.low_high_specs())
     return src.df.select("product_id", "check_id", "low_paise", "high_paise")
 
 
@@ -235,7 +235,7 @@ def running_low_high(spark: SparkSession, sf_dir: str) -> DataFrame:
     ),
 )
 def last_changed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    log = A.annotated(M.checks(spark, sf_dir), SETTINGS, failures=False, offers=False)
+    log = A.annotated(M.check_log(spark, sf_dir), SETTINGS, failures=False, offers=False)
     prev = F.col("prev_price")
     return (
         log.filter(S.LIVE & (prev.isNull() | (prev != F.col("price_paise"))))
@@ -253,7 +253,7 @@ def last_changed(spark: SparkSession, sf_dir: str) -> DataFrame:
     ),
 )
 def effective_offers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    log = A.annotated(M.checks(spark, sf_dir), SETTINGS, failures=False)
+    log = A.annotated(M.check_log(spark, sf_dir), SETTINGS, failures=False)
     return log.select(
         "product_id",
         "check_id",
@@ -271,7 +271,7 @@ def effective_offers(spark: SparkSession, sf_dir: str) -> DataFrame:
     ),
 )
 def failure_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    src = S.with_failures(S.sliced_log(M.checks(spark, sf_dir)), SETTINGS.failure_limit)
+    src = S.with_failures(S.sliced_log(M.check_log(spark, sf_dir)), SETTINGS.failure_limit)
     return src.df.filter(~F.col("success")).select(
         "product_id", "check_id", "checked_at", "failure_reason", "run_len"
     )
@@ -291,7 +291,8 @@ def failure_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     ),
 )
 def stock_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    points = M.checks(spark, sf_dir).filter(F.col("success"))
+    log = M.check_log(spark, sf_dir)
+    points = S.CheckLog(log.checks.filter(F.col("success")), log.sizes)
     return S.spans(S.sliced_log(points), F.col("stock_status") == "out_of_stock", "checked_at")
 
 
@@ -308,7 +309,7 @@ def stock_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     ),
 )
 def history_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.history_rows(M.checks(spark, sf_dir), SETTINGS).drop("offers", "mrp_paise")
+    return A.history_rows(M.check_log(spark, sf_dir), SETTINGS).drop("offers", "mrp_paise")
 
 
 @query(

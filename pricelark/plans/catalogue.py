@@ -29,7 +29,7 @@ EV_NOW = M.as_of(M.EVENTS_AS_OF)
 
 def catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Products with their current state."""
-    state = A.product_state(M.checks(spark, sf_dir), SETTINGS)
+    state = A.product_state(M.check_log(spark, sf_dir), SETTINGS)
     joined = M.products(spark, sf_dir).join(state, "product_id", "left")
     return joined.withColumns(
         {
@@ -322,8 +322,8 @@ def category_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     ),
 )
 def deletion_impact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    checks = M.checks(spark, sf_dir)
-    return D.deletion_impact(M.products(spark, sf_dir), checks, A.alerts(checks, SETTINGS))
+    log = M.check_log(spark, sf_dir)
+    return D.deletion_impact(M.products(spark, sf_dir), log.checks, A.alerts(log, SETTINGS))
 
 
 @query(
@@ -475,7 +475,7 @@ pairs AS (SELECT a.product_id AS a_id, a.linked_product_id AS b_id FROM products
     ),
 )
 def pair_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
-    state = A.product_state(M.checks(spark, sf_dir), SETTINGS)
+    state = A.product_state(M.check_log(spark, sf_dir), SETTINGS)
     return P.pair_compare(M.products(spark, sf_dir), state).select(
         "a_id", "b_id", "a_paise", "b_paise", "cheaper"
     )
@@ -522,7 +522,7 @@ def pair_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     ),
 )
 def near_low(spark: SparkSession, sf_dir: str) -> DataFrame:
-    state = A.product_state(M.checks(spark, sf_dir), SETTINGS)
+    state = A.product_state(M.check_log(spark, sf_dir), SETTINGS)
     return P.near_lows(state, SETTINGS.near_low_pct).select(
         "product_id", "current_paise", "low_paise", "above_low_paise"
     )
@@ -538,7 +538,7 @@ def near_low(spark: SparkSession, sf_dir: str) -> DataFrame:
     ),
 )
 def range_position(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.range_meter(A.product_state(M.checks(spark, sf_dir), SETTINGS))
+    return P.range_meter(A.product_state(M.check_log(spark, sf_dir), SETTINGS))
 
 
 @query(

@@ -283,9 +283,9 @@ fired AS (
 )
 def outbox(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every check's alerts rendered into one message."""
-    found = A.alerts(M.checks(spark, sf_dir), SETTINGS)
+    found = A.alerts(M.check_log(spark, sf_dir), SETTINGS)
     rendered = G.rendered(found, M.products(spark, sf_dir), SETTINGS)
-    return H.grouped_messages(rendered, "rule").drop("part")
+    return H.grouped_messages(rendered, "rule", bounded=True).drop("part")
 
 
 @query(
@@ -319,7 +319,7 @@ def outbox(spark: SparkSession, sf_dir: str) -> DataFrame:
     UNION ALL SELECT doc_id, 1 FROM base WHERE n <= {CHUNK_MAX}""",
 )
 def outbox_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = M.table(spark, sf_dir, "documents")
+    docs = M.spread(M.table(spark, sf_dir, "documents"))
     parts = F.filter(render.chunks(F.col("text")), lambda c: c != "")
     return docs.select("doc_id", F.size(parts).cast("bigint").alias("parts"))
 
@@ -355,7 +355,7 @@ def outbox_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     ),
 )
 def digest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    checks = M.checks(spark, sf_dir)
+    checks = M.check_log(spark, sf_dir)
     products = M.products(spark, sf_dir)
     state = A.product_state(checks, SETTINGS).join(
         products.select("product_id", "display_name", "marketplace"), "product_id"

@@ -50,28 +50,25 @@ CHECKS_SQL = (
     PRODUCTS_SQL
     + """,
 lines AS (
-  SELECT * FROM (
-    SELECT *, row_number() OVER (PARTITION BY l_partkey, l_shipdate
-      ORDER BY l_extendedprice DESC, l_quantity, l_orderkey, l_linenumber, l_suppkey,
-               l_discount, l_tax, l_returnflag, l_linestatus) AS rn
-    FROM lineitem) WHERE rn = 1),
+  SELECT l_partkey, l_shipdate, min(l_discount) AS discount, min(l_tax) AS tax, min(l_suppkey) AS supp,
+         min(l_quantity) AS qty, bool_or(l_returnflag = 'R') AS sold_out, bool_or(l_linestatus = 'F') AS browser
+  FROM lineitem GROUP BY l_partkey, l_shipdate),
 checks AS (
   SELECT l_partkey * 100000 + date_diff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE)) AS check_id,
-         product_id, l_shipdate AS checked_at, l_tax < 0.07 AS success,
-         CASE WHEN NOT (l_tax < 0.07) THEN 'unknown'
-              WHEN l_returnflag = 'R' THEN 'out_of_stock' ELSE 'in_stock' END AS stock_status,
-         CASE WHEN l_tax < 0.07 AND l_returnflag <> 'R'
-              THEN (mrp_paise * (100 - CAST(round(l_discount * 100) AS BIGINT))) // 100 END AS price_paise,
-         CASE WHEN l_tax < 0.07 AND l_returnflag <> 'R' THEN products.mrp_paise END AS mrp_paise,
-         CASE WHEN l_tax < 0.07 THEN list_filter([
-           CASE WHEN l_suppkey % 3 = 0 THEN 'bank_offer|Bank Offer: ' || (5 + l_suppkey % 4) || '% off on credit cards' END,
-           CASE WHEN l_quantity < 25 THEN 'coupon|Coupon: Save Rs. ' || CAST(50 * (1 + floor(l_quantity / 10)) AS BIGINT) END,
-           CASE WHEN l_linestatus = 'F' THEN 'no_cost_emi|No Cost EMI available' END], lambda x: x IS NOT NULL)
+         product_id, l_shipdate AS checked_at, tax < 0.07 AS success,
+         CASE WHEN NOT (tax < 0.07) THEN 'unknown' WHEN sold_out THEN 'out_of_stock' ELSE 'in_stock' END AS stock_status,
+         CASE WHEN tax < 0.07 AND NOT sold_out
+              THEN (products.mrp_paise * (100 - CAST(round(discount * 100) AS BIGINT))) // 100 END AS price_paise,
+         CASE WHEN tax < 0.07 AND NOT sold_out THEN products.mrp_paise END AS mrp_paise,
+         CASE WHEN tax < 0.07 THEN list_filter([
+           CASE WHEN supp % 3 = 0 THEN 'bank_offer|Bank Offer: ' || (5 + supp % 4) || '% off on credit cards' END,
+           CASE WHEN qty < 25 THEN 'coupon|Coupon: Save Rs. ' || CAST(50 * (1 + floor(qty / 10)) AS BIGINT) END,
+           CASE WHEN browser THEN 'no_cost_emi|No Cost EMI available' END], lambda x: x IS NOT NULL)
            ELSE [] END AS offers,
-         CASE WHEN l_linestatus = 'F' THEN 'browser' ELSE 'http' END AS tier,
-         CASE WHEN NOT (l_tax < 0.07) THEN ['fetch_blocked','fetch_timeout','http_error','parse_failed',
-              'listing_removed','captcha','other'][l_suppkey % 7 + 1] END AS failure_reason,
-         CAST(l_quantity * 100 AS INTEGER) AS duration_ms,
+         CASE WHEN browser THEN 'browser' ELSE 'http' END AS tier,
+         CASE WHEN NOT (tax < 0.07) THEN ['fetch_blocked','fetch_timeout','http_error','parse_failed',
+              'listing_removed','captcha','other'][supp % 7 + 1] END AS failure_reason,
+         CAST(qty * 100 AS INTEGER) AS duration_ms,
          target_paise, CAST(threshold_bp AS BIGINT) AS threshold_bp
   FROM lines JOIN products ON l_partkey = product_id),
 live AS (SELECT *, success AND stock_status <> 'out_of_stock' AND price_paise > 0 AS is_live FROM checks)"""

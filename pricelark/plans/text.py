@@ -103,7 +103,7 @@ def parse_amount(spark: SparkSession, sf_dir: str) -> DataFrame:
       '[0-9]+(?:\\.[0-9]{{1,2}})?', 0), '') AS amount FROM documents""",
 )
 def amount_in_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = M.table(spark, sf_dir, "documents")
+    docs = M.spread(M.table(spark, sf_dir, "documents"))
     return docs.select("doc_id", money.amount_text(F.col("text")).alias("amount"))
 
 
@@ -152,13 +152,13 @@ def offer_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"SELECT doc_id, {_class_sql('text')} AS type FROM documents",
 )
 def offer_classify_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = M.table(spark, sf_dir, "documents")
+    docs = M.spread(M.table(spark, sf_dir, "documents"))
     return docs.select("doc_id", offers.classify(F.col("text")).alias("type"))
 
 
 @query("comparison_form", f"SELECT doc_id, md5({_form_sql('text')}) AS form FROM documents")
 def comparison_form(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = M.table(spark, sf_dir, "documents")
+    docs = M.spread(M.table(spark, sf_dir, "documents"))
     return docs.select("doc_id", F.md5(offers.comparison_form(F.col("text"))).alias("form"))
 
 
@@ -185,7 +185,7 @@ def _raw_lines() -> Column:
 )
 def offer_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document as a page whose lines are raw offers."""
-    docs = M.table(spark, sf_dir, "documents")
+    docs = M.spread(M.table(spark, sf_dir, "documents"))
     found = docs.select("doc_id", offers.normalise(_raw_lines()).alias("o"))
     lines = F.transform("o", lambda o: F.concat(o["type"], F.lit("|"), o["description"]))
     return found.select(
@@ -202,7 +202,7 @@ def offer_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
         FROM documents d LEFT JOIN typed t ON t.doc_id = d.doc_id GROUP BY d.doc_id""",
 )
 def offer_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = M.table(spark, sf_dir, "documents")
+    docs = M.spread(M.table(spark, sf_dir, "documents"))
     found = docs.select("doc_id", offers.normalise(_raw_lines()).alias("o"))
     return found.select("doc_id", offers.offers_hash(F.col("o")).alias("offers_hash"))
 
@@ -218,10 +218,11 @@ def offer_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     ),
 )
 def offer_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pricelark.operators.sequence import sliced_log
+    from pricelark.operators.sequence import CheckLog, sliced_log
     from pricelark.operators.slices import Running, running
 
-    checks = M.checks(spark, sf_dir).filter("success")
+    log = M.check_log(spark, sf_dir)
+    checks = CheckLog(log.checks.filter("success"), log.sizes)
     src = running(sliced_log(checks), [Running("prev", F.col("offers"))])
     known = src.df.filter(F.col("prev").isNotNull())
     now, prev = F.col("offers"), F.col("prev")
@@ -254,7 +255,7 @@ def relative_time(spark: SparkSession, sf_dir: str) -> DataFrame:
 def csv_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pricelark.sources.sinks import csv_cell
 
-    docs = M.table(spark, sf_dir, "documents")
+    docs = M.spread(M.table(spark, sf_dir, "documents"))
     return docs.select("doc_id", F.md5(csv_cell(F.col("text"))).alias("cell"))
 
 
@@ -264,7 +265,7 @@ def csv_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
        '<\s*style[^>]*>.*?<\s*/\s*style\s*>', '', 'gis'), ' on\w+\s*=\s*("[^"]*"|''[^'']*''|[^\s>]+)', '', 'gi'), 'javascript:', '', 'gi')) AS html FROM pages""",
 )
 def safe_html(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = M.table(spark, sf_dir, "pages")
+    pages = M.spread(M.table(spark, sf_dir, "pages"))
     return pages.select("page_id", F.md5(render.safe_html(F.col("html"))).alias("html"))
 
 
@@ -282,7 +283,7 @@ def safe_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     ),
 )
 def alert_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = A.alerts(M.checks(spark, sf_dir), SETTINGS)
+    found = A.alerts(M.check_log(spark, sf_dir), SETTINGS)
     return found.select("product_id", "check_id", "type", digest.alert_summary().alias("summary"))
 
 
@@ -376,7 +377,7 @@ def import_file_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(cust % 5 == 2, "")
         .when(cust % 5 == 3, (key % 300).cast("string"))
     )
-    cells = M.table(spark, sf_dir, "orders").select(
+    cells = M.spread(M.table(spark, sf_dir, "orders")).select(
         key.alias("row"), url.alias("Product URL"), target.alias("Target Price")
     )
     return import_file.import_rows(cells, "row")
@@ -390,7 +391,7 @@ def import_file_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     ),
 )
 def url_recognise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = M.table(spark, sf_dir, "pages")
+    pages = M.spread(M.table(spark, sf_dir, "pages"))
     return pages.select("page_id", urls.recognise(F.col("url")).alias("r")).select("page_id", "r.*")
 
 
@@ -570,7 +571,7 @@ def controlled_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     settings = Settings(failure_limit=3)
     found = A.alerts(
-        M.checks(spark, sf_dir), settings, ["target_price", "auto_paused"], commands
+        M.check_log(spark, sf_dir), settings, ["target_price", "auto_paused"], commands
     )
     return found.select("product_id", "check_id", "type", "target_paise")
 
@@ -660,7 +661,7 @@ ready AS (SELECT product_id, marketplace, status, coalesce(interval_minutes, 30)
 
 def _schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Products with their next check; an interval minute stands for a day at this data's pace."""
-    state = A.product_state(M.checks(spark, sf_dir), SETTINGS)
+    state = A.product_state(M.check_log(spark, sf_dir), SETTINGS)
     joined = M.products(spark, sf_dir).join(state, "product_id")
     days = planning.interval(SETTINGS) * 1440
     return joined.withColumn(

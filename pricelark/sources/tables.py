@@ -10,8 +10,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pricelark.model import FAILURE_REASONS, OFFERS
+from pricelark.model import FAILURE_REASONS
 from pricelark.functions.money import discount_pct
+from pricelark.operators.sequence import CheckLog
 
 AS_OF = "2001-09-01 00:00:00"
 EVENTS_AS_OF = "2024-01-31 00:00:00"
@@ -30,125 +31,114 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return raw if schema == raw.schema else spark.read.schema(schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give a scan with fewer splits than cores one part per core, for costly row work.
+
+    Large tables have more splits than cores and pass through unchanged.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def as_of(text: str = AS_OF) -> Column:
     return F.lit(text).cast("timestamp")
 
 
 def products(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The catalogue: user rules and listing identity, one row per part."""
-    part = table(spark, sf_dir, "part")
-    key = F.col("p_partkey")
-    even = key % 2 == 0
-    mrp = F.round(F.col("p_retailprice") * 100).cast("bigint")
-    listing = F.when(even, F.concat(F.lit("B"), F.lpad(key.cast("string"), 9, "0"))).otherwise(
-        F.concat(F.lit("itm"), F.lpad(key.cast("string"), 13, "0"))
-    )
-    canonical = F.when(even, F.concat(F.lit("https://www.amazon.in/dp/"), listing)).otherwise(
-        F.concat(F.lit("https://www.flipkart.com/product/p/"), listing)
-    )
-    return part.select(
-        key.alias("product_id"),
-        F.col("p_name").alias("display_name"),
-        F.when(key % 7 != 0, F.col("p_brand")).alias("category"),
-        F.when(even, "amazon_in").otherwise("flipkart").alias("marketplace"),
-        F.when(even, key + 1).otherwise(key - 1).alias("linked_product_id"),
-        canonical.alias("canonical_url"),
-        listing.alias("marketplace_product_id"),
-        mrp.alias("mrp_paise"),
-        F.expr("(CAST(round(p_retailprice * 100) AS BIGINT) * 93) div 100").alias("target_paise"),
-        F.when(F.col("p_size") % 10 == 0, F.lit(0))
-        .when(F.col("p_size") % 10 == 1, F.lit(800))
-        .cast("bigint")
-        .alias("threshold_bp"),
-        F.when(F.col("p_size") % 4 == 0, 30)
-        .when(F.col("p_size") % 4 == 1, 120)
-        .alias("interval_minutes"),
-        (1 + F.col("p_size") % 3).cast("int").alias("priority"),
-        F.split(F.concat(F.lower("p_type"), F.lit(","), "p_name"), "[, ]").alias("tags"),
-        F.timestamp_add("MINUTE", key, F.lit("1995-01-01").cast("timestamp")).alias("created_at"),
+    even = "p_partkey % 2 = 0"
+    item = f"""CASE WHEN {even} THEN concat('B', lpad(p_partkey, 9, '0'))
+                    ELSE concat('itm', lpad(p_partkey, 13, '0')) END"""
+    site = f"""CASE WHEN {even} THEN 'https://www.amazon.in/dp/'
+                    ELSE 'https://www.flipkart.com/product/p/' END"""
+    mrp = "CAST(round(p_retailprice * 100) AS BIGINT)"
+    return table(spark, sf_dir, "part").selectExpr(
+        "p_partkey AS product_id",
+        "p_name AS display_name",
+        "CASE WHEN p_partkey % 7 <> 0 THEN p_brand END AS category",
+        f"CASE WHEN {even} THEN 'amazon_in' ELSE 'flipkart' END AS marketplace",
+        f"CASE WHEN {even} THEN p_partkey + 1 ELSE p_partkey - 1 END AS linked_product_id",
+        f"concat({site}, {item}) AS canonical_url",
+        f"{item} AS marketplace_product_id",
+        f"{mrp} AS mrp_paise",
+        f"({mrp} * 93) div 100 AS target_paise",
+        """CAST(CASE WHEN p_size % 10 = 0 THEN 0 WHEN p_size % 10 = 1 THEN 800 END AS BIGINT)
+           AS threshold_bp""",
+        "CASE WHEN p_size % 4 = 0 THEN 30 WHEN p_size % 4 = 1 THEN 120 END AS interval_minutes",
+        "1 + p_size % 3 AS priority",
+        "split(concat(lower(p_type), ',', p_name), '[, ]') AS tags",
+        "timestampadd(MINUTE, p_partkey, TIMESTAMP '1995-01-01') AS created_at",
     )
 
 
-def _offers() -> Column:
-    """Offers a check saw, from buckets of the line's own columns."""
-    supp = F.col("l_suppkey") % 4
-    bank = F.concat(
-        F.lit("Bank Offer: "), (5 + supp).cast("string"), F.lit("% off on credit cards")
-    )
-    coupon = F.concat(
-        F.lit("Coupon: Save Rs. "),
-        (50 * (1 + F.floor(F.col("l_quantity") / 10))).cast("bigint").cast("string"),
-    )
-    entry = lambda kind, text, when: F.when(
-        when, F.struct(F.lit(kind).alias("type"), text.alias("description"))
-    )
-    return F.array_compact(
-        F.array(
-            entry("bank_offer", bank, F.col("l_suppkey") % 3 == 0),
-            entry("coupon", coupon, F.col("l_quantity") < 25),
-            entry("no_cost_emi", F.lit("No Cost EMI available"), F.col("l_linestatus") == "F"),
-        )
-    )
+# offers a check saw, from buckets of the lines' own columns
+_OFFERS = """array_compact(array(
+  CASE WHEN supp % 3 = 0 THEN named_struct('type', 'bank_offer', 'description',
+    concat('Bank Offer: ', 5 + supp % 4, '% off on credit cards')) END,
+  CASE WHEN qty < 25 THEN named_struct('type', 'coupon', 'description',
+    concat('Coupon: Save Rs. ', CAST(50 * (1 + floor(qty / 10)) AS BIGINT))) END,
+  CASE WHEN browser THEN named_struct('type', 'no_cost_emi', 'description',
+    'No Cost EMI available') END))"""
 
 
-def first_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One line per (l_partkey, l_shipdate): a minimum, so it combines before the shuffle."""
-    best = F.struct(
-        (-F.col("l_extendedprice")).alias("neg_price"),
-        "l_quantity",
-        "l_orderkey",
-        "l_linenumber",
-        "l_suppkey",
-        "l_discount",
-        "l_tax",
-        "l_returnflag",
-        "l_linestatus",
-    )
+def merged_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per (l_partkey, l_shipdate), column-wise: a hash aggregate that combines
+    before the shuffle."""
     return (
         table(spark, sf_dir, "lineitem")
         .groupBy("l_partkey", "l_shipdate")
-        .agg(F.min(best).alias("b"))
-        .select("l_partkey", "l_shipdate", "b.*")
+        .agg(
+            F.expr("min(l_discount) AS discount"),
+            F.expr("min(l_tax) AS tax"),
+            F.expr("min(l_suppkey) AS supp"),
+            F.expr("min(l_quantity) AS qty"),
+            F.expr("bool_or(l_returnflag = 'R') AS sold_out"),
+            F.expr("bool_or(l_linestatus = 'F') AS browser"),
+        )
     )
 
 
 def checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The check log with the product's rules on each row (schema ``model.CHECKS``)."""
-    rules = products(spark, sf_dir).select(
-        "product_id", F.col("mrp_paise").alias("list_paise"), "target_paise", "threshold_bp"
+    rules = products(spark, sf_dir).selectExpr(
+        "product_id", "mrp_paise AS list_paise", "target_paise", "threshold_bp"
     )
-    success = F.col("l_tax") < 0.07
-    out_of_stock = F.col("l_returnflag") == "R"
-    reasons = F.array(*[F.lit(r) for r in FAILURE_REASONS])
+    reasons = ", ".join(f"'{r}'" for r in FAILURE_REASONS)
     return (
-        first_lines(spark, sf_dir)
-        .join(rules, F.col("l_partkey") == F.col("product_id"))
-        .select(
-            (F.col("l_partkey") * 100000 + F.unix_date(F.to_date("l_shipdate"))).alias("check_id"),
+        merged_lines(spark, sf_dir)
+        .withColumn("ok", F.expr("tax < 0.07"))
+        .join(rules, F.expr("l_partkey = product_id"))
+        .selectExpr(
+            "l_partkey * 100000 + unix_date(CAST(l_shipdate AS DATE)) AS check_id",
             "product_id",
-            F.col("l_shipdate").alias("checked_at"),
-            success.alias("success"),
-            F.when(~success, "unknown")
-            .when(out_of_stock, "out_of_stock")
-            .otherwise("in_stock")
-            .alias("stock_status"),
-            F.when(
-                success & ~out_of_stock,
-                F.expr("(list_paise * (100 - CAST(round(l_discount * 100) AS BIGINT))) div 100"),
-            ).alias("price_paise"),
-            F.when(success & ~out_of_stock, F.col("list_paise")).alias("mrp_paise"),
-            F.when(success, _offers()).otherwise(F.array().cast(OFFERS)).alias("offers"),
-            F.when(F.col("l_linestatus") == "F", "browser").otherwise("http").alias("tier"),
-            F.when(
-                ~success, F.element_at(reasons, (F.col("l_suppkey") % 7 + 1).cast("int"))
-            ).alias("failure_reason"),
-            (F.col("l_quantity") * 100).cast("int").alias("duration_ms"),
+            "l_shipdate AS checked_at",
+            "ok AS success",
+            """CASE WHEN NOT ok THEN 'unknown' WHEN sold_out THEN 'out_of_stock'
+               ELSE 'in_stock' END AS stock_status""",
+            """CASE WHEN ok AND NOT sold_out THEN
+               (list_paise * (100 - CAST(round(discount * 100) AS BIGINT))) div 100 END AS price_paise""",
+            "CASE WHEN ok AND NOT sold_out THEN list_paise END AS mrp_paise",
+            f"""CASE WHEN ok THEN {_OFFERS}
+                ELSE CAST(array() AS ARRAY<STRUCT<type: STRING, description: STRING>>) END AS offers""",
+            "CASE WHEN browser THEN 'browser' ELSE 'http' END AS tier",
+            f"CASE WHEN NOT ok THEN element_at(array({reasons}), CAST(supp % 7 + 1 AS INT)) END AS failure_reason",
+            "CAST(qty * 100 AS INT) AS duration_ms",
             "target_paise",
             "threshold_bp",
         )
     )
 
 
+def check_log(spark: SparkSession, sf_dir: str) -> CheckLog:
+    """The checks with an upper bound of their rows per product from one narrow scan."""
+    sizes = (
+        table(spark, sf_dir, "lineitem")
+        .groupBy(F.col("l_partkey").alias("product_id"))
+        .agg(F.expr("count(*) AS n"), F.expr("min(l_shipdate) AS lo"), F.expr("max(l_shipdate) AS hi"))
+    )
+    return CheckLog(checks(spark, sf_dir), sizes)
+
+
 def logged_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``events`` as an alert log; purchases are system alerts without a product."""
     kind = F.col("event_type")
