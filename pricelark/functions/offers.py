@@ -116,14 +116,10 @@ def _forms(offers: Column) -> Column:
 
 def missing_from(offers: Column, other: Column) -> Column:
     """Offers of the first list whose comparison form is not in the second."""
-    # the known forms ride in the accumulator, so they are computed once per row
-    none = F.filter(offers, lambda o: F.lit(False))
-    start = F.struct(_forms(other).alias("known"), none.alias("out"))
+    bound = F.struct(offers.alias("o"), _forms(offers).alias("own"), _forms(other).alias("known"))
 
-    def step(acc: Column, o: Column) -> Column:
-        return F.when(F.array_contains(acc["known"], comparison_form(o["description"])), acc).otherwise(
-            F.struct(acc["known"].alias("known"), F.concat(acc["out"], F.array(o)).alias("out"))
-        )
+    def difference(b: Column) -> Column:
+        return F.filter(b["o"], lambda _, i: ~F.array_contains(b["known"], F.get(b["own"], i)))
 
-    different = F.aggregate(offers, start, step, lambda acc: acc["out"])
-    return F.when(offers == other, none).otherwise(different)
+    # equal lists, by far the commonest case, need no comparison forms
+    return F.when(offers == other, F.slice(offers, 1, 0)).otherwise(let(bound, difference))

@@ -9,14 +9,17 @@ from pricelark.functions.money import change_pct
 from pricelark.functions.offers import offers_hash
 from pricelark.model import OFFERS, Settings
 from pricelark.operators.sequence import (
-    SUCCESS,
     CheckLog,
+    as_log,
     eligible,
+    live,
     low_high_specs,
     only_checks,
     offer_specs,
     past_specs,
+    seen_offers,
     sliced_log,
+    success,
     with_failures,
     with_offers,
     with_target,
@@ -33,7 +36,10 @@ def annotated(
     offers: bool = True,
 ) -> DataFrame:
     """The log with everything the rules need on each row; unused columns prune away."""
-    src = sliced_log(checks, controls, limit)
+    log = as_log(checks)
+    if offers:
+        log = log._replace(checks=seen_offers(log.checks))
+    src = sliced_log(log, controls, limit)
     if controls is not None:
         src = with_target(src)
     specs = past_specs() + low_high_specs() + (offer_specs() if offers else [])
@@ -49,12 +55,16 @@ def annotated(
     )
 
 
-PRICE = F.col("price_paise")
-PREV = F.col("prev_price")
+def price() -> Column:
+    return F.col("price_paise")
+
+
+def prev() -> Column:
+    return F.col("prev_price")
 
 
 def crosses_target() -> Column:
-    return eligible() & (PRICE <= F.col("target_paise")) & ~F.col("latched")
+    return eligible() & (price() <= F.col("target_paise")) & ~F.col("latched")
 
 
 def threshold_bp(settings: Settings) -> Column:
@@ -65,12 +75,12 @@ def threshold_bp(settings: Settings) -> Column:
 def drops_enough(settings: Settings) -> Column:
     limit = threshold_bp(settings)
     return (
-        SUCCESS
-        & PRICE.isNotNull()
+        success()
+        & price().isNotNull()
         & F.col("had_success")
-        & (PREV > 0)
+        & (prev() > 0)
         & (limit > 0)
-        & ((PREV - PRICE) * 10000 >= limit * PREV)
+        & ((prev() - price()) * 10000 >= limit * prev())
     )
 
 
@@ -82,7 +92,7 @@ def fired(settings: Settings) -> dict[str, Column]:
     """Rule name -> whether it fires on the row, in the order alerts are recorded."""
     target = _sure(crosses_target()) & F.lit(settings.alert_target_price)
     drop = _sure(drops_enough(settings)) & F.lit(settings.alert_threshold_drop)
-    moved = _sure(SUCCESS & F.col("had_success") & (PRICE != PREV))
+    moved = _sure(success() & F.col("had_success") & (price() != prev()))
     back = (
         F.col("had_success")
         & (F.col("prev_stock") == "out_of_stock")
@@ -148,7 +158,7 @@ def evaluate(log: DataFrame, settings: Settings, types: list[str] | None = None)
     log = log.withColumns(
         {
             "_limit": threshold_bp(settings),
-            "_change": F.when(F.col("had_success") & PREV.isNotNull(), change_pct(PREV, PRICE)),
+            "_change": F.when(F.col("had_success") & prev().isNotNull(), change_pct(prev(), price())),
         }
     )
     head = ["product_id", "check_id", "checked_at AS fired_at"]
@@ -197,11 +207,10 @@ def product_state(
     """Current state per product, folded from its log by partial aggregates."""
     log = annotated(checks, settings, controls, limit)
     at = F.struct("checked_at", "check_id")
-    live = SUCCESS & (F.col("stock_status") != "out_of_stock") & (PRICE > 0)
-    changed = live & (PREV.isNull() | (PREV != PRICE))
+    changed = live() & (prev().isNull() | (prev() != price()))
     latch = (
-        F.when(eligible(), PRICE <= F.col("target_paise"))
-        .when(SUCCESS & F.col("target_paise").isNull(), F.lit(False))
+        F.when(eligible(), price() <= F.col("target_paise"))
+        .when(success() & F.col("target_paise").isNull(), F.lit(False))
         .otherwise(F.col("latched"))
     )
 
@@ -210,21 +219,21 @@ def product_state(
         return F.max(pair if when is None else F.when(when, pair))["v"]
 
     return log.groupBy("product_id").agg(
-        newest(PRICE, live).alias("current_paise"),
-        newest(F.col("mrp_paise"), live).alias("current_mrp_paise"),
-        newest(F.col("stock_status"), SUCCESS).alias("stock_status"),
-        newest(F.col("eff_offers"), SUCCESS).alias("current_offers"),
-        F.min(F.when(live, PRICE)).alias("low_paise"),
-        F.max(F.when(live, PRICE)).alias("high_paise"),
+        newest(price(), live()).alias("current_paise"),
+        newest(F.col("mrp_paise"), live()).alias("current_mrp_paise"),
+        newest(F.col("stock_status"), success()).alias("stock_status"),
+        newest(F.col("eff_offers"), success()).alias("current_offers"),
+        F.min(F.when(live(), price())).alias("low_paise"),
+        F.max(F.when(live(), price())).alias("high_paise"),
         newest(latch).alias("target_crossed"),
-        newest(F.when(SUCCESS, F.lit(0)).otherwise(F.col("run_len"))).alias(
+        newest(F.when(success(), F.lit(0)).otherwise(F.col("run_len"))).alias(
             "consecutive_failures"
         ),
         F.max("checked_at").alias("last_checked_at"),
-        F.max(F.when(SUCCESS, F.col("checked_at"))).alias("last_success_at"),
+        F.max(F.when(success(), F.col("checked_at"))).alias("last_success_at"),
         F.max(F.when(changed, F.col("checked_at"))).alias("last_changed_at"),
         F.max(F.when(F.col("auto_paused"), F.lit(True))).alias("was_auto_paused"),
-        newest(F.col("failure_reason"), ~SUCCESS).alias("last_failure_reason"),
+        newest(F.col("failure_reason"), ~success()).alias("last_failure_reason"),
     ).withColumn(
         "status",
         F.when(F.col("was_auto_paused"), "paused_auto").otherwise("active"),
@@ -240,11 +249,11 @@ def history_rows(checks: CheckLog | DataFrame, settings: Settings, limit: int |
         "checked_at",
         F.date_format("checked_at", "yyyy-MM").alias("checked_month"),
         "success",
-        F.when(SUCCESS, PRICE).alias("price_paise"),
-        F.when(SUCCESS, F.col("mrp_paise")).alias("mrp_paise"),
-        F.when(SUCCESS, F.col("eff_offers")).alias("offers"),
-        F.when(SUCCESS, offers_hash(F.col("eff_offers"))).alias("offers_hash"),
-        F.when(SUCCESS, F.col("stock_status")).otherwise("unknown").alias("stock_status"),
+        F.when(success(), price()).alias("price_paise"),
+        F.when(success(), F.col("mrp_paise")).alias("mrp_paise"),
+        F.when(success(), F.col("eff_offers")).alias("offers"),
+        F.when(success(), offers_hash(F.col("eff_offers"))).alias("offers_hash"),
+        F.when(success(), F.col("stock_status")).otherwise("unknown").alias("stock_status"),
         "tier",
         "duration_ms",
         "failure_reason",

@@ -11,23 +11,28 @@ from pricelark.functions.money import half_up
 from pricelark.model import CHART_ROW_CAP
 from pricelark.operators.slices import top_per_key
 
-FAILING = F.col("consecutive_failures") > 0
+# health filter -> condition; "failing" here ignores the status, the dashboard's does not
 HEALTH = {
-    "auto_paused": F.col("status") == "paused_auto",
-    "failing": FAILING,
-    "healthy": (F.col("consecutive_failures") == 0) & (F.col("status") == "active"),
+    "auto_paused": "status = 'paused_auto'",
+    "failing": "consecutive_failures > 0",
+    "healthy": "consecutive_failures = 0 AND status = 'active'",
 }
 # null order as the catalogue shows it: ascending ends with nulls, descending starts with them
 SORTS = {
-    "recent": F.col("created_at").desc_nulls_first(),
-    "name": F.col("display_name").asc_nulls_last(),
-    "price_asc": F.col("current_paise").asc_nulls_last(),
-    "price_desc": F.col("current_paise").desc_nulls_first(),
-    "biggest_drop": F.col("discount_pct").desc_nulls_first(),
-    "recently_changed": F.col("last_changed_at").desc_nulls_first(),
+    "recent": "created_at DESC NULLS FIRST",
+    "name": "display_name ASC NULLS LAST",
+    "price_asc": "current_paise ASC NULLS LAST",
+    "price_desc": "current_paise DESC NULLS FIRST",
+    "biggest_drop": "discount_pct DESC NULLS FIRST",
+    "recently_changed": "last_changed_at DESC NULLS FIRST",
 }
 
 
+def sort_order(name: str) -> Column:
+    column, direction, _, nulls = SORTS[name].split()
+    return getattr(F.col(column), f"{direction.lower()}_nulls_{nulls.lower()}")()
+
+
 @dataclass(frozen=True)
 class CatalogueQuery:
     """Filters and order of one catalogue request; unset means no filter."""
@@ -62,7 +67,7 @@ class CatalogueQuery:
         if self.status:
             out.append(F.col("status") == self.status)
         if self.health:
-            out.append(HEALTH[self.health])
+            out.append(F.expr(HEALTH[self.health]))
         if self.min_paise is not None:
             out.append(F.col("current_paise") >= self.min_paise)
         if self.max_paise is not None:
@@ -93,7 +98,7 @@ def page(df: DataFrame, order: list[Column], number: int, size: int, cap: int =
 def catalogue_page(catalogue: DataFrame, q: CatalogueQuery) -> DataFrame:
     """Priority first, then the chosen order, then the id; with the total on each row."""
     found = matching(catalogue, q)
-    order = [F.col("priority").asc_nulls_last(), SORTS[q.sort], F.col("product_id").asc()]
+    order = [F.col("priority").asc_nulls_last(), sort_order(q.sort), F.col("product_id").asc()]
     total = found.agg(F.count("*").alias("total")).scalar()
     size = max(1, min(q.page_size, 100))
     return page(found, order, q.page, size).select(

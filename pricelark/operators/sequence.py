@@ -22,8 +22,15 @@ from pricelark.session import ensure_checkpoint_dir
 KEY = ["product_id"]
 ORDER = ["checked_at", "ord", "check_id"]
 
-SUCCESS = F.col("success")
-LIVE = SUCCESS & (F.col("stock_status") != "out_of_stock") & (F.col("price_paise") > 0)
+
+def success() -> Column:
+    return F.col("success")
+
+
+def live() -> Column:
+    """A trusted current price: a success, not out of stock, priced."""
+    return F.expr("success AND stock_status <> 'out_of_stock' AND price_paise > 0")
+
 
 
 def _cut(src: Sliced, df: DataFrame) -> Sliced:
@@ -87,7 +94,7 @@ def with_target(src: Sliced) -> Sliced:
 
 def eligible() -> Column:
     return (
-        SUCCESS
+        success()
         & F.col("price_paise").isNotNull()
         & F.col("target_paise").isNotNull()
         & (F.col("stock_status") != "out_of_stock")
@@ -99,32 +106,34 @@ def past_specs() -> list[Running]:
     latch = (
         F.when(F.coalesce(F.col("action").isin("set_target", "clear_target"), F.lit(False)), False)
         .when(eligible(), F.col("price_paise") <= F.col("target_paise"))
-        .when(SUCCESS & F.col("target_paise").isNull(), F.lit(False))
+        .when(success() & F.col("target_paise").isNull(), F.lit(False))
     )
     return [
-        Running("prev_price", F.when(LIVE, F.col("price_paise"))),
-        Running("prev_stock", F.when(SUCCESS, F.col("stock_status"))),
+        Running("prev_price", F.when(live(), F.col("price_paise"))),
+        Running("prev_stock", F.when(success(), F.col("stock_status"))),
         Running("latched", latch),
-        Running("had_success", F.when(SUCCESS, F.lit(True))),
+        Running("had_success", F.when(success(), F.lit(True))),
     ]
 
 
 def low_high_specs() -> list[Running]:
-    live = F.when(LIVE, F.col("price_paise"))
+    price = F.when(live(), F.col("price_paise"))
     return [
-        Running("low_paise", live, "min", True),
-        Running("high_paise", live, "max", True),
+        Running("low_paise", price, "min", True),
+        Running("high_paise", price, "max", True),
     ]
 
 
+def seen_offers(checks: DataFrame) -> DataFrame:
+    """Offers only where a successful check saw some, so the scan carries no second copy."""
+    some = success() & (F.size("offers") > 0)
+    return checks.withColumn("offers", F.when(some, F.col("offers")))
+
+
 def offer_specs() -> list[Running]:
-    """The last offers seen on a buyable listing, and the first ones seen at all."""
-    some = SUCCESS & (F.size("offers") > 0)
-    usable = F.when(some & (F.col("stock_status") != "out_of_stock"), F.col("offers"))
-    return [
-        Running("_usable", usable, "last"),
-        Running("_earliest", F.when(some, F.col("offers")), "first"),
-    ]
+    """Over ``seen_offers``: the last offers of a buyable listing, and the first ones at all."""
+    buyable = F.when(F.col("stock_status") != "out_of_stock", F.col("offers"))
+    return [Running("_usable", buyable, "last"), Running("_earliest", F.col("offers"), "first")]
 
 
 def with_offers(src: Sliced) -> DataFrame:
@@ -133,18 +142,23 @@ def with_offers(src: Sliced) -> DataFrame:
     A check without offers, or of an unbuyable listing, keeps the last known ones.
     """
     none = F.array().cast(OFFERS)
-    prev = F.coalesce(F.col("_usable"), F.col("_earliest"), none)
+    out = src.df.withColumns(
+        {
+            "offers": F.coalesce("offers", none),
+            "prev_offers": F.coalesce("_usable", "_earliest", none),
+        }
+    )
     unreliable = ((F.size("offers") == 0) | (F.col("stock_status") == "out_of_stock")) & (
         F.size("prev_offers") > 0
     )
-    fresh = F.coalesce(SUCCESS & ~unreliable, F.lit(False))
-    out = src.df.withColumn("prev_offers", prev).withColumn("_fresh", fresh)
+    out = out.withColumn("_fresh", F.coalesce(success() & ~unreliable, F.lit(False)))
     compared = F.col("_fresh") & F.col("had_success")
+    now, was = F.col("offers"), F.col("prev_offers")
     return out.withColumns(
         {
-            "eff_offers": F.when(F.col("_fresh"), F.col("offers")).otherwise(F.col("prev_offers")),
-            "added": F.when(compared, missing_from(F.col("offers"), F.col("prev_offers"))),
-            "removed": F.when(compared, missing_from(F.col("prev_offers"), F.col("offers"))),
+            "eff_offers": F.when(F.col("_fresh"), now).otherwise(was),
+            "added": F.when(compared, missing_from(now, was)),
+            "removed": F.when(compared, missing_from(was, now)),
         }
     ).drop("_usable", "_earliest", "_fresh")
 
@@ -156,8 +170,8 @@ def with_failures(src: Sliced, limit: int) -> Sliced:
     not while the user has paused the product.
     """
     resume = F.coalesce(F.col("action") == "resume", F.lit(False))
-    failed = F.when(F.col("action").isNull() & ~SUCCESS, F.lit(1).cast("long"))
-    ends_run = resume | F.coalesce(SUCCESS, F.lit(False))
+    failed = F.when(F.col("action").isNull() & ~success(), F.lit(1).cast("long"))
+    ends_run = resume | F.coalesce(success(), F.lit(False))
     src = running(
         src,
         [

@@ -133,13 +133,20 @@ def byte_tally(requests: DataFrame) -> DataFrame:
 def bytes_label(n: Column) -> Column:
     """Byte count as GB / MB / KB / B text."""
 
-    def scaled(unit: float, places: int, name: str) -> Column:
-        return F.concat(fixed(n.cast("double") / unit, places), F.lit(" " + name))
+    def scaled(unit: int, places: int, name: str) -> Column:
+        # whole units of the last shown digit, halves up
+        step = unit // 10**places
+        shown = F.floor((n + step // 2) / step)
+        text = F.floor(shown / 10**places).cast("string")
+        if places:
+            rest = F.lpad((shown % 10**places).cast("string"), places, "0")
+            text = F.concat(text, F.lit("."), rest)
+        return F.concat(text, F.lit(" " + name))
 
     return (
-        F.when(n >= 1_000_000_000, scaled(1e9, 2, "GB"))
-        .when(n >= 1_000_000, scaled(1e6, 1, "MB"))
-        .when(n >= 1_000, scaled(1e3, 0, "KB"))
+        F.when(n >= 1_000_000_000, scaled(1_000_000_000, 2, "GB"))
+        .when(n >= 1_000_000, scaled(1_000_000, 1, "MB"))
+        .when(n >= 1_000, scaled(1_000, 0, "KB"))
         .otherwise(F.concat(n.cast("string"), F.lit(" B")))
     )
 

@@ -202,7 +202,7 @@ def product_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     ),
 )
 def all_time_low_high(spark: SparkSession, sf_dir: str) -> DataFrame:
-    live = F.when(S.LIVE, F.col("price_paise"))
+    live = F.when(S.live(), F.col("price_paise"))
     return (
         M.checks(spark, sf_dir)
         .groupBy("product_id")
@@ -238,7 +238,7 @@ def last_changed(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = A.annotated(M.check_log(spark, sf_dir), SETTINGS, failures=False, offers=False)
     prev = F.col("prev_price")
     return (
-        log.filter(S.LIVE & (prev.isNull() | (prev != F.col("price_paise"))))
+        log.filter(S.live() & (prev.isNull() | (prev != F.col("price_paise"))))
         .groupBy("product_id")
         .agg(F.max("checked_at").alias("last_changed_at"), F.count("*").alias("changes"))
     )

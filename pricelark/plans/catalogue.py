@@ -23,8 +23,6 @@ from pricelark.plans.registry import (
 from pricelark.sources import tables as M
 
 SETTINGS = Settings()
-NOW = M.as_of()
-EV_NOW = M.as_of(M.EVENTS_AS_OF)
 
 
 def catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -158,7 +156,7 @@ def catalogue_health(spark: SparkSession, sf_dir: str) -> DataFrame:
         "product_id",
         "status",
         "consecutive_failures",
-        *[test.alias(name) for name, test in C.HEALTH.items()],
+        *[F.expr(test).alias(name) for name, test in C.HEALTH.items()],
     )
 
 
@@ -211,7 +209,7 @@ _CHART_SQL = (
     ),
 )
 def chart_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.chart_points(C.chart_rows(M.checks(spark, sf_dir), NOW, 365))
+    return C.chart_points(C.chart_rows(M.checks(spark, sf_dir), M.as_of(), 365))
 
 
 @query(
@@ -219,7 +217,7 @@ def chart_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     sql(_CHART_SQL, "SELECT product_id, checked_at AS t, failure_reason AS reason FROM chart WHERE NOT success"),
 )
 def chart_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.chart_failures(C.chart_rows(M.checks(spark, sf_dir), NOW, 365))
+    return C.chart_failures(C.chart_rows(M.checks(spark, sf_dir), M.as_of(), 365))
 
 
 @query(
@@ -282,7 +280,7 @@ def fleet_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     ),
 )
 def recent_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return D.recent_alerts(M.logged_alerts(spark, sf_dir), EV_NOW)
+    return D.recent_alerts(M.logged_alerts(spark, sf_dir), M.as_of(M.EVENTS_AS_OF))
 
 
 @query(
@@ -295,7 +293,7 @@ def recent_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     ),
 )
 def success_rate_7d(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return D.success_rate(M.checks(spark, sf_dir), NOW)
+    return D.success_rate(M.checks(spark, sf_dir), M.as_of())
 
 
 @query(
@@ -369,7 +367,7 @@ usage AS (
     ),
 )
 def proxy_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = U.usage(M.audit_log(spark, sf_dir), M.products(spark, sf_dir), EV_NOW, None)
+    rows = U.usage(M.audit_log(spark, sf_dir), M.products(spark, sf_dir), M.as_of(M.EVENTS_AS_OF), None)
     return rows.orderBy(F.col("wire_bytes").desc(), F.col("product_id").asc())
 
 
@@ -378,7 +376,7 @@ def proxy_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     sql(_USAGE_SQL, "SELECT * EXCLUDE (is_total), CAST(is_total AS INTEGER) AS is_total FROM usage"),
 )
 def proxy_usage_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return U.usage_rollup(M.audit_log(spark, sf_dir), EV_NOW, 14)
+    return U.usage_rollup(M.audit_log(spark, sf_dir), M.as_of(M.EVENTS_AS_OF), 14)
 
 
 def _pct_sql(part: str, whole: str) -> str:
@@ -397,7 +395,7 @@ def _pct_sql(part: str, whole: str) -> str:
     ),
 )
 def proxy_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = U.ratios(U.usage_rollup(M.audit_log(spark, sf_dir), EV_NOW, 14), 14)
+    rows = U.ratios(U.usage_rollup(M.audit_log(spark, sf_dir), M.as_of(M.EVENTS_AS_OF), 14), 14)
     return rows.select(
         "product_id",
         "bytes_per_day",
@@ -441,8 +439,9 @@ def byte_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "labels",
     """SELECT p_partkey AS product_id,
-      CASE WHEN b >= 1000000000 THEN printf('%.2f GB', b / 1e9) WHEN b >= 1000000 THEN printf('%.1f MB', b / 1e6)
-           WHEN b >= 1000 THEN CAST(CAST(round(b / 1e3) AS BIGINT) AS VARCHAR) || ' KB' ELSE b || ' B' END AS bytes_label,
+      CASE WHEN b >= 1000000000 THEN ((b + 5000000) // 1000000000) || '.' || lpad(CAST(((b + 5000000) // 10000000) % 100 AS VARCHAR), 2, '0') || ' GB'
+           WHEN b >= 1000000 THEN ((b + 50000) // 1000000) || '.' || (((b + 50000) // 100000) % 10) || ' MB'
+           WHEN b >= 1000 THEN ((b + 500) // 1000) || ' KB' ELSE b || ' B' END AS bytes_label,
       CASE WHEN m IS NULL THEN 'default' WHEN m % 60 = 0 THEN (m // 60) || 'h' WHEN m > 60 THEN (m // 60) || 'h ' || (m % 60) || 'm'
            ELSE m || 'm' END AS interval_label
     FROM (SELECT p_partkey, CAST(p_partkey * p_partkey * 321 AS BIGINT) AS b, CASE WHEN p_size % 4 <> 0 THEN p_size * 15 END AS m FROM part)""",
@@ -586,7 +585,7 @@ def daily_ohlc(spark: SparkSession, sf_dir: str) -> DataFrame:
     ),
 )
 def time_weighted_avg(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.time_weighted_average(M.checks(spark, sf_dir), NOW)
+    return P.time_weighted_average(M.checks(spark, sf_dir), M.as_of())
 
 
 @query(

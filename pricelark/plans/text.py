@@ -16,7 +16,6 @@ from pricelark.sources import import_file
 from pricelark.sources import tables as M
 
 SETTINGS = Settings()
-NOW = M.as_of()
 
 _SP = r"[\s\v\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
 
@@ -452,7 +451,7 @@ def import_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     ),
 )
 def import_execute(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = imports.execute(_reviewed(spark, sf_dir), M.products(spark, sf_dir), NOW)
+    rows = imports.execute(_reviewed(spark, sf_dir), M.products(spark, sf_dir), M.as_of())
     return rows.select(
         "row_number", "marketplace", "canonical_url", "display_name", "target_paise", "next_check_at"
     )
