@@ -6,7 +6,7 @@ import importlib
 
 from pricelark.plans.registry import ORACLES, QUERIES
 
-MODULES = ["alerting", "catalogue", "delivery", "text", "extraction"]
+MODULES = ["alerting", "catalogue", "delivery", "text", "extraction", "streams"]
 
 
 def all_queries() -> tuple[dict, dict]:

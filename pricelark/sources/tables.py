@@ -141,8 +141,12 @@ def check_log(spark: SparkSession, sf_dir: str) -> CheckLog:
 
 def logged_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``events`` as an alert log; purchases are system alerts without a product."""
+    return alerts_of(table(spark, sf_dir, "events"))
+
+
+def alerts_of(events: DataFrame) -> DataFrame:
     kind = F.col("event_type")
-    return table(spark, sf_dir, "events").select(
+    return events.select(
         F.col("event_id").alias("alert_id"),
         F.when(kind != "purchase", F.col("user_id")).alias("product_id"),
         F.when(kind == "click", "price_change")
