@@ -61,11 +61,13 @@ def failure_from_status(status: Column, timed_out: Column) -> Column:
     )
 
 
-@F.pandas_udf(_FACTS)
-def _facts(text: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([response_facts(t) for t in text], columns=[
-        "parsed", "pincode", "city", "error_code", "sold_out", "seller_id", "seller_name"
-    ])
+def _facts(text: Column) -> Column:
+    @F.pandas_udf(_FACTS)
+    def facts(texts: pd.Series) -> pd.DataFrame:
+        names = [f.split()[0] for f in _FACTS.split(",")]
+        return pd.DataFrame([response_facts(t) for t in texts], columns=names)
+
+    return facts(text)
 
 
 def _number(path: str) -> Column:

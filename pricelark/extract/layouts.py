@@ -174,9 +174,12 @@ def picker(wants: list[Want]) -> Callable[[Column], Column]:
     return hits
 
 
-@F.pandas_udf(STATE_OFFERS)
-def _state_offers(html: pd.Series) -> pd.Series:
-    return html.map(lambda text: state_offers(text or ""))
+def _state_offers(html: Column) -> Column:
+    @F.pandas_udf(STATE_OFFERS)
+    def found(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda text: state_offers(text or ""))
+
+    return found(html)
 
 
 def _all(key: str) -> Column:
