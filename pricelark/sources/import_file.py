@@ -52,7 +52,8 @@ def number_cell(text: Column) -> Column:
 
 def tag_cell(text: Column) -> Column:
     """Comma- or semicolon-separated tags, trimmed, blanks dropped."""
-    parts = F.transform(F.split(text, "[,;]"), F.trim)
+    edges = f"^{SPACE}+|{SPACE}+$"
+    parts = F.transform(F.split(text, "[,;]"), lambda t: F.regexp_replace(t, edges, ""))
     return F.filter(parts, lambda t: t != "")
 
 
