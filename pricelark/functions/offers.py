@@ -29,7 +29,7 @@ KEYWORDS = [
     ("bank_offer", r"\b(bank|credit card|debit card|emi|instant discount|upi)\b"),
 ]
 # Fixed value: decorative characters that never distinguish two offers.
-DECORATION = r"[|•·*_]+"
+DECORATION = "|•·*_"
 
 # whitespace as the web defines it; the regex engine's own \\s is ASCII only
 SPACE = r"[\s\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF]"
@@ -51,8 +51,9 @@ def squash(text: Column) -> Column:
 
 def comparison_form(text: Column) -> Column:
     """Lower-case text without decoration, extra spaces or trailing dots."""
-    plain = F.regexp_replace(F.lower(text), DECORATION, " ")
-    return F.trim(F.regexp_replace(F.regexp_replace(plain, SPACE + "+", " "), r"[ .]+$", ""))
+    blank = "[" + DECORATION + SPACE[1:] + "+"
+    plain = F.regexp_replace(F.lower(text), blank, " ")
+    return F.ltrim(F.rtrim(plain, F.lit(" .")))
 
 
 def classify(text: Column) -> Column:

@@ -12,6 +12,7 @@ from pricelark.operators.sequence import (
     CheckLog,
     as_log,
     eligible,
+    failure_specs,
     live,
     low_high_specs,
     only_checks,
@@ -42,7 +43,9 @@ def annotated(
     src = sliced_log(log, controls, limit)
     if controls is not None:
         src = with_target(src)
-    specs = past_specs() + low_high_specs() + (offer_specs() if offers else [])
+    specs = past_specs() + low_high_specs()
+    specs += offer_specs() if offers else []
+    specs += failure_specs() if failures else []
     src = running(src, specs)
     if failures:
         src = with_failures(src, settings.failure_limit)

@@ -163,23 +163,36 @@ def with_offers(src: Sliced) -> DataFrame:
     ).drop("_usable", "_earliest", "_fresh")
 
 
+def _resumes() -> Column:
+    return F.coalesce(F.col("action") == "resume", F.lit(False))
+
+
+def _failed() -> Column:
+    return F.when(F.col("action").isNull() & ~success(), F.lit(1).cast("long"))
+
+
+def failure_specs() -> list[Running]:
+    """Failures so far, resumes so far, and the last pause or resume; markers included."""
+    return [
+        Running("_fails", _failed(), "sum", True),
+        Running("_epoch", F.when(_resumes(), F.lit(1).cast("long")), "sum", True),
+        Running(
+            "_held_by",
+            F.when(F.col("action").isin("pause", "resume"), F.col("action")),
+            "last",
+            True,
+        ),
+    ]
+
+
 def with_failures(src: Sliced, limit: int) -> Sliced:
     """Length of the failure run at each row, and the row where monitoring pauses itself.
 
-    A success or a resume ends the run. The pause fires once per resume epoch, and
-    not while the user has paused the product.
+    Needs the columns of ``failure_specs``. A success or a resume ends the run. The
+    pause fires once per resume epoch, and not while the user has paused the product.
     """
-    resume = F.coalesce(F.col("action") == "resume", F.lit(False))
-    failed = F.when(F.col("action").isNull() & ~success(), F.lit(1).cast("long"))
-    ends_run = resume | F.coalesce(success(), F.lit(False))
-    src = running(
-        src,
-        [
-            Running("_fails", failed, "sum", True),
-            Running("_epoch", F.when(resume, F.lit(1).cast("long")), "sum", True),
-            Running("_held_by", F.when(F.col("action").isin("pause", "resume"), F.col("action")), "last", True),
-        ],
-    )
+    failed = _failed()
+    ends_run = _resumes() | F.coalesce(success(), F.lit(False))
     df = src.df.withColumns(
         {
             "_fails": F.coalesce(F.col("_fails"), F.lit(0).cast("long")),

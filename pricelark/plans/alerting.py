@@ -271,7 +271,8 @@ def effective_offers(spark: SparkSession, sf_dir: str) -> DataFrame:
     ),
 )
 def failure_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    src = S.with_failures(S.sliced_log(M.check_log(spark, sf_dir)), SETTINGS.failure_limit)
+    src = running(S.sliced_log(M.check_log(spark, sf_dir)), S.failure_specs())
+    src = S.with_failures(src, SETTINGS.failure_limit)
     return src.df.filter(~F.col("success")).select(
         "product_id", "check_id", "checked_at", "failure_reason", "run_len"
     )
