@@ -9,6 +9,8 @@ from pricelark.functions.money import change_pct
 from pricelark.functions.offers import offers_hash
 from pricelark.model import OFFERS, Settings
 from pricelark.operators.sequence import (
+    KEY,
+    ORDER,
     CheckLog,
     as_log,
     eligible,
@@ -18,6 +20,8 @@ from pricelark.operators.sequence import (
     only_checks,
     offer_specs,
     past_specs,
+    pause_specs,
+    run_specs,
     seen_offers,
     sliced_log,
     success,
@@ -25,7 +29,7 @@ from pricelark.operators.sequence import (
     with_offers,
     with_target,
 )
-from pricelark.operators.slices import running
+from pricelark.operators.slices import Running, Sliced, closing, running
 
 
 def annotated(
@@ -49,6 +53,10 @@ def annotated(
     src = running(src, specs)
     if failures:
         src = with_failures(src, settings.failure_limit)
+    return _facts(src, offers)
+
+
+def _facts(src: Sliced, offers: bool) -> DataFrame:
     df = with_offers(src) if offers else src.df
     return only_checks(df).withColumns(
         {
@@ -58,6 +66,27 @@ def annotated(
     )
 
 
+def scan_specs() -> list[Running]:
+    return past_specs() + low_high_specs() + offer_specs() + failure_specs()
+
+
+def continue_log(
+    checks: DataFrame, settings: Settings, state: DataFrame | None, limit: int | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """The next part of a log, after ``state``: (annotated rows, new state).
+
+    The state is one row per product with the running values so far; the rows must
+    come after the ones already in it. A hot product is sliced as in a whole log.
+    """
+    first = sliced_log(seen_offers(checks), None, limit)
+    scanned = running(first, scan_specs(), state)
+    done = with_failures(scanned, settings.failure_limit, state)
+    marks = [Running("last_seen", F.struct("checked_at", "check_id"), "max")]
+    totals = closing(first.df, KEY, ORDER, scan_specs() + marks, state)
+    later = closing(done.df, KEY, ORDER, run_specs() + pause_specs(), state)
+    return _facts(done, True), totals.join(later, KEY, "full")
+
+
 def price() -> Column:
     return F.col("price_paise")
 

@@ -48,34 +48,60 @@ def delivery_plan(
     earlier alert of its key counts as delivered within the window before it. A held
     alert counts as delivered when its quiet window ends.
     """
+    return continue_delivery(alerts, settings, None, session_limit, slice_limit)[0]
+
+
+def continue_delivery(
+    alerts: DataFrame,
+    settings: Settings,
+    state: DataFrame | None,
+    session_limit: int | None = None,
+    slice_limit: int | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """The same for the next part of an alert log: (plan, new state).
+
+    The state is the last alert of each key that started a cooldown, and when it counts
+    as delivered; it takes part as an alert before the new ones.
+    """
     judged = _judged(alerts, settings)
     subject = F.col("product_id").isNotNull() & ~F.col("type").isin(COOLDOWN_EXEMPT)
     if settings.cooldown_minutes <= 0:
-        return _outcome(judged.withColumn("_suppressed", F.lit(False)), settings)
+        subject = F.lit(False)
     free = judged.filter(~subject).withColumn("_suppressed", F.lit(False))
     bound = judged.filter(subject)
 
-    chain = _delivered_chain(bound, settings.cooldown_minutes, session_limit, slice_limit)
-    marked = (
-        bound.select(*KEY, "fired_at", "alert_id", *[c for c in bound.columns if c not in (*KEY, "fired_at", "alert_id")])
-        .withColumn("_kind", F.lit(1))
-        .unionByName(chain.withColumn("_kind", F.lit(0)), allowMissingColumns=True)
+    times = bound.select(*KEY, "fired_at", "_eff").distinct()
+    if state is not None:
+        times = times.unionByName(state.select(*KEY, "fired_at", "_eff")).distinct()
+    chain = _delivered_chain(times, settings.cooldown_minutes, session_limit, slice_limit)
+    marked = bound.withColumn("_kind", F.lit(1)).unionByName(
+        chain.withColumn("_kind", F.lit(0)), allowMissingColumns=True
     )
+    if state is not None:  # the alert already decided comes before new ones of its time
+        known = state.select(*KEY, "fired_at").withColumns(
+            {"_kind": F.lit(1), "alert_id": F.lit(None).cast("long")}
+        )
+        marked = marked.unionByName(known, allowMissingColumns=True)
     # the newest chain row at or before each alert decides it
     src = slice_hot_keys(marked, KEY, ["fired_at", "_kind", "alert_id"], slice_limit)
+    is_alert = F.col("_kind") == 1
+    started = F.struct("fired_at", F.col("_eff").alias("eff"))
     src = running(
         src,
         [
-            Running("_chain", F.when(F.col("_kind") == 0, F.struct("fired_at", F.col("_eff").alias("eff"))), "last", False),
-            Running("_first", F.when(F.col("_kind") == 1, F.struct("fired_at", "alert_id")), "max", False),
+            Running("_chain", F.when(~is_alert, started), "last", False),
+            Running("_first", F.when(is_alert, F.struct("fired_at", "alert_id")), "max", False),
         ],
     )
     pending = F.col("_chain.eff") > F.col("fired_at")
     starts = (F.col("_chain.fired_at") == F.col("fired_at")) & (
         F.col("_first").isNull() | (F.col("_first.fired_at") < F.col("fired_at"))
     )
-    decided = src.df.filter(F.col("_kind") == 1).withColumn("_suppressed", ~(pending | starts))
-    return _outcome(decided.select(*free.columns).unionByName(free), settings)
+    new = src.df.filter(is_alert & F.col("alert_id").isNotNull())
+    decided = new.withColumn("_suppressed", ~(pending | starts))
+    plan = _outcome(decided.select(*free.columns).unionByName(free), settings)
+    newest = F.max(F.struct("fired_at", "_eff"))
+    return plan, chain.groupBy(*KEY).agg(newest.alias("m")).select(*KEY, "m.*")
 
 
 def _outcome(df: DataFrame, settings: Settings) -> DataFrame:
@@ -92,7 +118,7 @@ def _outcome(df: DataFrame, settings: Settings) -> DataFrame:
 
 
 def _delivered_chain(
-    bound: DataFrame, minutes: int, session_limit: int | None, slice_limit: int | None
+    times: DataFrame, minutes: int, session_limit: int | None, slice_limit: int | None
 ) -> DataFrame:
     """The alerts that start a cooldown: (product_id, type, fired_at, _eff).
 
@@ -101,7 +127,6 @@ def _delivered_chain(
     """
     limit = SESSION_LIMIT if session_limit is None else session_limit
     width = F.make_dt_interval(mins=F.lit(minutes))
-    times = bound.select(*KEY, "fired_at", "_eff").distinct()
     src = slice_hot_keys(times, KEY, ["fired_at"], slice_limit)
     src = running(src, [Running("_before", F.col("_eff"), "max", False)])
     opens = F.col("_before").isNull() | (F.col("fired_at") > F.col("_before") + width)

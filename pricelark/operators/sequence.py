@@ -185,46 +185,45 @@ def failure_specs() -> list[Running]:
     ]
 
 
-def with_failures(src: Sliced, limit: int) -> Sliced:
+def run_specs() -> list[Running]:
+    """Over ``failure_specs``: the failure counter at the last row that ended a run."""
+    ends_run = _resumes() | F.coalesce(success(), F.lit(False))
+    # the counter never falls, so a maximum finds the last one
+    return [Running("_base", F.when(ends_run, F.col("_fails")), "max", True)]
+
+
+def pause_specs() -> list[Running]:
+    """The resume epoch of the last automatic pause."""
+    return [Running("_paused_epoch", F.when(F.col("_hit"), F.col("_epoch")), "max", False)]
+
+
+def with_failures(src: Sliced, limit: int, initial: DataFrame | None = None) -> Sliced:
     """Length of the failure run at each row, and the row where monitoring pauses itself.
 
     Needs the columns of ``failure_specs``. A success or a resume ends the run. The
     pause fires once per resume epoch, and not while the user has paused the product.
     """
-    failed = _failed()
-    ends_run = _resumes() | F.coalesce(success(), F.lit(False))
+    zero = F.lit(0).cast("long")
     df = src.df.withColumns(
-        {
-            "_fails": F.coalesce(F.col("_fails"), F.lit(0).cast("long")),
-            "_epoch": F.coalesce(F.col("_epoch"), F.lit(0).cast("long")),
-        }
-    )
-    # the counter at the last row that ended a run; it never falls, so a maximum finds it
-    src = running(
-        _cut(src, df),
-        [Running("_base", F.when(ends_run, F.col("_fails")), "max", True)],
+        {"_fails": F.coalesce("_fails", zero), "_epoch": F.coalesce("_epoch", zero)}
     )
-    run_len = F.col("_fails") - F.coalesce(F.col("_base"), F.lit(0))
+    src = running(_cut(src, df), run_specs(), initial)
+    run_len = F.col("_fails") - F.coalesce(F.col("_base"), zero)
     hit = (
-        failed.isNotNull()
+        _failed().isNotNull()
         & (run_len == limit)
         & (F.coalesce(F.col("_held_by"), F.lit("resume")) == "resume")
     )
     df = src.df.withColumns({"run_len": run_len, "_hit": hit})
-    src = running(
-        _cut(src, df),
-        [Running("_paused_epoch", F.when(F.col("_hit"), F.col("_epoch")), "max", False)],
-    )
+    src = running(_cut(src, df), pause_specs(), initial)
     fires = F.col("_hit") & (F.coalesce(F.col("_paused_epoch"), F.lit(-1)) < F.col("_epoch"))
-    out = src.df.withColumn("auto_paused", fires).drop(
-        "_fails", "_base", "_held_by", "_hit", "_paused_epoch"
-    )
-    return Sliced(out.withColumnRenamed("_epoch", "resume_epoch"), src.keys, src.order, src.hot)
+    return Sliced(src.df.withColumn("auto_paused", fires), src.keys, src.order, src.hot)
 
 
 def only_checks(df: DataFrame) -> DataFrame:
     """Drop marker rows and helper columns."""
-    return df.filter(F.col("ord") == 1).drop("ord", "action", "new_target", SLICE, HOT)
+    helpers = ["_fails", "_epoch", "_held_by", "_base", "_hit", "_paused_epoch"]
+    return df.filter(F.col("ord") == 1).drop("ord", "action", "new_target", SLICE, HOT, *helpers)
 
 
 def spans(src: Sliced, flag: Column, at: str) -> DataFrame:

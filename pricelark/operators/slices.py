@@ -106,58 +106,82 @@ def _agg(kind: str, value: Column) -> Column:
     }[kind]()
 
 
-def running(src: Sliced, specs: Sequence[Running]) -> Sliced:
-    """Add one column per spec, exact across slices."""
+def _whole(s: Running, order: Sequence[str]) -> Column:
+    """The value over all rows of a group, as a plain aggregate."""
+    if s.kind not in ("first", "last"):
+        return _agg(s.kind, s.expr).alias(s.name)
+    at = F.struct(*[F.col(c) for c in order], s.expr.alias("_v"))
+    pick = F.max if s.kind == "last" else F.min
+    return pick(F.when(s.expr.isNotNull(), at))["_v"].alias(s.name)
+
+
+def _joined(kind: str, later: Column, earlier: Column) -> Column:
+    """The value over earlier rows followed by later rows."""
+    if kind == "last":
+        return F.coalesce(later, earlier)
+    if kind == "first":
+        return F.coalesce(earlier, later)
+    if kind == "min":
+        return F.least(later, earlier)
+    if kind == "max":
+        return F.greatest(later, earlier)
+    return F.when(
+        later.isNotNull() | earlier.isNotNull(),
+        F.coalesce(later, F.lit(0)) + F.coalesce(earlier, F.lit(0)),
+    )
+
+
+def _after(
+    df: DataFrame, before: DataFrame, on: Sequence[str], specs: Sequence[Running], how: str = "left"
+) -> DataFrame:
+    """Join values of earlier rows under the same names and combine them into ``df``'s."""
+    names = {s.name for s in specs}
+    earlier = before.select(*on, *[F.col(s.name).alias("_e_" + s.name) for s in specs])
+    return df.join(earlier, list(on), how).select(
+        *[c for c in df.columns if c not in names],
+        *[_joined(s.kind, F.col(s.name), F.col("_e_" + s.name)).alias(s.name) for s in specs],
+    )
+
+
+def running(src: Sliced, specs: Sequence[Running], initial: DataFrame | None = None) -> Sliced:
+    """Add one column per spec, exact across slices.
+
+    ``initial`` holds the values over rows before this frame, one row per key, with a
+    column per spec; see ``closing``.
+    """
     upto = {
         True: src.window.rowsBetween(Window.unboundedPreceding, 0),
         False: src.window.rowsBetween(Window.unboundedPreceding, -1),
     }
-    local = src.df.select(
+    out = src.df.select(
         "*",
         *[_agg(s.kind, s.expr).over(upto[s.inclusive]).alias(s.name) for s in specs],
     )
-    if not src.hot:
-        return Sliced(local, src.keys, src.order, False)
-
-    def whole(s: Running) -> Column:
-        if s.kind not in ("first", "last"):
-            return _agg(s.kind, s.expr).alias(s.name)
-        at = F.struct(*[F.col(c) for c in src.order], s.expr.alias("_v"))
-        pick = F.max if s.kind == "last" else F.min
-        return pick(F.when(s.expr.isNotNull(), at))["_v"].alias(s.name)
-
-    per_slice = src.df.filter(F.col(HOT)).groupBy(*src.keys, SLICE).agg(*[whole(s) for s in specs])
-    before = (
-        Window.partitionBy(*src.keys).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
-    )
-    carry = per_slice.select(
-        *src.keys,
-        SLICE,
-        *[_agg(s.kind, F.col(s.name)).over(before).alias("_c_" + s.name) for s in specs],
-    )
+    if src.hot:
+        hot = src.df.filter(F.col(HOT))
+        per_slice = hot.groupBy(*src.keys, SLICE).agg(*[_whole(s, src.order) for s in specs])
+        before = (
+            Window.partitionBy(*src.keys).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
+        )
+        carry = per_slice.select(
+            *src.keys, SLICE, *[_agg(s.kind, F.col(s.name)).over(before).alias(s.name) for s in specs]
+        )
+        out = _after(out, carry, [*src.keys, SLICE], specs)
+    if initial is not None:
+        out = _after(out, initial, src.keys, specs)
+    return Sliced(out, src.keys, src.order, src.hot)
 
-    def combined(s: Running) -> Column:
-        here, there = F.col(s.name), F.col("_c_" + s.name)
-        if s.kind == "last":
-            out = F.coalesce(here, there)
-        elif s.kind == "first":
-            out = F.coalesce(there, here)
-        elif s.kind == "min":
-            out = F.least(here, there)
-        elif s.kind == "max":
-            out = F.greatest(here, there)
-        else:
-            out = F.when(
-                here.isNotNull() | there.isNotNull(),
-                F.coalesce(here, F.lit(0)) + F.coalesce(there, F.lit(0)),
-            )
-        return out.alias(s.name)
-
-    added = {s.name for s in specs}
-    out = local.join(carry, [*src.keys, SLICE], "left").select(
-        *[c for c in local.columns if c not in added], *[combined(s) for s in specs]
-    )
-    return Sliced(out, src.keys, src.order, True)
+
+def closing(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    specs: Sequence[Running],
+    initial: DataFrame | None = None,
+) -> DataFrame:
+    """Values over all rows so far, one row per key: the ``initial`` of the next frame."""
+    totals = df.groupBy(*keys).agg(*[_whole(s, order) for s in specs])
+    return totals if initial is None else _after(totals, initial, keys, specs, "full")
 
 
 def row_numbers(src: Sliced, name: str = "rn") -> Sliced:

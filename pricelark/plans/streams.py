@@ -11,7 +11,6 @@ from pricelark.model import Settings
 from pricelark.plans.delivery import SETTINGS as HYGIENE
 from pricelark.plans.delivery import _plan_sql
 from pricelark.plans.registry import EVENT_ALERTS_SQL, query, sql
-from pricelark.session import ensure_checkpoint_dir
 from pricelark.sources import tables as M
 from pricelark.streaming import monitor as S
 
@@ -34,6 +33,11 @@ def _as_checks(events: DataFrame) -> DataFrame:
            ELSE 'in_stock' END AS stock_status""",
         """CASE WHEN event_type NOT IN ('error', 'signup') THEN
            CAST(floor(value * 100) AS BIGINT) + 1 END AS price_paise""",
+        "CAST(NULL AS BIGINT) AS mrp_paise",
+        "CAST(array() AS ARRAY<STRUCT<type: STRING, description: STRING>>) AS offers",
+        "'http' AS tier",
+        "CASE WHEN event_type = 'error' THEN 'other' END AS failure_reason",
+        "0 AS duration_ms",
         "CAST(2000 AS BIGINT) AS target_paise",
         "CAST(CASE WHEN user_id % 3 = 0 THEN 1000 END AS BIGINT) AS threshold_bp",
     )
@@ -69,12 +73,12 @@ r AS (SELECT *, f - coalesce(max(CASE WHEN success THEN f END) OVER (PARTITION B
     ),
 )
 def stream_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = S.stream_alerts(_as_checks(_event_stream(spark, sf_dir)), SETTINGS)
-    return S.run_to_table(found).drop("consecutive_failures")
-
-
-def _as_alerts(events: DataFrame) -> DataFrame:
-    return M.alerts_of(events)
+    folder = S.new_folder(spark, "alerts")
+    checks = _as_checks(_event_stream(spark, sf_dir))
+    S.run_stateful(checks, S.alert_step(SETTINGS), folder).awaitTermination()
+    return S.table_of(spark, folder).select(
+        "product_id", "check_id", "fired_at", "type", "old_paise", "new_paise", "change_pct"
+    )
 
 
 @query(
@@ -82,8 +86,10 @@ def _as_alerts(events: DataFrame) -> DataFrame:
     sql(_plan_sql(True), "SELECT alert_id, status, release_at FROM plan"),
 )
 def stream_cooldown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = S.stream_cooldown(_as_alerts(_event_stream(spark, sf_dir)), HYGIENE)
-    return S.run_to_table(found)
+    folder = S.new_folder(spark, "cooldown")
+    alerts = M.alerts_of(_event_stream(spark, sf_dir))
+    S.run_stateful(alerts, S.cooldown_step(HYGIENE), folder).awaitTermination()
+    return S.table_of(spark, folder).select("alert_id", "status", "release_at")
 
 
 _COUNTS_SQL = sql(
@@ -101,10 +107,10 @@ def counts_24h(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("stream_counts_24h", _COUNTS_SQL)
 def stream_counts_24h(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same counts kept by a stream as a change feed; the newest version of each key."""
-    folder = f"{ensure_checkpoint_dir(spark)}/feed-{S.uuid.uuid4().hex}"
-    counts = S.rolling_counts(_as_alerts(_event_stream(spark, sf_dir)))
-    S.run_changes(counts, ["until", "type"], folder).awaitTermination()
-    return S.current(spark.read.parquet(f"{folder}/changes"), ["until", "type"])
+    folder = S.new_folder(spark, "feed")
+    counts = S.rolling_counts(M.alerts_of(_event_stream(spark, sf_dir)))
+    S.run_changes(counts, folder).awaitTermination()
+    return S.current(spark, folder, ["until", "type"])
 
 
 @query(
@@ -116,4 +122,4 @@ def stream_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = _as_checks(_event_stream(spark, sf_dir))
     twice = events.withColumn("_copy", F.explode(F.array(F.lit(1), F.lit(2))))
     once = S.deduplicated(twice, ["check_id"], "checked_at", "40 days")
-    return S.run_to_table(once.select("check_id", "product_id"))
+    return S.run_to_table(once.select("check_id", "product_id"), S.new_folder(spark, "dedupe"))

@@ -1,165 +1,115 @@
 """Structured Streaming twins of the batch jobs: alerts, cooldown, counts, dedupe.
 
-State is one small row per key. Inside a micro-batch the rows of a key are folded in
-(time, id) order; a row older than the newest one already folded is late and is passed
-on as such, never folded.
+Each micro-batch goes through the same sliced scans as a whole log, started from the
+running values kept in a state table, so a hot product is split inside a micro-batch
+too. Outputs and state are written under the batch's id: a batch that runs again after
+a failure replaces what it wrote, and reads the state of the batch before it.
 """
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
-from datetime import timedelta
+from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StreamingQuery
 
-from pricelark.functions.clock import quiet_release
-from pricelark.model import COOLDOWN_EXEMPT, HEALTH_ALERTS, Settings
+from pricelark.model import Settings
+from pricelark.operators.alerts import continue_log, evaluate
+from pricelark.operators.hygiene import continue_delivery
 from pricelark.session import ensure_checkpoint_dir
 
-ALERT_SCHEMA = (
-    "product_id long, check_id long, fired_at timestamp, type string, old_paise long,"
-    "new_paise long, change_pct double, consecutive_failures int"
-)
-STATE_SCHEMA = (
-    "price long, stock string, latched boolean, succeeded boolean, failures int,"
-    "paused boolean, last_us long, last_id long"
-)
-
-
-def read_stream(spark: SparkSession, folder: str, name: str, schema: T.StructType) -> DataFrame:
-    """A table's files as a stream."""
-    return spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder)
-
-
-def _change(old: int, new: int) -> float:
-    return 0.0 if old <= 0 else ((new - old) / old * 10000.0 + 0.5) // 1 / 100.0
-
-
-def alert_fold(settings: Settings) -> Callable:
-    """The per-product fold: previous state and a check to alerts and the next state."""
-    limit_bp, fail_limit = settings.threshold_bp, settings.failure_limit
-
-    def step(state: list, row: tuple) -> list[tuple]:
-        price, stock, latched, succeeded, failures, paused = state
-        ok, now_stock, now, target, own_bp = row
-        if not ok:
-            failures += 1
-            fires = failures >= fail_limit and not paused
-            state[4], state[5] = failures, paused or fires
-            return [("auto_paused", None, None, None, failures)] if fires else []
-        out = []
-        prev = price if succeeded else None
-        move = _change(prev, now) if prev is not None and now is not None else None
-        specific = False
-        if now is not None and target is not None and now_stock != "out_of_stock":
-            if now <= target and not latched and settings.alert_target_price:
-                out.append(("target_price", prev, now, move, None))
-                specific = True
-            latched = now <= target
-        if target is None:
-            latched = False
-        if now is not None and prev is not None:
-            bp = limit_bp if own_bp is None else own_bp
-            if settings.alert_threshold_drop and bp > 0 and (prev - now) * 10000 >= bp * prev:
-                out.append(("threshold_drop", prev, now, move, None))
-                specific = True
-            if settings.alert_any_change and now != prev and not specific:
-                out.append(("price_change", prev, now, move, None))
-        back = succeeded and stock == "out_of_stock" and now_stock == "in_stock"
-        if back and settings.alert_back_in_stock:
-            out.append(("back_in_stock", None, now, None, None))
-        live = now is not None and now > 0 and now_stock != "out_of_stock"
-        state[:] = [now if live else price, now_stock, latched, True, 0, paused]
-        return out
-
-    def fold(
-        key: tuple, batches: Iterator[pd.DataFrame], state: GroupState
-    ) -> Iterator[pd.DataFrame]:
-        *held, last_us, last_id = state.get if state.exists else (
-            None, None, False, False, 0, False, -(2**62), -1
-        )
-        rows = pd.concat(list(batches)).sort_values(["checked_at", "check_id"])
-        out = []
-        for r in rows.itertuples(index=False):
-            at = int(r.checked_at.value // 1000)
-            if (at, r.check_id) <= (last_us, last_id):
-                out.append((key[0], r.check_id, r.checked_at, "late", None, None, None, None))
-                continue
-            last_us, last_id = at, int(r.check_id)
-            whole = lambda v: None if pd.isna(v) else int(v)
-            check = (
-                bool(r.success), r.stock_status, whole(r.price_paise),
-                whole(r.target_paise), whole(r.threshold_bp),
-            )
-            for kind, old, new, pct, fails in step(held, check):
-                out.append((key[0], r.check_id, r.checked_at, kind, old, new, pct, fails))
-        state.update((*held, last_us, last_id))
-        cols = ["product_id", "check_id", "fired_at", "type", "old_paise", "new_paise", "change_pct", "consecutive_failures"]
-        frame = pd.DataFrame(out, columns=cols)
-        whole_cols = {"old_paise": "Int64", "new_paise": "Int64", "consecutive_failures": "Int32"}
-        yield frame.astype(whole_cols).astype({"change_pct": "float64"})
-
-    return fold
-
-
-def stream_alerts(checks: DataFrame, settings: Settings) -> DataFrame:
-    """Price, stock and auto-pause alerts of a stream of checks; late rows get type 'late'."""
-    return checks.groupBy("product_id").applyInPandasWithState(
-        alert_fold(settings), ALERT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout
-    )
+Step = Callable[[DataFrame, DataFrame | None], tuple[DataFrame, DataFrame]]
 
 
-def cooldown_fold(settings: Settings) -> Callable:
-    """Cooldown and quiet-hours hold of one (product, type): the state is the delivery time."""
-    width = timedelta(minutes=settings.cooldown_minutes) // timedelta(microseconds=1)
-
-    def fold(
-        key: tuple, batches: Iterator[pd.DataFrame], state: GroupState
-    ) -> Iterator[pd.DataFrame]:
-        counted = state.get[0] if state.exists else None
-        exempt = key[0] is None or pd.isna(key[0]) or key[1] in COOLDOWN_EXEMPT or width <= 0
-        rows = pd.concat(list(batches)).sort_values(["fired_at", "alert_id"])
-        out = []
-        for r in rows.itertuples(index=False):
-            at = int(r.fired_at.value // 1000)
-            release = None if pd.isna(r.release_at) else r.release_at
-            eff = at if release is None else int(release.value // 1000)
-            stop = not exempt and counted is not None and counted <= at <= counted + width
-            if stop:
-                out.append((r.alert_id, "suppressed", None))
-                continue
-            if counted is None or counted <= at:
-                counted = eff
-            out.append((r.alert_id, "delivered" if release is None else "held_quiet_hours", release))
-        if counted is not None:
-            state.update((counted,))
-        frame = pd.DataFrame(out, columns=["alert_id", "status", "release_at"])
-        yield frame.astype({"release_at": "datetime64[us]"})
-
-    return fold
-
-
-def stream_cooldown(alerts: DataFrame, settings: Settings) -> DataFrame:
-    """Delivery status of a stream of alerts."""
-    holdable = F.lit(True) if settings.hold_health else ~F.col("type").isin(HEALTH_ALERTS)
-    release = quiet_release(
-        F.col("fired_at"), settings.quiet_start, settings.quiet_end, settings.timezone
-    )
-    judged = alerts.withColumn("release_at", F.when(holdable, release))
-    return judged.groupBy("product_id", "type").applyInPandasWithState(
-        cooldown_fold(settings),
-        "alert_id long, status string, release_at timestamp",
-        "counted long",
-        "append",
-        GroupStateTimeout.NoTimeout,
+def read_stream(
+    spark: SparkSession, folder: str, name: str, schema: T.StructType, max_bytes: str | None = None
+) -> DataFrame:
+    """A table's files as a stream; ``max_bytes`` bounds a micro-batch."""
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", name)
+    if max_bytes:
+        reader = reader.option("maxBytesPerTrigger", max_bytes)
+    return reader.parquet(folder)
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A fresh folder beside the checkpoints, which every executor can reach."""
+    return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def run_stateful(stream: DataFrame, step: Step, folder: str) -> StreamingQuery:
+    """Run ``step(batch, state) -> (output, new state)`` over everything available."""
+
+    def process(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        state = spark.read.parquet(f"{folder}/state/{batch_id - 1}") if batch_id else None
+        batch = batch.persist()
+        try:
+            output, new_state = step(batch, state)
+            output.write.mode("overwrite").parquet(f"{folder}/table/batch_id={batch_id}")
+            new_state.write.mode("overwrite").parquet(f"{folder}/state/{batch_id}")
+        finally:
+            batch.unpersist()
+
+    return (
+        stream.writeStream.foreachBatch(process)
+        .option("checkpointLocation", f"{folder}/checkpoint")
+        .trigger(availableNow=True)
+        .start()
     )
 
 
+def table_of(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.parquet(f"{folder}/table").drop("batch_id")
+
+
+def _is_late(at: Column, last: Column) -> Column:
+    return F.coalesce(at <= last, F.lit(False))
+
+
+def alert_step(settings: Settings, limit: int | None = None) -> Step:
+    """Alerts of a micro-batch of checks.
+
+    A check not after the newest one already folded is late: it is passed on with the
+    type 'late' and never folded.
+    """
+
+    def step(batch: DataFrame, state: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+        late = batch.filter(F.lit(False))
+        if state is not None:
+            seen = batch.join(state.select("product_id", "last_seen"), "product_id", "left")
+            is_late = _is_late(F.struct("checked_at", "check_id"), F.col("last_seen"))
+            late = seen.filter(is_late).select(*batch.columns)
+            batch = seen.filter(~is_late).select(*batch.columns)
+        rows, new_state = continue_log(batch, settings, state, limit)
+        found = evaluate(rows, settings)
+        passed = late.select(
+            "product_id", "check_id", F.col("checked_at").alias("fired_at"), F.lit("late").alias("type")
+        )
+        return found.unionByName(passed, allowMissingColumns=True), new_state
+
+    return step
+
+
+def cooldown_step(
+    settings: Settings, session_limit: int | None = None, slice_limit: int | None = None
+) -> Step:
+    """Delivery status of a micro-batch of alerts."""
+
+    def step(batch: DataFrame, state: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+        plan, chain = continue_delivery(batch, settings, state, session_limit, slice_limit)
+        if state is None:
+            return plan, chain
+        newest = F.max(F.struct("fired_at", "_eff"))
+        both = chain.unionByName(state.select(*chain.columns))
+        merged = both.groupBy("product_id", "type").agg(newest.alias("m"))
+        return plan, merged.select("product_id", "type", "m.*")
+
+    return step
+
+
 def rolling_counts(alerts: DataFrame) -> DataFrame:
     """Alerts per type in the 24 hours before every full hour; batch or stream."""
     return (
@@ -174,50 +124,42 @@ def deduplicated(checks: DataFrame, keys: list[str], at: str, delay: str = "1 ho
     return checks.withWatermark(at, delay).dropDuplicatesWithinWatermark(keys)
 
 
-def run_to_table(stream: DataFrame, mode: str = "append", folder: str | None = None) -> DataFrame:
-    """Run a stream over everything available into a table and return the table.
-
-    Table and checkpoint live in the shared checkpoint folder; calling again with the
-    same folder goes on where the last run stopped.
-    """
-    spark = stream.sparkSession
-    base = folder or f"{ensure_checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
+def run_to_table(stream: DataFrame, folder: str) -> DataFrame:
+    """Run an append stream over everything available into a table; later runs go on."""
     query = (
-        stream.writeStream.outputMode(mode)
+        stream.writeStream.outputMode("append")
         .format("parquet")
-        .option("path", f"{base}/table")
-        .option("checkpointLocation", f"{base}/state")
+        .option("path", f"{folder}/table")
+        .option("checkpointLocation", f"{folder}/checkpoint")
         .trigger(availableNow=True)
         .start()
     )
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{base}/table")
-
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/table")
 
-def run_changes(stream: DataFrame, keys: list[str], folder: str, publish: Callable | None = None):
-    """Change feed: each micro-batch's updated rows replace their keys' version in a table.
 
-    A batch is written under its own id, so a batch that runs again after a failure
-    overwrites itself instead of adding rows twice.
-    """
+def run_changes(
+    stream: DataFrame, folder: str, publish: Callable[[DataFrame, int], None] | None = None
+) -> StreamingQuery:
+    """Change feed: the updated rows of each micro-batch, under its id; ``publish`` is told."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        rows = batch.withColumn("batch_id", F.lit(batch_id))
-        rows.write.mode("overwrite").parquet(f"{folder}/changes/batch_id={batch_id}")
+        batch.write.mode("overwrite").parquet(f"{folder}/table/batch_id={batch_id}")
         if publish:
             publish(batch, batch_id)
 
     return (
         stream.writeStream.outputMode("update")
         .foreachBatch(write)
-        .option("checkpointLocation", f"{folder}/state")
+        .option("checkpointLocation", f"{folder}/checkpoint")
         .trigger(availableNow=True)
         .start()
     )
 
 
-def current(changes: DataFrame, keys: list[str]) -> DataFrame:
+def current(spark: SparkSession, folder: str, keys: list[str]) -> DataFrame:
     """Newest version of every key of a change feed."""
+    changes = spark.read.parquet(f"{folder}/table")
     rest = [c for c in changes.columns if c not in (*keys, "batch_id")]
     newest = F.max(F.struct("batch_id", F.struct(*rest).alias("r")))
     return changes.groupBy(*keys).agg(newest.alias("m")).select(*keys, "m.r.*")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pricelark.model import CHECKS, Settings
 from pricelark.operators import alerts as A
-from pricelark.operators import compare, control, imports, planning, quality
+from pricelark.operators import compare, control, hygiene, imports, planning, quality
 from pricelark.sources import import_file, sinks
 from pricelark.sources import tables as M
 from pricelark.streaming import monitor
@@ -139,7 +139,8 @@ def test_stream_goes_on_where_it_stopped_and_reports_late_rows(spark, tmp_path):
 
     def run():
         stream = spark.readStream.schema(CHECKS).parquet(src)
-        return monitor.run_to_table(monitor.stream_alerts(stream, SETTINGS), folder=folder)
+        monitor.run_stateful(stream, monitor.alert_step(SETTINGS, limit=2), folder).awaitTermination()
+        return monitor.table_of(spark, folder)
 
     first.coalesce(1).write.mode("append").parquet(src)
     assert sorted((r.check_id, r.type) for r in run().collect()) == [(2, "target_price"), (2, "threshold_drop")]
@@ -150,6 +151,35 @@ def test_stream_goes_on_where_it_stopped_and_reports_late_rows(spark, tmp_path):
     assert sorted((r.check_id, r.type) for r in batch.collect()) == [g for g in got if g[1] != "late"]
 
 
+def test_stream_of_parts_equals_the_batch(spark, tmp_path):
+    src, folder = str(tmp_path / "src"), str(tmp_path / "run")
+    checks = M.checks(spark, SF).withColumn("product_id", F.col("product_id") % 7)
+    checks = checks.dropDuplicates(["product_id", "checked_at"]).checkpoint()
+    for low, high in (("1995", "1998"), ("1998", "2000"), ("2000", "2003")):
+        part = checks.filter((F.col("checked_at") >= f"{low}-01-01") & (F.col("checked_at") < f"{high}-01-01"))
+        part.write.mode("append").parquet(src)
+        stream = spark.readStream.schema(checks.schema).parquet(src)
+        monitor.run_stateful(stream, monitor.alert_step(SETTINGS, limit=200), folder).awaitTermination()
+    cols = ["check_id", "type", "old_paise", "new_paise", "change_pct", "added", "removed", "consecutive_failures"]
+    got = sorted(map(repr, monitor.table_of(spark, folder).select(*cols).collect()))
+    assert got == sorted(map(repr, A.alerts(checks, SETTINGS).select(*cols).collect()))
+
+
+def test_cooldown_in_parts_equals_the_batch(spark):
+    log = M.logged_alerts(spark, SF).withColumn("product_id", F.col("product_id") % 2)
+    settings = Settings(cooldown_minutes=700)
+    want = {r.alert_id: r.status for r in hygiene.delivery_plan(log, settings).collect()}
+    step, state, got = monitor.cooldown_step(settings, 3, 50), None, {}
+    cuts = ["2024-01-01", "2024-01-09 03:00:00", "2024-01-20", "2024-02-01"]
+    for low, high in zip(cuts, cuts[1:], strict=False):
+        part = log.filter((F.col("fired_at") >= low) & (F.col("fired_at") < high))
+        plan, state = step(part, state)
+        state = state.checkpoint()
+        got |= {r.alert_id: r.status for r in plan.collect()}
+    assert got == want
+    assert set(want.values()) == {"delivered", "held_quiet_hours", "suppressed"}
+
+
 def test_change_feed_rerun_adds_nothing(spark, tmp_path):
     src, folder = str(tmp_path / "src"), str(tmp_path / "feed")
     M.table(spark, SF, "events").write.parquet(src)
@@ -157,8 +187,9 @@ def test_change_feed_rerun_adds_nothing(spark, tmp_path):
 
     def run():
         counts = spark.readStream.schema(schema).parquet(src).groupBy("event_type").agg(F.count("*").alias("n"))
-        monitor.run_changes(counts, ["event_type"], folder).awaitTermination()
-        rows = monitor.current(spark.read.parquet(f"{folder}/changes"), ["event_type"])
+        told = []
+        monitor.run_changes(counts, folder, lambda batch, i: told.append(i)).awaitTermination()
+        rows = monitor.current(spark, folder, ["event_type"])
         return sorted(map(tuple, rows.collect()))
 
     once = run()

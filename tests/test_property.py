@@ -1,16 +1,16 @@
-"""A plain state machine, the window form, the sliced form and the stream agree."""
+"""A plain state machine, the window form, the sliced form and the carried form agree."""
 
+import math
 from datetime import datetime, timedelta
 
-import pandas as pd
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
 from pricelark.model import CHECKS, Settings
 from pricelark.operators import alerts as A
-from pricelark.streaming.monitor import alert_fold
 
 S = Settings(failure_limit=3)
+KINDS = ["target_price", "threshold_drop", "price_change", "back_in_stock", "auto_paused"]
 
 row = st.tuples(
     st.integers(1, 3),
@@ -32,38 +32,66 @@ def to_rows(rows):
     return out
 
 
-class State:
-    """The slice of the streaming state interface the fold uses."""
-
-    def __init__(self):
-        self.value = None
-
-    exists = property(lambda self: self.value is not None)
-    get = property(lambda self: self.value)
-
-    def update(self, value):
-        self.value = value
+def change(old, new):
+    return math.floor((new - old) / old * 10000.0 + 0.5) / 100.0
+
+
+def machine(rows):
+    """One check at a time, with mutable state per product."""
+    states, out = {}, []
+    for check_id, product, _, ok, stock, price, _, _, _, _, _, target, bp in rows:
+        s = states.setdefault(
+            product, dict(price=None, stock=None, latched=False, seen=False, fails=0, paused=False)
+        )
+        if not ok:
+            s["fails"] += 1
+            if s["fails"] >= S.failure_limit and not s["paused"]:
+                s["paused"] = True
+                out.append((check_id, "auto_paused", None, None))
+            continue
+        prev = s["price"] if s["seen"] else None
+        move = change(prev, price) if prev is not None and price is not None else None
+        specific = False
+        if price is not None and target is not None and stock != "out_of_stock":
+            if price <= target and not s["latched"]:
+                out.append((check_id, "target_price", prev, move))
+                specific = True
+            s["latched"] = price <= target
+        if target is None:
+            s["latched"] = False
+        if price is not None and prev is not None:
+            limit = S.threshold_bp if bp is None else bp
+            if limit > 0 and (prev - price) * 10000 >= limit * prev:
+                out.append((check_id, "threshold_drop", prev, move))
+                specific = True
+            if price != prev and not specific:
+                out.append((check_id, "price_change", prev, move))
+        if s["seen"] and s["stock"] == "out_of_stock" and stock == "in_stock":
+            out.append((check_id, "back_in_stock", None, None))
+        if price is not None and stock != "out_of_stock":
+            s["price"] = price
+        s.update(stock=stock, seen=True, fails=0)
+    return sorted(out, key=repr)
 
 
 @settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
-@given(st.lists(row, min_size=1, max_size=120))
-def test_forms_agree(spark, rows):
+@given(st.lists(row, min_size=1, max_size=120), st.integers(1, 119))
+def test_forms_agree(spark, rows, cut):
     data = to_rows(rows)
     df = spark.createDataFrame(data, CHECKS)
-    kinds = ["target_price", "threshold_drop", "price_change", "back_in_stock", "auto_paused"]
 
     def of(frame):
-        return sorted((r.check_id, r.type, r.old_paise, r.change_pct) for r in frame.collect())
-
-    windowed = of(A.alerts(df, S, kinds))
-    assert of(A.alerts(df, S, kinds, limit=10)) == windowed
-
-    fold, folded = alert_fold(S), []
-    frame = pd.DataFrame(data, columns=[f.name for f in CHECKS.fields])
-    for product, part in frame.groupby("product_id"):
-        state = State()
-        for start in range(0, len(part), 7):  # several micro-batches
-            for out in fold((product,), iter([part.iloc[start : start + 7]]), state):
-                folded += out.astype(object).where(out.notna(), None).values.tolist()
-    got = sorted((r[1], r[3], r[4], r[6]) for r in folded)
-    assert got == windowed
+        return sorted(((r.check_id, r.type, r.old_paise, r.change_pct) for r in frame.collect()), key=repr)
+
+    want = machine(data)
+    assert of(A.alerts(df, S, KINDS)) == want
+    assert of(A.alerts(df, S, KINDS, limit=10)) == want
+
+    # in two parts, the second one from the state of the first
+    state, found = None, []
+    for part in (data[:cut], data[cut:]):
+        if part:
+            annotated, state = A.continue_log(spark.createDataFrame(part, CHECKS), S, state, limit=10)
+            state = state.checkpoint()
+            found += of(A.evaluate(annotated, S, KINDS))
+    assert sorted(found, key=repr) == want
