@@ -83,6 +83,11 @@ def contains_text(term: str, *cols: str) -> Column:
     return test
 
 
+def by_id(catalogue: DataFrame, product_id: int) -> DataFrame:
+    """Point lookup; the equality reaches the scan's file statistics."""
+    return catalogue.filter(F.col("product_id") == product_id)
+
+
 def matching(catalogue: DataFrame, q: CatalogueQuery) -> DataFrame:
     for p in q.predicates():
         catalogue = catalogue.filter(p)

@@ -93,3 +93,18 @@ def cycle_report(checks: DataFrame, cycle: Column) -> DataFrame:
         F.min("checked_at").alias("started_at"),
         F.max("checked_at").alias("ended_at"),
     )
+
+
+def system_status(checks: DataFrame, cycle: Column, now: Column) -> DataFrame:
+    """One row: the last cycle's bookkeeping and the 7-day success rate."""
+    done = cycle_report(checks.filter(F.col("checked_at") <= now), cycle)
+    newest = F.max(F.struct("cycle", "started_at", "ended_at", "checked", "succeeded", "failed"))
+    rate = success_rate(checks, now).select("success_rate").scalar()
+    return done.agg(newest.alias("m")).select(
+        F.col("m.started_at").alias("last_cycle_started_at"),
+        F.col("m.ended_at").alias("last_cycle_ended_at"),
+        F.col("m.checked").alias("last_cycle_checked"),
+        F.col("m.succeeded").alias("last_cycle_succeeded"),
+        F.col("m.failed").alias("last_cycle_failed"),
+        rate.alias("success_rate_7d"),
+    )

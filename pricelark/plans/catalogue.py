@@ -338,6 +338,51 @@ def cycle_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.withColumn("cycle", F.col("cycle").cast("timestamp"))
 
 
+@query(
+    "system_status",
+    sql(
+        CHECKS_SQL,
+        """, last AS (SELECT max(checked_at) AS t FROM checks WHERE checked_at <= TIMESTAMP '2001-09-01'),
+        week AS (SELECT count(*) AS total, count(*) FILTER (success) AS ok FROM checks
+          WHERE checked_at >= TIMESTAMP '2001-09-01' - INTERVAL 7 DAY AND checked_at <= TIMESTAMP '2001-09-01')
+        SELECT min(checked_at) AS last_cycle_started_at, max(checked_at) AS last_cycle_ended_at, count(*) AS last_cycle_checked,
+          count(*) FILTER (success) AS last_cycle_succeeded, count(*) FILTER (NOT success) AS last_cycle_failed,
+          any_value(CASE WHEN total > 0 THEN floor(CAST(ok AS DOUBLE) / total * 10000.0 + 0.5) / 100.0 END) AS success_rate_7d
+        FROM checks, last, week WHERE date_trunc('day', checked_at) = date_trunc('day', t) AND checked_at <= TIMESTAMP '2001-09-01'""",
+    ),
+)
+def system_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cycle = F.date_trunc("DAY", F.col("checked_at"))
+    return D.system_status(M.checks(spark, sf_dir), cycle, M.as_of())
+
+
+@query(
+    "check_labels",
+    sql(
+        CHECKS_SQL,
+        """SELECT check_id, CASE WHEN product_id % 2 = 0 THEN 'Amazon India' ELSE 'Flipkart' END AS marketplace_label, CASE failure_reason
+            WHEN 'fetch_blocked' THEN 'The marketplace temporarily blocked automated access' WHEN 'fetch_timeout' THEN 'The marketplace did not respond in time'
+            WHEN 'http_error' THEN 'The marketplace returned an error' WHEN 'parse_failed' THEN 'The page layout has changed; maintenance may be required'
+            WHEN 'listing_removed' THEN 'The listing appears to have been removed' WHEN 'captcha' THEN 'The marketplace presented a verification challenge'
+            WHEN 'other' THEN 'An unexpected error occurred' END AS failure_label,
+          list_extract(list_transform(offers, lambda x: CASE split_part(x, '|', 1) WHEN 'bank_offer' THEN 'Bank Offer' WHEN 'coupon' THEN 'Coupon' ELSE 'No Cost EMI' END), 1) AS offer_label
+        FROM checks""",
+    ),
+)
+def check_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of every check as the labels a user sees."""
+    from pricelark.functions.render import lookup
+    from pricelark.model import FAILURE_REASON_LABELS, MARKETPLACE_LABELS, OFFER_TYPE_LABELS
+
+    market = F.when(F.col("product_id") % 2 == 0, "amazon_in").otherwise("flipkart")
+    return M.checks(spark, sf_dir).select(
+        "check_id",
+        lookup(market, MARKETPLACE_LABELS).alias("marketplace_label"),
+        lookup(F.col("failure_reason"), FAILURE_REASON_LABELS).alias("failure_label"),
+        lookup(F.get("offers", F.lit(0))["type"], OFFER_TYPE_LABELS).alias("offer_label"),
+    )
+
+
 # --- usage -----------------------------------------------------------------
 
 _USAGE_SQL = (

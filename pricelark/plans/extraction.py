@@ -178,10 +178,16 @@ def snapshot_extract_b(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _unescape_sql(text: str) -> str:
+    for name, char in (("quot", '"'), ("lt", "<"), ("gt", ">"), ("#x27", "''"), ("#39", "''"), ("amp", "&")):
+        text = f"regexp_replace({text}, '&{name};?', '{char}', 'g')"
+    return f"trim({text})"
+
+
 @query(
     "page_extract",
-    r"""SELECT page_id, trim(replace(regexp_replace(regexp_extract(html, '<h1[^>]*>(.*?)</h1>', 1, 's'), '<[^>]*>', '', 'g'), '&amp;', '&')) AS heading,
-      trim(replace(regexp_extract(html, '<title[^>]*>(.*?)</title>', 1, 's'), '&amp;', '&')) AS title FROM pages""",
+    f"""SELECT page_id, {_unescape_sql("regexp_replace(regexp_extract(html, '<h1[^>]*>(.*?)</h1>', 1, 's'), '<[^>]*>', '', 'g')")} AS heading,
+      {_unescape_sql("regexp_extract(html, '<title[^>]*>(.*?)</title>', 1, 's')")} AS title FROM pages""",
 )
 def page_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     wants = layouts.picker([layouts.Want("h1", "h1"), layouts.Want("title", "title")])

@@ -74,7 +74,7 @@ def machine(rows):
     return sorted(out, key=repr)
 
 
-@settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
+@settings(max_examples=4, deadline=None, suppress_health_check=list(HealthCheck))
 @given(st.lists(row, min_size=1, max_size=120), st.integers(1, 119))
 def test_forms_agree(spark, rows, cut):
     data = to_rows(rows)
