@@ -16,10 +16,17 @@ def window_days(days: float | None) -> int:
     return min(max(rounded or 14, 1), 60)
 
 
-def kind_bytes(kind: str) -> Column:
-    """Wire bytes of one request kind in the diagnostics blob; absent is 0."""
-    path = f"$.proxy.byKind.{kind}.wireBytes"
-    return F.coalesce(F.get_json_object("debug", path).try_cast("bigint"), F.lit(0))
+BLOB = "proxy struct<byKind: map<string, struct<wireBytes: bigint>>>"
+
+
+def with_kind_bytes(audit: DataFrame, kinds: list[str]) -> DataFrame:
+    """Wire bytes per request kind from the diagnostics blob, parsed once; absent is 0."""
+    parsed = audit.withColumn("_blob", F.from_json("debug", BLOB))
+    by_kind = F.col("_blob.proxy.byKind")
+    zero = F.lit(0).cast("bigint")
+    return parsed.withColumns(
+        {k: F.coalesce(F.try_element_at(by_kind, F.lit(k))["wireBytes"], zero) for k in kinds}
+    ).drop("_blob")
 
 
 def _measures() -> list[Column]:
@@ -42,8 +49,7 @@ def _measures() -> list[Column]:
 def in_window(audit: DataFrame, now: Column, days: float | None) -> DataFrame:
     since = now - F.make_dt_interval(days=F.lit(window_days(days)))
     recent = audit.filter((F.col("created_at") >= since) & (F.col("created_at") <= now))
-    kinds = ["main_page", "pincode_api", "cookie_mint", "side_sheet"]
-    return recent.withColumns({k: kind_bytes(k) for k in kinds})
+    return with_kind_bytes(recent, ["main_page", "pincode_api", "cookie_mint", "side_sheet"])
 
 
 def usage(audit: DataFrame, products: DataFrame, now: Column, days: float | None) -> DataFrame:

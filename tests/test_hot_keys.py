@@ -183,3 +183,11 @@ def test_ranks_and_positions(spark):
     rows = got.orderBy("pos").select("pos", "stock_status", "check_id").collect()
     assert [r.pos for r in rows] == list(range(len(rows)))
     assert [(r.stock_status, r.check_id) for r in rows] == sorted((r.stock_status, r.check_id) for r in rows)
+
+
+def test_cheaper_share_of_a_hot_pair(spark):
+    id_ = F.col("product_id")
+    partner = F.when(id_ % 2 == 0, id_ + 1).otherwise(id_ - 1)
+    points = hot_checks(spark).filter("success").withColumn("linked_product_id", partner)
+    products = M.products(spark, SF)
+    assert table(P.cheaper_share(products, points, 40)) == table(P.cheaper_share(products, points))
