@@ -24,9 +24,9 @@ def _quality_rules() -> str:
             list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l
           FROM documents)""",
         "p AS (SELECT k, i, w[i:i + 4] AS x FROM (SELECT k, w, unnest(range(1, len(w) - 3)) AS i FROM d))",
-        "c AS (SELECT k, x, count(*) AS n, min(i) AS i1, list(i) AS at FROM p GROUP BY k, x)",
+        "c AS (SELECT k, x, count(*) AS n, min(i) AS i1, list(i) AS places FROM p GROUP BY k, x)",
         "u AS (SELECT k, count(*) AS n_distinct FROM c GROUP BY k)",
-        """r AS (SELECT k, count(DISTINCT i + j) AS n FROM (SELECT k, unnest(at) AS i FROM c WHERE n > 1),
+        """r AS (SELECT k, count(DISTINCT i + j) AS n FROM (SELECT k, unnest(places) AS i FROM c WHERE n > 1),
             (SELECT unnest(range(0, 5)) AS j) GROUP BY k)""",
         """b AS (SELECT d.k, doc_id, CAST(len(w) AS BIGINT) AS n_words,
             CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
