@@ -46,8 +46,9 @@ def _quality_rules() -> str:
     ]
     for i in range(quality_rules.ROUNDS):
         new = ", ".join(
-            f"""coalesce(least(greatest(sum(CASE WHEN v_{r} > 0 THEN n * p WHEN v_{r} < 0 THEN n * (1 - p) END)
-            / sum(CASE WHEN v_{r} <> 0 THEN n END), {low}), {high}), any_value(a_{r})) AS a_{r}"""
+            f"""CASE WHEN count(nullif(v_{r}, 0)) = 0 THEN any_value(a_{r}) ELSE least(greatest(
+            sum(CASE WHEN v_{r} > 0 THEN n * p WHEN v_{r} < 0 THEN n * (1 - p) END)
+            / sum(CASE WHEN v_{r} <> 0 THEN n END), {low}), {high}) END AS a_{r}"""
             for r in rules
         )
         parts.append(
@@ -65,3 +66,35 @@ def _quality_rules() -> str:
 
 
 SQL["op2_quality_rules"] = _quality_rules()
+
+SQL["op5_pareto_mixing"] = f"""
+WITH d AS (
+  SELECT row_number() OVER () AS k, doc_id, source, CAST(len({WORDS}) AS BIGINT) AS size,
+    (CAST(('0x' || substr(md5(concat_ws('|', 'mix', doc_id, coalesce(text, ''))), 1, 12)) AS BIGINT) + 0.5::DOUBLE)
+      / 281474976710656::DOUBLE AS u
+  FROM documents),
+c AS (SELECT *, CASE WHEN size = 0 THEN 0 ELSE length(bin(size)) * 8
+        + list_position(['100', '101', '110', '111'], rpad(substr(bin(size), 1, 3), 3, '0')) + 3 END AS class FROM d),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM c GROUP BY source),
+w AS (SELECT *, [3, 1, 2][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight,
+        CAST(2 * source_size AS DOUBLE) AS cap, sum(source_size) OVER () AS total FROM s),
+l AS (SELECT *, (total * 1.5::DOUBLE - coalesce(sum(cap) OVER (f ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+        / sum(weight) OVER (f ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+      FROM w WINDOW f AS (ORDER BY cap / weight, source NULLS LAST)),
+m AS (SELECT arg_min(level, cap / weight) AS level FROM l WHERE level * weight <= cap),
+t AS (SELECT l.source, source_size, coalesce(least(cap, m.level * weight), cap) AS target FROM l LEFT JOIN m ON TRUE),
+g AS (SELECT source, class, count(*) AS n, CAST(sum(size) AS BIGINT) AS x FROM c GROUP BY ALL),
+r AS (SELECT g.*, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS ratio,
+        sum(n) OVER (PARTITION BY g.source ORDER BY class DESC ROWS UNBOUNDED PRECEDING) AS seen
+      FROM g JOIN t ON g.source IS NOT DISTINCT FROM t.source),
+q AS (SELECT *, floor(ratio) AS certain, floor((ratio - floor(ratio)) * seen::DOUBLE + 0.5::DOUBLE)
+        - floor((ratio - floor(ratio)) * (seen - n)::DOUBLE + 0.5::DOUBLE) AS more FROM r),
+p AS (SELECT c.*, n, source_size, target, certain, more,
+        least(0.999999::DOUBLE, more * x::DOUBLE / (n::DOUBLE * n::DOUBLE * size)) AS pi
+      FROM c JOIN q ON c.source IS NOT DISTINCT FROM q.source AND c.class = q.class),
+o AS (SELECT *, CASE WHEN size > 0 THEN row_number() OVER (PARTITION BY source, class ORDER BY
+        CASE WHEN pi > 0 THEN (u / (1 - u)) / (pi / (1 - pi)) END, doc_id, size) END AS nth FROM p)
+SELECT doc_id, size, source_size, target,
+  CAST(CASE WHEN size = 0 THEN 0 ELSE certain + CASE WHEN nth <= more THEN 1 ELSE 0 END END AS BIGINT) * size AS taken,
+  CAST(CASE WHEN size = 0 THEN 0 ELSE certain + CASE WHEN nth <= more THEN 1 ELSE 0 END END AS INTEGER) AS copies
+FROM o"""

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from pricelark.llm import checking, quality_rules
+from pricelark.llm import checking, mixing, quality_rules
 from pricelark.llm.text import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,3 +28,11 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         "base_failed", "kept", "p_good",
     )
+
+
+@query
+def op5_pareto_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = mixing.mixed(documents(spark, sf_dir), texts=False)
+    return d.select(
+        "row.doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies"
+    )
