@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricelark.llm import checking, mixing, quality_rules
+from pricelark.llm import checking, decontaminate, mixing, quality_rules
 from pricelark.llm.text import documents
+from pricelark.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -36,3 +37,10 @@ def op5_pareto_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(
         "row.doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies"
     )
+
+
+@query
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document and benchmark item that leaks into it."""
+    found = decontaminate.leaks(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+    return found.drop("text_digest")

@@ -55,3 +55,9 @@ def settled(df: DataFrame) -> DataFrame:
     lambdas that would repeat a whole array per element.
     """
     return df.select(F.inline(F.array(F.struct(*[F.col(f"`{c}`") for c in df.columns]))))
+
+
+def bounded(df: DataFrame, rows: int = 50_000) -> DataFrame:
+    """The rows, saved and counted: with a broadcast hint if they are few, plain if not."""
+    df = saved(df)
+    return F.broadcast(df) if df.count() <= rows else df
