@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricelark.llm import checking, decontaminate, mixing, quality_rules
+from pricelark.llm import checking, decontaminate, license_scan, mixing, quality_rules
 from pricelark.llm.text import documents
 from pricelark.sources.tables import table
 
@@ -44,3 +44,12 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per document and benchmark item that leaks into it."""
     found = decontaminate.leaks(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
     return found.drop("text_digest")
+
+
+@query
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = license_scan.scanned(documents(spark, sf_dir))
+    return d.select(
+        "doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score",
+        F.size("detections").cast("long").alias("n_detections"),
+    )
