@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricelark.llm import checking, decontaminate, license_scan, mixing, quality_rules
+from pricelark.llm import checking, decontaminate, license_scan, mixing, near_copies, quality_rules
 from pricelark.llm.text import documents
 from pricelark.sources.tables import table
 
@@ -53,3 +53,8 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score",
         F.size("detections").cast("long").alias("n_detections"),
     )
+
+
+@query
+def op6_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_copies.classes(documents(spark, sf_dir)).drop("text_digest")

@@ -61,3 +61,8 @@ def bounded(df: DataFrame, rows: int = 50_000) -> DataFrame:
     """The rows, saved and counted: with a broadcast hint if they are few, plain if not."""
     df = saved(df)
     return F.broadcast(df) if df.count() <= rows else df
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Arrow batches of so many rows at most, since a row here is a whole text."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
