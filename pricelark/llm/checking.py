@@ -98,3 +98,21 @@ SELECT doc_id, size, source_size, target,
   CAST(CASE WHEN size = 0 THEN 0 ELSE certain + CASE WHEN nth <= more THEN 1 ELSE 0 END END AS BIGINT) * size AS taken,
   CAST(CASE WHEN size = 0 THEN 0 ELSE certain + CASE WHEN nth <= more THEN 1 ELSE 0 END END AS INTEGER) AS copies
 FROM o"""
+
+SQL["op3_line_dedup"] = r"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+e AS (SELECT k, doc_id, i, regexp_extract_all(l[i], '[^\x20\x09-\x0D]+') AS w
+      FROM (SELECT k, doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM d)),
+f AS (SELECT * FROM e WHERE len(w) > 0),
+u AS MATERIALIZED (SELECT w, len(w) AS n, min((doc_id, i)) AS p FROM f GROUP BY w),
+c AS (SELECT b.w FROM u AS a JOIN u AS b ON a.n = b.n AND a.p < b.p AND a.n >= 8
+      WHERE len(list_filter(list_zip(a.w, b.w), lambda z: z[1] <> z[2])) = 1
+      UNION
+      SELECT CASE WHEN s.p < t.p THEN t.w ELSE s.w END FROM u AS s JOIN u AS t ON t.n = s.n + 1 AND s.n >= 8
+      WHERE (s.w[1] = t.w[1] OR s.w[s.n] = t.w[t.n])
+        AND len(list_filter(range(1, t.n + 1), lambda i: t.w[1:i - 1] || t.w[i + 1:] = s.w)) > 0),
+g AS (SELECT f.k, u.p < (f.doc_id, f.i) AS exact, c.w IS NOT NULL AS near
+      FROM f JOIN u ON f.w = u.w LEFT JOIN c ON c.w = f.w)
+SELECT doc_id, count(exact) AS n_lines, count(*) FILTER (exact) AS n_exact, count(*) FILTER (near AND NOT exact) AS n_near,
+  count(*) FILTER (NOT near AND NOT exact) AS n_kept
+FROM d LEFT JOIN g USING (k) GROUP BY k, doc_id"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricelark.llm import checking, decontaminate, license_scan, mixing, near_copies, quality_rules
+from pricelark.llm import checking, decontaminate, license_scan, line_dedup, mixing, near_copies, quality_rules
 from pricelark.llm.text import documents
 from pricelark.sources.tables import table
 
@@ -58,3 +58,8 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op6_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_copies.classes(documents(spark, sf_dir)).drop("text_digest")
+
+
+@query
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.counts(documents(spark, sf_dir))
