@@ -26,12 +26,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pricelark.llm.components import components
-from pricelark.llm.text import digest, saved, settled, small_batches, whole, words
+from pricelark.llm.text import bounded, digest, saved, settled, small_batches, whole, words
 
 SHINGLE = 5
 ROUNDS = 12
 SIMILARITY = 0.8
 PIECE = 500_000  # words sketched at once in a task
+FEW = 200_000  # rows of ids that may be broadcast, counted first
 CHUNK = 2_000_000  # cells of an alignment band at once
 
 M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -222,23 +223,43 @@ def links(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 
 
 def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """doc_id, text_digest (null without words), class_id (least doc_id), class_size: a row a document."""
+    """doc_id, text_digest (null without words), class_id (least doc_id), class_size and whether it
+    is the row that stays (`first`: least doc_id, then digest): a row a document."""
     label = components(links(docs, similarity))
     d = docs.select("doc_id", whole().alias("t"))
     d = settled(d.select("doc_id", F.when(F.size(words(F.col("t"))) > 0, digest(F.col("t"))).alias("text_digest")))
     texts = d.filter("text_digest IS NOT NULL").groupBy("text_digest").agg(
-        F.min("doc_id").alias("low"), F.count("*").alias("n")
+        F.min(F.struct("doc_id", "text_digest")).alias("low"), F.count("*").alias("n")
     )
     texts = texts.join(label, F.col("text_digest") == F.col("node"), "left").select(
         F.col("text_digest").alias("of"), F.coalesce("label", "text_digest").alias("class"), "low", "n"
     )
     texts = saved(texts)
-    sizes = texts.groupBy(F.col("class").alias("c")).agg(F.min("low").alias("class_id"), F.sum("n").alias("class_size"))
-    texts = texts.join(sizes, F.col("class") == F.col("c")).select("of", "class_id", "class_size")
+    sizes = texts.groupBy(F.col("class").alias("c")).agg(F.min("low").alias("least"), F.sum("n").alias("class_size"))
+    texts = texts.join(sizes, F.col("class") == F.col("c")).select("of", "least", "class_size")
     alone = F.col("text_digest").isNull()
     return d.join(texts, F.col("text_digest") == F.col("of"), "left").select(
         "doc_id",
         "text_digest",
-        F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
+        F.when(alone, F.col("doc_id")).otherwise(F.col("least.doc_id")).alias("class_id"),
         F.when(alone, F.lit(1)).otherwise(F.col("class_size")).cast("long").alias("class_size"),
+        (alone | F.struct("doc_id", "text_digest").eqNullSafe(F.col("least"))).alias("first"),
     )
+
+
+def representatives(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """One row of docs per class: that of the least doc_id, then digest, and of repeated rows one.
+
+    What goes is a list of ids and digests, broadcast if it is counted to be short; only
+    repeated rows are shuffled with their texts otherwise."""
+    c = saved(classes(docs, similarity))
+    key = ["doc_id", "text_digest"]
+    gone = bounded(c.filter("NOT first").select(F.col("doc_id").alias("_id"), F.col("text_digest").alias("_of")).distinct(), FEW)
+    twice = c.filter("first AND text_digest IS NOT NULL").groupBy(*key).agg(F.count("*").alias("_n")).filter("_n > 1")
+    twice = bounded(twice.select(F.col("doc_id").alias("_id"), F.col("text_digest").alias("_of")), FEW)
+    d = docs.withColumn("_digest", digest(whole()))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_digest") == F.col("_of"))
+    left = d.join(gone, same, "left_anti")
+    once = left.join(twice, same, "left_anti")
+    repeated = left.join(twice, same, "left_semi").dropDuplicates(["doc_id", "_digest"])
+    return once.union(repeated).drop("_digest")

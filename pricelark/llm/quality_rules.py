@@ -18,7 +18,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pricelark.llm.text import many, saved, settled, whole, with_clean_names, words
+from pricelark.llm.text import many, saved, settled, whole, words
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
@@ -52,13 +52,13 @@ RULES = {
 }
 
 
-def base_columns(docs: DataFrame) -> DataFrame:
-    """doc_id and the counts that the rules look at, one row per document, without a shuffle."""
-    d = with_clean_names(docs, "doc_id", "text").select("doc_id", whole().alias("t"))
-    d = d.select("doc_id", "t", words(F.col("t")).alias("w"), F.split("t", "\n").alias("lines"))
+def base_columns(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The key column and the counts that the rules look at, one row per document, without a shuffle."""
+    d = docs.select(key, whole().alias("t"))
+    d = d.select(key, "t", words(F.col("t")).alias("w"), F.split("t", "\n").alias("lines"))
     lines = F.filter("lines", lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     d = d.select(
-        "doc_id",
+        key,
         F.size("w").cast("long").alias("n_words"),
         F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
         many(F.col("t"), SYMBOLS).alias("n_symbols"),
@@ -150,21 +150,33 @@ def posterior_column(good: float, accuracy: list[float]) -> Column:
     return F.round(1 / (1 + F.exp(-odds)), 6)
 
 
-def voted(docs: DataFrame) -> DataFrame:
-    """Base columns and votes. Documents that fail the base rules take no part in the estimate."""
-    d = base_columns(docs).withColumn("base_failed", base_failed())
+def voted(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Base columns and votes."""
+    d = base_columns(docs, key).withColumn("base_failed", base_failed())
     return d.withColumns({f"v_{r}": vote(r) for r in RULES})
 
 
-def verdicts(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """Base columns, base_failed, p_good and kept for every document.
-
-    """
-    d = saved(voted(docs))  # a few numbers a document, so that the texts are read once
+def fit(d: DataFrame) -> tuple[float, list[float]]:
+    """The estimate from voted documents; those that fail the base rules take no part."""
     names = [f"v_{r}" for r in RULES]
     counts = d.filter(~F.col("base_failed")).groupBy(*names).count().collect()  # <= 3 ** rules rows
-    good, accuracy = estimate([(tuple(r[n] for n in names), r["count"]) for r in counts])
-    p = posterior_column(good, accuracy)
-    return d.withColumn("p_good", p).withColumn(
-        "kept", ~F.col("base_failed") & (F.col("p_good") >= threshold)
-    )
+    return estimate([(tuple(r[n] for n in names), r["count"]) for r in counts])
+
+
+def judged(d: DataFrame, good: float, accuracy: list[float], threshold: float) -> DataFrame:
+    d = d.withColumn("p_good", posterior_column(good, accuracy))
+    return d.withColumn("kept", ~F.col("base_failed") & (F.col("p_good") >= threshold))
+
+
+def verdicts(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """Base columns, base_failed, p_good and kept for every document."""
+    d = saved(voted(docs))  # a few numbers a document, so that the texts are read once
+    return judged(d, *fit(d), threshold)
+
+
+def accepted(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """The rows of docs that are kept. The texts are read twice, to estimate and to judge; they
+    are never shuffled or joined, so ids need not be unique."""
+    model = fit(voted(docs))
+    d = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text")
+    return judged(voted(d, "row"), *model, threshold).filter("kept").select("row.*")

@@ -57,7 +57,7 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op6_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_copies.classes(documents(spark, sf_dir)).drop("text_digest")
+    return near_copies.classes(documents(spark, sf_dir)).drop("text_digest", "first")
 
 
 @query

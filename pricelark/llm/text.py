@@ -43,11 +43,6 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def with_clean_names(docs: DataFrame, *names: str) -> DataFrame:
-    """Only the named columns, so that further columns of the input cannot clash."""
-    return docs.select(*[F.col(f"`{n}`") for n in names])
-
-
 def settled(df: DataFrame) -> DataFrame:
     """The same rows, with no later filter or expression merged into how they are computed.
 
