@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricelark.llm import checking, decontaminate, license_scan, line_dedup, mixing, near_copies, quality_rules
+from pricelark.llm import checking, decontaminate, license_scan, line_dedup, mixing, near_copies, quality_gam, quality_rules, toxic_crf
 from pricelark.llm.text import documents
 from pricelark.sources.tables import table
 
@@ -63,3 +63,14 @@ def op6_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.counts(documents(spark, sf_dir))
+
+
+@query
+def op8_toxic_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = toxic_crf.scored(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+    return d.select("doc_id", "held_out", "score", "predicted", F.size("spans").cast("long").alias("n_spans"))
+
+
+@query
+def op9_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_gam.scored(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
