@@ -8,8 +8,8 @@ in others. Forward-backward gives each token its marginal; the greatest marginal
 expected number of toxic tokens give the document's score, by weights fitted to the labels.
 Tokens of marginal 1/2 or more are the offending spans.
 
-Training takes at most `sample` labelled documents of either label, chosen by a hash of the
-id, from rows that are not held out; all documents are scored, whole. A document is one chain.
+Training takes at most `sample` documents labelled toxic and three times as many others,
+chosen by a hash of the id, from rows that are not held out; all documents are scored, whole. A document is one chain.
 Null and empty texts have no token and the least score. Without documents of both labels every
 score is 0. Repeated rows give equal rows; an empty table an empty result.
 """
@@ -27,9 +27,9 @@ from pyspark.sql import functions as F
 from pricelark.llm.quality_gam import held_out
 from pricelark.llm.text import settled, small_batches, whole
 
-SAMPLE = 1500  # of either label
+SAMPLE = 1500  # toxic documents, and three times as many others
 WORDS, STARTS = 1 << 22, 1 << 20  # sizes of the two weight tables
-RATIO, LEAST = 20.0, 3  # how much more frequent, and in how many toxic documents at least
+RATIO, LEAST = 20.0, 0.01  # how much more frequent, and in what share of the toxic documents at least
 EPOCHS, RATE, RIDGE = 30, 0.5, 1e-4
 
 
@@ -115,7 +115,7 @@ def token_labels(w: np.ndarray, s: np.ndarray, doc: np.ndarray, toxic: np.ndarra
     """Tokens of toxic documents whose word or beginning is at least RATIO times as frequent there."""
     out = np.zeros(len(w), bool)
     n = max(int(toxic.sum()), 1), max(int((~toxic).sum()), 1)
-    for f, least in ((w, LEAST), (s, 2 * LEAST)):
+    for f, least in ((w, max(4, LEAST * n[0])), (s, max(8, 2 * LEAST * n[0]))):
         _, f = np.unique(f, return_inverse=True)
         pair = np.unique(np.stack([f, doc], 1), axis=0)
         bad = toxic[pair[:, 1]]
@@ -209,13 +209,14 @@ def score_batches(model_of):
 
 
 def training(docs: DataFrame, labels: DataFrame, mod: int, rest: int, sample: int) -> DataFrame:
-    """w, s, toxic of at most `sample` documents of either label."""
+    """doc_id, toxic, w, s of the documents to learn from."""
     known = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).filter("toxic IN (0, 1)")
     known = known.filter(~held_out(mod, rest)).dropDuplicates(["doc_id"])
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    chosen = [known.filter(F.col("toxic") == k).orderBy(*order).limit(sample) for k in (0, 1)]
-    few = F.broadcast(chosen[0].union(chosen[1]))  # 2 * sample rows at most
-    return tokens(docs.join(few, "doc_id").select("doc_id", "text", "toxic"), "doc_id", "toxic")
+    chosen = [known.filter(F.col("toxic") == k).orderBy(*order).limit(n) for k, n in ((0, 3 * sample), (1, sample))]
+    few = F.broadcast(chosen[0].union(chosen[1]))  # 4 * sample rows at most
+    rows = docs.join(few, "doc_id").dropDuplicates(["text"])  # copies would make their words look telling
+    return tokens(rows.select("doc_id", "text", "toxic"), "doc_id", "toxic")
 
 
 def scored(docs: DataFrame, labels: DataFrame, mod: int = 5, rest: int = 0, sample: int = SAMPLE) -> DataFrame:
