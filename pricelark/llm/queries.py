@@ -4,10 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricelark.llm import checking, decontaminate, license_scan, line_dedup, mixing, near_copies, quality_gam, quality_rules, toxic_crf
+from pricelark.llm import (
+    checking,
+    decontaminate,
+    license_scan,
+    line_dedup,
+    mixing,
+    near_copies,
+    pseudonyms,
+    quality_gam,
+    quality_rules,
+    toxic_crf,
+)
 from pricelark.llm.text import documents
 from pricelark.sources.tables import table
 
@@ -74,3 +85,13 @@ def op8_toxic_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_gam.scored(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
+@query
+def op7_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = pseudonyms.masked(documents(spark, sf_dir))
+
+    def number(kind: str) -> Column:
+        return F.size(F.filter("found", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return d.select("doc_id", F.size("found").cast("long").alias("n_found"), *map(number, pseudonyms.KINDS), "text")
