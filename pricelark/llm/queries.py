@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pricelark.llm import (
+    backoff_scores,
     checking,
     decontaminate,
     license_scan,
@@ -95,3 +96,8 @@ def op7_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.size(F.filter("found", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
     return d.select("doc_id", F.size("found").cast("long").alias("n_found"), *map(number, pseudonyms.KINDS), "text")
+
+
+@query
+def op10_backoff_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return backoff_scores.scores(documents(spark, sf_dir))
