@@ -123,14 +123,37 @@ def joined(column: pa.ChunkedArray) -> bytes:
     return b"".join(column.to_pylist())
 
 
-def sums(keys: np.ndarray, doc: np.ndarray, score: np.ndarray, k: np.ndarray, seen: np.ndarray) -> list[pa.Array]:
-    """Per document: its key, the sum of scores, the words scored and those of them by pairs."""
+def sums(parts: int, keys: np.ndarray, doc: np.ndarray, score: np.ndarray, k: np.ndarray, seen: np.ndarray) -> list[pa.RecordBatch]:
+    """Per document its sum of scores, the words scored and those of them by pairs; packed, one row
+    per part that the documents' keys are dealt to, since each document is met in many parts."""
     ids, at = np.unique(keys, return_inverse=True)
     at = at[doc]
-    n = np.bincount(at, k, len(ids))
-    some = n > 0
-    s, m = np.bincount(at, score * k, len(ids)), np.bincount(at, k * seen, len(ids))
-    return [pa.array(ids[some].view(np.int64)), pa.array(s[some]), pa.array(n[some].astype(np.int64)), pa.array(m[some].astype(np.int64))]
+    n, m = np.bincount(at, k, len(ids)), np.bincount(at, k * seen, len(ids))
+    s = np.bincount(at, score * k, len(ids))
+    to = (mix(ids) % np.uint64(parts)).astype(np.int64)
+    order = np.argsort(to, kind="stable")
+    order = order[n[order] > 0]
+    to, ids, s, n, m = to[order], ids[order], s[order], n[order].astype("<u4"), m[order].astype("<u4")
+    rows = []
+    for part in np.unique(to):
+        i, j = np.searchsorted(to, [part, part + 1])
+        row = [
+            pa.array([int(part)], pa.int32()),
+            pa.array([SCORES], pa.int32()),
+            pa.array([ids[i:j].view(np.int64)], pa.list_(pa.int64())),
+            *[pa.array([x[i:j].tobytes()], pa.binary()) for x in (s, n, m)],
+        ]
+        rows.append(pa.RecordBatch.from_arrays(row, ["p", "kind", "ids", "b", "c", "k"]))
+    return rows
+
+
+def add_scores(t: pa.Table) -> pa.Table:
+    """key, score, n, seen of every document whose key is dealt to this part."""
+    keys = np.concatenate([np.asarray(x.values) for x in t.column("ids")])
+    s, n, m = (np.frombuffer(joined(t.column(x)), kind) for x, kind in (("b", "<f8"), ("c", "<u4"), ("k", "<u4")))
+    ids, at = np.unique(keys, return_inverse=True)
+    add = [np.bincount(at, x, len(ids)) for x in (s, n, m)]
+    return pa.table({"key": ids, "score": add[0], "n": add[1].astype(np.int64), "seen": add[2].astype(np.int64)})
 
 
 def entries(t: pa.Table) -> tuple[np.ndarray, ...]:
@@ -142,21 +165,20 @@ def entries(t: pa.Table) -> tuple[np.ndarray, ...]:
     return keys, doc, b, from5(joined(t.column("c"))), np.frombuffer(joined(t.column("k")), "<u4").astype(np.int64)
 
 
-OUT = "p int, key long, score double, n long, seen long, ids array<long>, sizes binary, b binary, c binary, k binary"
+ENTRIES, COUNTS, SCORES = 0, 1, 2
+OUT = "p int, kind int, ids array<long>, sizes binary, b binary, c binary, k binary"
 
 
-def out_table(scores: list[pa.Array] | None, rows: list[pa.RecordBatch]) -> pa.Table:
-    """Scores and entries that still have to meet a word's count, as rows of one schema."""
-    kinds = [("p", pa.int32()), ("key", pa.int64()), ("score", pa.float64()), ("n", pa.int64()), ("seen", pa.int64())]
-    kinds += [("ids", pa.list_(pa.int64())), ("sizes", pa.binary()), ("b", pa.binary()), ("c", pa.binary()), ("k", pa.binary())]
+def out_table(rows: list[pa.RecordBatch], kind: int | None = None) -> pa.Table:
+    """Rows of one schema: entries that still have to meet a word's count, counts, or scores."""
+    kinds = [("p", pa.int32()), ("kind", pa.int32()), ("ids", pa.list_(pa.int64()))]
+    kinds += [(x, pa.binary()) for x in ("sizes", "b", "c", "k")]
     schema = pa.schema(kinds)
     tables = []
-    if scores is not None:
-        given = dict(zip(["key", "score", "n", "seen"], scores, strict=True))
-        n = len(scores[0])
-        tables.append(pa.table([given.get(x, pa.nulls(n, kind)) for x, kind in kinds], schema=schema))
     for r in rows:
-        tables.append(pa.table([r.column(x) if x in r.schema.names else pa.nulls(r.num_rows, kind) for x, kind in kinds], schema=schema))
+        given = {x: r.column(x) for x in r.schema.names}
+        given.setdefault("kind", pa.array([kind] * r.num_rows, pa.int32()))
+        tables.append(pa.table([given.get(x, pa.nulls(r.num_rows, t)) for x, t in kinds], schema=schema))
     return pa.concat_tables(tables) if tables else schema.empty_table()
 
 
@@ -192,24 +214,23 @@ def score_pairs(parts: int, total: int, hot_of):
         with np.errstate(divide="ignore"):
             score = np.where(seen, np.log((n - own) / after[at]), np.log(BACKOFF * alone / total))
         left = ~seen & (alone == 0)
-        scores = sums(keys, doc, np.where(left, 0, score), np.where(left, 0, k), seen)
-        rows = []
+        out = [out_table(sums(parts, keys, doc, np.where(left, 0, score), np.where(left, 0, k), seen))]
         if left.any():
             p = (mix(c[left]) % np.uint64(parts)).astype(np.int64)
             order = np.lexsort((doc[left], p))
             pick = lambda x: x[left][order]
-            rows = list(packed(p[order], keys[pick(doc)], pick(b) * 0, pick(c), pick(k)))
-        return out_table(scores, rows)
+            out.append(out_table(list(packed(p[order], keys[pick(doc)], pick(b) * 0, pick(c), pick(k))), ENTRIES))
+        return pa.concat_tables(out)
 
     return run
 
 
-def score_words(total: int):
+def score_words(parts: int, total: int):
     def run(t: pa.Table) -> pa.Table:
-        rows = t.filter(pa.compute.is_valid(t.column("ids")))
-        words = t.filter(pa.compute.is_null(t.column("ids")))
+        kind = np.asarray(t.column("kind"))
+        rows, words = t.filter(pa.array(kind == ENTRIES)), t.filter(pa.array(kind == COUNTS))
         if not rows.num_rows:
-            return out_table(None, [])
+            return out_table([])
         table = from5(joined(words.column("c"))) if words.num_rows else np.empty(0, np.uint64)
         counts = np.frombuffer(joined(words.column("k")), "<i8") if words.num_rows else np.empty(0, np.int64)
         order = np.argsort(table, kind="stable")
@@ -217,7 +238,7 @@ def score_words(total: int):
         counts = np.add.reduceat(counts[order], first) if len(first) else counts
         keys, doc, _, c, k = entries(rows)
         score = np.log(BACKOFF * np.maximum(lookup(table, counts, c), 1) / total)
-        return out_table(sums(keys, doc, score, k, np.zeros(len(k))), [])
+        return out_table(sums(parts, keys, doc, score, k, np.zeros(len(k))))
 
     return run
 
@@ -238,7 +259,7 @@ def word_batches(parts: int):
                     [pa.array([int(part)], pa.int32()), pa.array([to5(c[i:j])], pa.binary()), pa.array([n[i:j].tobytes()], pa.binary())],
                     ["p", "c", "k"],
                 )
-                yield from out_table(None, [row]).to_batches()
+                yield from out_table([row], COUNTS).to_batches()
 
     return run
 
@@ -276,10 +297,10 @@ def scores(docs: DataFrame) -> DataFrame:
     first = saved(pairs.groupBy("p").applyInArrow(score_pairs(parts, max(total, 1), model), OUT))
     least = int(model.value[3].min()) if len(model.value[3]) else 1 << 62
     rare = counts.filter(F.col("n") < least).select("h", "n").mapInArrow(word_batches(parts), OUT)
-    rest = first.filter("ids IS NOT NULL").unionByName(rare).groupBy("p").applyInArrow(score_words(max(total, 1)), OUT)
-    got = first.filter("key IS NOT NULL").unionByName(rest).groupBy("key").agg(
-        F.sum("score").alias("score"), F.sum("n").alias("n"), F.sum("seen").alias("seen")
-    )
+    open_ = first.filter(F.col("kind") == ENTRIES).unionByName(rare)
+    rest = open_.groupBy("p").applyInArrow(score_words(parts, max(total, 1)), OUT)
+    got = first.filter(F.col("kind") == SCORES).unionByName(rest).groupBy("p")
+    got = got.applyInArrow(add_scores, "key long, score double, n long, seen long")
     got = got.withColumnRenamed("key", "_key")
     share = (F.col("n_words") - 1) / F.col("n")  # below 1 for repeated rows, whose sums are together
     return base.join(got, F.col("key") == F.col("_key"), "left").select(
