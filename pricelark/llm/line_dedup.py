@@ -20,11 +20,16 @@ carried untouched.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from pricelark.llm.text import bounded, saved, settled, whole, words
+from pricelark.llm.near_copies import mix
+from pricelark.llm.text import bounded, rows, saved, settled, small_batches, whole, words
 
+ODD = np.uint64(0x9E3779B97F4A7C15)
 MIN_WORDS = 8
 BLOCKS = 2
 FEW = 200_000  # documents whose keys (two numbers) may be broadcast, counted first
@@ -36,9 +41,13 @@ def keyed(docs: DataFrame) -> DataFrame:
     return settled(docs.select("doc_id", whole().alias("t")).withColumn("tk", F.xxhash64("t")))
 
 
-def lines(d: DataFrame) -> DataFrame:
-    """One row per line with a word: doc_id, tk, line (from 0) and its words w."""
-    d = d.select("doc_id", "tk", F.posexplode(F.split("t", "\n")).alias("line", "x"))
+def lines(d: DataFrame, wanted: str | None = None) -> DataFrame:
+    """One row per line with a word: doc_id, tk, line (from 0) and its words w; only the numbers in
+    the array column `wanted`, if given."""
+    each = F.transform(F.split("t", "\n"), lambda x, i: F.struct(i.alias("line"), x.alias("x")))
+    if wanted:
+        each = F.filter(each, lambda x: F.array_contains(wanted, x["line"]))
+    d = d.select("doc_id", "tk", F.inline(each))
     return settled(d.select("doc_id", "tk", "line", words(F.col("x")).alias("w"))).filter(F.size("w") > 0)
 
 
@@ -69,17 +78,19 @@ def variant(w: Column, g: Column) -> Column:
     return F.xxhash64(F.slice(w, 1, g["start"]), F.lit("|"), F.slice(w, g["start"] + g["length"] + 1, F.size(w)))
 
 
-def fine_variants(w: Column, g: Column) -> Column:
-    """Keys of the run in the gap: itself at place -1, and without one word, with that word's place."""
-    run = F.slice(w, g["start"] + 1, g["length"])
-    own = F.struct(F.lit(-1).alias("place"), F.xxhash64(run).alias("k"))
-    less = F.transform(
-        F.sequence(F.lit(0), g["length"] - 1),
-        lambda i: F.struct(
-            i.alias("place"), F.xxhash64(F.concat(F.slice(run, 1, i), F.slice(run, i + 2, g["length"]))).alias("k")
-        ),
-    )
-    return F.concat(F.array(own), less)
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def fine_variants(runs: pd.Series) -> pd.Series:
+    """Hash of each run of word hashes, then its hashes without the first word, the second and so
+    on: sums of a hash per word and place, so all of them take time in proportion to the run."""
+
+    def one(run: np.ndarray) -> np.ndarray:
+        w, place = run.astype(np.int64).view(np.uint64), np.arange(len(run), dtype=np.uint64)
+        here = mix(w ^ mix(place + ODD))
+        moved = mix(w ^ mix(place - np.uint64(1) + ODD))  # one place further to the front
+        less = (np.cumsum(here) - here) + (moved.sum() - np.cumsum(moved))
+        return np.r_[here.sum(), less].view(np.int64)
+
+    return runs.map(one)
 
 
 def one_edit(a: Column, b: Column) -> Column:
@@ -101,16 +112,16 @@ def one_edit(a: Column, b: Column) -> Column:
 
 def near_earlier(found: DataFrame) -> DataFrame:
     """(id, other) of lines and an earlier line with an equal key; found: id, at, v, f (fine variants)."""
-    d = saved(found.select("id", "at", "v", F.explode("f").alias("f")).select("id", "at", "v", "f.place", "f.k"))
-    whole_run, less = d.filter("place < 0"), d.filter("place >= 0")
+    d = saved(found.select("id", "at", "v", F.posexplode("f").alias("place", "k")))
+    whole_run, less = d.filter("place = 0"), d.filter("place > 0")
     first = F.min(F.struct("at", "id")).alias("m")
     hits = [
         less.join(less.groupBy("v", "k", "place").agg(first), ["v", "k", "place"]),  # a word changed
         less.join(whole_run.groupBy("v", "k").agg(first), ["v", "k"]),  # a word more than the earlier line
         whole_run.join(less.groupBy("v", "k").agg(first), ["v", "k"]),  # a word less
     ]
-    rows = [h.filter(F.col("m.at") < F.col("at")).select("id", F.col("m.id").alias("other")) for h in hits]
-    return rows[0].union(rows[1]).union(rows[2]).distinct()
+    a, b, c = (h.filter(F.col("m.at") < F.col("at")).select("id", F.col("m.id").alias("other")) for h in hits)
+    return a.union(b).union(c).distinct()
 
 
 def verdicts(docs: DataFrame) -> DataFrame:
@@ -128,20 +139,24 @@ def verdicts(docs: DataFrame) -> DataFrame:
     at = F.struct("doc_id", "line", "tk")
     first = every.groupBy("id").agg(F.min(at).alias("at"), F.first("vs").alias("vs"))
     first = saved(first)
-    keys = first.select("id", "at", F.posexplode("vs").alias("j", "v"))
+    keys = first.select("id", "at", F.explode(F.array_distinct("vs")).alias("v"))
     shared = keys.groupBy("v").agg(F.count("*").alias("n")).filter("n > 1").select("v")
-    met = saved(keys.join(shared, "v"))
+    met = keys.join(shared, "v").groupBy("id", "at").agg(F.collect_set("v").alias("vs"))  # 2 * BLOCKS at most
+    met = saved(met)
     # the words of these lines, from the documents where they stand first
-    who = bounded(met.select(F.col("at.doc_id").alias("who"), F.col("at.tk").alias("of")).distinct(), FEW)
-    there = d.join(who, F.col("doc_id").eqNullSafe(F.col("who")) & (F.col("tk") == F.col("of")), "left_semi")
-    place = F.struct("doc_id", "line", "tk").alias("place")
-    texts = lines(there).select(place, identity(F.col("w")).alias("own"), "w")
-    needed = met.groupBy("id", "at").agg(F.collect_set("j").alias("js"))  # 2 * BLOCKS at most
-    texts = needed.join(texts, (F.col("id") == F.col("own")) & F.col("at").eqNullSafe(F.col("place")))
-    texts = saved(texts.groupBy("id").agg(F.first("at").alias("at"), F.first("w").alias("w"), F.first("js").alias("js")))
-    found = texts.withColumn("gs", gaps(F.col("w"))).select("id", "at", "w", "gs", F.explode("js").alias("j"))
-    found = settled(found.select("id", "at", "w", F.get("gs", F.col("j")).alias("g")))
-    found = found.select("id", "at", variant(F.col("w"), F.col("g")).alias("v"), fine_variants(F.col("w"), F.col("g")).alias("f"))
+    who = met.groupBy(F.col("at.doc_id").alias("who"), F.col("at.tk").alias("of")).agg(
+        F.collect_set("at.line").alias("wanted")
+    )
+    same = F.col("doc_id").eqNullSafe(F.col("who")) & (F.col("tk") == F.col("of"))
+    there = d.join(bounded(who, FEW), same).drop("who", "of")
+    texts = lines(there, "wanted").select(identity(F.col("w")).alias("own"), "w")
+    texts = met.join(texts, F.col("id") == F.col("own"))
+    texts = saved(texts.groupBy("id").agg(F.first("at").alias("at"), F.first("w").alias("w"), F.first("vs").alias("vs")))
+    found = settled(texts.select("id", "at", "w", "vs", F.explode(F.array_distinct(gaps(F.col("w")))).alias("g")))
+    found = settled(found.withColumn("v", variant(F.col("w"), F.col("g")))).filter(F.array_contains("vs", F.col("v")))
+    run = F.transform(F.slice("w", F.col("g.start") + 1, F.col("g.length")), lambda x: F.xxhash64(x))
+    small_batches(docs.sparkSession)
+    found = found.select("id", "at", "v", fine_variants(run).alias("f"))
     pairs = near_earlier(found)
     pairs = pairs.join(texts.select("id", F.col("w").alias("a")), "id")
     pairs = pairs.join(texts.select(F.col("id").alias("other"), F.col("w").alias("b")), "other")
@@ -158,9 +173,8 @@ def verdicts(docs: DataFrame) -> DataFrame:
 
 def counts(docs: DataFrame) -> DataFrame:
     """doc_id, n_lines (with words), n_exact, n_near (not exact as well), n_kept: a row a document."""
-    rows = F.count(F.when(F.col("line") < 0, 1))  # how often the document is in the table
     d = verdicts(docs).groupBy("doc_id", "tk").agg(
-        rows.alias("rows"),
+        F.count(F.when(F.col("line") < 0, 1)).alias("rows"),  # how often the document is in the table
         F.count("exact").alias("n_lines"),
         F.count(F.when(F.col("exact"), 1)).alias("n_exact"),
         F.count(F.when(~F.col("exact") & F.col("near"), 1)).alias("n_near"),
@@ -175,14 +189,12 @@ def deduped(docs: DataFrame) -> DataFrame:
     n_chars, if there, follows the text."""
     gone = verdicts(docs).filter("exact OR near").groupBy("doc_id", "tk").agg(F.collect_set("line").alias("_gone"))
     gone = gone.withColumnRenamed("doc_id", "_id").withColumnRenamed("tk", "_tk")
-    d = docs.join(
+    d = rows(docs).join(
         gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64(whole()) == F.col("_tk")), "left"
     )
     left = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("_gone", i))
     text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
-    d = settled(d.withColumn("text", text)).filter(
-        F.col("_gone").isNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]")
-    )
-    if "n_chars" in docs.columns:
-        d = d.withColumn("n_chars", F.when(F.col("_gone").isNull(), F.col("n_chars")).otherwise(F.length("text")))
-    return d.select(*[F.col(f"`{c}`") for c in docs.columns])
+    d = settled(d.select("row", "_gone", text.alias("new")))
+    d = d.filter(F.col("_gone").isNull() | F.col("new").rlike(r"[^\x20\x09-\x0D]"))
+    follow = {"text": F.col("new"), "n_chars": F.when(F.col("_gone").isNull(), F.col("row.n_chars")).otherwise(F.length("new")) if "n_chars" in docs.columns else None}
+    return d.select(*[follow[c].alias(c) if c in follow else F.col(f"row.`{c}`") for c in docs.columns])
