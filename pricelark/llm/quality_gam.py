@@ -54,6 +54,15 @@ def held_out(mod: int, rest: int) -> Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % mod == rest
 
 
+def least_hashes(d: DataFrame, rows: int, of: int) -> DataFrame:
+    """The `rows` rows of least hash of their id, out of about `of`. Most others are left out by
+    the hash alone, so that no task sends many rows to be sorted."""
+    slots = 1 << 20
+    near = min(slots, int(slots * (1.3 * rows + 1000) / max(of, 1)) + 1)
+    h = F.xxhash64("doc_id")
+    return d.filter(F.pmod(h, F.lit(slots)) < near).orderBy(F.pmod(h, F.lit(slots)), h, "doc_id").limit(rows)
+
+
 def tree(g: np.ndarray, h: np.ndarray, leaves: int = 4) -> np.ndarray:
     """Values per bin of the greedy tree of so many leaves, from sums of gradients and weights."""
     parts = [(0, len(g))]
@@ -168,7 +177,7 @@ def scored(docs: DataFrame, labels: DataFrame, mod: int = 3, rest: int = 1, samp
     names = list(FEATURES)
     known = labels.select("doc_id", F.col("quality").cast("double").alias("y")).filter("y IS NOT NULL")
     known = known.filter(~held_out(mod, rest)).dropDuplicates(["doc_id"])
-    rows = d.join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select("y", *names).toPandas()
+    rows = least_hashes(d.join(known, "doc_id"), sample, known.count()).select("y", *names).toPandas()
     model = fit(rows[names].to_numpy(float), rows["y"].to_numpy(float))
 
     @F.pandas_udf("double")
