@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pricelark.llm.text import bounded, digest, settled, whole
+from pricelark.llm.text import bounded, digest, rows, settled, whole
 
 WINDOW = 8
 LITERAL = 4
@@ -141,4 +141,4 @@ def leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFr
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs that no benchmark item leaks into, all columns as they were."""
     bad = bounded(leaks(docs, benchmark).select(F.col("text_digest").alias("_bad")).distinct())
-    return docs.join(bad, digest(whole()) == F.col("_bad"), "left_anti")
+    return rows(docs).join(bad, digest(whole()) == F.col("_bad"), "left_anti").select("row.*")

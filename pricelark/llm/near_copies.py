@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pricelark.llm.components import components
-from pricelark.llm.text import bounded, digest, saved, settled, small_batches, whole, words
+from pricelark.llm.text import bounded, digest, rows, saved, settled, small_batches, whole, words
 
 SHINGLE = 5
 ROUNDS = 12
@@ -257,9 +257,9 @@ def representatives(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     gone = bounded(c.filter("NOT first").select(F.col("doc_id").alias("_id"), F.col("text_digest").alias("_of")).distinct(), FEW)
     twice = c.filter("first AND text_digest IS NOT NULL").groupBy(*key).agg(F.count("*").alias("_n")).filter("_n > 1")
     twice = bounded(twice.select(F.col("doc_id").alias("_id"), F.col("text_digest").alias("_of")), FEW)
-    d = docs.withColumn("_digest", digest(whole()))
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_digest") == F.col("_of"))
+    d = rows(docs).select("row", "doc_id", digest(whole()).alias("text_digest"))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_digest") == F.col("_of"))
     left = d.join(gone, same, "left_anti")
     once = left.join(twice, same, "left_anti")
-    repeated = left.join(twice, same, "left_semi").dropDuplicates(["doc_id", "_digest"])
-    return once.union(repeated).drop("_digest")
+    repeated = left.join(twice, same, "left_semi").dropDuplicates(key)
+    return once.union(repeated).select("row.*")

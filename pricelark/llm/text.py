@@ -16,6 +16,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
 
+def rows(docs: DataFrame) -> DataFrame:
+    """Every row as struct `row`, with doc_id and text beside it: names in `row` cannot clash."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", "text")
+
+
 def whole(text: str | Column = "text") -> Column:
     """The text, a null one as empty."""
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))

@@ -30,6 +30,7 @@ from pricelark.llm.text import settled, small_batches, whole
 SAMPLE = 1500  # toxic documents, and three times as many others
 WORDS, STARTS = 1 << 22, 1 << 20  # sizes of the two weight tables
 RATIO, LEAST = 20.0, 0.01  # how much more frequent, and in what share of the toxic documents at least
+CHAIN = 1000  # tokens of a training chain; scoring does not cut texts
 EPOCHS, RATE, RIDGE = 30, 0.5, 1e-4
 
 
@@ -135,6 +136,9 @@ def fit(w: np.ndarray, s: np.ndarray, lengths: np.ndarray, toxic: np.ndarray) ->
         return model
     doc = np.repeat(np.arange(len(lengths)), lengths)
     y = token_labels(w, s, doc, toxic)
+    full = lengths
+    lengths = chunks(lengths)
+    doc = np.repeat(np.arange(len(lengths)), lengths)
     words, wi = np.unique(w, return_inverse=True)
     starts, si = np.unique(s, return_inverse=True)
     a, b, bias, moves = np.zeros(len(words)), np.zeros(len(starts)), -3.0, np.zeros((2, 2))
@@ -151,11 +155,20 @@ def fit(w: np.ndarray, s: np.ndarray, lengths: np.ndarray, toxic: np.ndarray) ->
         bias, moves = bias + RATE * r.sum() / np.sqrt(gc), moves + RATE * dm / np.sqrt(gm)
     model.words[words], model.starts[starts] = a, b
     model.bias, model.moves = float(bias), moves
-    x = summary(marginals(model.emission(w, s).astype(float), lengths, moves)[0], lengths)
+    x = summary(marginals(model.emission(w, s).astype(float), full, moves)[0], full)
     model.scale = logistic(x, toxic.astype(float))
     return model
 
 
+def chunks(lengths: np.ndarray) -> np.ndarray:
+    """Lengths of chains of at most CHAIN tokens that training cuts long texts into."""
+    n = -(-lengths // CHAIN)
+    last = np.cumsum(n)[n > 0] - 1
+    out = np.full(int(n.sum()), CHAIN)
+    out[last] = (lengths - (n - 1) * CHAIN)[n > 0]
+    return out
+
+
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     """Weights of a logistic regression, by Newton's method."""
     c = np.zeros(x.shape[1])
