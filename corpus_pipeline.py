@@ -7,7 +7,7 @@ executor costs one stage at most. The stages, each by one operator of pricelark.
 2. line dedup: lines that stood earlier, up to one word, go; a document left without words goes;
 3. near-dedup: one document of each class of near copies stays;
 4. decontamination: documents that a benchmark item leaks into go;
-5. mixing: the documents taken, with how many copies of each (`copies`).
+5. mixing: the documents taken, with how many copies of each (`copies`, instead of a column of that name).
 
 Null texts are rejected by the first stage. An empty table gives empty stages.
 """
@@ -42,7 +42,8 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mixed(docs).filter("copies > 0").select("row.*", F.col("copies"))
+    taken = mixing.mixed(docs).filter("copies > 0")
+    return taken.select(*[F.col(f"row.`{c}`") for c in docs.columns if c != "copies"], "copies")
 
 
 STAGES = [
