@@ -13,7 +13,8 @@ pairs are dealt by both words; its count comes from the table of single words. C
 most frequent words (at most COMMON) go to every task; scores that back off to any other word
 are dealt once more, by that word, and meet the rest of the table there.
 
-The parts are as many as spark.sql.shuffle.partitions, so their size is set with it.
+The parts are as many as spark.sql.shuffle.partitions, and more if a part would hold above
+PART_WORDS words otherwise.
 
 Documents of fewer than two words (null and empty texts too) have a null score. Repeated rows
 give equal rows, and count as one another's other occurrences do not: their own occurrences are
@@ -34,6 +35,7 @@ from pricelark.llm.text import saved, settled, small_batches, whole, words
 BACKOFF = 0.4
 HOT = 2000
 COMMON = 1 << 18
+PART_WORDS = 4_000_000  # of a part on average, which a task holds in memory
 HOT_BASE = 0xFFFF0000  # first numbers from here on stand for hot words
 LOW40 = np.uint64((1 << 40) - 1)
 PACKED = "p int, ids array<long>, sizes binary, b binary, c binary, k binary"
@@ -287,10 +289,10 @@ def scores(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_by_pair (words scored by a pair), sum_log and mean_log: a row a document."""
     spark = docs.sparkSession
     small_batches(spark)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     d = hashed(docs)
     counts = saved(word_counts(d))
     total = counts.agg(F.sum("n")).first()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // PART_WORDS + 1)
     base = d.select("doc_id", "key", F.size("h").cast("long").alias("n_words"))
     model = spark.sparkContext.broadcast(frequent(counts, max(total, 1)))
     pairs = d.filter(F.size("h") > 1).select("key", "h").mapInArrow(pair_batches(parts, model), PACKED)
