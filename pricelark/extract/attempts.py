@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from pricelark.extract.markup import response_facts
 from pricelark.functions.offers import offers_hash
-from pricelark.model import DETAIL_MAX, ESCALATABLE
+from pricelark.model import ESCALATABLE
 
 _FACTS = (
     "parsed boolean, pincode string, city string, error_code string, sold_out boolean,"
@@ -96,14 +96,6 @@ def read_responses(responses: DataFrame) -> DataFrame:
             "city": F.col("_f.city"),
             "error_code": F.col("_f.error_code"),
             "seller": F.coalesce("_f.seller_name", "_f.seller_id"),
-            "sample": F.when(
-                F.instr("json", '"pricing"') > 0,
-                F.substring(
-                    F.col("json"),
-                    F.greatest(F.lit(1), F.instr("json", '"pricing"') - 40),
-                    F.least(F.lit(40), F.instr("json", '"pricing"') - 1) + 600,
-                ),
-            ),
         }
     )
     unbuyable = F.coalesce(~F.col("available"), F.lit(False)) | F.coalesce(
@@ -194,15 +186,15 @@ def clean_sheet_item(text: Column) -> Column:
 
 
 def failure_fields(reason: Column, detail: Column) -> tuple[Column, Column]:
-    """Anything uncategorised is 'other'; the detail is cut to its column's length."""
-    return F.coalesce(reason, F.lit("other")), F.substring(detail, 1, DETAIL_MAX)
+    """Anything uncategorised is 'other'; the detail is kept whole."""
+    return F.coalesce(reason, F.lit("other")), detail
 
 
 def price_candidates() -> Column:
     """Every price signal of a check with its source."""
     found = {
         "jsonld": "price_json_ld",
-        "embedded-json": "price_embedded",
+        "embedded-json": "price_embedded_first",
         "html-winner": "price_html",
         "pincode-api": "api_price_paise",
     }
@@ -242,4 +234,9 @@ def audit_rows(outcomes: DataFrame) -> DataFrame:
         ).alias("offers"),
         F.col("_candidates").alias("priceCandidates"),
     )
-    return df.withColumn("debug", F.to_json(blob)).drop("_candidates", "offers")
+    facts = F.to_json(blob)
+    if "debug" in df.columns:  # facts are added to the object that is there
+        own = F.trim("debug")
+        members = F.regexp_extract(own, r"(?s)^\{\s*(.*\S)\s*\}$", 1)
+        facts = F.when(members != "", F.concat(F.lit("{"), members, F.lit(","), F.substring(facts, F.lit(2), F.length(facts)))).otherwise(facts)
+    return df.withColumn("debug", facts).drop("_candidates", "offers")

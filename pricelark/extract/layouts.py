@@ -63,7 +63,6 @@ WALLS_A = [
     ("listing_removed", r"(?is)Looking for something\?.*we can(?:'|no)t find that page"),
 ]
 PRODUCT_SIGNS_B = [r'"@type"\s*:\s*"Product"', r'"(?:finalPrice|sellingPrice)"\s*:']
-PRODUCT_SIZE_B = 150_000
 WALLS_B = [
     ("captcha", r"(?i)are you a human|unusual traffic|verify you'?re not a robot"),
     ("fetch_blocked", r"(?i)access denied|request blocked"),
@@ -84,7 +83,6 @@ OFFER_LINE_B = (
     "(?i)bank offer|special price|coupon|cashback|exchange|no cost emi|instant discount|partner offer"
 )
 OFFER_LABELS_B = {"EXCHANGE": "Exchange offer", "PBO": "Bank offer", "PBO_EMI": "No Cost EMI"}
-OFFERS_MAX_B = 40
 MRP_TOLERANCE = 1.005
 
 
@@ -359,7 +357,7 @@ def _finish(df: DataFrame, failures: list[tuple[Column, Column, Column]], market
     )
     ok = F.col("failure_reason").isNull()
     kept = [c for c in df.columns if c in ("check_id", "attempt", "tier", "url", "fetched_at", "page_id")]
-    extra = [c for c in ("price_html", "price_json_ld", "price_embedded", "resolved_location") if c in df.columns]
+    extra = [c for c in ("price_html", "price_json_ld", "price_embedded", "price_embedded_first", "resolved_location") if c in df.columns]
     return df.select(
         *kept,
         ok.alias("success"),
@@ -427,9 +425,8 @@ def _state_offer_rows() -> Column:
         known = F.exists(acc, lambda a: a["same"] == o["same"])
         return F.when(known, acc).otherwise(F.concat(acc, F.array(o)))
 
-    firsts = F.slice(F.aggregate(kept, none, add), 1, OFFERS_MAX_B)
     return F.transform(
-        firsts, lambda o: F.struct(o["label"].alias("label"), o["description"].alias("description"))
+        F.aggregate(kept, none, add), lambda o: F.struct(o["label"].alias("label"), o["description"].alias("description"))
     )
 
 
@@ -449,7 +446,7 @@ def extract_b(pages: DataFrame) -> DataFrame:
         blocks, lambda b: (b["@type"] == "Product") | b["@type"].rlike(r'^\[.*"Product".*\]$')
     )
     rupees = r"(₹\s?[\d,]+(?:\.\d{1,2})?)"
-    looks = F.length("html") > PRODUCT_SIZE_B
+    looks = F.lit(False)
     for sign in PRODUCT_SIGNS_B:
         looks = looks | F.col("html").rlike(sign)
     df = df.withColumns(
@@ -469,9 +466,9 @@ def extract_b(pages: DataFrame) -> DataFrame:
         {
             "name": F.coalesce(_blank(F.col("ld.name")), heading, titled),
             "price_json_ld": amount_paise(F.col("ld.offers.price")),
-            "price_embedded": F.coalesce(
-                *[amount_paise(_group(F.col("html"), p)) for p in EMBEDDED_PRICES_B]
-            ),
+            # the first pattern that matches decides, even if its match is no amount
+            "price_embedded": amount_paise(F.coalesce(*[_group(F.col("html"), p) for p in EMBEDDED_PRICES_B])),
+            "price_embedded_first": amount_paise(_group(F.col("html"), EMBEDDED_PRICES_B[0])),
             "price_element": amount_paise(_group(_one("price"), rupees)),
             "ld_stock": F.when(availability.rlike("(?i)InStock"), "in_stock").when(
                 availability.rlike("(?i)OutOfStock|SoldOut|Discontinued"), "out_of_stock"

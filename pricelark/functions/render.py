@@ -162,19 +162,23 @@ def chunks(text: Column, limit: int = CHUNK_MAX) -> Column:
     Works on lines packed by running length, so a long text costs time in proportion
     to its length.
     """
+    # a filler behind each character that counts as two; no part ends between the two
+    filled = F.regexp_replace(text, "([\\x{10000}-\\x{10FFFF}])", "$1\uffff")
+    runs = rf"(?s).{{1,{limit}}}(?!\uffff)"
+
+    def cut(line: Column) -> Column:
+        return F.regexp_extract_all(line, F.lit(runs), F.lit(0))
+
+    def bare(part: Column) -> Column:
+        return F.replace(part, F.lit("\uffff"), F.lit(""))
+
     pieces = F.flatten(
         F.transform(
-            F.split(text, "\n"),
+            F.split(filled, "\n"),
             lambda line: F.when(
-                units(line) > limit,
-                F.transform(
-                    F.sequence(F.lit(0), F.floor((F.length(line) - 1) / limit).cast("int")),
-                    lambda i: F.struct(
-                        F.substring(line, i * limit + 1, F.lit(limit)).alias("s"),
-                        F.lit(True).alias("whole"),
-                    ),
-                ),
-            ).otherwise(F.array(F.struct(line.alias("s"), F.lit(False).alias("whole")))),
+                F.length(line) > limit,
+                F.transform(cut(line), lambda s: F.struct(bare(s).alias("s"), F.lit(True).alias("whole"))),
+            ).otherwise(F.array(F.struct(bare(line).alias("s"), F.lit(False).alias("whole")))),
         )
     )
     kind = "struct<done:array<string>,cur:string>"
@@ -186,7 +190,7 @@ def chunks(text: Column, limit: int = CHUNK_MAX) -> Column:
         )
 
     def step(acc: Column, p: Column) -> Column:
-        cut = F.struct(F.concat(flush(acc), F.array(p["s"])).alias("done"), F.lit("").alias("cur"))
+        alone = F.struct(F.concat(flush(acc), F.array(p["s"])).alias("done"), F.lit("").alias("cur"))
         over = units(acc["cur"]) + units(p["s"]) + 1 > limit
         turn = F.struct(F.concat(acc["done"], F.array(acc["cur"])).alias("done"), p["s"].alias("cur"))
         grow = F.struct(
@@ -195,7 +199,7 @@ def chunks(text: Column, limit: int = CHUNK_MAX) -> Column:
             .otherwise(p["s"])
             .alias("cur"),
         )
-        return F.when(p["whole"], cut).when(over, turn).otherwise(grow).cast(kind)
+        return F.when(p["whole"], alone).when(over, turn).otherwise(grow).cast(kind)
 
     folded = F.aggregate(pieces, start, step, flush)
     return F.when(units(text) <= limit, F.array(text)).otherwise(folded)

@@ -184,10 +184,8 @@ MESSAGE_MAX = 4096
 AUDIT_RETENTION_DAYS = 14
 BATCH_PER_MARKETPLACE = 15
 STAGGER_SECONDS = 15
-CHART_ROW_CAP = 2000
 HELD_BATCH = 100
 HEARTBEAT_STALE_SECONDS = 120
-DETAIL_MAX = 500
 
 
 @dataclass(frozen=True)

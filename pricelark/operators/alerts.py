@@ -237,7 +237,45 @@ def product_state(
     limit: int | None = None,
 ) -> DataFrame:
     """Current state per product, folded from its log by partial aggregates."""
-    log = annotated(checks, settings, controls, limit)
+    return with_status(folded(annotated(checks, settings, controls, limit)))
+
+
+def continue_state(
+    checks: DataFrame,
+    settings: Settings,
+    running_state: DataFrame | None,
+    products: DataFrame | None,
+    limit: int | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """The next part of a log: (running state, product state) after it.
+
+    Both are stored between parts; only the new rows are read, and the products without
+    any are carried over.
+    """
+    log, running_state = continue_log(checks, settings, running_state, limit)
+    new = folded(log)
+    if products is None:
+        return running_state, with_status(new)
+    old = products.withColumn("was_auto_paused", F.when(F.col("status") == "paused_auto", F.lit(True)))
+    old = old.select([F.col(c).alias("old_" + c) for c in new.columns])
+    both = new.join(old, new["product_id"] == old["old_product_id"], "full")
+    least, most = {"low_paise"}, {"high_paise", "last_checked_at", "last_success_at", "last_changed_at"}
+
+    def merged(c: str) -> Column:
+        if c in least:
+            return F.least(c, "old_" + c)
+        return F.greatest(c, "old_" + c) if c in most else F.coalesce(c, "old_" + c)
+
+    return running_state, with_status(both.select([merged(c).alias(c) for c in new.columns]))
+
+
+def with_status(state: DataFrame) -> DataFrame:
+    paused = F.when(F.col("was_auto_paused"), "paused_auto").otherwise("active")
+    return state.withColumn("status", paused).drop("was_auto_paused")
+
+
+def folded(log: DataFrame) -> DataFrame:
+    """One row per product from annotated checks, by partial aggregates."""
     at = F.struct("checked_at", "check_id")
     changed = live() & (prev().isNull() | (prev() != price()))
     latch = (
@@ -266,10 +304,7 @@ def product_state(
         F.max(F.when(changed, F.col("checked_at"))).alias("last_changed_at"),
         F.max(F.when(F.col("auto_paused"), F.lit(True))).alias("was_auto_paused"),
         newest(F.col("failure_reason"), ~success()).alias("last_failure_reason"),
-    ).withColumn(
-        "status",
-        F.when(F.col("was_auto_paused"), "paused_auto").otherwise("active"),
-    ).drop("was_auto_paused")
+    )
 
 
 def history_rows(checks: CheckLog | DataFrame, settings: Settings, limit: int | None = None) -> DataFrame:

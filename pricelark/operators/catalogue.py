@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pricelark.functions.money import half_up
-from pricelark.model import CHART_ROW_CAP
 from pricelark.operators.slices import top_per_key
 
 # health filter -> condition; "failing" here ignores the status, the dashboard's does not
@@ -95,9 +94,16 @@ def matching(catalogue: DataFrame, q: CatalogueQuery) -> DataFrame:
 
 
 def page(df: DataFrame, order: list[Column], number: int, size: int, cap: int = 100) -> DataFrame:
-    """One page by offset; the size is capped so the top-k stays small."""
-    size = max(1, min(size, cap))
-    return df.orderBy(*order).offset((max(number, 1) - 1) * size).limit(size)
+    """One page by offset; a size above the cap is an error, so that the top-k stays small."""
+    within("page size", size, 1, cap)
+    within("page number", number, 1)
+    return df.orderBy(*order).offset((number - 1) * size).limit(size)
+
+
+def within(name: str, value: int, low: int, high: int | None = None) -> None:
+    """Refuse an argument out of its range rather than return fewer rows than asked for."""
+    if value < low or (high is not None and value > high):
+        raise ValueError(f"{name} {value} is not within {low}..{'' if high is None else high}")
 
 
 def catalogue_page(catalogue: DataFrame, q: CatalogueQuery) -> DataFrame:
@@ -105,9 +111,8 @@ def catalogue_page(catalogue: DataFrame, q: CatalogueQuery) -> DataFrame:
     found = matching(catalogue, q)
     order = [F.col("priority").asc_nulls_last(), sort_order(q.sort), F.col("product_id").asc()]
     total = found.agg(F.count("*").alias("total")).scalar()
-    size = max(1, min(q.page_size, 100))
-    return page(found, order, q.page, size).select(
-        "*", total.alias("total"), F.ceil(total / F.lit(size)).alias("pages")
+    return page(found, order, q.page, q.page_size).select(
+        "*", total.alias("total"), F.ceil(total / F.lit(q.page_size)).alias("pages")
     )
 
 
@@ -117,7 +122,8 @@ def history_page(
     """One page of every product's history, newest first."""
     rows = checks.filter(~F.col("success")) if failed_only else checks
     order = [F.col("checked_at").desc(), F.col("check_id").desc()]
-    size = max(1, min(size, 200))
+    within("page size", size, 1, 200)
+    within("page number", number, 1)
     ranked = top_per_key(rows, ["product_id"], order, size * number)
     return ranked.filter(F.col("rn") > size * (number - 1))
 
@@ -138,15 +144,18 @@ def history_after(checks: DataFrame, at: Column, check_id: Column, size: int) ->
 
 def trailing(df: DataFrame, at: str, now: Column, days: int) -> DataFrame:
     """Rows of the last ``days`` days up to ``now`` (1..3650)."""
-    days = max(1, min(days, 3650))
+    within("days", days, 1, 3650)
     return df.filter((F.col(at) >= now - F.make_dt_interval(days=F.lit(days))) & (F.col(at) <= now))
 
 
-def chart_rows(checks: DataFrame, now: Column, days: int, cap: int = CHART_ROW_CAP) -> DataFrame:
-    """The chart's rows per product: ascending and capped, so the newest drop out."""
+def chart_rows(checks: DataFrame, now: Column, days: int, cap: int | None = None) -> DataFrame:
+    """The chart's rows of the range. With a cap, the oldest of each product and `truncated`."""
     window = trailing(checks, "checked_at", now, days)
+    if cap is None:
+        return window.withColumn("truncated", F.lit(False))
     order = [F.col("checked_at").asc(), F.col("check_id").asc()]
-    return top_per_key(window, ["product_id"], order, cap).drop("rn")
+    sizes = window.groupBy("product_id").agg((F.count("*") > cap).alias("truncated"))
+    return top_per_key(window, ["product_id"], order, cap).drop("rn").join(sizes, "product_id")
 
 
 def chart_points(rows: DataFrame) -> DataFrame:

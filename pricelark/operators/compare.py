@@ -39,9 +39,15 @@ def pair_series(products: DataFrame, points: DataFrame) -> DataFrame:
         ids.drop("b_id"), "pair_id", "left_semi"
     )
     first = F.col("product_id") == F.col("pair_id")
+
+    def newest(side: Column) -> Column:
+        """The side's last price of the time: of equal times, that of the greatest check id."""
+        last = F.struct("check_id", "price_paise") if "check_id" in points.columns else F.struct("price_paise")
+        return F.max(F.when(side & F.col("price_paise").isNotNull(), last))["price_paise"]
+
     return tagged.groupBy("pair_id", F.col("checked_at").alias("t")).agg(
-        F.max(F.when(first, F.col("price_paise"))).alias("a_paise"),
-        F.max(F.when(~first, F.col("price_paise"))).alias("b_paise"),
+        newest(first).alias("a_paise"),
+        newest(~first).alias("b_paise"),
     )
 
 

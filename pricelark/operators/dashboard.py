@@ -84,8 +84,18 @@ def deletion_impact(products: DataFrame, checks: DataFrame, alerts: DataFrame) -
     )
 
 
-def cycle_report(checks: DataFrame, cycle: Column) -> DataFrame:
-    """Checked, succeeded and failed per cycle."""
+def cycle_report(checks: DataFrame, cycle: Column, due: DataFrame | None = None) -> DataFrame:
+    """Checked, succeeded and failed per cycle; with ``due(cycle, due)``, how many were due."""
+    report = _cycles(checks, cycle)
+    if due is None:
+        return report
+    counted = due.groupBy(F.col("cycle").alias("_cycle")).agg(F.sum("due").cast("bigint").alias("due"))
+    return (
+        report.join(counted, F.col("cycle") == F.col("_cycle"), "left").drop("_cycle").na.fill(0, ["due"])
+    )
+
+
+def _cycles(checks: DataFrame, cycle: Column) -> DataFrame:
     return checks.groupBy(cycle.alias("cycle")).agg(
         F.count("*").alias("checked"),
         F.count_if("success").alias("succeeded"),
@@ -95,14 +105,17 @@ def cycle_report(checks: DataFrame, cycle: Column) -> DataFrame:
     )
 
 
-def system_status(checks: DataFrame, cycle: Column, now: Column) -> DataFrame:
+def system_status(checks: DataFrame, cycle: Column, now: Column, due: DataFrame | None = None) -> DataFrame:
     """One row: the last cycle's bookkeeping and the 7-day success rate."""
-    done = cycle_report(checks.filter(F.col("checked_at") <= now), cycle)
-    newest = F.max(F.struct("cycle", "started_at", "ended_at", "checked", "succeeded", "failed"))
+    done = cycle_report(checks.filter(F.col("checked_at") <= now), cycle, due)
+    if due is None:
+        done = done.withColumn("due", F.lit(None).cast("bigint"))
+    newest = F.max(F.struct("cycle", "started_at", "ended_at", "due", "checked", "succeeded", "failed"))
     rate = success_rate(checks, now).select("success_rate").scalar()
     return done.agg(newest.alias("m")).select(
         F.col("m.started_at").alias("last_cycle_started_at"),
         F.col("m.ended_at").alias("last_cycle_ended_at"),
+        F.col("m.due").alias("last_cycle_due"),
         F.col("m.checked").alias("last_cycle_checked"),
         F.col("m.succeeded").alias("last_cycle_succeeded"),
         F.col("m.failed").alias("last_cycle_failed"),

@@ -19,7 +19,6 @@ KEY = ["product_id", "type"]
 SESSION_LIMIT = 1000
 """Alerts of one burst folded in a single row; longer bursts go by pointer doubling."""
 
-GROUP_LIMIT = 50
 """Alerts of one message; larger groups are split."""
 
 
@@ -284,32 +283,19 @@ def held_summaries(held: DataFrame, size: int = HELD_BATCH, limit: int | None =
     )
 
 
-def grouped_messages(
-    alerts: DataFrame, order: str, size: int = GROUP_LIMIT, bounded: bool = False
-) -> DataFrame:
-    """Alerts of one product and time as one message, joined by blank lines.
+def grouped_messages(alerts: DataFrame, order: str) -> DataFrame:
+    """Alerts of one product and time as one message in order, joined by blank lines.
 
-    A group above ``size`` alerts is split by hash into messages of about that size.
-    ``bounded`` says the alerts come from one check each, so a group is at most the
-    number of rules and need not be measured.
+    A group is what one check fired; its message is one text, so it is built in one row.
     """
-    keys = ["subject", "fired_at"]
-    named = alerts.withColumn(
-        "subject", F.coalesce(F.col("product_id").cast("string"), F.lit("system"))
-    )
-    big = named.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > size)
-    if bounded or big.isEmpty():
-        parts = named.withColumn("part", F.lit(0).cast("bigint"))
-    else:
-        salt = F.pmod(F.xxhash64(order), F.ceil(F.col("_n") / size))
-        parts = named.join(big, keys, "left").withColumn("part", F.coalesce(salt, F.lit(0)))
+    subject = F.coalesce(F.col("product_id").cast("string"), F.lit("system"))
     entry = F.struct(F.col(order).alias("o"), F.col("message").alias("m"))
-    grouped = parts.groupBy(*keys, "part").agg(
+    grouped = alerts.groupBy(subject.alias("subject"), "fired_at").agg(
         F.array_sort(F.collect_list(entry)).alias("_e"), F.count("*").alias("alerts")
     )
     return grouped.select(
-        *keys,
-        "part",
+        "subject",
+        "fired_at",
         "alerts",
         F.array_join(F.transform("_e", lambda e: e["m"]), "\n\n").alias("message"),
     )

@@ -11,9 +11,11 @@ KIND_COLUMNS = ["http_page", "browser_page", "pincode_api", "cookie_mint", "side
 
 
 def window_days(days: float | None) -> int:
-    """Whole days, 14 when unset, kept within 1..60."""
-    rounded = int((days or 0) + 0.5)
-    return min(max(rounded or 14, 1), 60)
+    """Whole days, 14 when unset; outside 1..60 is an error."""
+    rounded = int((days or 0) + 0.5) or 14
+    if not 1 <= rounded <= 60:
+        raise ValueError(f"a window of {rounded} days is not within 1..60")
+    return rounded
 
 
 BLOB = "proxy struct<byKind: map<string, struct<wireBytes: bigint>>>"

@@ -17,6 +17,7 @@ from pricelark.plans.registry import (
     query,
     sql,
 )
+from pricelark.sources.sinks import saved_rows
 from pricelark.sources import tables as M
 
 SETTINGS = Settings()
@@ -193,6 +194,25 @@ def product_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.withColumn("current_offers", _texts("current_offers"))
 
 
+@query(
+    "product_state_parts",
+    sql(
+        STATE_SQL,
+        "SELECT * EXCLUDE (current_offers), array_to_string(current_offers, '; ') AS current_offers FROM state",
+    ),
+)
+def product_state_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same state from three parts of the log, each continuing from the stored state."""
+    checks = M.checks(spark, sf_dir)
+    cuts = ["1000-01-01", "1995-01-01", "1998-01-01", "9999-01-01"]
+    running_state = products = None
+    for start, end in zip(cuts, cuts[1:], strict=False):
+        part = checks.filter((F.col("checked_at") >= start) & (F.col("checked_at") < end))
+        running_state, products = A.continue_state(part, SETTINGS, running_state, products)
+        running_state, products = saved_rows(running_state), saved_rows(products)
+    return products.withColumn("current_offers", _texts("current_offers"))
+
+
 @query(
     "all_time_low_high",
     sql(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pricelark.extract.attempts import audit_rows, failure_fields
 from pricelark.model import Settings
 from pricelark.operators import alerts as A
 from pricelark.operators import catalogue as C
@@ -193,10 +194,8 @@ def history_keyset(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _CHART_SQL = (
     CHECKS_SQL
-    + """, chart AS (SELECT * FROM (
-      SELECT *, row_number() OVER (PARTITION BY product_id ORDER BY checked_at, check_id) AS rn FROM checks
-      WHERE checked_at >= TIMESTAMP '2001-09-01' - INTERVAL 365 DAY AND checked_at <= TIMESTAMP '2001-09-01')
-      WHERE rn <= 2000)"""
+    + """, chart AS (SELECT * FROM checks
+      WHERE checked_at >= TIMESTAMP '2001-09-01' - INTERVAL 365 DAY AND checked_at <= TIMESTAMP '2001-09-01')"""
 )
 
 
@@ -324,17 +323,26 @@ def deletion_impact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.deletion_impact(M.products(spark, sf_dir), log.checks, A.alerts(log, SETTINGS))
 
 
+def _due(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is due in a daily cycle: the products checked the day before, a row per cycle."""
+    day = F.date_trunc("DAY", F.col("checked_at")) + F.expr("INTERVAL 1 DAY")
+    return M.checks(spark, sf_dir).groupBy(day.alias("cycle")).agg(F.count_distinct("product_id").alias("due"))
+
+
 @query(
     "cycle_report",
     sql(
         CHECKS_SQL,
-        """SELECT date_trunc('day', checked_at) AS cycle, count(*) AS checked, count(*) FILTER (success) AS succeeded,
+        """, due AS (SELECT date_trunc('day', checked_at) + INTERVAL 1 DAY AS cycle, count(DISTINCT product_id) AS due
+          FROM checks GROUP BY 1),
+        report AS (SELECT date_trunc('day', checked_at) AS cycle, count(*) AS checked, count(*) FILTER (success) AS succeeded,
           count(*) FILTER (NOT success) AS failed, min(checked_at) AS started_at, max(checked_at) AS ended_at
-        FROM checks GROUP BY 1""",
+        FROM checks GROUP BY 1)
+        SELECT report.*, CAST(coalesce(due, 0) AS BIGINT) AS due FROM report LEFT JOIN due USING (cycle)""",
     ),
 )
 def cycle_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    report = D.cycle_report(M.checks(spark, sf_dir), F.date_trunc("DAY", F.col("checked_at")))
+    report = D.cycle_report(M.checks(spark, sf_dir), F.date_trunc("DAY", F.col("checked_at")), _due(spark, sf_dir))
     return report.withColumn("cycle", F.col("cycle").cast("timestamp"))
 
 
@@ -347,13 +355,15 @@ def cycle_report(spark: SparkSession, sf_dir: str) -> DataFrame:
           WHERE checked_at >= TIMESTAMP '2001-09-01' - INTERVAL 7 DAY AND checked_at <= TIMESTAMP '2001-09-01')
         SELECT min(checked_at) AS last_cycle_started_at, max(checked_at) AS last_cycle_ended_at, count(*) AS last_cycle_checked,
           count(*) FILTER (success) AS last_cycle_succeeded, count(*) FILTER (NOT success) AS last_cycle_failed,
-          any_value(CASE WHEN total > 0 THEN floor(CAST(ok AS DOUBLE) / total * 10000.0 + 0.5) / 100.0 END) AS success_rate_7d
+          any_value(CASE WHEN total > 0 THEN floor(CAST(ok AS DOUBLE) / total * 10000.0 + 0.5) / 100.0 END) AS success_rate_7d,
+          (SELECT count(DISTINCT product_id) FROM checks, last
+            WHERE date_trunc('day', checked_at) = date_trunc('day', t) - INTERVAL 1 DAY) AS last_cycle_due
         FROM checks, last, week WHERE date_trunc('day', checked_at) = date_trunc('day', t) AND checked_at <= TIMESTAMP '2001-09-01'""",
     ),
 )
 def system_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     cycle = F.date_trunc("DAY", F.col("checked_at"))
-    return D.system_status(M.checks(spark, sf_dir), cycle, M.as_of())
+    return D.system_status(M.checks(spark, sf_dir), cycle, M.as_of(), _due(spark, sf_dir))
 
 
 @query(
@@ -416,6 +426,30 @@ def proxy_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.orderBy(F.col("wire_bytes").desc(), F.col("product_id").asc())
 
 
+@query(
+    "audit_usage",
+    sql(
+        PRODUCTS_SQL + "," + _USAGE_SQL,
+        """SELECT usage.* EXCLUDE (is_total), coalesce(display_name, CAST(product_id AS VARCHAR)) AS display_name,
+          coalesce(marketplace, '') AS marketplace
+        FROM usage LEFT JOIN products USING (product_id) WHERE is_total = 0""",
+    ),
+)
+def audit_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The usage report from our own audit rows, whose blob keeps what came in."""
+    none = F.lit(None).cast("bigint")
+    outcomes = M.audit_log(spark, sf_dir).withColumns(
+        {
+            "name": F.lit(None).cast("string"),
+            "price_source": F.lit(None).cast("string"),
+            "offers": F.array().cast("array<struct<type:string,description:string>>"),
+            **{c: none for c in ("price_html", "price_json_ld", "price_embedded_first", "api_price_paise")},
+        }
+    )
+    rows = U.usage(audit_rows(outcomes), M.products(spark, sf_dir), M.as_of(M.EVENTS_AS_OF), None)
+    return rows
+
+
 @query(
     "proxy_usage_rollup",
     sql(_USAGE_SQL, "SELECT * EXCLUDE (is_total), CAST(is_total AS INTEGER) AS is_total FROM usage"),
@@ -667,3 +701,29 @@ def cheaper_share(spark: SparkSession, sf_dir: str) -> DataFrame:
 def parse_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
     market = F.when(F.col("product_id") % 2 == 0, "amazon_in").otherwise("flipkart")
     return P.parse_collapse(M.checks(spark, sf_dir).withColumn("marketplace", market), 1, 0.7)
+
+
+@query(
+    "product_lookup",
+    sql(PRODUCTS_SQL, "SELECT product_id, display_name, category, marketplace FROM products WHERE product_id = 42"),
+)
+def product_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = C.by_id(M.products(spark, sf_dir), 42)
+    return found.select("product_id", "display_name", "category", "marketplace")
+
+
+@query(
+    "failure_details",
+    sql(
+        CHECKS_SQL,
+        """SELECT check_id, coalesce(nullif(failure_reason, 'captcha'), 'other') AS reason,
+          'attempt of ' || duration_ms || ' ms' AS detail FROM checks WHERE NOT success""",
+    ),
+)
+def failure_details(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Failed checks with their reason, or 'other' where none is known."""
+    failed = M.checks(spark, sf_dir).filter(~F.col("success"))
+    known = F.nullif("failure_reason", F.lit("captcha"))  # stands in for uncategorised ones
+    said = F.concat(F.lit("attempt of "), F.col("duration_ms").cast("string"), F.lit(" ms"))
+    reason, detail = failure_fields(known, said)
+    return failed.select("check_id", reason.alias("reason"), detail.alias("detail"))

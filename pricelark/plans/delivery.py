@@ -167,7 +167,7 @@ def alert_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     # whole hours stand in for one check's time, so that groups have several alerts
     log = M.logged_alerts(spark, sf_dir).withColumn("message", _short_message())
     hourly = log.withColumn("fired_at", F.date_trunc("HOUR", "fired_at"))
-    return H.grouped_messages(hourly, "alert_id").drop("part")
+    return H.grouped_messages(hourly, "alert_id")
 
 
 @query(
@@ -285,7 +285,7 @@ def outbox(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every check's alerts rendered into one message."""
     found = A.alerts(M.check_log(spark, sf_dir), SETTINGS)
     rendered = G.rendered(found, M.products(spark, sf_dir), SETTINGS)
-    return H.grouped_messages(rendered, "rule", bounded=True).drop("part")
+    return H.grouped_messages(rendered, "rule")
 
 
 @query(
@@ -313,15 +313,17 @@ def outbox(spark: SparkSession, sf_dir: str) -> DataFrame:
              WHEN cur + length(s) + 1 > {CHUNK_MAX} THEN closed + 1 ELSE closed END AS BIGINT)
       FROM walk JOIN p ON p.doc_id = walk.doc_id AND p.n = walk.n + 1),
     long AS (SELECT walk.doc_id, chunk, count(*) AS lines FROM walk GROUP BY 1, 2)
-    SELECT doc_id, count(*) AS parts FROM (SELECT doc_id, chunk FROM long
-      WHERE EXISTS (SELECT 1 FROM walk w JOIN p USING (doc_id, n) WHERE w.doc_id = long.doc_id AND w.chunk = long.chunk AND length(s) > 0))
+    SELECT doc_id, count(*) AS parts, (SELECT max(CASE WHEN whole THEN length(s) ELSE cur END) FROM walk w JOIN p USING (doc_id, n)
+        WHERE w.doc_id = parted.doc_id) AS longest FROM (SELECT doc_id, chunk FROM long
+      WHERE EXISTS (SELECT 1 FROM walk w JOIN p USING (doc_id, n) WHERE w.doc_id = long.doc_id AND w.chunk = long.chunk AND length(s) > 0)) AS parted
       GROUP BY doc_id
-    UNION ALL SELECT doc_id, 1 FROM base WHERE n <= {CHUNK_MAX}""",
+    UNION ALL SELECT doc_id, 1, n FROM base WHERE n <= {CHUNK_MAX}""",
 )
 def outbox_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = M.spread(M.table(spark, sf_dir, "documents"))
     parts = F.filter(render.chunks(F.col("text")), lambda c: c != "")
-    return docs.select("doc_id", F.size(parts).cast("bigint").alias("parts"))
+    longest = F.array_max(F.transform(parts, render.units)).cast("bigint")
+    return docs.select("doc_id", F.size(parts).cast("bigint").alias("parts"), longest.alias("longest"))
 
 
 @query(

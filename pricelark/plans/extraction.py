@@ -204,13 +204,13 @@ def page_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     r"""SELECT page_id, CASE WHEN regexp_matches(html, '(?i)validateCaptcha|Type the characters you see in this image') THEN 'captcha'
        WHEN regexp_matches(html, '(?i)To discuss automated access to Amazon data|api-services-support@amazon\.com') THEN 'fetch_blocked'
        WHEN regexp_matches(html, '(?is)Looking for something\?.*we can(?:''|no)t find that page') THEN 'listing_removed' END AS wall_a,
-     CASE WHEN NOT (length(html) > 150000 OR regexp_matches(html, '"@type"\s*:\s*"Product"') OR regexp_matches(html, '"(?:finalPrice|sellingPrice)"\s*:')) THEN
+     CASE WHEN NOT (regexp_matches(html, '"@type"\s*:\s*"Product"') OR regexp_matches(html, '"(?:finalPrice|sellingPrice)"\s*:')) THEN
        CASE WHEN regexp_matches(html, '(?i)are you a human|unusual traffic|verify you''?re not a robot') THEN 'captcha'
          WHEN regexp_matches(html, '(?i)access denied|request blocked') THEN 'fetch_blocked'
          WHEN regexp_matches(html, '(?i)this page (?:is|was) unavailable|product (?:is )?no longer available') THEN 'listing_removed' END END AS wall_b FROM pages""",
 )
 def page_walls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    looks = F.length("html") > layouts.PRODUCT_SIZE_B
+    looks = F.lit(False)
     for sign in layouts.PRODUCT_SIGNS_B:
         looks = looks | F.col("html").rlike(sign)
     return M.table(spark, sf_dir, "pages").select(
@@ -336,7 +336,7 @@ def audit_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
             "price_source": F.when(F.col("price_paise").isNotNull(), "buy-box"),
             "price_html": F.col("price_paise"),
             "price_json_ld": none,
-            "price_embedded": none,
+            "price_embedded_first": none,
             "api_price_paise": none,
         }
     )

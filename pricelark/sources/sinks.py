@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pricelark.functions.clock import local_date
 from pricelark.operators.usage import fixed
+from pricelark.session import ensure_checkpoint_dir
 
 ISO = "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"
 
@@ -224,24 +226,40 @@ def export_alerts(alerts: DataFrame, products: DataFrame) -> DataFrame:
     )
 
 
+def _new_rows(rows: DataFrame, path: str, folder: str, key: str) -> DataFrame:
+    """The rows whose key is not yet in the folders that they would be written to, each once.
+
+    Only those folders are read; a rerun finds all its rows there and writes nothing."""
+    spark = rows.sparkSession
+    rows = saved_rows(rows.dropDuplicates([key]))  # folders and rows must come from one reading
+    schema = rows.select(key, folder).schema  # folder names stay text, whatever they look like
+    try:
+        there = spark.read.schema(schema).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return rows
+    touched = rows.select(folder).distinct()
+    there = there.join(touched, folder, "left_semi")
+    # the table is read before it is written to
+    return saved_rows(rows.join(there, [folder, key], "left_anti"))
+
+
+def saved_rows(df: DataFrame) -> DataFrame:
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def append_history(history: DataFrame, path: str) -> None:
-    """Exactly one row per check, in month folders."""
-    month = F.date_format("checked_at", "yyyy-MM")
-    rows = history.withColumn("checked_month", month)
+    """Exactly one row per check, in month folders, also when a batch is written again."""
+    rows = history.withColumn("checked_month", F.date_format("checked_at", "yyyy-MM"))
+    rows = _new_rows(rows, path, "checked_month", "check_id")
     # each task writes its months; a month is not gathered into one task
     rows.write.mode("append").partitionBy("checked_month").parquet(path)
 
 
 def append_audit(audit: DataFrame, path: str) -> None:
-    day = local_date(F.col("created_at"), "UTC")
-    audit.withColumn("created_date", day).write.mode("append").partitionBy("created_date").parquet(
-        path
-    )
-
-
-def upsert_state(old: DataFrame | None, new: DataFrame) -> DataFrame:
-    """Latest row per product of old and new state, by its last check."""
-    both = new if old is None else old.unionByName(new)
-    cols = [c for c in both.columns if c != "product_id"]
-    newest = F.max(F.struct("last_checked_at", F.struct(*cols).alias("r")))
-    return both.groupBy("product_id").agg(newest.alias("m")).select("product_id", "m.r.*")
+    """One row per audit id, in day folders, also when a batch is written again."""
+    rows = audit.withColumn("created_date", local_date(F.col("created_at"), "UTC").cast("string"))
+    rows = _new_rows(rows, path, "created_date", "audit_id")
+    rows.write.mode("append").partitionBy("created_date").parquet(path)

@@ -39,8 +39,16 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def run_stateful(stream: DataFrame, step: Step, folder: str) -> StreamingQuery:
-    """Run ``step(batch, state) -> (output, new state)`` over everything available."""
+LATE = "late"
+
+
+def run_stateful(stream: DataFrame, step: Step, folder: str, **trigger: object) -> StreamingQuery:
+    """Run ``step(batch, state) -> (output, new state)`` per micro-batch.
+
+    ``trigger`` is passed on, for example ``processingTime="30 seconds"``; without, everything
+    available is processed and the query ends. Output rows of type 'late' go to a table of
+    their own.
+    """
 
     def process(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
@@ -48,7 +56,8 @@ def run_stateful(stream: DataFrame, step: Step, folder: str) -> StreamingQuery:
         batch = batch.persist()
         try:
             output, new_state = step(batch, state)
-            output.write.mode("overwrite").parquet(f"{folder}/table/batch_id={batch_id}")
+            for name, rows in split_late(output).items():
+                rows.write.mode("overwrite").parquet(f"{folder}/{name}/batch_id={batch_id}")
             new_state.write.mode("overwrite").parquet(f"{folder}/state/{batch_id}")
         finally:
             batch.unpersist()
@@ -56,11 +65,23 @@ def run_stateful(stream: DataFrame, step: Step, folder: str) -> StreamingQuery:
     return (
         stream.writeStream.foreachBatch(process)
         .option("checkpointLocation", f"{folder}/checkpoint")
-        .trigger(availableNow=True)
+        .trigger(**(trigger or {"availableNow": True}))
         .start()
     )
 
 
+def split_late(output: DataFrame) -> dict[str, DataFrame]:
+    if "type" not in output.columns:
+        return {"table": output}
+    late = F.coalesce(F.col("type") == LATE, F.lit(False))
+    return {"table": output.filter(~late), LATE: output.filter(late)}
+
+
+def late_of(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows that came too late to be folded."""
+    return spark.read.parquet(f"{folder}/{LATE}").drop("batch_id")
+
+
 def table_of(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/table").drop("batch_id")
 
@@ -86,7 +107,7 @@ def alert_step(settings: Settings, limit: int | None = None) -> Step:
         rows, new_state = continue_log(batch, settings, state, limit)
         found = evaluate(rows, settings)
         passed = late.select(
-            "product_id", "check_id", F.col("checked_at").alias("fired_at"), F.lit("late").alias("type")
+            "product_id", "check_id", F.col("checked_at").alias("fired_at"), F.lit(LATE).alias("type")
         )
         return found.unionByName(passed, allowMissingColumns=True), new_state
 

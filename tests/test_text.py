@@ -216,6 +216,15 @@ def test_wide_characters_count_double(one):
     assert len(one(render.chunks(F.col("t"), 10), t="🎯🎯🎯\n🎯🎯🎯")) == 2
 
 
+@pytest.mark.parametrize("text", ["🎯" * 23, "a" + "🎯" * 12 + "b\n" + "c🎯" * 9, "x" * 9 + "🎯" + "y" * 9])
+def test_parts_fit_in_units_and_hold_every_character(one, text):
+    got = one(render.chunks(F.col("t"), 10), t=text)
+    assert all(len(c.encode("utf-16-le")) <= 20 for c in got)
+    assert "".join(got).replace("\n", "") == text.replace("\n", "")
+    # a part ends only where the next character would not fit, or at a line end
+    assert len(got[0].encode("utf-16-le")) >= 18
+
+
 def test_template_is_filled_once_and_unknown_names_vanish(one):
     text = render.fill("{{ a }}-{{b}}-{{nope}}!", {"a": F.lit("{{b}}"), "b": F.lit("x")})
     assert one(text) == "{{b}}-x-!"
@@ -270,4 +279,7 @@ def test_labels(one):
     assert one(U.bytes_label(F.lit(80_250_000))) == "80.3 MB"
     assert one(U.bytes_label(F.lit(999))) == "999 B"
     assert one(U.interval_label(F.lit(90))) == "1h 30m"
-    assert [U.window_days(d) for d in (None, 0, 0.4, 7.5, 900, -3)] == [14, 14, 14, 8, 60, 1]
+    assert [U.window_days(d) for d in (None, 0, 0.4, 7.5, 60)] == [14, 14, 14, 8, 60]
+    for days in (900, -3):
+        with pytest.raises(ValueError):
+            U.window_days(days)
