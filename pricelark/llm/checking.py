@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pricelark.llm import quality_rules
+from pricelark.llm import decontaminate, license_rules, license_scan, quality_rules
 
 SQL: dict[str, str] = {}
 
@@ -116,3 +116,90 @@ g AS (SELECT f.k, u.p < (f.doc_id, f.i) AS exact, c.w IS NOT NULL AS near
 SELECT doc_id, count(exact) AS n_lines, count(*) FILTER (exact) AS n_exact, count(*) FILTER (near AND NOT exact) AS n_near,
   count(*) FILTER (NOT near AND NOT exact) AS n_kept
 FROM d LEFT JOIN g USING (k) GROUP BY k, doc_id"""
+
+
+def _decontaminate() -> str:
+    """Windows of template tokens of documents and items, joined as lists."""
+    number, unit, name = decontaminate.NUMBER, decontaminate.UNIT, decontaminate.NAME
+    t = "coalesce(text, '')"
+    for pattern, into, _ in decontaminate.STEPS:
+        into = into.replace("$1", r"\1").replace("$2", r"\2").replace("$3", r"\3")
+        t = f"regexp_replace({t}, '{pattern}', '{into}', 'g')"
+    tokens = f"list_filter(string_split_regex(lower({t}), '(?:{decontaminate.BREAK})+'), lambda x: x <> '')"
+    size = decontaminate.WINDOW
+    slot = f"x[1] IN ('{number}', '{unit}', '{name}')"
+
+    def windows(table: str, key: str) -> str:
+        return f"""
+        (SELECT {key}, i, v[i + 1:i + {size}] AS win, list_filter(w[i + 1:i + {size}], lambda x: {slot}) AS slots FROM (
+          SELECT {key}, w, list_transform(w, lambda x: CASE WHEN {slot} THEN x[1] ELSE x END) AS v, unnest(range(0, len(w) - {size - 1})) AS i FROM (
+            SELECT {key}, CASE WHEN len(w) BETWEEN 1 AND {size - 1} THEN list_resize(w, {size}, '') ELSE w END AS w FROM (
+              SELECT {key}, {tokens} AS w FROM {table}))))"""
+
+    literal = size - decontaminate.LITERAL
+    return f"""
+    WITH d AS (SELECT * FROM {windows("documents", "doc_id")} WHERE len(slots) <= {literal}),
+    b AS (SELECT *, count(DISTINCT win) OVER (PARTITION BY item_id) AS n_windows FROM {windows("benchmark", "item_id")}
+          WHERE len(slots) <= {literal}),
+    m AS (SELECT doc_id, item_id, n_windows, win, d.i AS place, list_zip(b.slots, d.slots) AS links FROM d JOIN b USING (win)),
+    l AS (SELECT doc_id, item_id, count(DISTINCT x) AS n, count(DISTINCT x[1]) AS n1, count(DISTINCT x[2]) AS n2,
+            bool_and(x[1] = x[2]) AS same FROM (SELECT doc_id, item_id, unnest(links) AS x FROM m) GROUP BY ALL),
+    f AS (SELECT doc_id, item_id, count(DISTINCT win) AS n_matched, CAST(any_value(n_windows) AS BIGINT) AS n_windows,
+            min(place) AS first_token FROM m GROUP BY ALL)
+    SELECT f.doc_id, f.item_id, n_matched, n_windows, coalesce(same, TRUE) AS verbatim, first_token
+    FROM f LEFT JOIN l ON f.doc_id = l.doc_id AND f.item_id = l.item_id
+    WHERE n_matched >= {decontaminate.SHARE} * n_windows AND coalesce(n1 = n AND n2 = n, TRUE)"""
+
+
+SQL["op1_decontaminate"] = _decontaminate()
+
+
+def _license_scan() -> str:
+    """Rules as a table; places from the pieces between the matches."""
+    phrases = license_scan.PHRASES
+    text = lambda x: "'" + str(x).replace("'", "''") + "'"
+    table = ", ".join(
+        f"({i}, {text(label)}, {p}, {text(k)}, {text(' ' + x.replace(' ', '  ') + ' ')})"
+        for i, (label, p, k, x) in enumerate(license_rules.rules())
+    )
+    gate = " OR ".join(f"contains(t, {text(s)})" for s in license_rules.STEMS)
+    there = {p: f"contains(t, ' {p} ')" for p in phrases}
+    spaces = lambda x: f"(length({x}) - length(replace({x}, ' ', '')))"
+    first = ", ".join(f"CASE WHEN {there[p]} THEN {spaces(f'''left(t, strpos(t, ' {p} '))''')} - 1 END" for p in phrases)
+    last = ", ".join(
+        f"""CASE WHEN {there[p]} THEN n_words - ({spaces(f"left(reverse(t), strpos(reverse(t), ' {p[::-1]} '))")} - 1)
+        - {len(p.split())} END"""
+        for p in phrases
+    )
+    places = " + ".join(
+        f"(length(wide) - length(replace(wide, ' {p.replace(' ', '  ')} ', ''))) // {len(p.replace(' ', '  ')) + 2}" for p in phrases
+    )
+    found = ", ".join(f"CASE WHEN {there[p]} THEN '{label}' END" for p, label in phrases.items())
+    sure = ", ".join(map(str, license_scan.CONFIDENCE))
+    return rf"""
+    WITH rules(id, label, priority, keyword, pattern) AS (VALUES {table}),
+    n AS (SELECT row_number() OVER () AS k, doc_id, trim(regexp_replace(
+            translate(coalesce(text, ''), '{license_scan.UPPER}', '{license_scan.LOWER}'),
+            '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g'), ' ') AS one FROM documents),
+    s AS (SELECT k, doc_id, ' ' || one || CASE WHEN one = '' THEN '' ELSE ' ' END AS t FROM n),
+    d AS (SELECT *, CAST({spaces("t")} - 1 AS BIGINT) AS n_words, substr(replace(t, ' ', '  '), 2, length(replace(t, ' ', '  ')) - 2) AS wide
+          FROM s),
+    b AS (SELECT *, list_filter([{found}], lambda x: x IS NOT NULL) AS base, CAST({places} AS BIGINT) AS n_base,
+            CAST(least({first}) AS BIGINT) AS first_word, CAST(greatest({last}) AS BIGINT) AS last_word FROM d),
+    h AS (SELECT k, id, label, priority, regexp_extract_all(wide, pattern) AS hits, string_split_regex(wide, pattern) AS pieces
+          FROM d JOIN rules ON contains(t, keyword) WHERE {gate}),
+    c AS (SELECT k, id, label, priority, list_transform(hits, lambda x: {spaces("x")} // 2) AS hw,
+            list_transform(pieces, lambda x: {spaces("x")} // 2) AS pw FROM h WHERE len(hits) > 0),
+    p AS (SELECT k, id, label, priority, list_sum(pw[1:j]) + coalesce(list_sum(hw[1:j - 1]), 0) AS a, hw[j] AS n
+          FROM (SELECT *, unnest(range(1, len(hw) + 1)) AS j FROM c)),
+    kept AS (SELECT * FROM p AS x WHERE NOT EXISTS (SELECT 1 FROM p AS y WHERE y.k = x.k AND y.a <= x.a AND y.a + y.n >= x.a + x.n
+          AND (y.priority > x.priority OR (y.priority = x.priority AND (y.n > x.n OR (y.n = x.n AND y.id < x.id)))))),
+    own AS (SELECT k, list(DISTINCT label) AS labels, max(priority) AS top, count(*) AS n FROM kept GROUP BY k)
+    SELECT doc_id, n_words, n_base, first_word, last_word, array_to_string(list_sort(base), ',') AS base_labels,
+      array_to_string(list_sort(list_distinct(base || coalesce(labels, []))), ',') AS labels,
+      CAST(coalesce(greatest(CAST([{sure}][top + 1] AS DOUBLE), CASE WHEN len(base) > 0 THEN {license_scan.BASE_CONFIDENCE} END), 0) AS DOUBLE) AS score,
+      CAST(coalesce(own.n, 0) AS BIGINT) AS n_detections
+    FROM b LEFT JOIN own USING (k)"""
+
+
+SQL["op4_license_scan"] = _license_scan()
