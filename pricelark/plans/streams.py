@@ -92,25 +92,35 @@ def stream_cooldown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.table_of(spark, folder).select("alert_id", "status", "release_at")
 
 
-_COUNTS_SQL = sql(
-    EVENT_ALERTS_SQL,
-    """, hours AS (SELECT date_trunc('hour', fired_at) + to_hours(k) AS until, type FROM logged, range(1, 25) t(k))
-    SELECT until, type, count(*) AS alerts FROM hours GROUP BY 1, 2""",
-)
+def _counts_sql(hours: int) -> str:
+    return sql(
+        EVENT_ALERTS_SQL,
+        f""", hours AS (SELECT date_trunc('hour', fired_at) + to_hours(k) AS until, type FROM logged, range(1, {hours + 1}) t(k))
+        SELECT until, type, count(*) AS alerts FROM hours GROUP BY 1, 2""",
+    )
 
 
-@query("counts_24h", _COUNTS_SQL)
+@query("counts_24h", _counts_sql(24))
 def counts_24h(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.rolling_counts(M.logged_alerts(spark, sf_dir))
 
 
-@query("stream_counts_24h", _COUNTS_SQL)
+@query("stream_counts_24h", _counts_sql(24))
 def stream_counts_24h(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same counts kept by a stream as a change feed; the newest version of each key."""
+    """The same counts from the hourly ones that a stream keeps as a change feed."""
+    return _stream_counts(spark, sf_dir, 24)
+
+
+@query("stream_counts_7d", _counts_sql(168))
+def stream_counts_7d(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _stream_counts(spark, sf_dir, 168)
+
+
+def _stream_counts(spark: SparkSession, sf_dir: str, hours: int) -> DataFrame:
     folder = S.new_folder(spark, "feed")
-    counts = S.rolling_counts(M.alerts_of(_event_stream(spark, sf_dir)))
-    S.run_changes(counts, folder).awaitTermination()
-    return S.current(spark, folder, ["until", "type"])
+    hourly = S.hourly_counts(M.alerts_of(_event_stream(spark, sf_dir)), "2 days")
+    S.run_changes(hourly, folder).awaitTermination()
+    return S.rolled(S.current(spark, folder, ["hour", "type"]), hours)
 
 
 @query(

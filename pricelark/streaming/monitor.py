@@ -131,15 +131,39 @@ def cooldown_step(
     return step
 
 
-def rolling_counts(alerts: DataFrame) -> DataFrame:
-    """Alerts per type in the 24 hours before every full hour; batch or stream."""
+def hourly_counts(alerts: DataFrame, delay: str | None = None) -> DataFrame:
+    """Alerts per type and hour; batch or stream. ``delay`` is how long a stream waits for late
+    rows before it forgets an hour."""
+    if delay:
+        alerts = alerts.withWatermark("fired_at", delay)
     return (
-        alerts.groupBy(F.window("fired_at", "24 hours", "1 hour").alias("w"), "type")
+        alerts.groupBy(F.window("fired_at", "1 hour").alias("w"), "type")
         .agg(F.count("*").alias("alerts"))
-        .select(F.col("w.end").alias("until"), "type", "alerts")
+        .select(F.col("w.start").alias("hour"), "type", "alerts")
     )
 
 
+def rolled(hourly: DataFrame, hours: int = 24) -> DataFrame:
+    """Alerts per type in the ``hours`` before every full hour, from hourly counts.
+
+    Each hourly row, not each alert, is given to the hours that count it.
+    """
+    ends = F.sequence(
+        F.col("hour") + F.expr("INTERVAL 1 HOUR"),
+        F.col("hour") + F.make_dt_interval(hours=F.lit(hours)),
+        F.expr("INTERVAL 1 HOUR"),
+    )
+    return (
+        hourly.select(F.explode(ends).alias("until"), "type", "alerts")
+        .groupBy("until", "type")
+        .agg(F.sum("alerts").alias("alerts"))
+    )
+
+
+def rolling_counts(alerts: DataFrame, hours: int = 24) -> DataFrame:
+    return rolled(hourly_counts(alerts), hours)
+
+
 def deduplicated(checks: DataFrame, keys: list[str], at: str, delay: str = "1 hour") -> DataFrame:
     """Repeated deliveries of a record dropped; the state forgets keys after ``delay``."""
     return checks.withWatermark(at, delay).dropDuplicatesWithinWatermark(keys)
@@ -160,7 +184,10 @@ def run_to_table(stream: DataFrame, folder: str) -> DataFrame:
 
 
 def run_changes(
-    stream: DataFrame, folder: str, publish: Callable[[DataFrame, int], None] | None = None
+    stream: DataFrame,
+    folder: str,
+    publish: Callable[[DataFrame, int], None] | None = None,
+    **trigger: object,
 ) -> StreamingQuery:
     """Change feed: the updated rows of each micro-batch, under its id; ``publish`` is told."""
 
@@ -173,7 +200,7 @@ def run_changes(
         stream.writeStream.outputMode("update")
         .foreachBatch(write)
         .option("checkpointLocation", f"{folder}/checkpoint")
-        .trigger(availableNow=True)
+        .trigger(**(trigger or {"availableNow": True}))
         .start()
     )
 
