@@ -60,7 +60,9 @@ def review(rows: DataFrame, existing: DataFrame, registry: Registry | None = Non
         F.col("canonical_url").alias("_url"), F.col("display_name").alias("_known")
     )
     facts = first.join(known, "_url", "left")
-    joined = seen.join(facts, F.col("canonical_url").eqNullSafe(F.col("_url")), "left")
+    # rows without a listing match nothing; a key of their own keeps them out of one task
+    own = F.concat(F.lit("row "), F.col("row_number").cast("string"))
+    joined = seen.join(facts, F.coalesce("canonical_url", own) == F.col("_url"), "left")
     site = F.coalesce(
         F.concat(F.lit(" ("), F.col("detected_site"), F.lit(")")), F.lit("")
     )

@@ -560,13 +560,8 @@ def pair_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    id_ = F.col("product_id")
-    partner = F.when(id_ % 2 == 0, id_ + 1).otherwise(id_ - 1)
-    return (
-        M.checks(spark, sf_dir)
-        .filter(F.col("success"))
-        .withColumn("linked_product_id", partner)
-    )
+    links = M.products(spark, sf_dir).select("product_id", "linked_product_id")
+    return M.checks(spark, sf_dir).filter(F.col("success")).join(links, "product_id")
 
 
 _SERIES_SQL = (

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pricelark.functions.offers import SPACE
@@ -27,10 +27,11 @@ FIELDS = ["url", "target", "threshold", "notes", "tags"]
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
     """Raw cells as text: header line, trimmed values, doubled quotes, empty lines skipped.
 
-    A quoted cell may span lines, so one file is one task; split large imports into
-    files that each carry a row-number column.
+    A quoted cell may span lines, so one file is one task; a large import is many files.
+    `_row` numbers the rows as if the files stood one behind the other in the order of their
+    names, the first row being 2, after the header.
     """
-    return (
+    raw = (
         spark.read.option("header", True)
         .option("ignoreLeadingWhiteSpace", True)
         .option("ignoreTrailingWhiteSpace", True)
@@ -39,6 +40,13 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
         .option("multiLine", True)
         .csv(path)
     )
+    raw = raw.select("*", F.col("_metadata.file_path").alias("_file"), F.monotonically_increasing_id().alias("_id"))
+    # one row per file: where its ids begin and how many rows the files before it have
+    files = raw.groupBy("_file").agg(F.min("_id").alias("_first"), F.count("*").alias("_n"))
+    before = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
+    files = files.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    row = F.col("_before") + F.col("_id") - F.col("_first") + 2
+    return raw.join(files, "_file").withColumn("_row", row).drop("_file", "_id", "_first", "_before")
 
 
 def number_cell(text: Column) -> Column:
@@ -60,8 +68,7 @@ def tag_cell(text: Column) -> Column:
 def import_rows(raw: DataFrame, row_number: str | None = None) -> DataFrame:
     """(row_number, url, target_rupees, threshold_pct, notes, tags) from raw cells.
 
-    ``row_number`` names a column that carries it. Without one the number follows the
-    read order, which is the file's only while it is a single small file.
+    ``row_number`` names a column that carries it; without one it is the `_row` of ``read_csv``.
     """
     found: dict[str, list[Column]] = {f: [] for f in FIELDS}
     for name in raw.columns:
@@ -75,7 +82,7 @@ def import_rows(raw: DataFrame, row_number: str | None = None) -> DataFrame:
     number = (
         F.col(row_number).cast("bigint")
         if row_number
-        else F.monotonically_increasing_id() + 2  # the header is line 1
+        else F.col("_row")
     )
     return raw.select(
         number.alias("row_number"),

@@ -54,6 +54,13 @@ def test_import_file_and_review(spark, tmp_path):
     assert imports.late_duplicates(reviewed, reviewed.filter("disposition = 'valid'")).count() == 1
 
 
+def test_rows_of_several_files_are_numbered_on(spark, tmp_path):
+    for name, ids in (("a.csv", "123"), ("b.csv", "45"), ("c.csv", "6")):
+        (tmp_path / name).write_text("url\n" + "".join(f"https://www.amazon.in/dp/B0TEST000{i}\n" for i in ids))
+    rows = import_file.import_rows(import_file.read_csv(spark, str(tmp_path))).collect()
+    assert sorted((r.row_number, r.url[-1]) for r in rows) == [(i + 1, str(i)) for i in range(1, 7)]
+
+
 def test_csv_cells_and_lines(spark):
     rows = [("a", None, 'say "hi"'), ("x,y", "", "two\nlines")]
     df = spark.createDataFrame(rows, "a string, b string, c string")
