@@ -33,7 +33,7 @@ KINDS = {
     "ip": r"(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?!\w|\.\d)",
     "phone": r"(?<!\w)(?:\+\d{1,3}[ -]?\(\d{3}\) ?|\+\d{1,3}[ -]\d{3}[ -]|\(\d{3}\) ?|(?<![\w-])\d{3}[-.])\d{3}[-. ]\d{4}(?![\w-])",
     "social": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
-    "card": r"(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w-])",
+    "card": r"(?<![\w.-])(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3}|\d{4}[ -]\d{6}[ -]\d{5})(?![\w-])",
     "access": r"(?<!\w)AKIA[0-9A-Z]{16}(?!\w)",
     "secret": r"(?<=password=|token = \")[0-9A-Za-z]{8,64}(?!\w)",
 }

@@ -161,6 +161,17 @@ def test_pseudonym_cases(spark):
         assert gone not in r.text
 
 
+def test_values_side_by_side(spark):
+    text = "4451718024887799 27.65.93.188 4111 1111 1111 1111 123, 3782-822463-10005"
+    r = pseudonyms.masked(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert [(f["kind"], f["original"]) for f in r.found] == [
+        ("card", "4451718024887799"),
+        ("ip", "27.65.93.188"),
+        ("card", "4111 1111 1111 1111"),
+        ("card", "3782-822463-10005"),
+    ]
+
+
 def test_chain_marginals():
     """Forward-backward against all paths."""
     rng = np.random.default_rng(0)
