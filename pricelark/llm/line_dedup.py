@@ -196,5 +196,7 @@ def deduped(docs: DataFrame) -> DataFrame:
     text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
     d = settled(d.select("row", "_gone", text.alias("new")))
     d = d.filter(F.col("_gone").isNull() | F.col("new").rlike(r"[^\x20\x09-\x0D]"))
-    follow = {"text": F.col("new"), "n_chars": F.when(F.col("_gone").isNull(), F.col("row.n_chars")).otherwise(F.length("new")) if "n_chars" in docs.columns else None}
+    follow = {"text": F.col("new")}
+    if "n_chars" in docs.columns:
+        follow["n_chars"] = F.when(F.col("_gone").isNull(), F.col("row.n_chars")).otherwise(F.length("new"))
     return d.select(*[follow[c].alias(c) if c in follow else F.col(f"row.`{c}`") for c in docs.columns])

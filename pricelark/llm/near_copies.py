@@ -254,9 +254,10 @@ def representatives(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     repeated rows are shuffled with their texts otherwise."""
     c = saved(classes(docs, similarity))
     key = ["doc_id", "text_digest"]
-    gone = bounded(c.filter("NOT first").select(F.col("doc_id").alias("_id"), F.col("text_digest").alias("_of")).distinct(), FEW)
+    names = [F.col("doc_id").alias("_id"), F.col("text_digest").alias("_of")]
+    gone = bounded(c.filter("NOT first").select(*names).distinct(), FEW)
     twice = c.filter("first AND text_digest IS NOT NULL").groupBy(*key).agg(F.count("*").alias("_n")).filter("_n > 1")
-    twice = bounded(twice.select(F.col("doc_id").alias("_id"), F.col("text_digest").alias("_of")), FEW)
+    twice = bounded(twice.select(*names), FEW)
     d = rows(docs).select("row", "doc_id", digest(whole()).alias("text_digest"))
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_digest") == F.col("_of"))
     left = d.join(gone, same, "left_anti")

@@ -170,13 +170,19 @@ def pseudonym(h: Column, key: str) -> Column:
 def masked(docs: DataFrame, key: str = "pricelark") -> DataFrame:
     """doc_id, text with pseudonyms, and `found`: (kind, original, pseudonym) of every valid match."""
     d = docs.select("doc_id", whole().alias("t"))
-    d = settled(d.withColumn("hits", F.when(F.col("t").rlike("[0-9@]"), F.regexp_extract_all("t", F.lit(PATTERN), F.lit(0)))))
+    hits = F.when(F.col("t").rlike("[0-9@]"), F.regexp_extract_all("t", F.lit(PATTERN), F.lit(0)))
+    d = settled(d.withColumn("hits", hits))
     some = F.size("hits") > 0
     new = F.transform("hits", lambda h: pseudonym(h, key))
     d = settled(d.withColumn("new", F.when(some, new)))
     pieces = F.split("t", PATTERN, -1)
-    woven = F.zip_with(pieces, F.zip_with("hits", "new", lambda h, n: F.coalesce(n, h)), lambda p, h: F.concat(p, F.coalesce(h, F.lit(""))))
-    found = F.zip_with("hits", "new", lambda h, n: F.struct(kind_of(h).alias("kind"), h.alias("original"), n.alias("pseudonym")))
+    shown = F.zip_with("hits", "new", lambda h, n: F.coalesce(n, h))
+    woven = F.zip_with(pieces, shown, lambda p, h: F.concat(p, F.coalesce(h, F.lit(""))))
+
+    def entry(h: Column, n: Column) -> Column:
+        return F.struct(kind_of(h).alias("kind"), h.alias("original"), n.alias("pseudonym"))
+
+    found = F.zip_with("hits", "new", entry)
     none = F.array().cast("array<struct<kind:string,original:string,pseudonym:string>>")
     return settled(
         d.select(
