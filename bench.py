@@ -30,6 +30,9 @@ HEADLINE = [
     "outbox",
     "import_review",
     "offer_normalise",
+    "digest",
+    "daily_sweep",
+    "stream_alerts",
 ]
 
 
