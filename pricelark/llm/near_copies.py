@@ -3,13 +3,15 @@
 Every text is its words; windows of SHINGLE words are labelled with how often they came before
 in the text. In each of ROUNDS rounds the two windows of least hash are taken and hashed in the
 order in which they stand in the text: two texts agree on a sketch only if they share windows
-in the same order, so agreement follows edit similarity.
+in the same order, so agreement follows edit similarity. Few windows of a short text outlive an
+edit, so texts of at most SHORT words have SHORT_ROUNDS further sketches of two single words.
 
 Equal texts are one first. Texts with an equal sketch form a bucket, and every member is
-checked against one text of the bucket, not against each other; members that the check refuses
-are bucketed again by a second sketch. A check is a banded word alignment, widened while the
-limit is not decided: similar are texts of edit similarity >= `similarity`. Links give classes
-by connected components.
+checked against the bucket's first text. What that text refuses is checked against all other
+members of a bucket of at most SMALL; in a larger one it is bucketed again by one more sketch,
+until no bucket of two is left. A check is a banded word alignment, widened while the limit is
+not decided: similar are texts of edit similarity >= `similarity`. Links give classes by
+connected components.
 
 Texts without words are in a class of their own each. Fewer words than a window are one window.
 Repeated rows are copies of one another. An empty table gives an empty result.
@@ -22,14 +24,17 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pricelark.llm.components import components
 from pricelark.llm.text import bounded, digest, rows, saved, settled, small_batches, whole, words
 
-SHINGLE = 5
-ROUNDS = 12
+SHINGLE = 2
+ROUNDS = 24
+SHORT = 32  # words up to which a text is sketched by single words as well
+SHORT_ROUNDS = 12
+SMALL = 16  # members of a bucket that are checked against one another
 SIMILARITY = 0.8
 PIECE = 500_000  # words sketched at once in a task
 FEW = 200_000  # rows of ids that may be broadcast, counted first
@@ -44,18 +49,18 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def shingles(flat: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def shingles(flat: np.ndarray, lengths: np.ndarray, width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """Occurrence-labelled window hashes of texts laid end to end, and how many each text has."""
     docs = len(lengths)
-    padded = np.zeros(len(flat) + docs * (SHINGLE - 1), np.uint64)
-    starts = np.cumsum(lengths) - lengths + np.arange(docs) * (SHINGLE - 1)
-    own = np.arange(len(flat)) + np.repeat(np.arange(docs) * (SHINGLE - 1), lengths)
+    padded = np.zeros(len(flat) + docs * (width - 1), np.uint64)
+    starts = np.cumsum(lengths) - lengths + np.arange(docs) * (width - 1)
+    own = np.arange(len(flat)) + np.repeat(np.arange(docs) * (width - 1), lengths)
     padded[own] = mix(flat + M1)
-    n = np.maximum(lengths - SHINGLE + 1, 1)
+    n = np.maximum(lengths - width + 1, 1)
     first = np.cumsum(n) - n
     at = np.arange(n.sum()) + np.repeat(starts - first, n)
     h = np.zeros(len(at), np.uint64)
-    for k in range(SHINGLE):
+    for k in range(width):
         h = h * M1 + padded[at + k]
     h = mix(h)
     text = np.repeat(mix(np.arange(docs).astype(np.uint64) + M1), n)
@@ -70,20 +75,20 @@ def shingles(flat: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndar
     return mix(h + label * M3), n
 
 
-def sketches(flat: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """ROUNDS sketches for each text of one word or more."""
-    h, n = shingles(flat, lengths)
+def sketches(flat: np.ndarray, lengths: np.ndarray, width: int = SHINGLE, rounds: range = range(ROUNDS)) -> np.ndarray:
+    """A sketch per round for each text of one word or more."""
+    h, n = shingles(flat, lengths, width)
     first = np.cumsum(n) - n
-    out = np.empty((len(lengths), ROUNDS), np.uint64)
+    out = np.empty((len(lengths), len(rounds)), np.uint64)
     top = np.uint64(0xFFFFFFFFFFFFFFFF)
-    for r in range(ROUNDS):
+    for r in rounds:
         seed = mix(np.array([r + 1], np.uint64) * M1)[0]
         g = (h ^ seed) * (seed | np.uint64(1))
         one = least(g, first, n)
         g[one] = top
         two = least(g, first, n)  # a text of one window has that one again
         a, b = np.minimum(one, two), np.maximum(one, two)
-        out[:, r] = mix(h[a] * M2 + mix(h[b] + np.uint64(r)))
+        out[:, r - rounds[0]] = mix(h[a] * M2 + mix(h[b] + np.uint64(r)))
     return out
 
 
@@ -109,8 +114,15 @@ def sketch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + PIECE, "right")) - 1)
             out[i:j] = sketches(values[offsets[i] : offsets[j]], lengths[i:j])
             i = j
-        flat = pa.array(out.reshape(-1).view(np.int64))
-        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(lengths) + 1) * ROUNDS, pa.int32()), flat)
+        short = lengths <= SHORT
+        sizes = np.where(short, ROUNDS + SHORT_ROUNDS, ROUNDS)
+        ends = np.r_[0, np.cumsum(sizes)]
+        flat = np.empty(ends[-1], np.uint64)
+        flat[(ends[:-1, None] + np.arange(ROUNDS)).reshape(-1)] = out.reshape(-1)
+        if short.any():
+            few = sketches(values[np.repeat(short, lengths)], lengths[short], 1, range(ROUNDS, ROUNDS + SHORT_ROUNDS))
+            flat[(ends[:-1][short, None] + ROUNDS + np.arange(SHORT_ROUNDS)).reshape(-1)] = few.reshape(-1)
+        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat.view(np.int64)))
         yield pa.RecordBatch.from_arrays([batch.column("text_digest"), lists], ["text_digest", "sketches"])
 
 
@@ -191,10 +203,17 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame
     return both.mapInPandas(verify_batches(similarity), "a string, b string")
 
 
-def stars(buckets: DataFrame, *key: str) -> DataFrame:
-    """Members of buckets of two texts or more, each with the bucket's first text b."""
-    first = buckets.groupBy(*key).agg(F.count("*").alias("n"), F.min("a").alias("b")).filter("n > 1").drop("n")
-    return buckets.join(first, list(key)).filter(F.col("a") != F.col("b"))
+def stars(buckets: DataFrame) -> DataFrame:
+    """Members of buckets of two texts or more, each with the bucket's first text b and how many
+    texts n the bucket has."""
+    first = buckets.groupBy("key").agg(F.count("*").alias("n"), F.min("a").alias("b")).filter("n > 1")
+    return buckets.join(first, "key").filter(F.col("a") != F.col("b"))
+
+
+def following(level: int) -> Column:
+    """The sketch that comes `level` after that of the round, in turn within its own kind."""
+    own = F.when(F.col("round") < ROUNDS, (F.col("round") + level) % ROUNDS)
+    return F.get("sketches", own.otherwise((F.col("round") - ROUNDS + level) % SHORT_ROUNDS + ROUNDS))
 
 
 def links(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -205,21 +224,27 @@ def links(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     hashed = d.filter(F.size("w") > 0).select("text_digest", F.transform("w", lambda x: F.xxhash64(x)).alias("h"))
     made = hashed.mapInArrow(sketch_batches, "text_digest string, sketches array<long>")
     made = saved(made.groupBy("text_digest").agg(F.first("sketches").alias("sketches")))
-    at = made.select(F.col("text_digest").alias("a"), "sketches", F.posexplode("sketches").alias("round", "sketch"))
-    after = F.get("sketches", (F.col("round") + 1) % ROUNDS)
-    buckets = at.select("a", "round", "sketch", after.alias("next"))
-    found = saved(stars(buckets, "round", "sketch"))
+    found = saved(stars(made.select(F.col("text_digest").alias("a"), F.posexplode("sketches").alias("round", "key"))))
     pairs = found.select("a", "b").distinct()
     needed = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "need")
     texts = d.select("text_digest", F.transform("w", lambda x: F.hash(x)).alias("words"))
     texts = texts.join(needed, F.col("text_digest") == F.col("need"), "left_semi")
     texts = saved(texts.groupBy("text_digest").agg(F.first("words").alias("words")))
     good = saved(verified(pairs, texts, similarity))
-    # what the first text of a bucket refused meets again under one more sketch
-    refused = found.join(good, ["a", "b"], "left_anti").select("a", "round", "sketch", "next")
-    again = stars(refused, "round", "sketch", "next").select("a", "b").distinct()
-    more = verified(again.join(good, ["a", "b"], "left_anti"), texts, similarity)
-    return good.union(more)
+    # what the first text of a bucket refused meets the others, or fewer of them under one more sketch
+    for level in range(1, ROUNDS):
+        refused = saved(found.join(good, ["a", "b"], "left_anti"))
+        if refused.isEmpty():
+            break
+        other = found.filter(F.col("n") <= SMALL).select("key", F.col("a").alias("c"))
+        each = refused.filter(F.col("n") <= SMALL).join(other, "key").filter(F.col("a") != F.col("c"))
+        each = each.select(F.greatest("a", "c").alias("a"), F.least("a", "c").alias("b"))
+        large = refused.filter(F.col("n") > SMALL).select("a", "round", "key")
+        large = large.join(made, F.col("a") == F.col("text_digest"))
+        found = saved(stars(large.select("a", "round", F.xxhash64("key", following(level)).alias("key"))))
+        again = each.union(found.select("a", "b")).distinct().join(good, ["a", "b"], "left_anti")
+        good = saved(good.union(verified(again, texts, similarity)))
+    return good
 
 
 def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:

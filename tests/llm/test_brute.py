@@ -80,6 +80,34 @@ def test_near_copies_recall(docs, texts):
             assert any(len(grams[i] & grams[k]) > 0.2 * min(len(grams[i]), len(grams[k])) for k in others)
 
 
+def test_near_copies_scattered_edits(spark):
+    """Pairs of edit similarity 0.8 and 0.9 whose edits are scattered, short texts included."""
+    rnd = random.Random(5)
+    rows, kinds = [], {}
+    for n in (5, 10, 20, 50, 300):
+        for similarity in (0.8, 0.9):
+            for _ in range(40):
+                a = [f"w{rnd.randrange(20_000)}" for _ in range(n)]
+                b = list(a)
+                for place in rnd.sample(range(n), int((1 - similarity) * n + 1e-9)):
+                    b[place] = f"x{rnd.randrange(1 << 40)}"
+                kinds.setdefault((n, similarity), []).append(len(rows))
+                rows += [(len(rows), " ".join(a)), (len(rows) + 1, " ".join(b))]
+    got = {r.doc_id: r.class_id for r in near_copies.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    recall = {k: sum(got[i] == got[i + 1] for i in ids) / len(ids) for k, ids in kinds.items()}
+    assert min(recall.values()) >= 0.95 and sum(recall.values()) / len(recall) >= 0.985, recall
+    assert all(got[i] in (i, i - 1) for i in got)  # no class beyond the pair
+
+
+def test_refused_members_meet(spark):
+    """Texts that the first one of their bucket refuses are compared with one another."""
+    tails = [" ".join(f"t{k}v{i}" for i in range(60)) for k in range(40)]
+    rows = [(k, "same few words here " * 3 + t) for k, t in enumerate(tails)]
+    rows += [(100 + k, t.replace("v30", "changed")) for k, (_, t) in enumerate(rows)]
+    got = {r.doc_id: r.class_id for r in near_copies.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[k] == got[100 + k] == k for k in range(40))
+
+
 @pytest.mark.parametrize("common", [1 << 18, 50])
 def test_backoff(docs, texts, common, monkeypatch):
     monkeypatch.setattr(backoff_scores, "COMMON", common)
