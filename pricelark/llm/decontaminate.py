@@ -3,9 +3,11 @@
 Texts and benchmark items become template tokens: lower-cased words, where numbers, units after
 numbers and capitalised words within a sentence are typed placeholders that keep their value
 aside. Windows of WINDOW template tokens, at least LITERAL of them words, are hash-joined. An
-item leaks into a document when windows matched cover at least `share` of the item's windows
-and the values in the slots are consistent: equal values of the item stand for equal values of
-the document and the other way round. So a question with other numbers or names is found too.
+item leaks into a document when windows matched cover at least `share` of the item's windows,
+where only occurrences count whose slots are consistent: equal values of the item stand for
+equal values of the document. An occurrence is what matched at one distance between the place
+in the document and that in the item, so other variants of the item in the same document do
+not matter. So a question with other numbers or names is found too.
 
 Before the join, each document keeps only windows whose first and last pair of tokens occur in
 the benchmark, by a table of FLAGS bits: that loses no match and leaves few rows to explode.
@@ -122,18 +124,28 @@ def leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFr
     m = matches(docs, benchmark)
     key = ["doc_id", "text_digest", "item_id"]
     links = F.zip_with("slots", "values", lambda a, b: F.concat_ws("\x1f", a, b))
-    found = m.groupBy(*key).agg(
-        F.countDistinct("h").alias("n_matched"),
+    side = lambda x, i: F.get(F.split(x, "\x1f"), F.lit(i))
+    same = F.forall("links", lambda x: side(x, 0) == side(x, 1))
+    consistent = F.size(F.array_distinct(F.transform("links", lambda x: side(x, 0)))) == F.size("links")
+    each = m.groupBy(*key, (F.col("at") - F.col("pos")).alias("offset")).agg(
+        F.collect_set("h").alias("hs"),  # as many as the item has windows, at most
         F.first("n_windows").alias("n_windows"),
-        F.min("at").cast("long").alias("first_token"),
+        F.min("at").cast("long").alias("at"),
         # as many values as the item has tokens, at most
         F.array_distinct(F.flatten(F.collect_set(links))).alias("links"),
     )
-    left = F.transform("links", lambda x: F.get(F.split(x, "\x1f"), F.lit(0)))
-    right = F.transform("links", lambda x: F.get(F.split(x, "\x1f"), F.lit(1)))
-    consistent = (F.size(F.array_distinct(left)) == F.size("links")) & (F.size(F.array_distinct(right)) == F.size("links"))
-    verbatim = F.forall("links", lambda x: F.get(F.split(x, "\x1f"), F.lit(0)) == F.get(F.split(x, "\x1f"), F.lit(1)))
-    return found.filter(consistent & (F.col("n_matched") >= share * F.col("n_windows"))).select(
+    each = each.withColumn("copy", same & (F.size("links") > 0))
+    # as many windows and values as the document has tokens, at most
+    found = each.filter(consistent).groupBy(*key).agg(
+        F.size(F.array_distinct(F.flatten(F.collect_list("hs")))).cast("long").alias("n_matched"),
+        F.first("n_windows").alias("n_windows"),
+        F.min("at").alias("first_token"),
+        F.array_distinct(F.flatten(F.collect_list("links"))).alias("links"),
+        F.max("copy").alias("copy"),
+    )
+    # of several variants, one with the item's own values will do
+    verbatim = same | (~consistent & F.col("copy"))
+    return found.filter(F.col("n_matched") >= share * F.col("n_windows")).select(
         *key, "n_matched", "n_windows", verbatim.alias("verbatim"), "first_token"
     )
 

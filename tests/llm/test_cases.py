@@ -125,6 +125,21 @@ def test_reparameterised_question(spark):
     assert [(r.doc_id, r.verbatim) for r in got] == [(1, False)]
 
 
+def test_variants_beside_one_another(spark):
+    item = "Alice bought 12 apples for 3 dollars each and paid 12 coins to Bob near the old stone bridge"
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    other, third = item.replace("12", "40"), item.replace("12", "55").replace("3", "8")
+    texts = [
+        (1, f"{item}. And then once more. {other}"),
+        (2, f"{other} some words between both of them {third}"),
+        (3, item.replace("12", "7").replace("3", "7")),  # two new values that happen to be equal
+        (4, f"{item} and {item.replace('12', '40', 1)}"),  # a copy beside one whose slots disagree
+        (5, item.replace("12", "40", 1)),
+    ]
+    got = decontaminate.leaks(spark.createDataFrame(texts, "doc_id long, text string"), bench).collect()
+    assert sorted((r.doc_id, r.verbatim) for r in got) == [(1, True), (2, False), (3, False), (4, True)]
+
+
 def test_stages(spark, docs, none, tmp_path, items):
     items.write.parquet(f"{tmp_path}/benchmark.parquet")
     for start in (docs, none):
