@@ -62,10 +62,15 @@ def base_columns(d: DataFrame) -> DataFrame:
     )
 
 
+def widened(pattern: str) -> str:
+    """The pattern over words that each carry a space on both sides; an optional space stays one."""
+    return " " + "(?:  )?".join(x.replace(" ", "  ") for x in pattern.split(" ?")) + " "
+
+
 def rule_table() -> Column:
     """The rules as one constant array; patterns over words that each carry a space on both sides."""
     table = [
-        {"id": i, "label": label, "priority": p, "keyword": k, "pattern": " " + x.replace(" ", "  ") + " "}
+        {"id": i, "label": label, "priority": p, "keyword": k, "pattern": widened(x)}
         for i, (label, p, k, x) in enumerate(rules())
     ]
     kind = "array<struct<id:int,label:string,priority:int,keyword:string,pattern:string>>"

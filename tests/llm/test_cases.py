@@ -1,5 +1,7 @@
 """Hard rows for every operator: nulls, empty and long texts, ties, repeats, empty tables, clashing names."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -7,6 +9,7 @@ import corpus_pipeline
 from pricelark.llm import (
     backoff_scores,
     decontaminate,
+    license_rules,
     license_scan,
     line_dedup,
     mixing,
@@ -186,6 +189,51 @@ def test_license_suppression(spark):
     assert (got[2].n_base, got[2].first_word, got[2].last_word, got[2].base_labels) == (3, 0, 5, "cc-by,reserved")
 
 
+def spellings(pattern, joined):
+    """Plain texts of a rule's pattern: optional parts kept or left out, first or last alternative."""
+    pattern = pattern.replace(" ?", "" if joined else " ")
+    for first in (0, -1):
+        for keep in (True, False):
+            text = re.sub(r"\.\{\d+,\d+\}", "some ", pattern).replace("[cs]", "c").replace("[0-9]", "4")
+            while "(?:" in text:
+                text = re.sub(
+                    r"\(\?:([^()]*)\)(\??)", lambda m: m[1].split("|")[first] if keep or not m[2] else "", text, count=1
+                )
+            text = re.sub(r"(\w)\?", r"\1" if keep else "", text)
+            yield " ".join(text.split())
+
+
+def test_every_rule_fires(spark):
+    rules = license_rules.rules()
+    cases = [(i, t) for i, (*_, x) in enumerate(rules) for joined in (True, False) for t in spellings(x, joined)]
+    fired = set()
+    for i, t in cases:
+        _, _, keyword, pattern = rules[i]
+        wide = "".join(f" {w} " for w in t.split())
+        if keyword in f" {t} " and any(s in f" {t} " for s in license_rules.STEMS):
+            if re.search(license_scan.widened(pattern), wide):
+                fired.add(i)
+    left = [rules[i] for i in range(len(rules)) if i not in fired]
+    assert all(x.startswith("asl") and k == "apache" for *_, k, x in left), left  # asl counts beside the word apache
+    plain = {
+        "Code under GPLv2 here": "gpl-2.0",
+        "Code under GPL v2 here": "gpl-2.0",
+        "Code under GPL-v3 here": "gpl-3.0",
+        "Code under LGPLv2.1 here": "lgpl-2.1",
+        "Code under AGPLv3 here": "agpl-3.0",
+        "For noncommercial use only": "noncommercial",
+        "For non-commercial use only": "noncommercial",
+        "The beerware license": "beerware",
+        "The BigScience OpenRAIL-M license": "openrail",
+        "Creative Commons Attribution-ShareAlike 4.0 International": "cc-by-sa-4.0",
+        "Creative Commons Attribution-NonCommercial": "cc-by-nc",
+        "Creative Commons Attribution NoDerivatives 4.0 International": "cc-by-nd-4.0",
+    }
+    rows = list(enumerate(plain))
+    got = {r.doc_id: r.labels for r in license_scan.scanned(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {t: got[i] for i, t in rows} == plain
+
+
 def test_mix_near_target(spark):
     rows = [(i, "w " * (1 + i * 37 % 211), f"s{i % 4}") for i in range(4000)]
     d = mixing.mixed(spark.createDataFrame(rows, "doc_id long, text string, source string"))
