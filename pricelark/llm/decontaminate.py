@@ -2,7 +2,9 @@
 
 Texts and benchmark items become template tokens: lower-cased words, where numbers, units after
 numbers and capitalised words within a sentence are typed placeholders that keep their value
-aside. Windows of WINDOW template tokens, at least LITERAL of them words, are hash-joined. An
+aside. Windows of WINDOW template tokens are hash-joined: by template if at least LITERAL of
+them are words, and with their values if not. Items of LITERAL to WINDOW - 1 tokens are one
+window of their own length, joined to the documents' windows of that length. An
 item leaks into a document when windows matched cover at least `share` of the item's windows,
 where only occurrences count whose slots are consistent: equal values of the item stand for
 equal values of the document. An occurrence is what matched at one distance between the place
@@ -12,7 +14,7 @@ not matter. So a question with other numbers or names is found too.
 Before the join, each document keeps only windows whose first and last pair of tokens occur in
 the benchmark, by a table of FLAGS bits: that loses no match and leaves few rows to explode.
 
-Items shorter than a window match only texts that consist of them. Null and empty texts
+Items of fewer than LITERAL tokens match only texts that consist of them. Null and empty texts
 match nothing; repeated rows each give their own result; empty tables give an empty result.
 Rows are known by doc_id and a digest of the text. Further columns are never read.
 """
@@ -62,35 +64,48 @@ def template(tokens: Column) -> Column:
 
 
 def tokens(df: DataFrame, text: Column, *keep: str) -> DataFrame:
-    """w: tagged tokens, padded to a window if shorter but not empty; v: their template."""
-    df = df.withColumn("w", tagged(text))
+    """w: tagged tokens, padded to a window if shorter but not empty; v: their template; n: how many tokens."""
+    df = df.withColumn("w", tagged(text)).withColumn("n", F.size("w"))
     short = (F.size("w") > 0) & (F.size("w") < WINDOW)
     df = df.withColumn("w", F.when(short, F.concat("w", F.array_repeat(F.lit(""), WINDOW))).otherwise(F.col("w")))
     df = df.withColumn("w", F.when(F.get("w", F.lit(WINDOW - 1)) == "", F.slice("w", 1, WINDOW)).otherwise(F.col("w")))
     slots = F.exists("w", lambda x: F.substring(x, 1, 1).isin(NUMBER, UNIT, NAME))
-    return settled(df.select(*keep, "w")).withColumn("v", F.when(slots, template(F.col("w"))).otherwise(F.col("w")))
+    return settled(df.select(*keep, "w", "n")).withColumn("v", F.when(slots, template(F.col("w"))).otherwise(F.col("w")))
 
 
 def windows(df: DataFrame, places: Column, *keep: str) -> DataFrame:
-    """One row per place: pos, the hash of the template window, its slots with their values."""
+    """One row per place (pos, length): the hash of the window, its slots with their values and
+    whether it is joined by template (`loose`)."""
 
-    def one(i: Column) -> Column:
-        slots = F.filter(F.slice("w", i + 1, WINDOW), lambda x: F.substring(x, 1, 1).isin(NUMBER, UNIT, NAME))
-        return F.struct(i.alias("pos"), F.xxhash64(F.slice("v", i + 1, WINDOW)).alias("h"), slots.alias("slots"))
+    def one(x: Column) -> Column:
+        i, n = x["pos"], x["length"]
+        own = F.slice("w", i + 1, n)
+        slots = F.filter(own, lambda x: F.substring(x, 1, 1).isin(NUMBER, UNIT, NAME))
+        loose = F.size(slots) <= n - LITERAL
+        h = F.when(loose, F.xxhash64(F.slice("v", i + 1, n))).otherwise(F.xxhash64(own))
+        return F.struct(i.alias("pos"), n.alias("length"), h.alias("h"), slots.alias("slots"), loose.alias("loose"))
 
-    d = df.select(*keep, F.explode(F.transform(places, one)).alias("x")).select(*keep, "x.*")
-    return d.filter(F.size("slots") <= WINDOW - LITERAL)
+    return df.select(*keep, F.explode(F.transform(places, one)).alias("x")).select(*keep, "x.*")
+
+
+def place(i: Column, length: Column) -> Column:
+    return F.struct(i.cast("int").alias("pos"), length.cast("int").alias("length"))
 
 
 def benchmark_windows(benchmark: DataFrame) -> DataFrame:
-    """item_id, n_windows, pos, h, slots, pairs: the windows of every item."""
+    """item_id, n_windows, n_loose, pos, length, h, slots, loose, ends: the windows of every item."""
     d = tokens(benchmark.select("item_id", whole().alias("t")), F.col("t"), "item_id")
-    last = F.size("v") - WINDOW
-    d = d.withColumn("places", F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>")))
+    length = F.when((F.col("n") >= LITERAL) & (F.col("n") < WINDOW), F.col("n")).otherwise(F.lit(WINDOW))
+    last = F.size("v") - WINDOW  # 0 for a shorter item, which is padded
+    some = F.transform(F.sequence(F.lit(0), last), lambda i: place(i, length))
+    none = F.array().cast("array<struct<pos:int,length:int>>")
+    d = d.withColumn("places", F.when(last >= 0, some).otherwise(none))
     w = windows(d, F.col("places"), "item_id", "v")
-    ends = F.array(pair(F.col("v"), F.col("pos")), pair(F.col("v"), F.col("pos") + WINDOW - 2))
-    w = w.select("item_id", "pos", "h", "slots", ends.alias("ends"))
-    n = w.groupBy(F.col("item_id").alias("id")).agg(F.countDistinct("h").alias("n_windows"))
+    ends = F.array(pair(F.col("v"), F.col("pos")), pair(F.col("v"), F.col("pos") + F.col("length") - 2))
+    w = w.select("item_id", "pos", "length", "h", "slots", "loose", ends.alias("ends"))
+    n = w.groupBy(F.col("item_id").alias("id")).agg(
+        F.countDistinct("h").alias("n_windows"), F.countDistinct(F.when(F.col("loose"), F.col("h"))).alias("n_loose")
+    )
     return w.join(n, F.col("item_id").eqNullSafe(F.col("id"))).drop("id")
 
 
@@ -99,9 +114,10 @@ def pair(v: Column, i: Column) -> Column:
 
 
 def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, text_digest, item_id, n_windows, pos, h and the slot values of both sides."""
+    """doc_id, text_digest, item_id, n_windows, n_loose, pos, h, loose and the slot values of both sides."""
     b = bounded(benchmark_windows(benchmark))
     seen = b.select(F.explode("ends").alias("e")).select(F.pmod("e", F.lit(FLAGS)).alias("e")).distinct().collect()
+    lengths = sorted(r["length"] for r in b.select("length").distinct().collect())  # LITERAL to WINDOW at most
     flags = ["0"] * FLAGS  # at most FLAGS rows, and from the benchmark only
     for r in seen:
         flags[r["e"]] = "1"
@@ -111,12 +127,15 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     d = tokens(d, F.col("t"), "doc_id", "text_digest")
     flagged = F.transform("v", lambda x, i: F.get(table, F.pmod(F.xxhash64(x, F.get("v", i + 1)), F.lit(FLAGS)).cast("int")))
     d = d.withColumn("f", flagged)
-    places = F.filter(
-        F.transform("f", lambda x, i: F.when(x & F.get("f", i + WINDOW - 2), i)), lambda i: i.isNotNull()
-    )
+
+    def flagged_places(n: int) -> Column:
+        here = F.transform("f", lambda x, i: F.when(x & F.get("f", i + n - 2), place(i, F.lit(n))))
+        return F.filter(here, lambda x: x.isNotNull())
+
+    places = F.concat(F.array().cast("array<struct<pos:int,length:int>>"), *[flagged_places(n) for n in lengths])
     d = windows(d.withColumn("places", places), F.col("places"), "doc_id", "text_digest").withColumnRenamed("pos", "at")
     d = d.withColumnRenamed("slots", "values")
-    return d.join(b.drop("ends"), "h")
+    return d.join(b.drop("ends"), ["h", "length", "loose"])
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFrame:
@@ -128,8 +147,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFr
     same = F.forall("links", lambda x: side(x, 0) == side(x, 1))
     consistent = F.size(F.array_distinct(F.transform("links", lambda x: side(x, 0)))) == F.size("links")
     each = m.groupBy(*key, (F.col("at") - F.col("pos")).alias("offset")).agg(
-        F.collect_set("h").alias("hs"),  # as many as the item has windows, at most
+        F.collect_set(F.struct("h", "loose")).alias("hs"),  # as many as the item has windows, at most
         F.first("n_windows").alias("n_windows"),
+        F.first("n_loose").alias("n_loose"),
         F.min("at").cast("long").alias("at"),
         # as many values as the item has tokens, at most
         F.array_distinct(F.flatten(F.collect_set(links))).alias("links"),
@@ -137,15 +157,20 @@ def leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFr
     each = each.withColumn("copy", same & (F.size("links") > 0))
     # as many windows and values as the document has tokens, at most
     found = each.filter(consistent).groupBy(*key).agg(
-        F.size(F.array_distinct(F.flatten(F.collect_list("hs")))).cast("long").alias("n_matched"),
+        F.array_distinct(F.flatten(F.collect_list("hs"))).alias("hs"),
         F.first("n_windows").alias("n_windows"),
+        F.first("n_loose").alias("n_loose"),
         F.min("at").alias("first_token"),
         F.array_distinct(F.flatten(F.collect_list("links"))).alias("links"),
         F.max("copy").alias("copy"),
     )
     # of several variants, one with the item's own values will do
     verbatim = same | (~consistent & F.col("copy"))
-    return found.filter(F.col("n_matched") >= share * F.col("n_windows")).select(
+    found = found.withColumn("n_matched", F.size("hs").cast("long"))
+    n_loose = F.size(F.filter("hs", lambda x: x["loose"]))
+    # other values leave only the windows joined by template
+    loose = (n_loose > 0) & (n_loose >= share * F.col("n_loose"))
+    return found.filter(loose | (F.col("n_matched") >= share * F.col("n_windows"))).select(
         *key, "n_matched", "n_windows", verbatim.alias("verbatim"), "first_token"
     )
 

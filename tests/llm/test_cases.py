@@ -143,6 +143,26 @@ def test_variants_beside_one_another(spark):
     assert sorted((r.doc_id, r.verbatim) for r in got) == [(1, True), (2, False), (3, False), (4, True)]
 
 
+def test_short_and_slot_heavy_items(spark):
+    table = "12 km 5 kg 30 % 7 cm 9 mm 44 miles 3 feet 8 hours 21 days 6 weeks"
+    items = [(1, "What is the capital of France?"), (2, table), (3, "Paris"), (4, "How many legs have 3 cats?")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    texts = [
+        (1, "Some quiz says: what is the capital of France? Nobody knew the answer to that one."),
+        (2, f"The sheet reads {table} and that is all of it"),
+        (3, "The sheet reads " + table.replace("12", "13").replace("30", "31").replace("3 feet", "4 feet").replace("9", "2")),
+        (4, "They went to Paris in the spring and stayed for a week or two"),
+        (5, "Paris"),
+        (6, "Tell me, how many legs have 5 cats? I do not know at all."),
+        (7, "what is the capital"),
+        (8, "What is the capital of France?"),
+    ]
+    got = decontaminate.leaks(spark.createDataFrame(texts, "doc_id long, text string"), bench).collect()
+    found = sorted((r.doc_id, r.item_id, r.verbatim, r.n_matched, r.n_windows) for r in got)
+    assert [x[:3] for x in found] == [(1, 1, True), (2, 2, True), (5, 3, True), (6, 4, False), (8, 1, True)]
+    assert all(n == m for *_, n, m in found)
+
+
 def test_stages(spark, docs, none, tmp_path, items):
     items.write.parquet(f"{tmp_path}/benchmark.parquet")
     for start in (docs, none):
