@@ -203,3 +203,16 @@ def _license_scan() -> str:
 
 
 SQL["op4_license_scan"] = _license_scan()
+
+SQL["op11_fill_in_middle"] = """WITH d AS (SELECT doc_id, coalesce(text, '') AS t, CAST(length(coalesce(text, '')) AS BIGINT) AS n,
+      sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS s FROM documents),
+    h AS (SELECT *, CAST('0x' || s[1:8] AS BIGINT) % (n + 1) AS x, CAST('0x' || s[9:16] AS BIGINT) % (n + 1) AS y,
+      CAST('0x' || s[17:24] AS BIGINT) % 100 AS whole, CAST('0x' || s[25:32] AS BIGINT) % 100 AS turned FROM d),
+    f AS (SELECT *, least(x, y) AS l, greatest(x, y) AS r, CASE WHEN n = 0 OR whole >= 90 OR contains(t, '<P>')
+      OR contains(t, '<S>') OR contains(t, '<M>') THEN 'plain' WHEN turned < 20 THEN 'spm' ELSE 'psm' END AS form FROM h),
+    p AS (SELECT *, substring(t, 1, l) AS a, substring(t, l + 1, r - l) AS m, substring(t, r + 1, n - r) AS z FROM f)
+    SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN l END AS prefix_chars,
+      CASE WHEN form <> 'plain' THEN r - l END AS middle_chars,
+      sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || a || '<S>' || z || '<M>' || m
+        ELSE '<S>' || z || '<P>' || a || '<M>' || m END) AS output_sha256,
+      sha256(t) AS restored_sha256 FROM p"""

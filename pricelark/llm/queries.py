@@ -11,6 +11,7 @@ from pricelark.llm import (
     backoff_scores,
     checking,
     decontaminate,
+    fill_in_middle,
     license_scan,
     line_dedup,
     mixing,
@@ -18,7 +19,9 @@ from pricelark.llm import (
     pseudonyms,
     quality_gam,
     quality_rules,
+    token_alignment,
     toxic_crf,
+    word_bpe,
 )
 from pricelark.llm.text import documents
 from pricelark.sources.tables import table
@@ -101,3 +104,42 @@ def op7_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_backoff_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return backoff_scores.scores(documents(spark, sf_dir))
+
+
+def tokenizer(name: str) -> str:
+    """The place of a public tokenizer's file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def sha256(text: Column | str) -> Column:
+    """Lower-case hex of the UTF-8 bytes' hash."""
+    return F.sha2((F.col(text) if isinstance(text, str) else text).cast("binary"), 256)
+
+
+@query
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = fill_in_middle.restored(fill_in_middle.transformed(documents(spark, sf_dir)))
+    return d.select(
+        "row.doc_id", "n", "form", "prefix_chars", "middle_chars",
+        sha256("output").alias("output_sha256"), sha256("restored.text").alias("restored_sha256"),
+    )
+
+
+@query
+def op12_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = tokenizer("word_bpe_49k.json")
+    d = word_bpe.decoded(word_bpe.encoded(documents(spark, sf_dir), path), path)
+    said = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return d.select(
+        "row.doc_id", F.size("ids").cast("long").alias("n_tokens"), sha256(said).alias("ids_sha256"),
+        sha256("decoded").alias("decoded_sha256"),
+    )
+
+
+@query
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.scored(
+        documents(spark, sf_dir), tokenizer("byte_bpe_50k.json"), tokenizer("piece_bpe_32k.model")
+    )
