@@ -25,7 +25,9 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 import uuid
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -39,28 +41,68 @@ from tokenizers import Tokenizer
 
 from pricelark.llm.arrow import blocks, utf8
 from pricelark.llm.text import rows, saved
-from pricelark.llm.word_bpe import byte_characters, shipped
+from pricelark.llm.word_bpe import MARKS, byte_characters, shipped, spelled_out
 from pricelark.session import ensure_checkpoint_dir
 
 #: Bytes of text aligned together, and tokens of one side times the other up to which a group is written out.
 BLOCK, SMALL_GROUP = 1 << 20, 1 << 10
 #: Pairs whose counts are broadcast.
 HOT_PAIRS = 200_000
+#: Chunks of text kept with their tokens per worker and tokenizer, and the longest one kept.
+KEPT_CHUNKS, LONG_CHUNK = 200_000, 64
+#: Fixed value: how byte-level BPE cuts a text before it merges.
+CUT = r"'s|'t|'re|'ve|'m|'ll|'d| ?[\p{L}]+| ?[\p{N}]+| ?[^\s\p{L}\p{N}]+|[\s]+(?![^\s])|[\s]+"
 
 
 class Side:
-    """One tokenizer: ids of texts, and the bytes of every id."""
+    """One tokenizer: ids of texts, and the bytes of every id.
 
-    def __init__(self, pieces: list[bytes]):
+    Neither tokenizer joins bytes across the chunks that ``chunk`` finds in space+text, so a chunk
+    is encoded once and then looked up; texts with characters from MARKS on go whole to the library.
+    """
+
+    def __init__(self, pieces: list[bytes], chunk: str):
         self.offsets = np.concatenate([np.zeros(1, np.int64), np.cumsum([len(p) for p in pieces])])
         self.blob = np.frombuffer(b"".join(pieces), np.uint8)
         self.size = np.diff(self.offsets)
+        self.chunk, self.marked = re.compile(chunk), re.compile(f"[^\0-{chr(ord(MARKS) - 1)}]")
+        self.known: dict[str, bytes] = {}
 
     def spelled(self, ids: np.ndarray) -> np.ndarray:
         """The bytes of the tokens in a row."""
         n = self.size[ids]
         return self.blob[np.repeat(self.offsets[ids] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
 
+    def whole(self, texts: list[str]) -> list[list[int]]:
+        """Ids of every space+text by the library; the texts come with their space."""
+        raise NotImplementedError
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all space+texts in a row, and where each stops; a text that is empty has none."""
+        spaced = [" " + t if t else "" for t in texts]
+        plain = [not self.marked.search(t) for t in texts]
+        chunks = [self.chunk.findall(t) if ok else [] for t, ok in zip(spaced, plain, strict=True)]
+        if len(self.known) > KEPT_CHUNKS:
+            self.known.clear()
+        new = list(set().union(*chunks) - self.known.keys())
+        learned = {c: packed(x) for c, x in zip(new, self.whole(new), strict=True)}
+        self.known |= learned
+        rest = [t for t, ok in zip(spaced, plain, strict=True) if not ok]
+        others = iter(self.whole(rest))
+        got = [
+            b"".join(map(self.known.__getitem__, c)) if ok else packed(next(others))
+            for c, ok in zip(chunks, plain, strict=True)
+        ]
+        for c in learned:
+            if len(c) > LONG_CHUNK:
+                del self.known[c]
+        stops = np.cumsum(np.fromiter(map(len, got), np.int64, len(got))) // 4
+        return np.frombuffer(b"".join(got), np.int32).astype(np.int64), stops
+
+
+def packed(ids: list[int]) -> bytes:
+    return array("i", ids).tobytes()
+
 
 class ByteLevel(Side):
     """Byte-level BPE of a JSON file; strings of special tokens are plain text."""
@@ -73,10 +115,10 @@ class ByteLevel(Side):
         pieces = [b""] * (max(vocab.values()) + 1)
         for token, i in vocab.items():
             pieces[i] = bytes(own[c] for c in token)
-        super().__init__(pieces)
+        super().__init__(pieces, spelled_out(CUT))
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
+    def whole(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
 
 class Pieces(Side):
@@ -85,12 +127,15 @@ class Pieces(Side):
     def __init__(self, data: bytes):
         self.model = m = sentencepiece.SentencePieceProcessor(model_proto=data)
         said = m.id_to_piece(list(range(m.get_piece_size())))
+        # spaces stand only at the beginning of pieces, so a run of spaces with what follows it is a chunk
+        closed = all("\u2581" not in p.lstrip("\u2581") for p in said)
         super().__init__(
-            [bytes([int(p[3:5], 16)]) if m.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(said)]
+            [bytes([int(p[3:5], 16)]) if m.is_byte(i) else p.replace("\u2581", " ").encode() for i, p in enumerate(said)],
+            " *[^ ]+| +" if closed else r"(?s).+",
         )
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        return self.model.encode(texts, num_threads=1)
+    def whole(self, texts: list[str]) -> list[list[int]]:
+        return self.model.encode([t[1:] for t in texts], num_threads=1)
 
 
 @lru_cache(maxsize=4)
@@ -217,42 +262,23 @@ def decimals(most: int) -> tuple[np.ndarray, np.ndarray]:
     return table, np.fromiter(map(len, said), np.int64, len(said))
 
 
-def flat_ids(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-    stops = np.cumsum(np.fromiter(map(len, lists), np.int64, len(lists)))
-    out = np.empty(int(stops[-1]) if len(stops) else 0, np.int64)
-    at = 0
-    for x in lists:
-        out[at : at + len(x)] = x
-        at += len(x)
-    return out, stops
-
-
 def aligned_block(texts: list[str], one: Side, two: Side) -> Block:
     """The groups of some texts; those that the tokens do not spell out have none."""
-    sides, wanted = [], [b" " + t.encode() if t else b"" for t in texts]
+    wanted = [b" " + t.encode() if t else b"" for t in texts]
     size = np.fromiter(map(len, wanted), np.int64, len(wanted))
     good = size > 0
-    known = np.flatnonzero(good)
+    tokens = []
     for s in (one, two):
-        ids = s.encode([texts[i] for i in known])
-        lists = [[]] * len(texts)
-        for i, x in zip(known, ids, strict=True):
-            lists[i] = x
-        flat, stops = flat_ids(lists)
+        flat, stops = s.encode(texts)
         ends = np.concatenate([np.zeros(1, np.int64), np.cumsum(s.size[flat])])
-        begins = np.concatenate([np.zeros(1, np.int64), stops[:-1]])
-        length = ends[stops] - ends[begins]
-        good &= length == size
-        sides.append((s, flat, lists))
-    for s, _, lists in sides:  # of equal length: compared byte by byte, a text after another if any differs
-        keep = np.flatnonzero(good)
-        flat, _ = flat_ids([lists[i] for i in keep])
-        got = s.spelled(flat)
-        if got.tobytes() != b"".join(wanted[i] for i in keep):
-            for i in keep:
-                good[i] = s.spelled(np.array(lists[i], np.int64)).tobytes() == wanted[i]
-    flats = [flat_ids([x if ok else [] for x, ok in zip(lists, good, strict=True)]) for _, _, lists in sides]
-    (a, a_texts), (b, b_texts) = flats
+        good &= np.diff(ends[stops], prepend=0) == size
+        tokens.append((flat, stops))
+    spelled = b"".join(wanted[i] for i in np.flatnonzero(good))
+    for s, (flat, stops) in zip((one, two), tokens, strict=True):
+        if s.spelled(kept(flat, stops, good)[0]).tobytes() != spelled:  # of equal lengths, but not all of equal bytes
+            for i in np.flatnonzero(good):
+                good[i] = s.spelled(flat[stops[i - 1] if i else 0 : stops[i]]).tobytes() == wanted[i]
+    (a, a_texts), (b, b_texts) = (kept(*t, good) for t in tokens)
     a_ends, b_ends = np.cumsum(one.size[a]), np.cumsum(two.size[b])
     begins = np.concatenate([np.zeros(1, np.int64), a_texts[:-1]])
     cuts = common_ends(a_ends, b_ends, begins, a_texts)
@@ -260,6 +286,14 @@ def aligned_block(texts: list[str], one: Side, two: Side) -> Block:
     return Block(a, b, a_texts, b_texts, cuts + 1, b_cuts)
 
 
+def kept(flat: np.ndarray, stops: np.ndarray, good: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens of the good texts; the others keep their places without any."""
+    if good.all():
+        return flat, stops
+    n = np.diff(stops, prepend=0)
+    return flat[np.repeat(good, n)], np.cumsum(np.where(good, n, 0))
+
+
 SUMMARY = {"n_a": "long", "n_b": "long", "n_groups": "long", "n_links": "long"}
 TOKENS = {"a_ids": "array<int>", "b_ids": "array<int>", "a_stops": "array<int>", "b_stops": "array<int>"}
 

@@ -35,11 +35,11 @@ from pricelark.llm.arrow import strings
 from pricelark.llm.text import rows
 
 #: Words kept with their tokens, and pairs kept with their verdict, per worker.
-KEPT_WORDS, KEPT_PAIRS, LONG_WORD = 400_000, 2_000_000, 64
+KEPT_WORDS, KEPT_PAIRS, LONG_WORD = 400_000, 1_000_000, 64
 #: Tokens decoded at once.
 AT_ONCE = 1 << 18
-#: Below this code point the regex module and the tokenizers agree on letters, numbers and spaces.
-KNOWN = "԰"
+#: Below the first combining mark every text is in normal form, and classes of characters are settled.
+MARKS = "\u0300"
 END = 0x100
 
 
@@ -51,6 +51,15 @@ def byte_characters() -> dict[str, int]:
     return {**{chr(b): b for b in own}, **{chr(256 + i): b for i, b in enumerate(rest)}}
 
 
+def spelled_out(pattern: str) -> str:
+    """A pattern with its classes of letters, numbers and spaces, all inside brackets, written out
+    for characters below MARKS."""
+    for kind in (r"\p{L}", r"\p{N}", r"\s"):
+        members = "".join(c for c in map(chr, range(ord(MARKS))) if regex.fullmatch(kind, c))
+        pattern = pattern.replace(kind, re.escape(members))
+    return pattern
+
+
 class Vocabulary:
     """Tokens numbered in the order in which merges make them: single bytes first.
 
@@ -83,25 +92,29 @@ class Vocabulary:
         self.right = [-1] * len(single) + [number[b] for _, b in merges]
         self.merged = {(a, b): k for k, (a, b) in enumerate(zip(self.left, self.right, strict=True)) if a >= 0}
         self.pairs: dict[int, bool] = {}
-        whole: list[bool] = []
+        stays: list[bool] = []
         for k, (a, b) in enumerate(zip(self.left, self.right, strict=True)):
-            whole.append(a < 0 or (whole[a] and whole[b] and self.apart(a, b, k)))
-        at = {t: k for k, t in enumerate(self.texts) if whole[k]}
+            stays.append(a < 0 or (stays[a] and stays[b] and self.apart(a, b, k)))
+        at = {t: k for k, t in enumerate(self.texts) if stays[k]}
         self.shorter = [next((at[t[:n]] for n in range(len(t) - 1, 0, -1) if t[:n] in at), -1) for t in self.texts]
         self.automaton = ahocorasick.Automaton()
         for t, k in at.items():
             self.automaton.add_word(t, k)
         self.automaton.make_automaton()
-        self.words: dict[str, array] = {}
+        self.words: dict[str, bytes] = {}
 
         self.special = {t["content"]: t["id"] for t in said["added_tokens"]}
         longest = sorted(self.special, key=len, reverse=True)
         self.special_pattern = re.compile("(" + "|".join(map(re.escape, longest)) + ")") if longest else None
-        rules = Tokenizer.from_str(data.decode())
-        self.normalizer, self.pre_tokenizer = rules.normalizer, rules.pre_tokenizer
-        first = said["pre_tokenizer"]["pretokenizers"][0]
-        self.word = regex.compile(first["pattern"]["Regex"])
-        self.beyond = re.compile(f"[^\0-{chr(ord(KNOWN) - 1)}]")
+        whole = Tokenizer.from_str(data.decode())
+        self.normalizer, self.pre_tokenizer = whole.normalizer, whole.pre_tokenizer
+        # on texts without marks the rules only lower letters and turn white space into spaces, which no word holds
+        rules = said["normalizer"]["normalizers"]
+        self.simple = [r["type"] for r in rules] == ["NFC", "Replace", "Lowercase"] and rules[1]["content"] == " "
+        small = [c for c in map(chr, range(ord(MARKS))) if all(x < MARKS for x in c.lower())]
+        self.marked = re.compile("[^" + re.escape("".join(small)) + "]")
+        pattern = said["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+        self.word = re.compile(spelled_out(pattern))
 
         shown = {**{i: t for t, i in ids.items()}, **{i: t for t, i in self.special.items()}}
         pieces = [(shown.get(i, "") + " ").encode() for i in range(max(shown) + 1)]
@@ -135,6 +148,9 @@ class Vocabulary:
 
     def tokens(self, text: str) -> list[int]:
         """Token numbers of a word."""
+        first = [k for _, k in self.automaton.iter_long(text)]
+        if all(self.follows(a, b) for a, b in zip(first, first[1:], strict=False)):
+            return first  # the longest token at every place, and nothing to take back
         n, size, shorter = len(text), self.size, self.shorter
         longest = [-1] * n
         for end, k in self.automaton.iter(text):
@@ -156,35 +172,43 @@ class Vocabulary:
                 at -= size[k]
         return out
 
-    def word_ids(self, word: str) -> array:
-        got = self.words.get(word)
-        if got is None:
-            text = word.encode().decode("latin-1")
-            if self.suffix:
-                text = text[:-1] + chr(ord(text[-1]) + END)
-            got = array("i", [self.ids[k] for k in self.tokens(text)])
-            if len(word) <= LONG_WORD:
-                if len(self.words) >= KEPT_WORDS:
-                    self.words.clear()
-                self.words[word] = got
-        return got
+    def word_ids(self, word: str) -> bytes:
+        """Ids of a word as packed 32-bit numbers."""
+        text = word.encode().decode("latin-1")
+        if self.suffix:
+            text = text[:-1] + chr(ord(text[-1]) + END)
+        return array("i", [self.ids[k] for k in self.tokens(text)]).tobytes()
 
     def split(self, text: str) -> list[str]:
         """The words of a text without special tokens."""
+        if self.simple and not self.marked.search(text):
+            return self.word.findall(text.lower())
         text = self.normalizer.normalize_str(text)
-        if self.beyond.search(text):
-            return [text[a:b] for _, (a, b) in self.pre_tokenizer.pre_tokenize_str(text)]
-        return self.word.findall(text)
+        return [text[a:b] for _, (a, b) in self.pre_tokenizer.pre_tokenize_str(text)]
 
-    def encode_into(self, out: array, text: str) -> None:
-        """The ids of a text behind those in `out`."""
-        parts = self.special_pattern.split(text) if self.special_pattern else [text]
+    def encode(self, text: str) -> bytes:
+        """The ids of a text as packed 32-bit numbers."""
+        parts, out = self.special_pattern.split(text) if self.special_pattern else [text], []
         for i, part in enumerate(parts):
             if i % 2:
-                out.append(self.special[part])
+                out.append(array("i", [self.special[part]]).tobytes())
             elif part:
-                for word in self.split(part):
-                    out.extend(self.word_ids(word))
+                words = self.split(part)
+                got = list(map(self.words.get, words))
+                if None in got:
+                    for j, word in enumerate(words):
+                        if got[j] is None:
+                            got[j] = self.words.get(word) or self.learn(word)
+                out += got
+        return b"".join(out)
+
+    def learn(self, word: str) -> bytes:
+        got = self.word_ids(word)
+        if len(word) <= LONG_WORD:
+            if len(self.words) >= KEPT_WORDS:
+                self.words.clear()
+            self.words[word] = got
+        return got
 
     def decode(self, ids: np.ndarray, stops: np.ndarray) -> tuple[bytes, np.ndarray]:
         """Texts of runs of ids in a row, run i ending before stops[i]: their bytes and places.
@@ -221,12 +245,11 @@ def encoded(docs: DataFrame, path: str) -> DataFrame:
 
     @F.arrow_udf("array<int>")
     def ids(text: pa.Array) -> pa.Array:
-        v, out, stops = vocabulary(held.value), array("i"), [0]
-        for t in text:
-            if (said := t.as_py()) is not None:
-                v.encode_into(out, said)
-            stops.append(len(out))
-        return pa.ListArray.from_arrays(pa.array(stops, pa.int32()), pa.array(np.frombuffer(out, np.int32), pa.int32()))
+        v = vocabulary(held.value)
+        got = [v.encode(t) if t else b"" for t in text.to_pylist()]
+        stops = np.cumsum([0, *map(len, got)]) // 4
+        flat = np.frombuffer(b"".join(got), np.int32)
+        return pa.ListArray.from_arrays(pa.array(stops, pa.int32()), pa.array(flat, pa.int32()))
 
     return rows(docs).select("row", ids(F.col("text")).alias("ids"))
 

@@ -2,7 +2,6 @@
 
 import hashlib
 import random
-from array import array
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -102,13 +101,15 @@ def test_word_bpe_is_the_tokenizers_own(spark, hard):
 
 
 def test_words_are_cut_alike():
-    """Every code point below the first one that the two pattern libraries know differently, and all others by the tokenizer."""
+    """Every character of texts that are not given to the tokenizer's own rules, alone and beside others."""
     v = word_bpe.vocabulary(open(tokenizer("word_bpe_49k.json"), "rb").read())
-    points = [chr(c) for c in range(ord(word_bpe.KNOWN))]
-    text = " ".join(f"a{c}b1{c}!{c}{c}" for c in points)
-    assert not v.beyond.search(text)
-    assert v.word.findall(text) == [text[a:b] for _, (a, b) in v.pre_tokenizer.pre_tokenize_str(text)]
-    assert v.beyond.search(word_bpe.KNOWN)
+    points = [chr(c) for c in range(ord(word_bpe.MARKS))]
+    texts = [" ".join(f"a{c}b1{c}!{c}{c}" for c in points), *(f"{a}{b}" for a in points[60:260] for b in points[60:260])]
+    for text in texts:
+        n = v.normalizer.normalize_str(text)
+        assert v.split(text) == [n[a:b] for _, (a, b) in v.pre_tokenizer.pre_tokenize_str(n)]
+    # only characters whose small letters are further on are left to the tokenizer
+    assert v.simple and [c for c in points if v.marked.search(c)] == ["İ", "Ⱥ", "Ⱦ"] and v.marked.search(word_bpe.MARKS)
 
 
 def test_every_token_stays_whole():
@@ -121,9 +122,7 @@ def test_long_words_take_linear_time():
     own = Tokenizer.from_file(tokenizer("word_bpe_49k.json"))
     rnd = random.Random(4)
     for text in ("a" * 300_000, random_text(rnd, "aeint", 300_000)):
-        out = array("i")
-        v.encode_into(out, text)
-        assert list(out) == own.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(v.encode(text), np.int32).tolist() == own.encode(text, add_special_tokens=False).ids
     assert all(len(w) <= word_bpe.LONG_WORD for w in v.words)
 
 
@@ -190,6 +189,22 @@ def test_alignment_of_tokens(spark, hard, monkeypatch, hot, small):
                 x, y = p, q
 
 
+def test_chunks_are_encoded_as_in_their_texts():
+    """Lookups of chunks against the libraries on whole texts, with every character that goes that way."""
+    rnd = random.Random(6)
+    points = [chr(c) for c in range(ord(word_bpe.MARKS))]
+    texts = [" ".join(f"a{c}b1{c} {c}!{c}{c}" for c in points), *(f"{a}{b}" for a in points[:200] for b in points[25:130])]
+    texts += [random_text(rnd, "ab c  \n\t1.=é'sreßÀ\xa0\x85", 60) for _ in range(3000)] + [t for t in HARD if t]
+    for side in (
+        token_alignment.ByteLevel(open(tokenizer("byte_bpe_50k.json"), "rb").read()),
+        token_alignment.Pieces(open(tokenizer("piece_bpe_32k.model"), "rb").read()),
+    ):
+        flat, stops = side.encode(texts)
+        want = side.whole([" " + t for t in texts])
+        assert [x.tolist() for x in np.split(flat, stops[:-1])] == want
+        assert all(len(c) <= token_alignment.LONG_CHUNK for c in side.known) and len(side.known) > 100
+
+
 def test_large_groups():
     """Groups of many tokens give the links that writing them out gives."""
     rng = np.random.default_rng(1)
