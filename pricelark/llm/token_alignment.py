@@ -54,6 +54,11 @@ KEPT_CHUNKS, LONG_CHUNK = 200_000, 64
 CUT = r"'s|'t|'re|'ve|'m|'ll|'d| ?[\p{L}]+| ?[\p{N}]+| ?[^\s\p{L}\p{N}]+|[\s]+(?![^\s])|[\s]+"
 
 
+def before(stops: np.ndarray) -> np.ndarray:
+    """Where each run begins, from where the runs stop."""
+    return np.concatenate([np.zeros(1, np.int64), stops])[:-1]
+
+
 class Side:
     """One tokenizer: ids of texts, and the bytes of every id.
 
@@ -135,7 +140,9 @@ class Pieces(Side):
         )
 
     def whole(self, texts: list[str]) -> list[list[int]]:
-        return self.model.encode([t[1:] for t in texts], num_threads=1)
+        got = self.model.encode([t[1:] for t in texts], num_threads=1)
+        alone = [self.model.piece_to_id("\u2581")]  # the model makes nothing of a space before nothing
+        return [alone if t == " " else x for t, x in zip(texts, got, strict=True)]
 
 
 @lru_cache(maxsize=4)
@@ -211,7 +218,7 @@ class Block:
     def said(self) -> Iterator[bytes]:
         """`a1,a2|b1;a3|b2,b3` of every text: ids in order, groups apart by semicolons."""
         g_a, g_b = self.a_groups, self.b_groups
-        begin_a, begin_b = np.concatenate([[0], g_a[:-1]]), np.concatenate([[0], g_b[:-1]])
+        begin_a, begin_b = before(g_a), before(g_b)
         n = len(self.a) + len(self.b)
         ids, mark = np.empty(n, np.int64), np.full(n, ord(","), np.uint8)
         ids[np.arange(len(self.a)) + np.repeat(begin_b, g_a - begin_a)] = self.a
@@ -230,7 +237,7 @@ class Block:
 
     def links(self, base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Per text and linked id pair: index of the text, a * base + b, how many links; sorted."""
-        begin_a, begin_b = np.concatenate([[0], self.a_groups[:-1]]), np.concatenate([[0], self.b_groups[:-1]])
+        begin_a, begin_b = before(self.a_groups), before(self.b_groups)
         n_a, n_b = self.a_groups - begin_a, self.b_groups - begin_b
         text = np.searchsorted(self.a_texts, self.a_groups)
         room = np.int64(1) << 31 if base < 1 << 15 else np.int64(1) << 40
@@ -280,7 +287,7 @@ def aligned_block(texts: list[str], one: Side, two: Side) -> Block:
                 good[i] = s.spelled(flat[stops[i - 1] if i else 0 : stops[i]]).tobytes() == wanted[i]
     (a, a_texts), (b, b_texts) = (kept(*t, good) for t in tokens)
     a_ends, b_ends = np.cumsum(one.size[a]), np.cumsum(two.size[b])
-    begins = np.concatenate([np.zeros(1, np.int64), a_texts[:-1]])
+    begins = before(a_texts)
     cuts = common_ends(a_ends, b_ends, begins, a_texts)
     b_cuts = np.searchsorted(b_ends, a_ends[cuts]) + 1
     return Block(a, b, a_texts, b_texts, cuts + 1, b_cuts)
@@ -324,7 +331,7 @@ def aligned(docs: DataFrame, a_path: str, b_path: str, outputs: tuple[str, ...]
         parts = []
         for run in blocks(text, BLOCK):
             block = aligned_block([t or "" for t in run.to_pylist()], side("bytes", one.value), side("pieces", two.value))
-            a0, b0 = (np.concatenate([np.zeros(1, np.int64), x[:-1]]) for x in (block.a_texts, block.b_texts))
+            a0, b0 = (before(x) for x in (block.a_texts, block.b_texts))
             stops = block.group_stops
             groups = np.diff(np.concatenate([np.zeros(1, np.int64), stops]))
             owner, which, links = block.links(base)

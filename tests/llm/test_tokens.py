@@ -194,7 +194,8 @@ def test_chunks_are_encoded_as_in_their_texts():
     rnd = random.Random(6)
     points = [chr(c) for c in range(ord(word_bpe.MARKS))]
     texts = [" ".join(f"a{c}b1{c} {c}!{c}{c}" for c in points), *(f"{a}{b}" for a in points[:200] for b in points[25:130])]
-    texts += [random_text(rnd, "ab c  \n\t1.=é'sreßÀ\xa0\x85", 60) for _ in range(3000)] + [t for t in HARD if t]
+    texts += [random_text(rnd, "ab c  \n\t1.=é'sreßÀ\xa0\x85", 60) for _ in range(3000)] + HARD
+    texts = [t for t in texts if t]
     for side in (
         token_alignment.ByteLevel(open(tokenizer("byte_bpe_50k.json"), "rb").read()),
         token_alignment.Pieces(open(tokenizer("piece_bpe_32k.model"), "rb").read()),
@@ -205,6 +206,16 @@ def test_chunks_are_encoded_as_in_their_texts():
         assert all(len(c) <= token_alignment.LONG_CHUNK for c in side.known) and len(side.known) > 100
 
 
+def test_blocks_without_tokens(spark):
+    a, b, word = (tokenizer(n) for n in ("byte_bpe_50k.json", "piece_bpe_32k.model", "word_bpe_49k.json"))
+    rows = [(1, None), (2, ""), (3, "\u2581 piece")]
+    for i in range(1, 4):
+        d = spark.createDataFrame(rows[:i], "doc_id long, text string").coalesce(1)
+        assert [(r.n_a, r.n_links, r.groups_sha256) for r in token_alignment.scored(d, a, b).collect()] == [(0, 0, "")] * i
+        got = word_bpe.decoded(word_bpe.encoded(d, word), word).collect()
+        assert [r.decoded == "" and r.ids == [] for r in got[:2]] == [True] * min(i, 2)
+
+
 def test_large_groups():
     """Groups of many tokens give the links that writing them out gives."""
     rng = np.random.default_rng(1)
