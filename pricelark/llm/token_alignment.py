@@ -24,6 +24,7 @@ Vocabulary files are read on the driver and broadcast as they are (a few MB, wha
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
 import uuid
@@ -41,11 +42,11 @@ from tokenizers import Tokenizer
 
 from pricelark.llm.arrow import blocks, utf8
 from pricelark.llm.text import rows, saved
-from pricelark.llm.word_bpe import MARKS, byte_characters, shipped, spelled_out
+from pricelark.llm.word_bpe import MARKS, Merges, byte_characters, shipped, spelled_out
 from pricelark.session import ensure_checkpoint_dir
 
 #: Bytes of text aligned together, and tokens of one side times the other up to which a group is written out.
-BLOCK, SMALL_GROUP = 1 << 20, 1 << 10
+BLOCK, SMALL_GROUP = 1 << 21, 1 << 10
 #: Pairs whose counts are broadcast.
 HOT_PAIRS = 200_000
 #: Chunks of text kept with their tokens per worker and tokenizer, and the longest one kept.
@@ -78,28 +79,32 @@ class Side:
         n = self.size[ids]
         return self.blob[np.repeat(self.offsets[ids] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
 
+    def chunks(self, text: str) -> list[str]:
+        """The chunks of space+text."""
+        return self.chunk.findall(" " + text)
+
     def whole(self, texts: list[str]) -> list[list[int]]:
-        """Ids of every space+text by the library; the texts come with their space."""
+        """Ids of every space+text by the library."""
+        raise NotImplementedError
+
+    def learned(self, chunks: list[str]) -> list[bytes]:
+        """Ids of chunks, packed."""
         raise NotImplementedError
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all space+texts in a row, and where each stops; a text that is empty has none."""
-        spaced = [" " + t if t else "" for t in texts]
         plain = [not self.marked.search(t) for t in texts]
-        chunks = [self.chunk.findall(t) if ok else [] for t, ok in zip(spaced, plain, strict=True)]
-        if len(self.known) > KEPT_CHUNKS:
-            self.known.clear()
+        chunks = [self.chunks(t) if ok and t else [] for t, ok in zip(texts, plain, strict=True)]
         new = list(set().union(*chunks) - self.known.keys())
-        learned = {c: packed(x) for c, x in zip(new, self.whole(new), strict=True)}
-        self.known |= learned
-        rest = [t for t, ok in zip(spaced, plain, strict=True) if not ok]
-        others = iter(self.whole(rest))
+        self.known.update(zip(new, self.learned(new), strict=True))
+        others = iter(self.whole([t for t, ok in zip(texts, plain, strict=True) if not ok]))
         got = [
             b"".join(map(self.known.__getitem__, c)) if ok else packed(next(others))
             for c, ok in zip(chunks, plain, strict=True)
         ]
-        for c in learned:
-            if len(c) > LONG_CHUNK:
+        full = len(self.known) > KEPT_CHUNKS  # the frequent ones came early
+        for c in new:
+            if full or len(c) > LONG_CHUNK:
                 del self.known[c]
         stops = np.cumsum(np.fromiter(map(len, got), np.int64, len(got))) // 4
         return np.frombuffer(b"".join(got), np.int32).astype(np.int64), stops
@@ -116,6 +121,7 @@ class ByteLevel(Side):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.tokenizer = Tokenizer.from_str(data.decode())
         self.tokenizer.encode_special_tokens = True
+        self.merges = Merges(json.loads(data)["model"])
         own, vocab = byte_characters(), self.tokenizer.get_vocab(with_added_tokens=False)
         pieces = [b""] * (max(vocab.values()) + 1)
         for token, i in vocab.items():
@@ -123,7 +129,11 @@ class ByteLevel(Side):
         super().__init__(pieces, spelled_out(CUT))
 
     def whole(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        spaced = [" " + t for t in texts]
+        return [e.ids for e in self.tokenizer.encode_batch_fast(spaced, add_special_tokens=False)]
+
+    def learned(self, chunks: list[str]) -> list[bytes]:
+        return list(map(self.merges.packed, chunks))
 
 
 class Pieces(Side):
@@ -138,11 +148,20 @@ class Pieces(Side):
             [bytes([int(p[3:5], 16)]) if m.is_byte(i) else p.replace("\u2581", " ").encode() for i, p in enumerate(said)],
             " *[^ ]+| +" if closed else r"(?s).+",
         )
+        self.closed = closed
+
+    def chunks(self, text: str) -> list[str]:
+        """The chunks without their first space."""
+        if self.closed and "  " not in text and text[0] != " " != text[-1]:
+            return text.split(" ")
+        return [c[1:] for c in super().chunks(text)]
 
     def whole(self, texts: list[str]) -> list[list[int]]:
-        got = self.model.encode([t[1:] for t in texts], num_threads=1)
+        return self.model.encode(texts, num_threads=1)
+
+    def learned(self, chunks: list[str]) -> list[bytes]:
         alone = [self.model.piece_to_id("\u2581")]  # the model makes nothing of a space before nothing
-        return [alone if t == " " else x for t, x in zip(texts, got, strict=True)]
+        return [packed(ids if c else alone) for c, ids in zip(chunks, self.whole(chunks), strict=True)]
 
 
 @lru_cache(maxsize=4)

@@ -35,7 +35,7 @@ from pricelark.llm.arrow import strings
 from pricelark.llm.text import rows
 
 #: Words kept with their tokens, and pairs kept with their verdict, per worker.
-KEPT_WORDS, KEPT_PAIRS, LONG_WORD = 400_000, 1_000_000, 64
+KEPT_WORDS, KEPT_PAIRS, LONG_WORD = 250_000, 500_000, 64
 #: Tokens decoded at once.
 AT_ONCE = 1 << 18
 #: Below the first combining mark every text is in normal form, and classes of characters are settled.
@@ -60,16 +60,14 @@ def spelled_out(pattern: str) -> str:
     return pattern
 
 
-class Vocabulary:
-    """Tokens numbered in the order in which merges make them: single bytes first.
-
-    Texts of tokens and words are strings of one character a byte; the last byte of a word, which
-    carries the end of the word, is moved up by END.
+class Merges:
+    """The tokens of a byte-pair encoding, numbered in the order in which merges make them: single
+    bytes first. Texts are strings of one character a byte; where words carry their end, the last
+    byte of a word is moved up by END.
     """
 
-    def __init__(self, data: bytes):
-        said = json.loads(data)
-        model, own = said["model"], byte_characters()
+    def __init__(self, model: dict):
+        own = byte_characters()
         self.suffix = model["end_of_word_suffix"] or ""
         ids = model["vocab"]
 
@@ -101,25 +99,6 @@ class Vocabulary:
         for t, k in at.items():
             self.automaton.add_word(t, k)
         self.automaton.make_automaton()
-        self.words: dict[str, bytes] = {}
-
-        self.special = {t["content"]: t["id"] for t in said["added_tokens"]}
-        longest = sorted(self.special, key=len, reverse=True)
-        self.special_pattern = re.compile("(" + "|".join(map(re.escape, longest)) + ")") if longest else None
-        whole = Tokenizer.from_str(data.decode())
-        self.normalizer, self.pre_tokenizer = whole.normalizer, whole.pre_tokenizer
-        # on texts without marks the rules only lower letters and turn white space into spaces, which no word holds
-        rules = said["normalizer"]["normalizers"]
-        self.simple = [r["type"] for r in rules] == ["NFC", "Replace", "Lowercase"] and rules[1]["content"] == " "
-        small = [c for c in map(chr, range(ord(MARKS))) if all(x < MARKS for x in c.lower())]
-        self.marked = re.compile("[^" + re.escape("".join(small)) + "]")
-        pattern = said["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
-        self.word = re.compile(spelled_out(pattern))
-
-        shown = {**{i: t for t, i in ids.items()}, **{i: t for t, i in self.special.items()}}
-        pieces = [(shown.get(i, "") + " ").encode() for i in range(max(shown) + 1)]
-        self.blob = np.frombuffer(b"".join(pieces), np.uint8)
-        self.offsets = np.concatenate([np.zeros(1, np.int64), np.cumsum([len(p) for p in pieces])])
 
     def apart(self, a: int, b: int, limit: int) -> bool:
         """Whether no merge earlier than `limit` joins the end of token a with the beginning of token b."""
@@ -136,48 +115,71 @@ class Vocabulary:
                     return True
                 limit, b = b + 1, self.left[b]  # of equal merges the left one comes first
 
-    def follows(self, a: int, b: int) -> bool:
-        """Whether token b can stand behind token a."""
-        key = a * len(self.ids) + b
-        known = self.pairs.get(key)
-        if known is None:
-            if len(self.pairs) >= KEPT_PAIRS:
-                self.pairs.clear()
-            known = self.pairs[key] = self.apart(a, b, len(self.ids))
-        return known
+    def learn_pair(self, a: int, b: int) -> bool:
+        """Whether token b can stand behind token a; kept in the table of pairs."""
+        if len(self.pairs) >= KEPT_PAIRS:
+            self.pairs.clear()
+        good = self.pairs[a * len(self.ids) + b] = self.apart(a, b, len(self.ids))
+        return good
 
     def tokens(self, text: str) -> list[int]:
-        """Token numbers of a word."""
-        first = [k for _, k in self.automaton.iter_long(text)]
-        if all(self.follows(a, b) for a, b in zip(first, first[1:], strict=False)):
-            return first  # the longest token at every place, and nothing to take back
-        n, size, shorter = len(text), self.size, self.shorter
-        longest = [-1] * n
-        for end, k in self.automaton.iter(text):
-            longest[end + 1 - size[k]] = k  # ends only grow, so the longest stays
-        open_, out, at, k = bytearray(b"\1" * (n + 1)), [], 0, longest[0]
-        while at < n:
-            last = out[-1] if out else -1
-            while k >= 0 and not (open_[at + size[k]] and (last < 0 or self.follows(last, k))):
+        """Token numbers of a word: the longest token at every place that may follow, taken back where none may."""
+        longest, size, shorter, pairs, base = self.automaton.iter_long, self.size, self.shorter, self.pairs, len(self.ids)
+        n, k = len(text), next(longest(text))[1]
+        closed, out, at, last = set(), [], 0, -1
+        while True:
+            while k >= 0:
+                if at + size[k] not in closed:
+                    good = last < 0 or pairs.get(last * base + k)
+                    if good or (good is None and self.learn_pair(last, k)):
+                        break
                 k = shorter[k]
             if k >= 0:
                 out.append(k)
-                at += size[k]
-                k = longest[at] if at < n else -1
-            elif last < 0:
-                raise ValueError("the vocabulary lacks a single byte")
+                last, at = k, at + size[k]
+                if at == n:
+                    return out
+                k = next(longest(text, at))[1]
             else:
-                open_[at] = 0
-                k = out.pop()
+                closed.add(at)
+                k = out.pop()  # its end is closed now, so a shorter one is tried
                 at -= size[k]
-        return out
+                last = out[-1] if out else -1
 
-    def word_ids(self, word: str) -> bytes:
+    def packed(self, word: str, end: bool = False) -> bytes:
         """Ids of a word as packed 32-bit numbers."""
-        text = word.encode().decode("latin-1")
-        if self.suffix:
+        text = word if word.isascii() else word.encode().decode("latin-1")
+        if end:
             text = text[:-1] + chr(ord(text[-1]) + END)
-        return array("i", [self.ids[k] for k in self.tokens(text)]).tobytes()
+        ids = self.ids
+        return array("i", [ids[k] for k in self.tokens(text)]).tobytes()
+
+
+class Vocabulary(Merges):
+    """A word tokenizer: the rules that make words of a text, special tokens, and decoding."""
+
+    def __init__(self, data: bytes):
+        said = json.loads(data)
+        super().__init__(said["model"])
+        self.words: dict[str, bytes] = {}
+
+        self.special = {t["content"]: t["id"] for t in said["added_tokens"]}
+        longest = sorted(self.special, key=len, reverse=True)
+        self.special_pattern = re.compile("(" + "|".join(map(re.escape, longest)) + ")") if longest else None
+        whole = Tokenizer.from_str(data.decode())
+        self.normalizer, self.pre_tokenizer = whole.normalizer, whole.pre_tokenizer
+        # on texts without marks the rules only lower letters and turn white space into spaces, which no word holds
+        rules = said["normalizer"]["normalizers"]
+        self.simple = [r["type"] for r in rules] == ["NFC", "Replace", "Lowercase"] and rules[1]["content"] == " "
+        small = [c for c in map(chr, range(ord(MARKS))) if all(x < MARKS for x in c.lower())]
+        self.marked = re.compile("[^" + re.escape("".join(small)) + "]")
+        pattern = said["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+        self.word = re.compile(spelled_out(pattern))
+
+        shown = {**{i: t for t, i in said["model"]["vocab"].items()}, **{i: t for t, i in self.special.items()}}
+        pieces = [(shown.get(i, "") + " ").encode() for i in range(max(shown) + 1)]
+        self.blob = np.frombuffer(b"".join(pieces), np.uint8)
+        self.offsets = np.concatenate([np.zeros(1, np.int64), np.cumsum([len(p) for p in pieces])])
 
     def split(self, text: str) -> list[str]:
         """The words of a text without special tokens."""
@@ -203,10 +205,8 @@ class Vocabulary:
         return b"".join(out)
 
     def learn(self, word: str) -> bytes:
-        got = self.word_ids(word)
-        if len(word) <= LONG_WORD:
-            if len(self.words) >= KEPT_WORDS:
-                self.words.clear()
+        got = self.packed(word, bool(self.suffix))
+        if len(self.words) < KEPT_WORDS and len(word) <= LONG_WORD:  # the frequent ones come early
             self.words[word] = got
         return got
 
@@ -216,7 +216,7 @@ class Vocabulary:
         Tokens lie in one blob, each with a space behind it; the offset table says where.
         """
         size = self.offsets[ids + 1] - self.offsets[ids]
-        begins = np.concatenate([np.zeros(1, np.int64), stops[:-1]]) if len(stops) else stops
+        begins = np.concatenate([np.zeros(1, np.int64), stops])[:-1]
         size[stops[stops > begins] - 1] -= 1  # no space behind the last token
         parts = []
         for i in range(0, len(ids), AT_ONCE):

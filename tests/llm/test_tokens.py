@@ -201,7 +201,7 @@ def test_chunks_are_encoded_as_in_their_texts():
         token_alignment.Pieces(open(tokenizer("piece_bpe_32k.model"), "rb").read()),
     ):
         flat, stops = side.encode(texts)
-        want = side.whole([" " + t for t in texts])
+        want = side.whole(texts)
         assert [x.tolist() for x in np.split(flat, stops[:-1])] == want
         assert all(len(c) <= token_alignment.LONG_CHUNK for c in side.known) and len(side.known) > 100
 
