@@ -212,7 +212,7 @@ def price_candidates() -> Column:
 
 
 def audit_rows(outcomes: DataFrame) -> DataFrame:
-    """One diagnostic row per check; facts of the snapshot are folded into the JSON blob."""
+    """One diagnostic row per check; facts of the snapshot take their place in the JSON blob."""
     has = F.size(F.coalesce("offers", F.array())) > 0
     df = outcomes.withColumns(
         {
@@ -224,19 +224,41 @@ def audit_rows(outcomes: DataFrame) -> DataFrame:
     items = F.transform(
         F.coalesce("offers", F.array()), lambda o: F.concat_ws(":", o["type"], o["description"])
     )
-    blob = F.struct(
-        F.col("price_source").alias("priceSource"),
-        F.col("name"),
-        F.struct(
-            F.col("offers_count").alias("count"),
-            F.col("offers_hash").alias("hash"),
-            items.alias("items"),
-        ).alias("offers"),
-        F.col("_candidates").alias("priceCandidates"),
+    def known(value: Column) -> Column:
+        """A value as JSON has it; null is said as null."""
+        return F.coalesce(F.parse_json(F.to_json(value)), F.parse_json(F.lit("null")))
+
+    def rupees(name: str) -> Column:
+        return (F.col(name) / 100).cast("decimal(20,2)").cast("string")
+
+    provenance = F.struct(
+        F.col("price_source").alias("price"),
+        rupees("price_html").alias("priceHtml"),
+        rupees("price_json_ld").alias("priceJsonLd"),
+        rupees("price_embedded_first").alias("priceEmbedded"),
+    )
+    listed = F.struct(F.col("offers_count").alias("count"), F.col("offers_hash").alias("hash"), items.alias("items"))
+    facts = {
+        "provenance": known(provenance),
+        "name": F.coalesce(F.col("name").cast("variant"), F.parse_json(F.lit("null"))),
+        "offers": known(listed),
+        "priceCandidates": known(F.col("_candidates")),
+    }
+    blob = F.create_map(*[x for k, v in facts.items() for x in (F.lit(k), v)])
+    if "debug" in df.columns:
+        own = _own_facts(F.col("debug"))
+        blob = F.map_concat(F.map_filter(own, lambda k, _: ~k.isin(*facts)), blob)
+    return df.withColumn("debug", F.to_json(blob)).drop("_candidates", "offers")
+
+
+def _own_facts(debug: Column) -> Column:
+    """Members of the diagnostics that came in. What is no object is kept whole: other JSON under
+    `value`, text that is no JSON under `text`."""
+    none = F.expr("CAST(map() AS MAP<STRING, VARIANT>)")
+    read = F.try_parse_json(debug)
+    return (
+        F.when(F.coalesce(F.trim(debug), F.lit("")) == "", none)
+        .when(read.isNull(), F.create_map(F.lit("text"), debug.cast("variant")))
+        .when(F.schema_of_variant(read).startswith("OBJECT"), F.try_variant_get(read, "$", "map<string,variant>"))
+        .otherwise(F.create_map(F.lit("value"), read))
     )
-    facts = F.to_json(blob)
-    if "debug" in df.columns:  # facts are added to the object that is there
-        own = F.trim("debug")
-        members = F.regexp_extract(own, r"(?s)^\{\s*(.*\S)\s*\}$", 1)
-        facts = F.when(members != "", F.concat(F.lit("{"), members, F.lit(","), F.substring(facts, F.lit(2), F.length(facts)))).otherwise(facts)
-    return df.withColumn("debug", facts).drop("_candidates", "offers")

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
+from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pricelark.functions.binding import let
+from pricelark.model import MARKETPLACE_LABELS
 
 # Domains each marketplace claims, and its id shapes.
 DOMAINS = {
@@ -28,18 +31,36 @@ VARIANT = r"^[A-Z0-9]{16}$"
 _SHAPE = r"^\s*([A-Za-z][A-Za-z0-9+.-]*):/*(?:[^/?#@\s]*@)?([^/?#:\s]+)(?::\d*)?([^?#]*)(?:\?([^#]*))?(?:#.*)?$"
 
 
+@dataclass(frozen=True)
+class Site:
+    """A marketplace: its domains, what a listing's path and query say, and how its pages are read.
+
+    ``listing(path, query)`` gives struct<id, url>, the id and canonical form of a listing, null for
+    other pages. ``extract(pages)`` gives snapshot columns of pages (url, html, ...).
+    """
+
+    name: str
+    label: str
+    domains: tuple[str, ...]
+    listing: Callable[[Column, Column], Column]
+    extract: Callable[[DataFrame], DataFrame] | None = None
+
+
 class Registry:
-    """Marketplace layouts by domain; a domain can be claimed once."""
+    """Sites by domain; a domain can be claimed once. Nothing else names a site."""
 
-    def __init__(self) -> None:
+    def __init__(self, *sites: Site) -> None:
+        self.sites: list[Site] = []
         self.domains: dict[str, str] = {}
+        for site in sites:
+            self.register(site)
 
-    def claim(self, marketplace: str, domains: list[str]) -> None:
-        for domain in domains:
-            key = domain.lower()
-            if key in self.domains:
-                raise ValueError(f"domain {key} is already claimed by {self.domains[key]}")
-            self.domains[key] = marketplace
+    def register(self, site: Site) -> None:
+        taken = {d.lower(): self.domains[d.lower()] for d in site.domains if d.lower() in self.domains}
+        for domain, owner in taken.items():
+            raise ValueError(f"domain {domain} is already claimed by {owner}")
+        self.sites.append(site)
+        self.domains |= {d.lower(): site.name for d in site.domains}
 
     def marketplace_of(self, host: Column) -> Column:
         """The marketplace that claims the host or the nearest parent of it."""
@@ -48,12 +69,47 @@ class Registry:
         names = F.create_map(*[F.lit(x) for pair in self.domains.items() for x in pair])
         return F.try_element_at(names, F.regexp_extract(host, pattern, 1))
 
+    def listing(self, marketplace: Column, path: Column, query: Column) -> Column:
+        """struct<id, url> by the site's own rule; the other sites' shapes are not searched."""
+        out = None
+        for site in self.sites:
+            test, found = marketplace == site.name, site.listing(path, query)
+            out = F.when(test, found) if out is None else out.when(test, found)
+        return out
+
+    def supported(self) -> str:
+        """Labels of the sites, as a sentence names them."""
+        *most, last = [s.label for s in self.sites]
+        return f"{', '.join(most)} and {last} are" if most else f"{last} is"
+
+
+def found_listing(found: Column, id_: Column, url: Column) -> Column:
+    return F.when(found.isNotNull(), F.struct(id_.alias("id"), url.alias("url")))
+
+
+def _listing_a(path: Column, query: Column) -> Column:
+    asin = F.coalesce(*[_group(path, p) for p in ASIN_PATHS], _param(query, "asin", ASIN))
+    return let(asin, lambda x: found_listing(x, x, F.concat(F.lit("https://www.amazon.in/dp/"), x)))
+
+
+def _listing_b(path: Column, query: Column) -> Column:
+    parts = F.struct(_group(path, ITEM_PATH).alias("item"), _param(query, "pid", VARIANT).alias("variant"))
+
+    def form(x: Column) -> Column:
+        extra = F.coalesce(F.concat(F.lit("?pid="), x["variant"]), F.lit(""))
+        url = F.concat(F.lit("https://www.flipkart.com/product/p/"), x["item"], extra)
+        return found_listing(x["item"], F.coalesce(x["variant"], x["item"]), url)
+
+    return let(parts, form)
+
+
+def default_sites() -> list[Site]:
+    rules = {"amazon_in": _listing_a, "flipkart": _listing_b}
+    return [Site(name, MARKETPLACE_LABELS[name], tuple(DOMAINS[name]), rule) for name, rule in rules.items()]
+
 
 def default_registry() -> Registry:
-    registry = Registry()
-    for name, domains in DOMAINS.items():
-        registry.claim(name, domains)
-    return registry
+    return Registry(*default_sites())
 
 
 def _group(text: Column, pattern: str, group: int = 1) -> Column:
@@ -79,45 +135,20 @@ def recognise(url: Column, registry: Registry | None = None) -> Column:
         _group(url, _SHAPE, 4).alias("query"),
     )
 
-    def ids(u: Column) -> Column:
-        """The id the site's own path shape carries; the other site's are not searched."""
-        asin = F.coalesce(
-            *[_group(u["path"], p) for p in ASIN_PATHS], _param(u["query"], "asin", ASIN)
-        )
-        return F.struct(
-            u["host"].alias("host"),
-            u["marketplace"].alias("marketplace"),
-            F.when(u["marketplace"] == "amazon_in", asin)
-            .when(u["marketplace"] == "flipkart", _group(u["path"], ITEM_PATH))
-            .alias("id"),
-            F.when(
-                u["marketplace"] == "flipkart", _param(u["query"], "pid", VARIANT)
-            ).alias("variant"),
-        )
-
     def form(x: Column) -> Column:
-        in_a, in_b = x["marketplace"] == "amazon_in", x["marketplace"] == "flipkart"
-        found = x["id"]
-        by_item = F.concat(
-            F.lit("https://www.flipkart.com/product/p/"),
-            found,
-            F.coalesce(F.concat(F.lit("?pid="), x["variant"]), F.lit("")),
-        )
+        found, known = x["listing"], x["marketplace"].isNotNull()
         return F.struct(
-            F.when(x["marketplace"].isNull(), "unsupported")
-            .when(found.isNull(), "not_a_listing")
-            .otherwise("listing")
-            .alias("kind"),
+            F.when(~known, "unsupported").when(found.isNull(), "not_a_listing").otherwise("listing").alias("kind"),
             x["marketplace"].alias("marketplace"),
-            F.when(in_a, F.concat(F.lit("https://www.amazon.in/dp/"), found))
-            .when(in_b, by_item)
-            .alias("canonical_url"),
-            F.when(in_b & found.isNotNull(), F.coalesce(x["variant"], found))
-            .otherwise(found)
-            .alias("marketplace_product_id"),
-            F.when(x["marketplace"].isNull(), x["host"]).alias("detected_site"),
+            found["url"].alias("canonical_url"),
+            found["id"].alias("marketplace_product_id"),
+            F.when(~known, x["host"]).alias("detected_site"),
         )
 
+    def looked_up(u: Column) -> Column:
+        listing = registry.listing(u["marketplace"], u["path"], u["query"])
+        return F.struct(u["host"].alias("host"), u["marketplace"].alias("marketplace"), listing.alias("listing"))
+
     def site(u: Column) -> Column:
         return F.struct(
             u["host"].alias("host"),
@@ -126,4 +157,4 @@ def recognise(url: Column, registry: Registry | None = None) -> Column:
             u["query"].alias("query"),
         )
 
-    return let(parts, lambda u: let(site(u), lambda v: let(ids(v), form)))
+    return let(parts, lambda u: let(site(u), lambda v: let(looked_up(v), form)))

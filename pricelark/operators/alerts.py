@@ -170,6 +170,12 @@ _VALUES = {
 }
 
 
+#: Columns of an alert row.
+ALERT_COLUMNS = "product_id bigint, check_id bigint, fired_at timestamp, rule int, type string, " + ", ".join(
+    f"{name} {kind}" for name, (_, _, kind) in _VALUES.items()
+)
+
+
 def _event(kind: str, rule: int) -> str:
     """The alert row of one rule as a SQL struct."""
     fields = [f"'rule', {rule}", f"'type', '{kind}'"]
@@ -253,9 +259,13 @@ def continue_state(
     any are carried over.
     """
     log, running_state = continue_log(checks, settings, running_state, limit)
-    new = folded(log)
+    return running_state, carried_state(folded(log), products)
+
+
+def carried_state(new: DataFrame, products: DataFrame | None) -> DataFrame:
+    """Product state after a part of the log from the part's own fold and the state before it."""
     if products is None:
-        return running_state, with_status(new)
+        return with_status(new)
     old = products.withColumn("was_auto_paused", F.when(F.col("status") == "paused_auto", F.lit(True)))
     old = old.select([F.col(c).alias("old_" + c) for c in new.columns])
     both = new.join(old, new["product_id"] == old["old_product_id"], "full")
@@ -266,7 +276,7 @@ def continue_state(
             return F.least(c, "old_" + c)
         return F.greatest(c, "old_" + c) if c in most else F.coalesce(c, "old_" + c)
 
-    return running_state, with_status(both.select([merged(c).alias(c) for c in new.columns]))
+    return with_status(both.select([merged(c).alias(c) for c in new.columns]))
 
 
 def with_status(state: DataFrame) -> DataFrame:

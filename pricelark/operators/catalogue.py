@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from pricelark.functions.money import half_up
 from pricelark.operators.slices import top_per_key
+from pricelark.session import ensure_checkpoint_dir
 
 # health filter -> condition; "failing" here ignores the status, the dashboard's does not
 HEALTH = {
@@ -116,6 +117,38 @@ def catalogue_page(catalogue: DataFrame, q: CatalogueQuery) -> DataFrame:
     )
 
 
+def catalogue_seek(catalogue: DataFrame, q: CatalogueQuery, ranges: int | None = None) -> DataFrame:
+    """The same page, however deep: no task sorts more than a range of the list.
+
+    Only the order's columns are dealt to ranges; rows counted per range give the total and
+    say which ranges the page lies in. The whole rows of its ids are read at the end.
+    """
+    within("page size", q.page_size, 1, 100)
+    within("page number", q.page, 1)
+    spark = catalogue.sparkSession
+    found = matching(catalogue, q)
+    column = SORTS[q.sort].split()[0]
+    order = [F.col("priority").asc_nulls_last(), sort_order(q.sort), F.col("product_id").asc()]
+    n = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    keys = found.select("priority", column, "product_id").repartitionByRange(n, *order)
+    ensure_checkpoint_dir(spark)
+    keys = keys.withColumn("_range", F.spark_partition_id()).checkpoint()  # ranges are drawn once
+    sizes = sorted((r["_range"], r["count"]) for r in keys.groupBy("_range").count().collect())  # a row a range
+    total, first, before, wanted, skipped = sum(k for _, k in sizes), (q.page - 1) * q.page_size, 0, [], 0
+    for at, k in sizes:
+        if before + k > first and before < first + q.page_size:
+            skipped = before if not wanted else skipped
+            wanted.append(at)
+        before += k
+    rows = keys.filter(F.col("_range").isin(wanted)).orderBy(*order).offset(max(first - skipped, 0)).limit(q.page_size)
+    ids = [r["product_id"] for r in rows.select("product_id").collect()]  # one page
+    return found.filter(F.col("product_id").isin(ids)).orderBy(*order).select(
+        "*",
+        F.lit(total).cast("long").alias("total"),
+        F.lit(-(-total // q.page_size)).cast("long").alias("pages"),
+    )
+
+
 def history_page(
     checks: DataFrame, size: int = 50, number: int = 1, failed_only: bool = False
 ) -> DataFrame:

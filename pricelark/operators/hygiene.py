@@ -19,10 +19,8 @@ KEY = ["product_id", "type"]
 SESSION_LIMIT = 1000
 """Alerts of one burst folded in a single row; longer bursts go by pointer doubling."""
 
-"""Alerts of one message; larger groups are split."""
 
-
-def _judged(alerts: DataFrame, settings: Settings) -> DataFrame:
+def judged(alerts: DataFrame, settings: Settings) -> DataFrame:
     """Add quiet-hours release (null when not held) and the time delivery counts from."""
     kind = F.col("type")
     holdable = F.lit(True) if settings.hold_health else ~kind.isin(HEALTH_ALERTS)
@@ -62,12 +60,12 @@ def continue_delivery(
     The state is the last alert of each key that started a cooldown, and when it counts
     as delivered; it takes part as an alert before the new ones.
     """
-    judged = _judged(alerts, settings)
+    ruled = judged(alerts, settings)
     subject = F.col("product_id").isNotNull() & ~F.col("type").isin(COOLDOWN_EXEMPT)
     if settings.cooldown_minutes <= 0:
         subject = F.lit(False)
-    free = judged.filter(~subject).withColumn("_suppressed", F.lit(False))
-    bound = judged.filter(subject)
+    free = ruled.filter(~subject).withColumn("_suppressed", F.lit(False))
+    bound = ruled.filter(subject)
 
     times = bound.select(*KEY, "fired_at", "_eff").distinct()
     if state is not None:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pricelark.functions.urls import Registry, recognise
+from pricelark.functions.binding import settled
+from pricelark.functions.urls import Registry, default_registry, recognise
 from pricelark.model import STAGGER_SECONDS
 
 CELL = 1_000_000
@@ -48,7 +49,7 @@ def review(rows: DataFrame, existing: DataFrame, registry: Registry | None = Non
     of a listing wins; that row is a minimum per listing, so a listing repeated
     any number of times costs one aggregate row.
     """
-    seen = rows.withColumn("r", recognise(F.coalesce("url", F.lit("")), registry)).select("*", "r.*").drop("r")
+    seen = settled(rows.withColumn("r", recognise(F.coalesce("url", F.lit("")), registry))).select("*", "r.*").drop("r")
     bad_target = F.coalesce(~(F.col("target_rupees") > 0), F.lit(False))
     listing = F.col("kind") == "listing"
     able = listing & ~bad_target
@@ -76,7 +77,7 @@ def review(rows: DataFrame, existing: DataFrame, registry: Registry | None = Non
             F.concat(
                 F.lit("Unsupported site"),
                 site,
-                F.lit(" — only Amazon India and Flipkart are supported"),
+                F.lit(f" — only {(registry or default_registry()).supported()} supported"),
             ),
         ),
         (

@@ -137,12 +137,16 @@ def offer_specs() -> list[Running]:
 
 
 def with_offers(src: Sliced) -> DataFrame:
+    return with_offers_of(src.df)
+
+
+def with_offers_of(df: DataFrame) -> DataFrame:
     """Effective offers before and at each check, and the reliable difference.
 
     A check without offers, or of an unbuyable listing, keeps the last known ones.
     """
     none = F.array().cast(OFFERS)
-    out = src.df.withColumns(
+    out = df.withColumns(
         {
             "offers": F.coalesce("offers", none),
             "prev_offers": F.coalesce("_usable", "_earliest", none),

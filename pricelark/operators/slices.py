@@ -1,22 +1,30 @@
-"""Split hot keys into time slices, and run ordered scans across the slices.
+"""Split hot keys into slices of their order, and run ordered scans across the slices.
 
 An ordered scan per product (previous price, latch, failure run) is normally a
 window partitioned by the product. One product can hold a large share of all
 rows, and then that window is one task. Here a product above ``limit`` rows is
-cut into equal time slices; every slice is scanned on its own, each slice is
-summarised into one row, the summaries are prefix-combined per product, and the
-result is carried into the rows of the later slices. Cold products keep exactly
-one slice, so for them the plan is the ordinary window.
+cut into slices that follow one another in the order of its rows; every slice is
+scanned on its own, each slice is summarised into one row, the summaries are
+prefix-combined per product, and the result is carried into the rows of the later
+slices. Cold products keep exactly one slice, so for them the plan is the ordinary
+window.
+
+Slices are found by counting: a key is cut into cells of equal time, a cell that
+still holds more than ``limit`` rows is cut again, and rows of one time are cut by
+the next columns of the order. So a burst is split like everything else.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from itertools import takewhile
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pricelark.session import ensure_checkpoint_dir
+
 HOT_ROWS = 2_000_000
 """Rows of one key a single task may sort; beyond it the key is sliced."""
 
@@ -51,8 +59,12 @@ class Sliced:
         return Window.partitionBy(*self.keys, SLICE).orderBy(*self.order)
 
 
-def _micros(ts: str) -> Column:
-    return F.unix_micros(F.col(ts))
+def _number(df: DataFrame, name: str) -> Column | None:
+    """An order column as a whole number that sorts alike, if it has one."""
+    kind = df.schema[name].dataType.typeName()
+    if kind == "timestamp":
+        return F.unix_micros(name)
+    return F.col(name).cast("long") if kind in ("byte", "short", "integer", "long") else None
 
 
 def slice_hot_keys(
@@ -64,11 +76,12 @@ def slice_hot_keys(
 ) -> Sliced:
     """Add the slice column. ``order[0]`` must be a timestamp.
 
-    ``sizes(keys, n, lo, hi)`` may give upper bounds of the rows and the time range
-    per key from a cheaper scan than ``df`` itself.
-    The plan table holds only keys above ``limit`` rows, so at most
-    total / limit rows; it is joined without a hint and AQE picks the join by
-    its measured size.
+    A slice has at most ``limit`` rows, unless more agree in every leading column of the
+    order that is a time or a whole number. ``sizes(keys, n, lo, hi)`` may give upper bounds
+    of the rows and the time range per key from a cheaper scan than ``df`` itself.
+
+    The slice is the list of where the row's cells begin, so slices sort as their rows do.
+    A table of cells to cut has at most total / limit rows.
     """
     limit = HOT_ROWS if limit is None else limit
     if sizes is None:
@@ -79,21 +92,60 @@ def slice_hot_keys(
     plan = sizes.filter(F.col("n") > limit)
     if plan.isEmpty():
         return Sliced(df.withColumn(SLICE, F.lit(0).cast("long")), tuple(keys), tuple(order), False)
-    # four slices per limit leave room for uneven arrival within the span
-    plan = plan.selectExpr(
-        *keys,
-        "unix_micros(lo) AS _lo",
-        f"greatest(1, ceil((unix_micros(hi) - unix_micros(lo) + 1) / ceil(n * 4 / {limit}))) AS _width",
+    numbers = list(takewhile(lambda n: n is not None, (_number(df, c) for c in order)))
+    none = F.array().cast("array<long>").alias(SLICE)
+    cells = plan.select(
+        *keys, none, F.lit(0).alias("_dim"), "n", F.unix_micros("lo").alias("_lo"), F.unix_micros("hi").alias("_hi")
     )
-    joined = df.join(plan, list(keys), "left")
-    sliced = joined.select(
-        *df.columns,
-        F.coalesce(
-            F.floor((_micros(order[0]) - F.col("_lo")) / F.col("_width")), F.lit(0)
-        ).alias(SLICE),
-        F.col("_lo").isNotNull().alias(HOT),
-    )
-    return Sliced(sliced, tuple(keys), tuple(order), True)
+    rows = df.select(*keys, none, *[n.alias(f"_d{i}") for i, n in enumerate(numbers)])
+    dims = [F.col(f"_d{i}") for i in range(len(numbers))]
+    levels = []
+    while True:
+        # four cells per limit leave room for uneven arrival
+        width = F.expr(f"greatest(1, CAST(ceil((_hi - _lo + 1) / ceil(n * 4 / {limit})) AS BIGINT))")
+        level = _small(cells.select(*keys, SLICE, "_dim", "_lo", width.alias("_width")))
+        levels.append(level)
+        rows = _cut(rows, level, keys, dims, "inner").select(*keys, SLICE, "_dim", *dims)
+        spread = [F.struct(F.min(d).alias("lo"), F.max(d).alias("hi")).alias(f"_s{i}") for i, d in enumerate(dims)]
+        dense = rows.groupBy(*keys, SLICE).agg(F.count("*").alias("n"), F.max("_dim").alias("_at"), *spread)
+        # the first column, from this one on, in which the cell's rows differ
+        ranges = [F.struct(F.lit(i).alias("dim"), f"_s{i}.lo", f"_s{i}.hi") for i in range(len(dims))]
+        differing = F.filter(F.array(*ranges), lambda r: (r["dim"] >= F.col("_at")) & (r["lo"] < r["hi"]))
+        cells = dense.filter(F.col("n") > limit).withColumn("_next", F.get(differing, F.lit(0)))
+        cells = cells.filter(F.col("_next").isNotNull()).select(
+            *keys, SLICE, F.col("_next.dim").alias("_dim"), "n", F.col("_next.lo").alias("_lo"), F.col("_next.hi").alias("_hi")
+        )
+        cells = _saved(cells)
+        if cells.isEmpty():
+            break
+    out = df.withColumns({SLICE: none, **{f"_d{i}": n for i, n in enumerate(numbers)}})
+    for level in levels:
+        out = _cut(out, level, keys, dims, "left").select(*df.columns, SLICE, *dims)
+    out = out.select(*df.columns, SLICE, (F.size(SLICE) > 0).alias(HOT))
+    return Sliced(out, tuple(keys), tuple(order), True)
+
+
+def _saved(df: DataFrame) -> DataFrame:
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
+
+
+def _small(df: DataFrame, rows: int = 50_000) -> DataFrame:
+    """Saved and counted: broadcast if it is small, else joined as Spark sees fit."""
+    df = _saved(df)
+    return F.broadcast(df) if df.count() <= rows else df
+
+
+def _cut(df: DataFrame, level: DataFrame, keys: Sequence[str], dims: Sequence[Column], how: str) -> DataFrame:
+    """The rows of cells that are cut again get where their new cell begins behind their slice."""
+    level = level.withColumnRenamed("_dim", "_cut_dim")
+    if "_dim" in df.columns:
+        df = df.drop("_dim")
+    value = F.get(F.array(*dims), F.col("_cut_dim"))
+    begin = F.col("_lo") + F.floor((value - F.col("_lo")) / F.col("_width")) * F.col("_width")
+    deeper = F.when(F.col("_lo").isNotNull(), F.concat(SLICE, F.array(begin.cast("long")))).otherwise(F.col(SLICE))
+    joined = df.join(level, [*keys, SLICE], how)
+    return joined.withColumn(SLICE, deeper).withColumnRenamed("_cut_dim", "_dim")
 
 
 def _agg(kind: str, value: Column) -> Column:

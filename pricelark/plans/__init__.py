@@ -6,7 +6,7 @@ import importlib
 
 from pricelark.plans.registry import ORACLES, QUERIES
 
-MODULES = ["alerting", "catalogue", "delivery", "text", "extraction", "streams"]
+MODULES = ["alerting", "catalogue", "delivery", "text", "extraction", "streams", "stored", "details"]
 
 
 def all_queries() -> tuple[dict, dict]:

@@ -82,7 +82,7 @@ def alert_back_in_stock(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _texts(offers: str):
+def offer_texts(offers: str):
     return F.array_join(
         F.transform(F.col(offers), lambda o: F.concat(o["type"], F.lit("|"), o["description"])), "; "
     )
@@ -101,7 +101,7 @@ def _texts(offers: str):
 )
 def alert_offer_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = A.alerts(M.check_log(spark, sf_dir), SETTINGS, ["offer_added", "offer_removed"])
-    side = F.when(F.col("type") == "offer_added", _texts("added")).otherwise(_texts("removed"))
+    side = F.when(F.col("type") == "offer_added", offer_texts("added")).otherwise(offer_texts("removed"))
     return found.select(
         "product_id", "check_id", "fired_at", "type", side.alias("offers"), "new_paise"
     )
@@ -154,6 +154,14 @@ def alerts_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("alerts_sliced", sql(ALL_ALERTS_SQL, "SELECT * FROM all_alerts"))
+def alerts_sliced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same alerts with so low a limit that most products are scanned in slices."""
+    return A.alerts(M.check_log(spark, sf_dir), SETTINGS, limit=12).select(
+        "product_id", "check_id", "fired_at", "type", "old_paise", "new_paise", "change_pct"
+    )
+
+
 STATE_SQL = (
     OFFERS_SQL
     + """,
@@ -182,25 +190,19 @@ state AS (
 )
 
 
-@query(
-    "product_state",
-    sql(
-        STATE_SQL,
-        "SELECT * EXCLUDE (current_offers), array_to_string(current_offers, '; ') AS current_offers FROM state",
-    ),
+PRODUCT_STATE_SQL = sql(
+    STATE_SQL,
+    "SELECT * EXCLUDE (current_offers), array_to_string(current_offers, '; ') AS current_offers FROM state",
 )
+
+
+@query("product_state", PRODUCT_STATE_SQL)
 def product_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     state = A.product_state(M.check_log(spark, sf_dir), SETTINGS)
-    return state.withColumn("current_offers", _texts("current_offers"))
+    return state.withColumn("current_offers", offer_texts("current_offers"))
 
 
-@query(
-    "product_state_parts",
-    sql(
-        STATE_SQL,
-        "SELECT * EXCLUDE (current_offers), array_to_string(current_offers, '; ') AS current_offers FROM state",
-    ),
-)
+@query("product_state_parts", PRODUCT_STATE_SQL)
 def product_state_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same state from three parts of the log, each continuing from the stored state."""
     checks = M.checks(spark, sf_dir)
@@ -210,7 +212,7 @@ def product_state_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
         part = checks.filter((F.col("checked_at") >= start) & (F.col("checked_at") < end))
         running_state, products = A.continue_state(part, SETTINGS, running_state, products)
         running_state, products = saved_rows(running_state), saved_rows(products)
-    return products.withColumn("current_offers", _texts("current_offers"))
+    return products.withColumn("current_offers", offer_texts("current_offers"))
 
 
 @query(
@@ -277,8 +279,8 @@ def effective_offers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return log.select(
         "product_id",
         "check_id",
-        _texts("prev_offers").alias("prev_offers"),
-        _texts("eff_offers").alias("eff_offers"),
+        offer_texts("prev_offers").alias("prev_offers"),
+        offer_texts("eff_offers").alias("eff_offers"),
     )
 
 
@@ -317,18 +319,18 @@ def stock_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.spans(S.sliced_log(points), F.col("stock_status") == "out_of_stock", "checked_at")
 
 
-@query(
-    "history_rows",
-    sql(
-        OFFERS_SQL,
-        """SELECT check_id, product_id, checked_at, strftime(checked_at, '%Y-%m') AS checked_month, success,
-             CASE WHEN success THEN price_paise END AS price_paise,
-             CASE WHEN success THEN sha256(array_to_string(list_sort(list_transform(eff_offers, lambda x: 
-               split_part(x, '|', 1) || '|' || lower(substr(x, instr(x, '|') + 1)))), chr(10))) END AS offers_hash,
-             CASE WHEN success THEN stock_status ELSE 'unknown' END AS stock_status, tier, duration_ms, failure_reason
-        FROM diffs""",
-    ),
+HISTORY_SQL = sql(
+    OFFERS_SQL,
+    """SELECT check_id, product_id, checked_at, strftime(checked_at, '%Y-%m') AS checked_month, success,
+         CASE WHEN success THEN price_paise END AS price_paise,
+         CASE WHEN success THEN sha256(array_to_string(list_sort(list_transform(eff_offers, lambda x: 
+           split_part(x, '|', 1) || '|' || lower(substr(x, instr(x, '|') + 1)))), chr(10))) END AS offers_hash,
+         CASE WHEN success THEN stock_status ELSE 'unknown' END AS stock_status, tier, duration_ms, failure_reason
+    FROM diffs""",
 )
+
+
+@query("history_rows", HISTORY_SQL)
 def history_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.history_rows(M.check_log(spark, sf_dir), SETTINGS).drop("offers", "mrp_paise")
 

@@ -28,9 +28,11 @@ SETTINGS = Settings()
 
 def catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Products with their current state."""
-    state = A.product_state(M.check_log(spark, sf_dir), SETTINGS)
-    joined = M.products(spark, sf_dir).join(state, "product_id", "left")
-    return joined.withColumns(
+    return with_state(M.products(spark, sf_dir), A.product_state(M.check_log(spark, sf_dir), SETTINGS))
+
+
+def with_state(products: DataFrame, state: DataFrame) -> DataFrame:
+    return products.join(state, "product_id", "left").withColumns(
         {
             "status": F.coalesce("status", F.lit("active")),
             "stock_status": F.coalesce("stock_status", F.lit("unknown")),
@@ -91,9 +93,10 @@ def catalogue_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _PAGE_COLS = "product_id, display_name, priority, current_paise, discount_pct, status"
+PAGE_COLUMNS = [*_PAGE_COLS.split(", "), "total", "pages"]
 
 
-def _page_sql(where: str, order: str, size: int, number: int = 1) -> str:
+def page_sql(where: str, order: str, size: int, number: int = 1) -> str:
     return sql(
         CATALOGUE_SQL,
         f"""SELECT {_PAGE_COLS}, (SELECT count(*) FROM catalogue WHERE {where}) AS total,
@@ -104,18 +107,17 @@ def _page_sql(where: str, order: str, size: int, number: int = 1) -> str:
 
 
 def _page(spark: SparkSession, sf_dir: str, q: C.CatalogueQuery) -> DataFrame:
-    cols = [c.strip() for c in _PAGE_COLS.split(",")] + ["total", "pages"]
-    return C.catalogue_page(catalogue(spark, sf_dir), q).select(*cols)
+    return C.catalogue_page(catalogue(spark, sf_dir), q).select(*PAGE_COLUMNS)
 
 
-@query("catalogue_page", _page_sql("TRUE", "discount_pct DESC NULLS FIRST", 25, 2))
+@query("catalogue_page", page_sql("TRUE", "discount_pct DESC NULLS FIRST", 25, 2))
 def catalogue_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _page(spark, sf_dir, C.CatalogueQuery(sort="biggest_drop", page=2))
 
 
 @query(
     "catalogue_price_band",
-    _page_sql(
+    page_sql(
         "marketplace = 'flipkart' AND current_paise >= 85000 AND current_paise <= 95000",
         "current_paise ASC NULLS LAST",
         50,
@@ -309,21 +311,21 @@ def category_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.category_counts(M.products(spark, sf_dir), labels)
 
 
-@query(
-    "deletion_impact",
-    sql(
-        ALL_ALERTS_SQL,
-        """SELECT p.product_id, coalesce(h.n, 0) AS history_count, coalesce(a.n, 0) AS alert_count FROM products p
-        LEFT JOIN (SELECT product_id, count(*) AS n FROM checks GROUP BY 1) h USING (product_id)
-        LEFT JOIN (SELECT product_id, count(*) AS n FROM all_alerts GROUP BY 1) a USING (product_id)""",
-    ),
+IMPACT_SQL = sql(
+    ALL_ALERTS_SQL,
+    """SELECT p.product_id, coalesce(h.n, 0) AS history_count, coalesce(a.n, 0) AS alert_count FROM products p
+    LEFT JOIN (SELECT product_id, count(*) AS n FROM checks GROUP BY 1) h USING (product_id)
+    LEFT JOIN (SELECT product_id, count(*) AS n FROM all_alerts GROUP BY 1) a USING (product_id)""",
 )
+
+
+@query("deletion_impact", IMPACT_SQL)
 def deletion_impact(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = M.check_log(spark, sf_dir)
     return D.deletion_impact(M.products(spark, sf_dir), log.checks, A.alerts(log, SETTINGS))
 
 
-def _due(spark: SparkSession, sf_dir: str) -> DataFrame:
+def due_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is due in a daily cycle: the products checked the day before, a row per cycle."""
     day = F.date_trunc("DAY", F.col("checked_at")) + F.expr("INTERVAL 1 DAY")
     return M.checks(spark, sf_dir).groupBy(day.alias("cycle")).agg(F.count_distinct("product_id").alias("due"))
@@ -342,28 +344,28 @@ def _due(spark: SparkSession, sf_dir: str) -> DataFrame:
     ),
 )
 def cycle_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    report = D.cycle_report(M.checks(spark, sf_dir), F.date_trunc("DAY", F.col("checked_at")), _due(spark, sf_dir))
+    report = D.cycle_report(M.checks(spark, sf_dir), F.date_trunc("DAY", F.col("checked_at")), due_by_day(spark, sf_dir))
     return report.withColumn("cycle", F.col("cycle").cast("timestamp"))
 
 
-@query(
-    "system_status",
-    sql(
-        CHECKS_SQL,
-        """, last AS (SELECT max(checked_at) AS t FROM checks WHERE checked_at <= TIMESTAMP '2001-09-01'),
-        week AS (SELECT count(*) AS total, count(*) FILTER (success) AS ok FROM checks
-          WHERE checked_at >= TIMESTAMP '2001-09-01' - INTERVAL 7 DAY AND checked_at <= TIMESTAMP '2001-09-01')
-        SELECT min(checked_at) AS last_cycle_started_at, max(checked_at) AS last_cycle_ended_at, count(*) AS last_cycle_checked,
-          count(*) FILTER (success) AS last_cycle_succeeded, count(*) FILTER (NOT success) AS last_cycle_failed,
-          any_value(CASE WHEN total > 0 THEN floor(CAST(ok AS DOUBLE) / total * 10000.0 + 0.5) / 100.0 END) AS success_rate_7d,
-          (SELECT count(DISTINCT product_id) FROM checks, last
-            WHERE date_trunc('day', checked_at) = date_trunc('day', t) - INTERVAL 1 DAY) AS last_cycle_due
-        FROM checks, last, week WHERE date_trunc('day', checked_at) = date_trunc('day', t) AND checked_at <= TIMESTAMP '2001-09-01'""",
-    ),
+CYCLE_SQL = sql(
+    CHECKS_SQL,
+    """, last AS (SELECT max(checked_at) AS t FROM checks WHERE checked_at <= TIMESTAMP '2001-09-01'),
+    week AS (SELECT count(*) AS total, count(*) FILTER (success) AS ok FROM checks
+      WHERE checked_at >= TIMESTAMP '2001-09-01' - INTERVAL 7 DAY AND checked_at <= TIMESTAMP '2001-09-01')
+    SELECT min(checked_at) AS last_cycle_started_at, max(checked_at) AS last_cycle_ended_at, count(*) AS last_cycle_checked,
+      count(*) FILTER (success) AS last_cycle_succeeded, count(*) FILTER (NOT success) AS last_cycle_failed,
+      any_value(CASE WHEN total > 0 THEN floor(CAST(ok AS DOUBLE) / total * 10000.0 + 0.5) / 100.0 END) AS success_rate_7d,
+      (SELECT count(DISTINCT product_id) FROM checks, last
+        WHERE date_trunc('day', checked_at) = date_trunc('day', t) - INTERVAL 1 DAY) AS last_cycle_due
+    FROM checks, last, week WHERE date_trunc('day', checked_at) = date_trunc('day', t) AND checked_at <= TIMESTAMP '2001-09-01'""",
 )
+
+
+@query("system_status", CYCLE_SQL)
 def system_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     cycle = F.date_trunc("DAY", F.col("checked_at"))
-    return D.system_status(M.checks(spark, sf_dir), cycle, M.as_of(), _due(spark, sf_dir))
+    return D.system_status(M.checks(spark, sf_dir), cycle, M.as_of(), due_by_day(spark, sf_dir))
 
 
 @query(

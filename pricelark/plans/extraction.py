@@ -6,10 +6,12 @@ the catalogue rows; the checking SQL states the snapshot from the same rows.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricelark.extract import attempts, layouts
+from pricelark.extract import attempts, dispatch, layouts
+from pricelark.functions import urls
+from pricelark.functions.binding import let
 from pricelark.model import Settings
 from pricelark.operators import alerts as A
 from pricelark.operators import usage as U
@@ -318,41 +320,108 @@ def fetch_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# what a check brings: diagnostics as an object that has some of the facts' names, an array, a broken text or none
+_DEBUG = """CASE check_id % 4 WHEN 0 THEN concat('{"exitIp": "10.0.0.', product_id % 250, '", "name": "old", "offers": [1]}')
+  WHEN 1 THEN concat('[', product_id, ', "x"]') WHEN 2 THEN concat('{"cut off ', product_id) END"""
+
+
 @query(
     "audit_rows",
     sql(
         CHECKS_SQL,
-        """SELECT check_id, success, failure_reason, len(offers) AS offers_count,
+        """, seen AS (SELECT *, CASE WHEN check_id % 2 = 0 THEN price_paise + 100 END AS ld, CASE WHEN check_id % 3 = 0 THEN price_paise + 200 END AS embedded,
+            CASE WHEN check_id % 5 = 0 THEN price_paise + 305 END AS api FROM checks)
+        SELECT check_id, success, failure_reason, len(offers) AS offers_count,
           CASE WHEN len(offers) > 0 THEN sha256(array_to_string(list_sort(list_transform(offers, lambda x: split_part(x, '|', 1) || '|' || lower(substr(x, instr(x, '|') + 1)))), chr(10))) END AS offers_hash,
           coalesce(array_to_string(list_transform(offers, lambda x: replace(x, '|', ':')), '; '), '') AS items,
-          CASE WHEN price_paise IS NOT NULL THEN 1 ELSE 0 END AS candidates FROM checks""",
+          array_to_string(list_filter([CASE WHEN ld IS NOT NULL THEN 'jsonld=' || ld END, CASE WHEN embedded IS NOT NULL THEN 'embedded-json=' || embedded END,
+            CASE WHEN price_paise IS NOT NULL THEN 'html-winner=' || price_paise END, CASE WHEN api IS NOT NULL THEN 'pincode-api=' || api END], lambda x: x IS NOT NULL), ';') AS candidates,
+          CASE WHEN price_paise IS NOT NULL THEN 'buy-box' END AS price_from,
+          CAST(price_paise // 100 AS VARCHAR) || '.' || lpad(CAST(price_paise % 100 AS VARCHAR), 2, '0') AS price_html,
+          CASE check_id % 4 WHEN 0 THEN 'exitIp,' WHEN 1 THEN 'value,' WHEN 2 THEN 'text,' ELSE '' END || 'name,offers,priceCandidates,provenance' AS keys,
+          CASE check_id % 4 WHEN 0 THEN '10.0.0.' || (product_id % 250) WHEN 1 THEN '[' || product_id || ',"x"]' WHEN 2 THEN '{"cut off ' || product_id END AS own FROM seen""",
     ),
 )
 def audit_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    none = F.lit(None).cast("bigint")
+    """Audit rows with every price signal, over diagnostics of every kind."""
+    price, check = F.col("price_paise"), F.col("check_id")
     outcomes = M.checks(spark, sf_dir).withColumns(
         {
             "name": F.lit(None).cast("string"),
-            "price_source": F.when(F.col("price_paise").isNotNull(), "buy-box"),
-            "price_html": F.col("price_paise"),
-            "price_json_ld": none,
-            "price_embedded_first": none,
-            "api_price_paise": none,
+            "price_source": F.when(price.isNotNull(), "buy-box"),
+            "price_html": price,
+            "price_json_ld": F.when(check % 2 == 0, price + 100),
+            "price_embedded_first": F.when(check % 3 == 0, price + 200),
+            "api_price_paise": F.when(check % 5 == 0, price + 305),
+            "debug": F.expr(_DEBUG),
         }
     )
-    rows = attempts.audit_rows(outcomes)
-    blob = F.from_json(
-        "debug", "offers struct<items:array<string>>, priceCandidates array<struct<source:string>>"
-    )
-    return rows.withColumn("_b", blob).select(
+    shape = """offers struct<items:array<string>>, priceCandidates array<struct<source:string,value_paise:bigint>>,
+      provenance struct<price:string,priceHtml:string>, exitIp string, value string, text string"""
+    rows = attempts.audit_rows(outcomes).withColumn("_b", F.from_json("debug", shape))
+    found = F.transform("_b.priceCandidates", lambda c: F.concat_ws("=", c["source"], c["value_paise"].cast("string")))
+    # the facts' names in order, behind what came in under other names
+    names = F.array_sort(F.json_object_keys("debug"))
+    facts = F.filter(names, lambda k: k.isin("name", "offers", "priceCandidates", "provenance"))
+    return rows.select(
         "check_id",
         "success",
         "failure_reason",
         F.col("offers_count").cast("bigint").alias("offers_count"),
         "offers_hash",
         F.array_join("_b.offers.items", "; ").alias("items"),
-        F.size("_b.priceCandidates").alias("candidates"),
+        F.array_join(found, ";").alias("candidates"),
+        F.col("_b.provenance.price").alias("price_from"),
+        F.col("_b.provenance.priceHtml").alias("price_html"),
+        F.array_join(F.concat(F.array_except(names, facts), facts), ",").alias("keys"),
+        F.coalesce("_b.exitIp", "_b.value", "_b.text").alias("own"),
+    )
+
+
+# --- a site that no module names -------------------------------------------
+
+
+def bazaar() -> urls.Site:
+    """A third marketplace: items under a language and a number, the name in the page's heading."""
+
+    def listing(path: Column, _: Column) -> Column:
+        found = F.regexp_extract_all(path, F.lit("^/[a-z]{2}/([0-9]+)(?:[.]html)?/?$"), F.lit(1))
+        return let(
+            F.try_element_at(found, F.lit(1)),
+            lambda x: urls.found_listing(x, x, F.concat(F.lit("https://bazaar.example/item/"), x)),
+        )
+
+    def extract(pages: DataFrame) -> DataFrame:
+        hits = layouts.picker([layouts.Want("h1", "h1")])
+        read = pages.withColumn("hits", hits(F.col("html")))
+        name = F.nullif(F.trim(F.coalesce(layouts._one("h1"), F.lit(""))), F.lit(""))
+        return read.select(
+            "page_id", F.lit("bazaar").alias("marketplace"), name.alias("name"), name.isNotNull().alias("success")
+        )
+
+    return urls.Site("bazaar", "Bazaar", ("example.com", "example.net", "example.org"), listing, extract)
+
+
+_HEADING_SQL = _unescape_sql("regexp_replace(regexp_extract(html, '<h1[^>]*>(.*?)</h1>', 1, 's'), '<[^>]*>', '', 'g')")
+
+
+@query(
+    "third_site",
+    f"""WITH p AS (SELECT page_id, nullif(regexp_extract(url, '^https?://[^/?#]*(/[a-z]{{2}}/([0-9]+)([.]html)?/?)([?#].*)?$', 2), '') AS id,
+        {_HEADING_SQL} AS heading FROM pages)
+    SELECT page_id, CASE WHEN id IS NULL THEN 'not_a_listing' ELSE 'listing' END AS kind, 'bazaar' AS marketplace,
+      'https://bazaar.example/item/' || id AS canonical_url, id AS marketplace_product_id, nullif(heading, '') AS name, heading <> '' AS success FROM p""",
+)
+def third_site(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """URLs recognised and pages read through a registry with a site registered here."""
+    registry = dispatch.site_registry()
+    registry.register(bazaar())
+    pages = M.spread(M.table(spark, sf_dir, "pages"))
+    known = pages.select("page_id", urls.recognise(F.col("url"), registry).alias("r")).select(
+        "page_id", "r.kind", "r.marketplace", "r.canonical_url", "r.marketplace_product_id"
     )
+    read = dispatch.snapshots(pages, registry).select("page_id", "name", "success")
+    return known.join(read, "page_id")
 
 
 # --- exports ---------------------------------------------------------------

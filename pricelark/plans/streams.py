@@ -11,8 +11,10 @@ from pricelark.model import Settings
 from pricelark.plans.delivery import SETTINGS as HYGIENE
 from pricelark.plans.delivery import _plan_sql
 from pricelark.plans.registry import EVENT_ALERTS_SQL, query, sql
+from pricelark.plans.text import CONTROLLED_ALERTS_SQL, product_commands
 from pricelark.sources import tables as M
 from pricelark.streaming import monitor as S
+from pricelark.streaming import stateful as W
 
 SETTINGS = replace(Settings(), failure_limit=2)
 
@@ -119,7 +121,7 @@ def stream_counts_7d(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _stream_counts(spark: SparkSession, sf_dir: str, hours: int) -> DataFrame:
     folder = S.new_folder(spark, "feed")
     hourly = S.hourly_counts(M.alerts_of(_event_stream(spark, sf_dir)), "2 days")
-    S.run_changes(hourly, folder).awaitTermination()
+    S.run_changes(hourly, folder, ["hour", "type"]).awaitTermination()
     return S.rolled(S.current(spark, folder, ["hour", "type"]), hours)
 
 
@@ -133,3 +135,66 @@ def stream_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     twice = events.withColumn("_copy", F.explode(F.array(F.lit(1), F.lit(2))))
     once = S.deduplicated(twice, ["check_id"], "checked_at", "40 days")
     return S.run_to_table(once.select("check_id", "product_id"), S.new_folder(spark, "dedupe"))
+
+
+# --- streams with a state store ----------------------------------------------
+
+
+def _in_parts(
+    spark: SparkSession, sources: dict[str, tuple[DataFrame, str]], cuts: list[str], start, again=None
+) -> None:
+    """Deliver tables as files in parts of time and let a stream run after each; every run goes on
+    where the one before stopped. ``sources`` gives each folder its rows and their time column;
+    ``again`` delivers more with the last part."""
+    for i, (low, high) in enumerate(zip(cuts, cuts[1:], strict=False)):
+        for folder, (rows, at) in sources.items():
+            part = rows.filter((F.col(at) >= low) & (F.col(at) < high))
+            part.write.mode("append").parquet(folder)
+        if again and i == len(cuts) - 2:
+            again()
+        start().awaitTermination()
+
+
+@query("stream_controlled_alerts", CONTROLLED_ALERTS_SQL)
+def stream_controlled_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Checks and commands in one stream of three parts; a tenth of the first part's checks comes a
+    second time with the last one and stays apart as late."""
+    folder = S.new_folder(spark, "controlled")
+    checks, commands = M.checks(spark, sf_dir), product_commands(spark, sf_dir)
+    settings = Settings(failure_limit=3)
+    cuts = ["1000-01-01", "1994-07-01", "1997-01-01", "9999-01-01"]
+
+    def start():
+        one = spark.readStream.schema(checks.schema).parquet(f"{folder}/checks")
+        two = spark.readStream.schema(commands.schema).parquet(f"{folder}/commands")
+        return W.run_checks(one, two, settings, folder)
+
+    def again():
+        slow = (F.col("checked_at") < cuts[1]) & (F.col("check_id") % 10 == 0)
+        checks.filter(slow).write.mode("append").parquet(f"{folder}/checks")
+
+    sources = {f"{folder}/checks": (checks, "checked_at"), f"{folder}/commands": (commands, "at")}
+    _in_parts(spark, sources, cuts, start, again)
+    found = S.table_of(spark, folder).filter(F.col("type").isin("target_price", "auto_paused"))
+    return found.select("product_id", "check_id", "type", "target_paise")
+
+
+@query("stream_quiet_hold", sql(_plan_sql(True), "SELECT * EXCLUDE (change_pct) FROM plan"))
+def stream_quiet_hold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alerts in three parts; a hold's end is the time at which its timer went off. The last part is
+    followed by a row that only says that two days have passed."""
+    folder = S.new_folder(spark, "hold")
+    alerts = M.logged_alerts(spark, sf_dir)
+    cuts = ["1000-01-01", "2024-01-11", "2024-01-21", "9999-01-01"]
+
+    def start():
+        stream = spark.readStream.schema(alerts.schema).parquet(f"{folder}/alerts")
+        return W.run_hold(stream, HYGIENE, folder)
+
+    _in_parts(spark, {f"{folder}/alerts": (alerts, "fired_at")}, cuts, start)
+    end = M.as_of(M.EVENTS_AS_OF) + F.expr("INTERVAL 2 DAYS")
+    W.clock_row(alerts, end).write.mode("append").parquet(f"{folder}/alerts")
+    start().awaitTermination()
+    return W.outcomes(spark, folder, HYGIENE).select(
+        "alert_id", "product_id", "type", "fired_at", "status", "reason", "release_at"
+    )

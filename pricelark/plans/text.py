@@ -523,41 +523,13 @@ def control_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query(
-    "controlled_alerts",
-    sql(
-        CHECKS_SQL,
-        """, ctl AS (SELECT o_custkey AS product_id, o_orderdate AS at_, o_orderkey, ['set_target', 'pause', 'resume', 'edit_target', 'clear_target'][o_orderkey % 5 + 1] AS action,
-            85000 + o_orderkey % 15000 AS new_target FROM orders WHERE o_custkey IN (SELECT product_id FROM products)),
-        log AS (SELECT product_id, checked_at AS at_, 1 AS ord, check_id AS id, success, stock_status, price_paise, is_live, target_paise, NULL AS action, NULL AS new_target FROM live
-          UNION ALL SELECT product_id, at_, 0, o_orderkey, NULL, NULL, NULL, NULL, NULL, action, new_target FROM ctl),
-        a AS (SELECT *, last_value(CASE WHEN action IN ('set_target', 'edit_target') THEN new_target WHEN action = 'clear_target' THEN -1 END IGNORE NULLS) OVER upto AS t,
-            last_value(CASE WHEN action IN ('pause', 'resume') THEN action END IGNORE NULLS) OVER upto AS held,
-            sum(CASE WHEN action = 'resume' THEN 1 ELSE 0 END) OVER upto AS epoch,
-            sum(CASE WHEN success = FALSE THEN 1 ELSE 0 END) OVER upto AS fails,
-            last_value(CASE WHEN is_live THEN price_paise END IGNORE NULLS) OVER prior AS prev_price
-          FROM log WINDOW upto AS (PARTITION BY product_id ORDER BY at_, ord, id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
-            prior AS (PARTITION BY product_id ORDER BY at_, ord, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-        b AS (SELECT *, CASE WHEN t IS NULL THEN target_paise WHEN t = -1 THEN NULL ELSE t END AS goal FROM a),
-        c AS (SELECT *, success AND price_paise IS NOT NULL AND goal IS NOT NULL AND stock_status <> 'out_of_stock' AS ok,
-            coalesce(last_value(CASE WHEN action IN ('set_target', 'clear_target') THEN FALSE
-              WHEN success AND price_paise IS NOT NULL AND goal IS NOT NULL AND stock_status <> 'out_of_stock' THEN price_paise <= goal
-              WHEN success AND goal IS NULL THEN FALSE END IGNORE NULLS) OVER prior, FALSE) AS latched,
-            fails - coalesce(max(CASE WHEN success OR action = 'resume' THEN fails END) OVER upto, 0) AS run_len FROM b
-          WINDOW upto AS (PARTITION BY product_id ORDER BY at_, ord, id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
-            prior AS (PARTITION BY product_id ORDER BY at_, ord, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-        hits AS (SELECT product_id, epoch, min(id) AS id FROM c WHERE success = FALSE AND run_len = 3 AND coalesce(held, 'resume') = 'resume' GROUP BY 1, 2)
-        SELECT product_id, id AS check_id, 'target_price' AS type, goal AS target_paise FROM c WHERE ok AND price_paise <= goal AND NOT latched
-        UNION ALL SELECT product_id, id, 'auto_paused', NULL FROM hits""",
-    ),
-)
-def controlled_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Target and auto-pause alerts under commands; orders of the part's number are the commands."""
+def product_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Commands on products: orders of the part's number."""
     actions = F.array(
         *[F.lit(a) for a in ("set_target", "pause", "resume", "edit_target", "clear_target")]
     )
     key = F.col("o_orderkey")
-    commands = (
+    return (
         M.table(spark, sf_dir, "orders")
         .select(
             F.col("o_custkey").alias("product_id"),
@@ -568,6 +540,39 @@ def controlled_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
         .join(M.products(spark, sf_dir).select("product_id"), "product_id", "left_semi")
     )
+
+
+CONTROLLED_ALERTS_SQL = sql(
+    CHECKS_SQL,
+    """, ctl AS (SELECT o_custkey AS product_id, o_orderdate AS at_, o_orderkey, ['set_target', 'pause', 'resume', 'edit_target', 'clear_target'][o_orderkey % 5 + 1] AS action,
+        85000 + o_orderkey % 15000 AS new_target FROM orders WHERE o_custkey IN (SELECT product_id FROM products)),
+    log AS (SELECT product_id, checked_at AS at_, 1 AS ord, check_id AS id, success, stock_status, price_paise, is_live, target_paise, NULL AS action, NULL AS new_target FROM live
+      UNION ALL SELECT product_id, at_, 0, o_orderkey, NULL, NULL, NULL, NULL, NULL, action, new_target FROM ctl),
+    a AS (SELECT *, last_value(CASE WHEN action IN ('set_target', 'edit_target') THEN new_target WHEN action = 'clear_target' THEN -1 END IGNORE NULLS) OVER upto AS t,
+        last_value(CASE WHEN action IN ('pause', 'resume') THEN action END IGNORE NULLS) OVER upto AS held,
+        sum(CASE WHEN action = 'resume' THEN 1 ELSE 0 END) OVER upto AS epoch,
+        sum(CASE WHEN success = FALSE THEN 1 ELSE 0 END) OVER upto AS fails,
+        last_value(CASE WHEN is_live THEN price_paise END IGNORE NULLS) OVER prior AS prev_price
+      FROM log WINDOW upto AS (PARTITION BY product_id ORDER BY at_, ord, id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+        prior AS (PARTITION BY product_id ORDER BY at_, ord, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+    b AS (SELECT *, CASE WHEN t IS NULL THEN target_paise WHEN t = -1 THEN NULL ELSE t END AS goal FROM a),
+    c AS (SELECT *, success AND price_paise IS NOT NULL AND goal IS NOT NULL AND stock_status <> 'out_of_stock' AS ok,
+        coalesce(last_value(CASE WHEN action IN ('set_target', 'clear_target') THEN FALSE
+          WHEN success AND price_paise IS NOT NULL AND goal IS NOT NULL AND stock_status <> 'out_of_stock' THEN price_paise <= goal
+          WHEN success AND goal IS NULL THEN FALSE END IGNORE NULLS) OVER prior, FALSE) AS latched,
+        fails - coalesce(max(CASE WHEN success OR action = 'resume' THEN fails END) OVER upto, 0) AS run_len FROM b
+      WINDOW upto AS (PARTITION BY product_id ORDER BY at_, ord, id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+        prior AS (PARTITION BY product_id ORDER BY at_, ord, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+    hits AS (SELECT product_id, epoch, min(id) AS id FROM c WHERE success = FALSE AND run_len = 3 AND coalesce(held, 'resume') = 'resume' GROUP BY 1, 2)
+    SELECT product_id, id AS check_id, 'target_price' AS type, goal AS target_paise FROM c WHERE ok AND price_paise <= goal AND NOT latched
+    UNION ALL SELECT product_id, id, 'auto_paused', NULL FROM hits""",
+)
+
+
+@query("controlled_alerts", CONTROLLED_ALERTS_SQL)
+def controlled_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target and auto-pause alerts under commands."""
+    commands = product_commands(spark, sf_dir)
     settings = Settings(failure_limit=3)
     found = A.alerts(
         M.check_log(spark, sf_dir), settings, ["target_price", "auto_paused"], commands
@@ -753,13 +758,13 @@ def quality_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checked.select("product_id", F.array_join("violations", ",").alias("violations"))
 
 
-@query(
-    "audit_retention",
-    sql(
-        AUDIT_SQL,
-        "SELECT audit_id, product_id, created_at FROM audit WHERE created_at >= TIMESTAMP '2024-01-31' - INTERVAL 14 DAY",
-    ),
+RETENTION_SQL = sql(
+    AUDIT_SQL,
+    "SELECT audit_id, product_id, created_at FROM audit WHERE created_at >= TIMESTAMP '2024-01-31' - INTERVAL 14 DAY",
 )
+
+
+@query("audit_retention", RETENTION_SQL)
 def audit_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
     now = M.as_of(M.EVENTS_AS_OF)
     return quality.retained(M.audit_log(spark, sf_dir), now).select(

@@ -1,13 +1,15 @@
-"""Writers: history and audit appends, state upsert, CSV exports, change feed."""
+"""Writers: history and audit appends, expiry of old folders, CSV exports."""
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame
+from datetime import datetime
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pricelark.functions.clock import local_date
 from pricelark.operators.usage import fixed
+from pricelark.sources import folders
 from pricelark.session import ensure_checkpoint_dir
 
 ISO = "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"
@@ -229,20 +231,18 @@ def export_alerts(alerts: DataFrame, products: DataFrame) -> DataFrame:
 def _new_rows(rows: DataFrame, path: str, folder: str, key: str) -> DataFrame:
     """The rows whose key is not yet in the folders that they would be written to, each once.
 
-    Only those folders are read; a rerun finds all its rows there and writes nothing."""
+    Only those folders are listed and read, whatever else the table holds; a rerun finds all its
+    rows there and writes nothing."""
     spark = rows.sparkSession
     rows = saved_rows(rows.dropDuplicates([key]))  # folders and rows must come from one reading
-    schema = rows.select(key, folder).schema  # folder names stay text, whatever they look like
-    try:
-        there = spark.read.schema(schema).parquet(path)
-    except AnalysisException as error:
-        if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            raise
+    there = folders.values(spark, path, folder)
+    touched = [r[0] for r in rows.select(folder).distinct().collect()]  # a row a folder of this batch
+    paths = [f"{path}/{there[value]}" for value in touched if value in there]
+    if not paths:
         return rows
-    touched = rows.select(folder).distinct()
-    there = there.join(touched, folder, "left_semi")
+    known = spark.read.schema(rows.select(key).schema).parquet(*paths)
     # the table is read before it is written to
-    return saved_rows(rows.join(there, [folder, key], "left_anti"))
+    return saved_rows(rows.join(known, key, "left_anti"))
 
 
 def saved_rows(df: DataFrame) -> DataFrame:
@@ -263,3 +263,53 @@ def append_audit(audit: DataFrame, path: str) -> None:
     rows = audit.withColumn("created_date", local_date(F.col("created_at"), "UTC").cast("string"))
     rows = _new_rows(rows, path, "created_date", "audit_id")
     rows.write.mode("append").partitionBy("created_date").parquet(path)
+
+
+def append_alerts(alerts: DataFrame, path: str) -> None:
+    """One row per check and rule, in day folders, also when a batch is written again."""
+    rows = alerts.withColumns(
+        {
+            "fired_date": local_date(F.col("fired_at"), "UTC").cast("string"),
+            "alert_key": F.concat_ws(":", "product_id", "check_id", "type"),
+        }
+    )
+    rows = _new_rows(rows, path, "fired_date", "alert_key")
+    rows.write.mode("append").partitionBy("fired_date").parquet(path)
+
+
+_STAGED = "_staged-"
+
+
+def expire(spark: SparkSession, path: str, folder: str, at: str, cutoff: datetime) -> list[str]:
+    """Delete rows with ``at`` before ``cutoff`` from a table in day folders; returns the days touched.
+
+    Days before the cutoff's are dropped whole, without being read. Of the cutoff's own day the rows
+    that stay are written beside it first and then take its place, so that a run that dies is finished
+    by the next one. Every other day keeps its files.
+    """
+    edge = cutoff.date().isoformat()
+    for name in folders.names(spark, path):  # what an earlier run left
+        if name.startswith(_STAGED):
+            _settle(spark, path, folder, name)
+    days = folders.values(spark, path, folder)
+    old = [d for d in days if d is not None and d < edge]
+    for day in old:
+        folders.drop(spark, f"{path}/{days[day]}")
+    if edge in days:
+        rows = spark.read.parquet(f"{path}/{days[edge]}")
+        stays = F.col(at) >= F.lit(cutoff.isoformat(" ")).cast("timestamp")
+        if not rows.filter(~stays).isEmpty():
+            rows.filter(stays).write.parquet(f"{path}/{_STAGED}{edge}")
+            _settle(spark, path, folder, _STAGED + edge)
+            old.append(edge)
+    return sorted(old)
+
+
+def _settle(spark: SparkSession, path: str, folder: str, staged: str) -> None:
+    """Put a whole staged day in its place; drop one that was not finished."""
+    if folders.exists(spark, f"{path}/{staged}/{folders.DONE}"):
+        place = f"{path}/{folder}={staged[len(_STAGED) :]}"
+        folders.drop(spark, place)
+        folders.move(spark, f"{path}/{staged}", place)
+    else:
+        folders.drop(spark, f"{path}/{staged}")

@@ -20,6 +20,7 @@ from pricelark.model import Settings
 from pricelark.operators.alerts import continue_log, evaluate
 from pricelark.operators.hygiene import continue_delivery
 from pricelark.session import ensure_checkpoint_dir
+from pricelark.sources.state_table import StateTable
 
 Step = Callable[[DataFrame, DataFrame | None], tuple[DataFrame, DataFrame]]
 
@@ -169,30 +170,44 @@ def deduplicated(checks: DataFrame, keys: list[str], at: str, delay: str = "1 ho
     return checks.withWatermark(at, delay).dropDuplicatesWithinWatermark(keys)
 
 
-def run_to_table(stream: DataFrame, folder: str) -> DataFrame:
-    """Run an append stream over everything available into a table; later runs go on."""
-    query = (
+def start_to_table(stream: DataFrame, folder: str, **trigger: object) -> StreamingQuery:
+    """Append a stream to a table; without a trigger everything available, then it ends."""
+    return (
         stream.writeStream.outputMode("append")
         .format("parquet")
         .option("path", f"{folder}/table")
         .option("checkpointLocation", f"{folder}/checkpoint")
-        .trigger(availableNow=True)
+        .trigger(**(trigger or {"availableNow": True}))
         .start()
     )
-    query.awaitTermination()
+
+
+def run_to_table(stream: DataFrame, folder: str) -> DataFrame:
+    """Run an append stream over everything available into a table; later runs go on."""
+    start_to_table(stream, folder).awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/table")
 
 
 def run_changes(
     stream: DataFrame,
     folder: str,
+    keys: list[str],
     publish: Callable[[DataFrame, int], None] | None = None,
+    buckets: int = 16,
     **trigger: object,
 ) -> StreamingQuery:
-    """Change feed: the updated rows of each micro-batch, under its id; ``publish`` is told."""
+    """Change feed: the updated rows of each micro-batch, under its id; ``publish`` is told.
+
+    Beside the feed the newest row of every key is kept in a stored table, of which a batch
+    rewrites only the buckets it touches; a batch that runs again is applied once.
+    """
+    newest = latest_table(stream.sparkSession, folder, keys, buckets)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{folder}/table/batch_id={batch_id}")
+        place = f"{folder}/table/batch_id={batch_id}"
+        batch.write.mode("overwrite").parquet(place)
+        newest.upsert(batch_id, batch.sparkSession.read.schema(batch.schema).parquet(place))
+        newest.vacuum()
         if publish:
             publish(batch, batch_id)
 
@@ -205,9 +220,10 @@ def run_changes(
     )
 
 
+def latest_table(spark: SparkSession, folder: str, keys: list[str], buckets: int = 16) -> StateTable:
+    return StateTable(spark, f"{folder}/newest", tuple(keys), buckets)
+
+
 def current(spark: SparkSession, folder: str, keys: list[str]) -> DataFrame:
-    """Newest version of every key of a change feed."""
-    changes = spark.read.parquet(f"{folder}/table")
-    rest = [c for c in changes.columns if c not in (*keys, "batch_id")]
-    newest = F.max(F.struct("batch_id", F.struct(*rest).alias("r")))
-    return changes.groupBy(*keys).agg(newest.alias("m")).select(*keys, "m.r.*")
+    """Newest version of every key of a change feed; the feed itself is not read."""
+    return latest_table(spark, folder, keys).read()

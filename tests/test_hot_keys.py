@@ -49,6 +49,31 @@ def test_slices_cover_and_bound(spark):
     assert src.df.filter("not _hot").select("_slice").distinct().count() == 1
 
 
+def test_bursts_and_ties_are_cut(spark):
+    """10,000 rows of one key in an hour, 3,000 of another at one time, and two far outliers."""
+    start = datetime(2026, 1, 1)
+    rows = [(1, start + timedelta(milliseconds=360 * i), 1, i) for i in range(10_000)]
+    rows += [(2, start, i % 2, i) for i in range(3_000)]
+    rows += [(1, datetime(1990, 1, 1), 1, -1), (1, datetime(2040, 1, 1), 1, -2), (3, start, 1, 5)]
+    df = spark.createDataFrame(rows, "k long, at timestamp, ord int, id long")
+    src = slice_hot_keys(df, ["k"], ["at", "ord", "id"], 100)
+    sizes = src.df.groupBy("k", "_slice").agg(F.count("*").alias("n"), F.min(F.struct("at", "ord", "id")).alias("a"), F.max(F.struct("at", "ord", "id")).alias("b"))
+    got = sizes.orderBy("k", "_slice").collect()
+    assert sum(r.n for r in got) == len(rows) and max(r.n for r in got) <= 100
+    for r, later in zip(got, got[1:]):
+        assert r.k < later.k or r.b < later.a  # slices follow one another as their rows do
+    numbered = row_numbers(src).df.select("k", "id", "at", "ord", "rn").collect()
+    for k in (1, 2, 3):
+        mine = sorted((r.at, r.ord, r.id, r.rn) for r in numbered if r.k == k)
+        assert [m[3] for m in mine] == list(range(1, len(mine) + 1))
+
+
+def test_rows_that_nothing_tells_apart_stay_together(spark):
+    df = spark.createDataFrame([(1, datetime(2026, 1, 1), "x")] * 300 + [(1, datetime(2026, 1, 2), "y")], "k long, at timestamp, s string")
+    src = slice_hot_keys(df, ["k"], ["at", "s"], 100)
+    assert sorted(r["count"] for r in src.df.groupBy("_slice").count().collect()) == [1, 300]
+
+
 def test_alerts_of_a_hot_product(spark):
     checks = hot_checks(spark)
     assert table(A.alerts(checks, SETTINGS, limit=100)) == table(A.alerts(checks, SETTINGS))

@@ -207,7 +207,7 @@ def test_change_feed_rerun_adds_nothing(spark, tmp_path):
     def run():
         counts = spark.readStream.schema(schema).parquet(src).groupBy("event_type").agg(F.count("*").alias("n"))
         told = []
-        monitor.run_changes(counts, folder, lambda batch, i: told.append(i)).awaitTermination()
+        monitor.run_changes(counts, folder, ["event_type"], lambda batch, i: told.append(i)).awaitTermination()
         rows = monitor.current(spark, folder, ["event_type"])
         return sorted(map(tuple, rows.collect()))
 
