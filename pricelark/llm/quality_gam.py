@@ -5,8 +5,8 @@ features; each turn fits one shallow tree to the gradient and adds it to the fea
 table. Then the pairs that explain most of what is left get tables of two features in the same
 way. A score is the sum of table entries through the logistic function.
 
-Training takes at most `sample` labelled rows, chosen by a hash of the id; everything else runs
-over all documents. Null ids, rows without a label and labels of held-out rows are never
+Training takes at most `sample` labelled rows, chosen by a hash of the id (of rows with an equal id
+by their features; a label that is both 0 and 1 counts as 1); everything else runs over all documents. Null ids, rows without a label and labels of held-out rows are never
 learned from. Without labelled rows every score is 0.5. Null and empty texts have features of
 zero and a score like any other text. An empty table gives an empty result.
 """
@@ -54,13 +54,13 @@ def held_out(mod: int, rest: int) -> Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % mod == rest
 
 
-def least_hashes(d: DataFrame, rows: int, of: int) -> DataFrame:
-    """The `rows` rows of least hash of their id, out of about `of`. Most others are left out by
-    the hash alone, so that no task sends many rows to be sorted."""
+def least_hashes(d: DataFrame, rows: int, of: int, ties: list[str]) -> DataFrame:
+    """The `rows` rows of least hash of their id, out of `of`, rows of one id by `ties`. Most others
+    are left out by the hash alone, so that no task sends many rows to be sorted."""
     slots = 1 << 20
     near = min(slots, int(slots * (1.3 * rows + 1000) / max(of, 1)) + 1)
     h = F.xxhash64("doc_id")
-    return d.filter(F.pmod(h, F.lit(slots)) < near).orderBy(F.pmod(h, F.lit(slots)), h, "doc_id").limit(rows)
+    return d.filter(F.pmod(h, F.lit(slots)) < near).orderBy(F.pmod(h, F.lit(slots)), h, "doc_id", *ties).limit(rows)
 
 
 def tree(g: np.ndarray, h: np.ndarray, leaves: int = 4) -> np.ndarray:
@@ -176,8 +176,9 @@ def scored(docs: DataFrame, labels: DataFrame, mod: int = 3, rest: int = 1, samp
     d = saved(features(docs))
     names = list(FEATURES)
     known = labels.select("doc_id", F.col("quality").cast("double").alias("y")).filter("y IS NOT NULL")
-    known = known.filter(~held_out(mod, rest)).dropDuplicates(["doc_id"])
-    rows = least_hashes(d.join(known, "doc_id"), sample, known.count()).select("y", *names).toPandas()
+    known = known.filter(~held_out(mod, rest)).groupBy("doc_id").agg(F.max("y").alias("y"))  # of clashing labels 1
+    learnable = saved(d.join(known, "doc_id"))
+    rows = least_hashes(learnable, sample, learnable.count(), names).select("y", *names).toPandas()
     model = fit(rows[names].to_numpy(float), rows["y"].to_numpy(float))
 
     @F.pandas_udf("double")
