@@ -6,11 +6,17 @@ order in which they stand in the text: two texts agree on a sketch only if they
 in the same order, so agreement follows edit similarity. Few windows of a short text outlive an
 edit, so texts of at most SHORT words have SHORT_ROUNDS further sketches of two single words.
 
-Equal texts are one first. Texts with an equal sketch form a bucket, and every member is
-checked against the bucket's first text. What that text refuses is checked against all other
-members of a bucket of at most SMALL; in a larger one it is bucketed again by one more sketch,
-until no bucket of two is left. A check is a banded word alignment, widened while the limit is
-not decided: similar are texts of edit similarity >= `similarity`. Links give classes by
+Equal texts are one first. Texts with an equal sketch form a bucket, and every member is compared
+with the bucket's first text. What that text refuses meets again by what it has and the first text
+lacks: by the RESIDUES least of its sampled words (the SAMPLE of least hash), then by one more word
+for each further first text that refuses it, until no bucket of two is left. So texts that share much with a whole bucket (a common
+passage, boilerplate) part by the rest of their words, and no bucket is compared pair by pair.
+
+A comparison is exact in the end and cheap at first. Lengths and signatures (how many words fall
+into each of 256 parts) bound the words that two texts can share from above; a pair that cannot
+reach the limit goes no further. For the others words are read, and a banded word alignment,
+widened while the limit is not decided, checks edit similarity >= `similarity`. A pair that passes
+signatures but not alignment counts as refused and goes round again. Links give classes by
 connected components.
 
 Texts without words are in a class of their own each. Fewer words than a window are one window.
@@ -20,11 +26,12 @@ Repeated rows are copies of one another. An empty table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pricelark.llm.components import components
@@ -34,12 +41,16 @@ SHINGLE = 2
 ROUNDS = 24
 SHORT = 32  # words up to which a text is sketched by single words as well
 SHORT_ROUNDS = 12
-SMALL = 16  # members of a bucket that are checked against one another
+SAMPLE = 64  # different words of a text, those of least hash
+RESIDUES = 12  # of them, those that a refused text has beyond the first one
+PARTS = 256  # parts of a signature
+FULL = 255  # a part's count is exact below
 SIMILARITY = 0.8
 PIECE = 500_000  # words sketched at once in a task
 FEW = 200_000  # rows of ids that may be broadcast, counted first
 CHUNK = 2_000_000  # cells of an alignment band at once
 
+NONE = np.uint32(0xFFFFFFFF)
 M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -101,6 +112,28 @@ def least(g: np.ndarray, first: np.ndarray, n: np.ndarray) -> np.ndarray:
     return hit
 
 
+def signatures(flat: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """How many words of each text fall into each part, at most FULL."""
+    at = np.repeat(np.arange(len(lengths)) * PARTS, lengths) + (mix(flat) >> np.uint64(56)).astype(np.int64)
+    counts = np.bincount(at, minlength=len(lengths) * PARTS).reshape(-1, PARTS)
+    return np.minimum(counts, FULL).astype(np.uint8)
+
+
+def samples(flat: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The SAMPLE least hashes (32 bits) of each text's different words, rising; filled up with the greatest number."""
+    docs = np.repeat(np.arange(len(lengths), dtype=np.uint64), lengths)
+    key = np.unique(docs << np.uint64(32) | mix(flat + M3) >> np.uint64(32))
+    doc = (key >> np.uint64(32)).astype(np.int64)
+    place = np.arange(len(key)) - np.searchsorted(doc, doc)
+    out = np.full((len(lengths), SAMPLE), NONE, np.uint32)
+    keep = place < SAMPLE
+    out[doc[keep], place[keep]] = key[keep].astype(np.uint32)
+    return out
+
+
+SKETCHED = "text_digest string, n int, sketches array<long>, signature binary, sample binary"
+
+
 def sketch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         lists = batch.column("h")
@@ -108,11 +141,14 @@ def sketch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         values = np.asarray(lists.values)[offsets[0] : offsets[-1]].view(np.uint64)
         offsets = offsets - offsets[0]
         lengths = np.diff(offsets)
-        out = np.empty((len(lengths), ROUNDS), np.uint64)
+        out, marks = np.empty((len(lengths), ROUNDS), np.uint64), np.empty((len(lengths), PARTS), np.uint8)
+        few_words = np.empty((len(lengths), SAMPLE), np.uint32)
         i = 0
         while i < len(lengths):
             j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + PIECE, "right")) - 1)
-            out[i:j] = sketches(values[offsets[i] : offsets[j]], lengths[i:j])
+            own = values[offsets[i] : offsets[j]]
+            out[i:j], marks[i:j] = sketches(own, lengths[i:j]), signatures(own, lengths[i:j])
+            few_words[i:j] = samples(own, lengths[i:j])
             i = j
         short = lengths <= SHORT
         sizes = np.where(short, ROUNDS + SHORT_ROUNDS, ROUNDS)
@@ -123,7 +159,61 @@ def sketch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             few = sketches(values[np.repeat(short, lengths)], lengths[short], 1, range(ROUNDS, ROUNDS + SHORT_ROUNDS))
             flat[(ends[:-1][short, None] + ROUNDS + np.arange(SHORT_ROUNDS)).reshape(-1)] = few.reshape(-1)
         lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat.view(np.int64)))
-        yield pa.RecordBatch.from_arrays([batch.column("text_digest"), lists], ["text_digest", "sketches"])
+        marks, few_words = (pa.array([x.tobytes() for x in y], pa.binary()) for y in (marks, few_words))
+        columns = [batch.column("text_digest"), pa.array(lengths.astype(np.int32)), lists, marks, few_words]
+        yield pa.RecordBatch.from_arrays(columns, ["text_digest", "n", "sketches", "signature", "sample"])
+
+
+JUDGED = "a long, b long, maybe boolean, residues array<long>"
+
+
+def lacking(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Which sampled words of each row of x are not in the row of y."""
+    row = np.arange(len(x), dtype=np.uint64)[:, None] << np.uint64(32)
+    return ~np.isin(row | x, row | y) & (x != NONE)
+
+
+def judge_batches(similarity: float, level: int):
+    """Whether lengths and signatures let a pair be similar; where a may meet others that b refuses:
+    by its least words beyond b (level 0), or by one of them, another one at every level."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            n, m = (np.asarray(batch.column(c)).astype(np.int64) for c in ("na", "nb"))
+
+            def table(name: str, kind: type, batch: pa.RecordBatch = batch) -> np.ndarray:
+                return np.frombuffer(b"".join(batch.column(name).to_pylist()), kind).reshape(batch.num_rows, -1)
+
+            x, y = table("sa", np.uint8), table("sb", np.uint8)
+            size = np.maximum(n, m)
+            limit = np.floor((1 - similarity) * size + 1e-9)
+            shared = np.minimum(x, y).sum(1, dtype=np.int64)
+            # two full parts may share any number of words
+            open_ = ((x == FULL) & (y == FULL)).any(1)
+            maybe = (np.abs(n - m) <= limit) & (open_ | (size - shared <= limit))
+            x = table("wa", np.uint32)
+            left = lacking(x, table("wb", np.uint32))
+            if level:
+                order = np.where(left, mix(x.astype(np.uint64) + np.uint64(level) * M1) >> np.uint64(1), np.uint64(1 << 63))
+                chosen = np.arange(SAMPLE) == order.argmin(1)[:, None]
+            else:
+                chosen = left & (np.cumsum(left, 1) <= RESIDUES)
+                chosen[:, 0] |= ~left.any(1)  # nothing beyond b: by the first word
+            row, at = np.nonzero(chosen)
+            word = x[row, at].astype(np.uint64)
+            # similar texts are of similar length: those far from one another part as well
+            shift = (mix(word + M2) >> np.uint64(40)).astype(float) / (1 << 24)
+            span = np.floor(np.log2(n[row]) * 1.5 + shift).astype(np.uint64)
+            lists = pa.ListArray.from_arrays(
+                pa.array(np.r_[0, np.cumsum(chosen.sum(1))], pa.int32()), pa.array(mix((span << np.uint64(32)) + word * M1).view(np.int64))
+            )
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("a"), batch.column("b"), pa.array(maybe), lists], ["a", "b", "maybe", "residues"]
+            )
+
+    return run
 
 
 def distances(a: list[np.ndarray], b: list[np.ndarray], half: int) -> np.ndarray:
@@ -196,61 +286,96 @@ def verify_batches(similarity: float):
 
 
 def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) of text digests whose texts are similar."""
-    left = texts.select(F.col("text_digest").alias("a"), F.col("words").alias("wa"))
-    right = texts.select(F.col("text_digest").alias("b"), F.col("words").alias("wb"))
+    """The pairs (a, b) whose texts are similar; texts: id and words."""
+    left = texts.select(F.col("id").alias("a"), F.col("words").alias("wa"))
+    right = texts.select(F.col("id").alias("b"), F.col("words").alias("wb"))
     both = pairs.join(right, "b").join(left, "a").select("a", "b", "wa", "wb")
-    return both.mapInPandas(verify_batches(similarity), "a string, b string")
+    return both.mapInPandas(verify_batches(similarity), "a long, b long")
 
 
 def stars(buckets: DataFrame) -> DataFrame:
-    """Members of buckets of two texts or more, each with the bucket's first text b and how many
-    texts n the bucket has."""
+    """Members a of buckets of two texts or more, each with the bucket's first text b."""
     first = buckets.groupBy("key").agg(F.count("*").alias("n"), F.min("a").alias("b")).filter("n > 1")
-    return buckets.join(first, "key").filter(F.col("a") != F.col("b"))
+    return buckets.join(first.select("key", "b"), "key").filter(F.col("a") != F.col("b"))
 
 
-def following(level: int) -> Column:
-    """The sketch that comes `level` after that of the round, in turn within its own kind."""
-    own = F.when(F.col("round") < ROUNDS, (F.col("round") + level) % ROUNDS)
-    return F.get("sketches", own.otherwise((F.col("round") - ROUNDS + level) % SHORT_ROUNDS + ROUNDS))
+def judged(pairs: DataFrame, marks: DataFrame, similarity: float, level: int = 0) -> DataFrame:
+    """The pairs with `maybe` and `residues`; marks: id, n, signature and sample of every text."""
 
+    def side(x: str) -> DataFrame:
+        names = {"id": x, "n": "n" + x, "signature": "s" + x, "sample": "w" + x}
+        return marks.select(*[F.col(c).alias(to) for c, to in names.items()])
 
-def links(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(a, b): digests of texts verified as near copies, enough of them to connect each class."""
+    both = bounded(pairs).join(side("b"), "b").join(side("a"), "a")
+    both = both.select("a", "b", "na", "nb", "sa", "sb", "wa", "wb")
+    return saved(both.mapInArrow(judge_batches(similarity, level), JUDGED))
+
+
+def beyond(refused: DataFrame) -> DataFrame:
+    """Refused pairs (a, b, residues) as members of new buckets: those that have the same word beyond b."""
+    each = refused.select("a", "b", F.explode("residues").alias("x"))
+    return each.select("a", F.xxhash64("b", "x").alias("key"))
+
+
+def meetings(rows: DataFrame, marks: DataFrame, similarity: float) -> DataFrame:
+    """(a, b) that may be similar, of members (key, a): against the first text of their bucket, and,
+    where that one cannot be similar, of smaller and smaller buckets."""
+    out, level = [], 1
+    while True:
+        found = saved(stars(rows))
+        if found.isEmpty():
+            break
+        seen = judged(found.select("a", "b").distinct(), marks, similarity, level)
+        out.append(seen.filter("maybe").select("a", "b"))
+        rest = seen.filter("NOT maybe").select("a", "b", F.get("residues", F.lit(0)).alias("x"))
+        rows = found.join(rest, ["a", "b"]).select("a", F.xxhash64("key", "x").alias("key"))
+        level += 1
+    return reduce(DataFrame.union, out) if out else rows.select("a", F.col("a").alias("b")).limit(0)
+
+
+def linked(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
+    """Texts (id, text_digest, n, signature) and links (a, b): ids of texts verified as near copies,
+    enough of them to connect each class."""
     small_batches(docs.sparkSession)
     d = docs.select(whole().alias("t"))
     d = settled(d.select("t", digest(F.col("t")).alias("text_digest"), words(F.col("t")).alias("w")))
     hashed = d.filter(F.size("w") > 0).select("text_digest", F.transform("w", lambda x: F.xxhash64(x)).alias("h"))
-    made = hashed.mapInArrow(sketch_batches, "text_digest string, sketches array<long>")
-    made = saved(made.groupBy("text_digest").agg(F.first("sketches").alias("sketches")))
-    found = saved(stars(made.select(F.col("text_digest").alias("a"), F.posexplode("sketches").alias("round", "key"))))
-    pairs = found.select("a", "b").distinct()
-    needed = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "need")
-    texts = d.select("text_digest", F.transform("w", lambda x: F.hash(x)).alias("words"))
-    texts = texts.join(needed, F.col("text_digest") == F.col("need"), "left_semi")
-    texts = saved(texts.groupBy("text_digest").agg(F.first("words").alias("words")))
-    good = saved(verified(pairs, texts, similarity))
-    # what the first text of a bucket refused meets the others, or fewer of them under one more sketch
-    for level in range(1, ROUNDS):
-        refused = saved(found.join(good, ["a", "b"], "left_anti"))
-        if refused.isEmpty():
-            break
-        other = found.filter(F.col("n") <= SMALL).select("key", F.col("a").alias("c"))
-        each = refused.filter(F.col("n") <= SMALL).join(other, "key").filter(F.col("a") != F.col("c"))
-        each = each.select(F.greatest("a", "c").alias("a"), F.least("a", "c").alias("b"))
-        large = refused.filter(F.col("n") > SMALL).select("a", "round", "key")
-        large = large.join(made, F.col("a") == F.col("text_digest"))
-        found = saved(stars(large.select("a", "round", F.xxhash64("key", following(level)).alias("key"))))
-        again = each.union(found.select("a", "b")).distinct().join(good, ["a", "b"], "left_anti")
-        good = saved(good.union(verified(again, texts, similarity)))
-    return good
+    made = hashed.mapInArrow(sketch_batches, SKETCHED).groupBy("text_digest")
+    made = made.agg(*[F.first(c).alias(c) for c in ("n", "sketches", "signature", "sample")])
+    made = saved(made.withColumn("id", F.monotonically_increasing_id()))
+    found = saved(stars(made.select(F.col("id").alias("a"), F.explode("sketches").alias("key"))))
+    marks = made.select("id", "n", "signature", "sample")
+    first = judged(found.select("a", "b").distinct(), marks, similarity)
+    refused, maybe = first.filter("NOT maybe").select("a", "b", "residues"), first.filter("maybe").select("a", "b")
+    good, words_of = None, d.select("text_digest", F.transform("w", lambda x: F.hash(x)).alias("words"))
+    tried = None
+    while True:
+        # the refused meet by signatures alone; words are read once for all pairs that are left
+        maybe = maybe.union(meetings(beyond(refused), marks, similarity))
+        maybe = maybe.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+        maybe = saved(maybe if tried is None else maybe.join(tried, ["a", "b"], "left_anti"))
+        if maybe.isEmpty():
+            return made, maybe if good is None else good
+        ids = maybe.select("a").union(maybe.select("b")).distinct().withColumnRenamed("a", "id")
+        needed = bounded(made.join(ids, "id").select("id", F.col("text_digest").alias("of")), FEW)
+        texts = words_of.join(needed, F.col("text_digest") == F.col("of")).groupBy("id").agg(F.first("words").alias("words"))
+        new = saved(verified(maybe, saved(texts), similarity))
+        good = new if good is None else good.union(new)
+        tried = maybe if tried is None else tried.union(maybe)
+        failed = maybe.join(new, ["a", "b"], "left_anti")
+        both = failed.union(failed.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        refused = judged(both, marks, similarity).select("a", "b", "residues")
+        maybe = refused.select("a", "b").limit(0)
 
 
 def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, text_digest (null without words), class_id (least doc_id), class_size and whether it
     is the row that stays (`first`: least doc_id, then digest): a row a document."""
-    label = components(links(docs, similarity))
+    made, links = linked(docs, similarity)
+    label = made.select("id", F.col("text_digest").alias("node")).join(
+        components(links).withColumnRenamed("node", "id"), "id"
+    )
+    label = label.select("node", F.col("label").cast("string").alias("label"))
     d = docs.select("doc_id", whole().alias("t"))
     d = settled(d.select("doc_id", F.when(F.size(words(F.col("t"))) > 0, digest(F.col("t"))).alias("text_digest")))
     texts = d.filter("text_digest IS NOT NULL").groupBy("text_digest").agg(

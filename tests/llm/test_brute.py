@@ -7,7 +7,9 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from pricelark.llm import backoff_scores, near_copies, pseudonyms, quality_gam, toxic_crf
 
@@ -108,6 +110,42 @@ def test_refused_members_meet(spark):
     assert all(got[k] == got[100 + k] == k for k in range(40))
 
 
+def test_boilerplate_hides_no_partner(spark):
+    """300 pairs of similarity 0.81 among texts that all share 75 of their 100 words."""
+    rnd = random.Random(8)
+    shared = [f"b{i}" for i in range(75)]
+    rows = []
+    for _ in range(300):
+        own = [f"w{rnd.randrange(20_000)}" for _ in range(25)]
+        other = list(own)
+        for place in rnd.sample(range(25), 19):
+            other[place] = f"w{rnd.randrange(20_000)}"
+        rows += [(len(rows) + k, " ".join(shared + x)) for k, x in enumerate((own, other))]
+    got = {r.doc_id: r.class_id for r in near_copies.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(got[i] == got[i + 1] for i in range(0, 600, 2)) >= 0.9 * 300
+    assert all(got[i] in (i, i - 1) for i in got)  # the words of one pair do not link it to another
+
+
+def test_signatures_refuse_no_similar_pair():
+    rnd = random.Random(9)
+    a = [[rnd.randrange(50) for _ in range(rnd.randrange(1, 300))] for _ in range(400)]
+    b = [edited(rnd, x) or [1] for x in a]
+    a, b = a + [[7] * 2000, [7] * 2000], b + [[7] * 1900, [8] * 2000]
+    sizes = np.array([len(x) for x in a]), np.array([len(x) for x in b])
+    flat = [np.concatenate([np.array(x, np.uint64) for x in y]) for y in (a, b)]
+    marks = [near_copies.signatures(f, n) for f, n in zip(flat, sizes, strict=True)]
+    few = [near_copies.samples(f, n) for f, n in zip(flat, sizes, strict=True)]
+    batch = pa.RecordBatch.from_pydict(
+        {"a": range(len(a)), "b": range(len(a)), "na": sizes[0], "nb": sizes[1],
+         "sa": [m.tobytes() for m in marks[0]], "sb": [m.tobytes() for m in marks[1]],
+         "wa": [m.tobytes() for m in few[0]], "wb": [m.tobytes() for m in few[1]]}
+    )
+    got = next(near_copies.judge_batches(0.8, 0)(iter([batch])))
+    maybe = np.asarray(got.column("maybe"))
+    true = near_copies.similar([np.array(x) for x in a], [np.array(x) for x in b], 0.8)
+    assert (maybe | ~true).all() and maybe[-2] and not maybe[-1] and 0 < maybe.sum() < len(a)
+
+
 @pytest.mark.parametrize("common", [1 << 18, 50])
 def test_backoff(docs, texts, common, monkeypatch):
     monkeypatch.setattr(backoff_scores, "COMMON", common)
@@ -234,6 +272,24 @@ def test_held_out_accuracy(spark):
         assert out.count() == docs.count()
 
 
+def test_sample_is_as_large_as_it_says(spark):
+    """The bound counts documents that have a label, not labels that have no document."""
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.rand(1).alias("x"))
+    for n in (100, 1000, 2900, 5000):
+        got = quality_gam.least_hashes(docs, n, docs.count(), ["x"])
+        assert got.count() == min(n, 3000) == got.distinct().count()
+    used = []
+    real = quality_gam.fit
+    texts = spark.range(600).select(F.col("id").alias("doc_id"), F.lit("some words of a text").alias("text"))
+    labels = spark.range(100_000).select(F.col("id").alias("doc_id"), (F.col("id") % 2).alias("quality"))
+    try:
+        quality_gam.fit = lambda x, y: used.append(len(y)) or real(x, y)
+        quality_gam.scored(texts, labels, sample=300).count()
+    finally:
+        quality_gam.fit = real
+    assert used == [300]
+
+
 def test_additive_model_learns_a_pair():
     rng = np.random.default_rng(0)
     x = rng.uniform(size=(4000, 3))
