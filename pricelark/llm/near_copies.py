@@ -43,7 +43,7 @@ SHORT = 32  # words up to which a text is sketched by single words as well
 SHORT_ROUNDS = 12
 SAMPLE = 64  # different words of a text, those of least hash
 RESIDUES = 12  # of them, those that a refused text has beyond the first one
-PARTS = 256  # parts of a signature
+PARTS, PER_PART = 256, 2.5  # parts of a signature: twice as many while more words fall into one
 FULL = 255  # a part's count is exact below
 SIMILARITY = 0.8
 PIECE = 500_000  # words sketched at once in a task
@@ -112,11 +112,33 @@ def least(g: np.ndarray, first: np.ndarray, n: np.ndarray) -> np.ndarray:
     return hit
 
 
-def signatures(flat: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """How many words of each text fall into each part, at most FULL."""
-    at = np.repeat(np.arange(len(lengths)) * PARTS, lengths) + (mix(flat) >> np.uint64(56)).astype(np.int64)
-    counts = np.bincount(at, minlength=len(lengths) * PARTS).reshape(-1, PARTS)
-    return np.minimum(counts, FULL).astype(np.uint8)
+def signatures(flat: np.ndarray, lengths: np.ndarray) -> list[bytes]:
+    """How many words of each text fall into each part, at most FULL. Parts are runs of hashes, so
+    that neighbours added up are the parts of a shorter signature."""
+    more = np.maximum(np.ceil(np.log2(np.maximum(lengths, 1) / (PARTS * PER_PART))), 0).astype(np.int64)
+    sizes = PARTS << more
+    begins = np.cumsum(sizes) - sizes
+    shift = (64 - (PARTS.bit_length() - 1) - more).astype(np.uint64)
+    at = np.repeat(begins, lengths) + (mix(flat) >> np.repeat(shift, lengths)).astype(np.int64)
+    counts = np.minimum(np.bincount(at, minlength=sizes.sum()), FULL).astype(np.uint8)
+    return [x.tobytes() for x in np.split(counts, begins[1:])]
+
+
+def shared_at_most(a: list[bytes], b: list[bytes]) -> np.ndarray:
+    """Bounds from above, by signatures, of how many words pairs of texts share."""
+    p, q = np.array([len(x) for x in a]), np.array([len(x) for x in b])
+    out = np.empty(len(a), np.int64)
+    for u, v in np.unique(np.stack([p, q], 1), axis=0):
+        rows = np.flatnonzero((p == u) & (q == v))
+        least = min(u, v)
+        x, y = (
+            np.frombuffer(b"".join(s[i] for i in rows), np.uint8).reshape(len(rows), least, -1).astype(np.int64)
+            for s in (a, b)
+        )
+        for z in (x, y):
+            z[z == FULL] = 1 << 40  # two full parts may share any number of words
+        out[rows] = np.minimum(x.sum(2), y.sum(2)).sum(1)
+    return out
 
 
 def samples(flat: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -141,13 +163,14 @@ def sketch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         values = np.asarray(lists.values)[offsets[0] : offsets[-1]].view(np.uint64)
         offsets = offsets - offsets[0]
         lengths = np.diff(offsets)
-        out, marks = np.empty((len(lengths), ROUNDS), np.uint64), np.empty((len(lengths), PARTS), np.uint8)
+        out, marks = np.empty((len(lengths), ROUNDS), np.uint64), []
         few_words = np.empty((len(lengths), SAMPLE), np.uint32)
         i = 0
         while i < len(lengths):
             j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + PIECE, "right")) - 1)
             own = values[offsets[i] : offsets[j]]
-            out[i:j], marks[i:j] = sketches(own, lengths[i:j]), signatures(own, lengths[i:j])
+            out[i:j] = sketches(own, lengths[i:j])
+            marks += signatures(own, lengths[i:j])
             few_words[i:j] = samples(own, lengths[i:j])
             i = j
         short = lengths <= SHORT
@@ -159,7 +182,7 @@ def sketch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             few = sketches(values[np.repeat(short, lengths)], lengths[short], 1, range(ROUNDS, ROUNDS + SHORT_ROUNDS))
             flat[(ends[:-1][short, None] + ROUNDS + np.arange(SHORT_ROUNDS)).reshape(-1)] = few.reshape(-1)
         lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat.view(np.int64)))
-        marks, few_words = (pa.array([x.tobytes() for x in y], pa.binary()) for y in (marks, few_words))
+        marks, few_words = pa.array(marks, pa.binary()), pa.array([x.tobytes() for x in few_words], pa.binary())
         columns = [batch.column("text_digest"), pa.array(lengths.astype(np.int32)), lists, marks, few_words]
         yield pa.RecordBatch.from_arrays(columns, ["text_digest", "n", "sketches", "signature", "sample"])
 
@@ -183,18 +206,14 @@ def judge_batches(similarity: float, level: int):
                 continue
             n, m = (np.asarray(batch.column(c)).astype(np.int64) for c in ("na", "nb"))
 
-            def table(name: str, kind: type, batch: pa.RecordBatch = batch) -> np.ndarray:
-                return np.frombuffer(b"".join(batch.column(name).to_pylist()), kind).reshape(batch.num_rows, -1)
-
-            x, y = table("sa", np.uint8), table("sb", np.uint8)
             size = np.maximum(n, m)
             limit = np.floor((1 - similarity) * size + 1e-9)
-            shared = np.minimum(x, y).sum(1, dtype=np.int64)
-            # two full parts may share any number of words
-            open_ = ((x == FULL) & (y == FULL)).any(1)
-            maybe = (np.abs(n - m) <= limit) & (open_ | (size - shared <= limit))
-            x = table("wa", np.uint32)
-            left = lacking(x, table("wb", np.uint32))
+            maybe = np.abs(n - m) <= limit
+            near = np.flatnonzero(maybe)
+            held = (batch.column(c).take(pa.array(near)).to_pylist() for c in ("sa", "sb"))
+            maybe[near] = size[near] - shared_at_most(*held) <= limit[near]
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(-1, SAMPLE) for c in ("wa", "wb"))
+            left = lacking(x, y)
             if level:
                 order = np.where(left, mix(x.astype(np.uint64) + np.uint64(level) * M1) >> np.uint64(1), np.uint64(1 << 63))
                 chosen = np.arange(SAMPLE) == order.argmin(1)[:, None]
@@ -347,8 +366,8 @@ def linked(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame,
     marks = made.select("id", "n", "signature", "sample")
     first = judged(found.select("a", "b").distinct(), marks, similarity)
     refused, maybe = first.filter("NOT maybe").select("a", "b", "residues"), first.filter("maybe").select("a", "b")
-    good, words_of = None, d.select("text_digest", F.transform("w", lambda x: F.hash(x)).alias("words"))
-    tried = None
+    words_of = d.select("text_digest", F.transform("w", lambda x: F.hash(x)).alias("words"))
+    good = tried = known = None
     while True:
         # the refused meet by signatures alone; words are read once for all pairs that are left
         maybe = maybe.union(meetings(beyond(refused), marks, similarity))
@@ -357,15 +376,25 @@ def linked(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame,
         if maybe.isEmpty():
             return made, maybe if good is None else good
         ids = maybe.select("a").union(maybe.select("b")).distinct().withColumnRenamed("a", "id")
-        needed = bounded(made.join(ids, "id").select("id", F.col("text_digest").alias("of")), FEW)
-        texts = words_of.join(needed, F.col("text_digest") == F.col("of")).groupBy("id").agg(F.first("words").alias("words"))
-        new = saved(verified(maybe, saved(texts), similarity))
+        known = with_words(ids, known, made, words_of)
+        new = saved(verified(maybe, known, similarity))
         good = new if good is None else good.union(new)
         tried = maybe if tried is None else tried.union(maybe)
         failed = maybe.join(new, ["a", "b"], "left_anti")
-        both = failed.union(failed.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        both = saved(failed.union(failed.select(F.col("b").alias("a"), F.col("a").alias("b"))))
         refused = judged(both, marks, similarity).select("a", "b", "residues")
-        maybe = refused.select("a", "b").limit(0)
+        maybe = both.limit(0)
+
+
+def with_words(ids: DataFrame, known: DataFrame | None, made: DataFrame, words_of: DataFrame) -> DataFrame:
+    """The words of texts, those already known and those of further ids; texts are read only for the latter."""
+    lacking_ids = saved(ids if known is None else ids.join(known, "id", "left_anti"))
+    if known is not None and lacking_ids.isEmpty():
+        return known
+    needed = made.join(lacking_ids, "id").select("id", F.col("text_digest").alias("of"))
+    texts = words_of.join(bounded(needed, FEW), F.col("text_digest") == F.col("of"))
+    texts = saved(texts.groupBy("id").agg(F.first("words").alias("words")))
+    return texts if known is None else known.union(texts)
 
 
 def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
