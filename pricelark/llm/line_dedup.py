@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pricelark.llm.near_copies import mix
-from pricelark.llm.text import bounded, rows, saved, settled, small_batches, whole, words
+from pricelark.llm.text import bounded, rows, saved, settled, small_batches, whole, words, written
 
 ODD = np.uint64(0x9E3779B97F4A7C15)
 MIN_WORDS = 8
@@ -44,9 +44,11 @@ def keyed(docs: DataFrame) -> DataFrame:
 def lines(d: DataFrame, wanted: str | None = None) -> DataFrame:
     """One row per line with a word: doc_id, tk, line (from 0) and its words w; only the numbers in
     the array column `wanted`, if given."""
-    each = F.transform(F.split("t", "\n"), lambda x, i: F.struct(i.alias("line"), x.alias("x")))
     if wanted:
-        each = F.filter(each, lambda x: F.array_contains(wanted, x["line"]))
+        d = settled(d.select("doc_id", "tk", wanted, F.split("t", "\n").alias("parts")))
+        each = F.transform(wanted, lambda i: F.struct(i.alias("line"), F.get("parts", i).alias("x")))
+    else:
+        each = F.transform(F.split("t", "\n"), lambda x, i: F.struct(i.alias("line"), x.alias("x")))
     d = d.select("doc_id", "tk", F.inline(each))
     return settled(d.select("doc_id", "tk", "line", words(F.col("x")).alias("w"))).filter(F.size("w") > 0)
 
@@ -135,14 +137,15 @@ def verdicts(docs: DataFrame) -> DataFrame:
         identity(F.col("w")).alias("id"),
         F.transform(gaps(F.col("w")), lambda g: variant(F.col("w"), g)).alias("vs"),
     )
-    every = saved(every)  # the narrow twin of the texts; they are read again only for lines that may be near
+    every = written(every)  # the narrow twin of the texts; they are read again only for lines that may be near
     at = F.struct("doc_id", "line", "tk")
-    first = every.groupBy("id").agg(F.min(at).alias("at"), F.first("vs").alias("vs"))
-    first = saved(first)
-    keys = first.select("id", "at", F.explode(F.array_distinct("vs")).alias("v"))
+    first = every.groupBy("id").agg(F.min(at).alias("at"), F.first("vs").alias("vs"), F.count("*").alias("n"))
+    first = written(first.withColumn("number", F.monotonically_increasing_id()))
+    # variants go with the number of their line only
+    keys = first.select("number", F.explode(F.array_distinct("vs")).alias("v"))
     shared = keys.groupBy("v").agg(F.count("*").alias("n")).filter("n > 1").select("v")
-    met = keys.join(shared, "v").groupBy("id", "at").agg(F.collect_set("v").alias("vs"))  # 2 * BLOCKS at most
-    met = saved(met)
+    met = keys.join(shared, "v").groupBy("number").agg(F.collect_set("v").alias("vs"))  # 2 * BLOCKS at most
+    met = saved(first.select("number", "id", "at").join(bounded(met, FEW), "number").drop("number"))
     # the words of these lines, from the documents where they stand first
     who = met.groupBy(F.col("at.doc_id").alias("who"), F.col("at.tk").alias("of")).agg(
         F.collect_set("at.line").alias("wanted")
@@ -161,12 +164,15 @@ def verdicts(docs: DataFrame) -> DataFrame:
     pairs = pairs.join(texts.select("id", F.col("w").alias("a")), "id")
     pairs = pairs.join(texts.select(F.col("id").alias("other"), F.col("w").alias("b")), "other")
     close = settled(pairs.select("id", one_edit(F.col("a"), F.col("b")).alias("ok"))).filter("ok").select("id").distinct()
-    marks = first.select(F.col("id").alias("of"), F.col("at").alias("first_at")).join(
+    # lines that stand once and are near to none have nothing to be told
+    marks = first.select(F.col("id").alias("of"), F.col("at").alias("first_at"), "n").join(
         close.withColumnRenamed("id", "close"), F.col("of") == F.col("close"), "left"
     )
-    each = every.select("doc_id", "tk", "line", "id").join(marks, F.col("id") == F.col("of"))
+    marks = bounded(marks.filter("n > 1 OR close IS NOT NULL").select("of", "first_at", "close"), FEW)
+    each = every.select("doc_id", "tk", "line", "id").join(marks, F.col("id") == F.col("of"), "left")
     earlier = F.struct("first_at.doc_id", "first_at.line") < F.struct("doc_id", "line")
-    each = each.select("doc_id", "tk", "line", earlier.alias("exact"), F.col("close").isNotNull().alias("near"))
+    exact = F.when(F.col("of").isNull(), False).otherwise(earlier)
+    each = each.select("doc_id", "tk", "line", exact.alias("exact"), F.col("close").isNotNull().alias("near"))
     null = F.lit(None).cast("boolean")
     return each.union(d.select("doc_id", "tk", F.lit(-1), null, null))
 
@@ -192,8 +198,12 @@ def deduped(docs: DataFrame) -> DataFrame:
     d = rows(docs).join(
         gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64(whole()) == F.col("_tk")), "left"
     )
-    left = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("_gone", i))
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
+    # by number, in time linear in the lines
+    some = F.col("_gone").isNotNull()
+    d = settled(d.select("row", "_gone", "text", F.when(some, F.split("text", "\n")).alias("parts")))
+    stay = F.array_except(F.sequence(F.lit(0), F.size("parts") - 1), "_gone")
+    left = F.array_join(F.transform(stay, lambda i: F.get("parts", i)), "\n")
+    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(left)
     d = settled(d.select("row", "_gone", text.alias("new")))
     d = d.filter(F.col("_gone").isNull() | F.col("new").rlike(r"[^\x20\x09-\x0D]"))
     follow = {"text": F.col("new")}

@@ -27,7 +27,6 @@ import hashlib
 import json
 import os
 import re
-import uuid
 from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -41,9 +40,8 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from pricelark.llm.arrow import blocks, utf8
-from pricelark.llm.text import rows, saved
+from pricelark.llm.text import rows, saved, written
 from pricelark.llm.word_bpe import MARKS, Merges, byte_characters, shipped, spelled_out
-from pricelark.session import ensure_checkpoint_dir
 
 #: Bytes of text aligned together, and tokens of one side times the other up to which a group is written out.
 BLOCK, SMALL_GROUP = 1 << 21, 1 << 10
@@ -387,22 +385,6 @@ def pair_base(b_path: str) -> int:
         return len(side("pieces", f.read()).size)
 
 
-def written(df: DataFrame) -> DataFrame:
-    """The rows as a table in the shared folder, read again: smaller than a checkpoint where arrays repeat."""
-    folder = f"{ensure_checkpoint_dir(df.sparkSession)}/aligned-{uuid.uuid4().hex}"
-    df.write.parquet(folder)
-    return df.sparkSession.read.parquet(folder)
-
-
-def pair_counts(aligned_docs: DataFrame, base: int) -> DataFrame:
-    """pair, n (documents that hold it) and top (whether no pair of its first id has more)."""
-    pairs = aligned_docs.select(F.explode("pairs").alias("pair"))
-    n = saved(pairs.groupBy("pair").agg(F.count("*").alias("n")))
-    first = (F.col("pair").cast("long") / base).cast("long").alias("first")
-    most = n.groupBy(first).agg(F.max("n").alias("most"))  # one row a token: bounded by the vocabulary
-    return n.select("pair", "n", first).join(F.broadcast(most), "first").select("pair", "n", (F.col("n") == F.col("most")).alias("top"))
-
-
 def scored(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
     """row's doc_id, the counts of `aligned`, groups_sha256, n_best (links that are their first id's
     most frequent) and count_sum (documents of every link's pair, added up): a row a document."""
