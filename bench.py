@@ -33,6 +33,9 @@ HEADLINE = [
     "digest",
     "daily_sweep",
     "stream_alerts",
+    "stream_controlled_alerts",
+    "stream_quiet_hold",
+    "product_state_stored",
 ]
 
 
