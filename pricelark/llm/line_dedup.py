@@ -137,10 +137,10 @@ def verdicts(docs: DataFrame) -> DataFrame:
         identity(F.col("w")).alias("id"),
         F.transform(gaps(F.col("w")), lambda g: variant(F.col("w"), g)).alias("vs"),
     )
-    every = written(every)  # the narrow twin of the texts; they are read again only for lines that may be near
+    every = written(every, hashes=True)  # the narrow twin of the texts; they are read again only for lines that may be near
     at = F.struct("doc_id", "line", "tk")
     first = every.groupBy("id").agg(F.min(at).alias("at"), F.first("vs").alias("vs"), F.count("*").alias("n"))
-    first = written(first.withColumn("number", F.monotonically_increasing_id()))
+    first = written(first.withColumn("number", F.monotonically_increasing_id()), hashes=True)
     # variants go with the number of their line only
     keys = first.select("number", F.explode(F.array_distinct("vs")).alias("v"))
     shared = keys.groupBy("v").agg(F.count("*").alias("n")).filter("n > 1").select("v")

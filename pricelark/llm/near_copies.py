@@ -312,9 +312,11 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame
     return both.mapInPandas(verify_batches(similarity), "a long, b long")
 
 
-def stars(buckets: DataFrame) -> DataFrame:
-    """Members a of buckets of two texts or more, each with the bucket's first text b."""
-    first = buckets.groupBy("key").agg(F.count("*").alias("n"), F.min("a").alias("b")).filter("n > 1")
+def stars(buckets: DataFrame, varied: bool = False) -> DataFrame:
+    """Members a of buckets of two texts or more, each with the bucket's first text b: the least one,
+    so that a text meets the same one in many buckets, or, varied, another one in each."""
+    first = F.min_by("a", F.xxhash64("key", "a")) if varied else F.min("a")
+    first = buckets.groupBy("key").agg(F.count("*").alias("n"), first.alias("b")).filter("n > 1")
     return buckets.join(first.select("key", "b"), "key").filter(F.col("a") != F.col("b"))
 
 
@@ -336,12 +338,12 @@ def beyond(refused: DataFrame) -> DataFrame:
     return each.select("a", F.xxhash64("b", "x").alias("key"))
 
 
-def meetings(rows: DataFrame, marks: DataFrame, similarity: float) -> DataFrame:
+def meetings(rows: DataFrame, marks: DataFrame, similarity: float, varied: bool) -> DataFrame:
     """(a, b) that may be similar, of members (key, a): against the first text of their bucket, and,
     where that one cannot be similar, of smaller and smaller buckets."""
     out, level = [], 1
     while True:
-        found = saved(stars(rows))
+        found = saved(stars(rows, varied))
         if found.isEmpty():
             break
         seen = judged(found.select("a", "b").distinct(), marks, similarity, level)
@@ -370,14 +372,14 @@ def linked(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame,
     good = tried = known = None
     while True:
         # the refused meet by signatures alone; words are read once for all pairs that are left
-        maybe = maybe.union(meetings(beyond(refused), marks, similarity))
+        maybe = maybe.union(meetings(beyond(refused), marks, similarity, varied=tried is not None))
         maybe = maybe.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
         maybe = saved(maybe if tried is None else maybe.join(tried, ["a", "b"], "left_anti"))
         if maybe.isEmpty():
             return made, maybe if good is None else good
         ids = maybe.select("a").union(maybe.select("b")).distinct().withColumnRenamed("a", "id")
         known = with_words(ids, known, made, words_of)
-        new = saved(verified(maybe, known, similarity))
+        new = saved(verified(maybe, known.join(bounded(ids, FEW), "id", "left_semi"), similarity))
         good = new if good is None else good.union(new)
         tried = maybe if tried is None else tried.union(maybe)
         failed = maybe.join(new, ["a", "b"], "left_anti")

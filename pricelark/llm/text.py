@@ -50,10 +50,11 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def written(df: DataFrame) -> DataFrame:
-    """The same as a Parquet table in that folder: smaller, and read again only in the columns asked for."""
+def written(df: DataFrame, hashes: bool = False) -> DataFrame:
+    """The same as a Parquet table in that folder: smaller, and read again only in the columns asked for.
+    Of `hashes` no dictionaries are tried."""
     folder = f"{ensure_checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(folder)
+    df.write.option("parquet.enable.dictionary", str(not hashes).lower()).parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 

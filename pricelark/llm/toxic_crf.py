@@ -25,9 +25,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pricelark.llm.quality_gam import held_out
-from pricelark.llm.text import settled, small_batches, whole
+from pricelark.llm.text import saved, settled, small_batches, whole
 
 SAMPLE = 1500  # toxic documents, and three times as many others
+TOKENS = 20_000_000  # of all of them together: what the driver learns from
 WORDS, STARTS = 1 << 22, 1 << 20  # sizes of the two weight tables
 RATIO, LEAST = 20.0, 0.01  # how much more frequent, and in what share of the toxic documents at least
 CHAIN = 1000  # tokens of a training chain; scoring does not cut texts
@@ -224,12 +225,21 @@ def score_batches(model_of):
 def training(docs: DataFrame, labels: DataFrame, mod: int, rest: int, sample: int) -> DataFrame:
     """doc_id, toxic, w, s of the documents to learn from."""
     known = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).filter("toxic IN (0, 1)")
-    known = known.filter(~held_out(mod, rest)).dropDuplicates(["doc_id"])
+    known = known.filter(~held_out(mod, rest)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))  # of clashing labels 1
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     chosen = [known.filter(F.col("toxic") == k).orderBy(*order).limit(n) for k, n in ((0, 3 * sample), (1, sample))]
     few = F.broadcast(chosen[0].union(chosen[1]))  # 4 * sample rows at most
-    rows = docs.join(few, "doc_id").dropDuplicates(["text"])  # copies would make their words look telling
-    return tokens(rows.select("doc_id", "text", "toxic"), "doc_id", "toxic")
+    # copies would make their words look telling
+    rows = docs.join(few, "doc_id").groupBy("text").agg(F.min(F.struct("doc_id", "toxic")).alias("m"))
+    d = saved(tokens(rows.select("text", "m.*"), "doc_id", "toxic"))
+    # whole texts in the order of a hash, as long as they fit
+    place = F.struct(F.xxhash64("doc_id").alias("h"), "doc_id")
+    sizes = d.select(place.alias("p"), F.size("w").alias("n")).orderBy("p").collect()  # 4 * sample rows at most
+    room = np.cumsum([r["n"] for r in sizes]) <= TOKENS
+    if room.all():
+        return d
+    last = sizes[int(room.sum())]["p"]
+    return d.filter(place < F.struct(F.lit(last["h"]).alias("h"), F.lit(last["doc_id"]).cast("long").alias("doc_id")))
 
 
 def scored(docs: DataFrame, labels: DataFrame, mod: int = 5, rest: int = 0, sample: int = SAMPLE) -> DataFrame:

@@ -274,6 +274,21 @@ def test_held_out_accuracy(spark):
         assert out.count() == docs.count()
 
 
+def test_training_texts_are_bounded_and_whole(spark, monkeypatch):
+    texts = spark.range(200).select(F.col("id").alias("doc_id"), F.expr("repeat(concat('word', id, ' '), 10 + id)").alias("text"))
+    twice = texts.union(texts.withColumn("doc_id", F.col("doc_id") + 1000))
+    labels = spark.range(1200).select(F.col("id").alias("doc_id"), (F.col("id") % 3 == 0).cast("int").alias("toxic"))
+    clash = labels.union(labels.filter("doc_id = 7").withColumn("toxic", F.lit(1)))
+    every = toxic_crf.training(twice, clash, 5, 0, 1500).collect()
+    assert len({tuple(r.w) for r in every}) == len(every)  # copies once
+    assert {r.toxic for r in every if r.doc_id == 7} <= {1}
+    monkeypatch.setattr(toxic_crf, "TOKENS", 5_000)
+    few = toxic_crf.training(twice, clash, 5, 0, 1500).collect()
+    assert 4_700 < sum(len(r.w) for r in few) <= 5_000
+    whole = {r.doc_id: list(r.w) for r in every}
+    assert all(list(r.w) == whole[r.doc_id] for r in few)
+
+
 def test_sample_is_as_large_as_it_says(spark):
     """The bound counts documents that have a label, not labels that have no document."""
     docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.rand(1).alias("x"))

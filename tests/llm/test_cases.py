@@ -1,6 +1,7 @@
 """Hard rows for every operator: nulls, empty and long texts, ties, repeats, empty tables, clashing names."""
 
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -202,6 +203,17 @@ def test_lines_go(spark):
     assert more == {1: (2, 0, 0, 2), 2: (2, 0, 1, 1), 3: (1, 1, 0, 0), 4: (1, 0, 0, 1)}
 
 
+def test_lines_of_a_long_document(spark):
+    """A document of 120,000 lines, half of which go: by number, not by searching a list per line."""
+    text = "\n".join(f"line {i} of this very long document has some words" if i % 2 else "the same line again" for i in range(120_000))
+    d = spark.createDataFrame([(1, text), (2, "the same line again\nand one more")], "doc_id long, text string")
+    start = time.time()
+    got = {r.doc_id: (r.n_lines, r.n_exact, r.n_near) for r in line_dedup.counts(d).collect()}
+    left = {r.doc_id: r.text.count("\n") + 1 for r in line_dedup.deduped(d).collect()}
+    assert got[1][0] == 120_000 and got[1][1] == 59_999 and got[2] == (2, 1, 0)
+    assert left == {1: 120_000 - 59_999 - got[1][2], 2: 1} and time.time() - start < 60
+
+
 def test_license_suppression(spark):
     rows = [(1, "Licensed under the Apache License, Version 2.0; see the Apache License."), (2, "All rights reserved, cc by cc by")]
     got = {r.doc_id: r for r in license_scan.scanned(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
