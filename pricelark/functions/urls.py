@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -55,12 +55,15 @@ class Registry:
         for site in sites:
             self.register(site)
 
+    def claim(self, marketplace: str, domains: Iterable[str]) -> None:
+        for domain in map(str.lower, domains):
+            if domain in self.domains:
+                raise ValueError(f"domain {domain} is already claimed by {self.domains[domain]}")
+            self.domains[domain] = marketplace
+
     def register(self, site: Site) -> None:
-        taken = {d.lower(): self.domains[d.lower()] for d in site.domains if d.lower() in self.domains}
-        for domain, owner in taken.items():
-            raise ValueError(f"domain {domain} is already claimed by {owner}")
+        self.claim(site.name, site.domains)
         self.sites.append(site)
-        self.domains |= {d.lower(): site.name for d in site.domains}
 
     def marketplace_of(self, host: Column) -> Column:
         """The marketplace that claims the host or the nearest parent of it."""

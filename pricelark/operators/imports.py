@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pricelark.functions.binding import settled
 from pricelark.functions.urls import Registry, default_registry, recognise
 from pricelark.model import STAGGER_SECONDS
+from pricelark.session import ensure_checkpoint_dir
 
 CELL = 1_000_000
 
@@ -18,9 +19,11 @@ def positions(
     """0-based position of every row per key in (major, by) order; ``by`` is a long.
 
     Rows are counted per (major, range of ``by``) cell and the counts are summed
-    before each cell, so no task sorts more than one cell.
+    before each cell, so no task sorts more than one cell. The input is run once and
+    saved, for counts and rows.
     """
-    celled = df.withColumn("_cell", F.floor(F.col(by) / cell))
+    ensure_checkpoint_dir(df.sparkSession)
+    celled = df.withColumn("_cell", F.floor(F.col(by) / cell)).checkpoint()
     cells = [*keys, *major, "_cell"]
     sizes = celled.groupBy(*cells).agg(F.count("*").alias("_n"))
     order = Window.orderBy(*major, "_cell") if not keys else Window.partitionBy(*keys).orderBy(
