@@ -7,17 +7,16 @@ in the same order, so agreement follows edit similarity. Few windows of a short
 edit, so texts of at most SHORT words have SHORT_ROUNDS further sketches of two single words.
 
 Equal texts are one first. Texts with an equal sketch form a bucket, and every member is compared
-with the bucket's first text. What that text refuses meets again by what it has and the first text
-lacks: by the RESIDUES least of its sampled words (the SAMPLE of least hash), then by one more word
-for each further first text that refuses it, until no bucket of two is left. So texts that share much with a whole bucket (a common
-passage, boilerplate) part by the rest of their words, and no bucket is compared pair by pair.
+with the bucket's first text. Then they meet again by what they have and the first text lacks: by
+the RESIDUES least of their sampled words (the SAMPLE of least hash), then by one more word for each
+further first text, until no bucket of two is left. So texts that share much with a whole bucket (a
+common passage, boilerplate) part by the rest of their words, and no bucket is compared pair by pair.
 
 A comparison is exact in the end and cheap at first. Lengths and signatures (how many words fall
 into each of 256 parts) bound the words that two texts can share from above; a pair that cannot
 reach the limit goes no further. For the others words are read, and a banded word alignment,
-widened while the limit is not decided, checks edit similarity >= `similarity`. A pair that passes
-signatures but not alignment counts as refused and goes round again. Links give classes by
-connected components.
+widened while the limit is not decided, checks edit similarity >= `similarity`. Links give classes
+by connected components.
 
 Texts without words are in a class of their own each. Fewer words than a window are one window.
 Repeated rows are copies of one another. An empty table gives an empty result.
@@ -197,8 +196,8 @@ def lacking(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def judge_batches(similarity: float, level: int):
-    """Whether lengths and signatures let a pair be similar; where a may meet others that b refuses:
-    by its least words beyond b (level 0), or by one of them, another one at every level."""
+    """Whether lengths and signatures let a pair be similar; where a may meet others without b: by
+    its least words beyond b (level 0), or by one of them, another one at every level."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -219,7 +218,10 @@ def judge_batches(similarity: float, level: int):
                 chosen = np.arange(SAMPLE) == order.argmin(1)[:, None]
             else:
                 chosen = left & (np.cumsum(left, 1) <= RESIDUES)
-                chosen[:, 0] |= ~left.any(1)  # nothing beyond b: by the first word
+            # with nothing beyond b a text goes on, by its first word, only if it cannot be similar to b
+            alone = ~left.any(1)
+            chosen[alone] = False
+            chosen[alone & ~maybe, 0] = True
             row, at = np.nonzero(chosen)
             word = x[row, at].astype(np.uint64)
             # similar texts are of similar length: those far from one another part as well
@@ -312,11 +314,9 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame
     return both.mapInPandas(verify_batches(similarity), "a long, b long")
 
 
-def stars(buckets: DataFrame, varied: bool = False) -> DataFrame:
-    """Members a of buckets of two texts or more, each with the bucket's first text b: the least one,
-    so that a text meets the same one in many buckets, or, varied, another one in each."""
-    first = F.min_by("a", F.xxhash64("key", "a")) if varied else F.min("a")
-    first = buckets.groupBy("key").agg(F.count("*").alias("n"), first.alias("b")).filter("n > 1")
+def stars(buckets: DataFrame) -> DataFrame:
+    """Members a of buckets of two texts or more, each with the bucket's first text b."""
+    first = buckets.groupBy("key").agg(F.count("*").alias("n"), F.min("a").alias("b")).filter("n > 1")
     return buckets.join(first.select("key", "b"), "key").filter(F.col("a") != F.col("b"))
 
 
@@ -332,26 +332,21 @@ def judged(pairs: DataFrame, marks: DataFrame, similarity: float, level: int = 0
     return saved(both.mapInArrow(judge_batches(similarity, level), JUDGED))
 
 
-def beyond(refused: DataFrame) -> DataFrame:
-    """Refused pairs (a, b, residues) as members of new buckets: those that have the same word beyond b."""
-    each = refused.select("a", "b", F.explode("residues").alias("x"))
-    return each.select("a", F.xxhash64("b", "x").alias("key"))
-
-
-def meetings(rows: DataFrame, marks: DataFrame, similarity: float, varied: bool) -> DataFrame:
-    """(a, b) that may be similar, of members (key, a): against the first text of their bucket, and,
-    where that one cannot be similar, of smaller and smaller buckets."""
-    out, level = [], 1
+def meetings(seen: DataFrame, marks: DataFrame, similarity: float) -> DataFrame:
+    """(a, b) that may be similar: of the pairs already judged, and of those that meet as both have
+    the same word beyond a first text, in smaller and smaller buckets."""
+    out, level = [seen.filter("maybe").select("a", "b")], 1
+    each = seen.select("a", "b", F.explode("residues").alias("x"))
+    rows = each.select("a", F.xxhash64("b", "x").alias("key"))
     while True:
-        found = saved(stars(rows, varied))
+        found = saved(stars(rows))
         if found.isEmpty():
-            break
+            return reduce(DataFrame.union, out)
         seen = judged(found.select("a", "b").distinct(), marks, similarity, level)
         out.append(seen.filter("maybe").select("a", "b"))
-        rest = seen.filter("NOT maybe").select("a", "b", F.get("residues", F.lit(0)).alias("x"))
+        rest = seen.select("a", "b", F.get("residues", F.lit(0)).alias("x")).filter("x IS NOT NULL")
         rows = found.join(rest, ["a", "b"]).select("a", F.xxhash64("key", "x").alias("key"))
         level += 1
-    return reduce(DataFrame.union, out) if out else rows.select("a", F.col("a").alias("b")).limit(0)
 
 
 def linked(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
@@ -367,36 +362,14 @@ def linked(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame,
     found = saved(stars(made.select(F.col("id").alias("a"), F.explode("sketches").alias("key"))))
     marks = made.select("id", "n", "signature", "sample")
     first = judged(found.select("a", "b").distinct(), marks, similarity)
-    refused, maybe = first.filter("NOT maybe").select("a", "b", "residues"), first.filter("maybe").select("a", "b")
-    words_of = d.select("text_digest", F.transform("w", lambda x: F.hash(x)).alias("words"))
-    good = tried = known = None
-    while True:
-        # the refused meet by signatures alone; words are read once for all pairs that are left
-        maybe = maybe.union(meetings(beyond(refused), marks, similarity, varied=tried is not None))
-        maybe = maybe.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-        maybe = saved(maybe if tried is None else maybe.join(tried, ["a", "b"], "left_anti"))
-        if maybe.isEmpty():
-            return made, maybe if good is None else good
-        ids = maybe.select("a").union(maybe.select("b")).distinct().withColumnRenamed("a", "id")
-        known = with_words(ids, known, made, words_of)
-        new = saved(verified(maybe, known.join(bounded(ids, FEW), "id", "left_semi"), similarity))
-        good = new if good is None else good.union(new)
-        tried = maybe if tried is None else tried.union(maybe)
-        failed = maybe.join(new, ["a", "b"], "left_anti")
-        both = saved(failed.union(failed.select(F.col("b").alias("a"), F.col("a").alias("b"))))
-        refused = judged(both, marks, similarity).select("a", "b", "residues")
-        maybe = both.limit(0)
-
-
-def with_words(ids: DataFrame, known: DataFrame | None, made: DataFrame, words_of: DataFrame) -> DataFrame:
-    """The words of texts, those already known and those of further ids; texts are read only for the latter."""
-    lacking_ids = saved(ids if known is None else ids.join(known, "id", "left_anti"))
-    if known is not None and lacking_ids.isEmpty():
-        return known
-    needed = made.join(lacking_ids, "id").select("id", F.col("text_digest").alias("of"))
-    texts = words_of.join(bounded(needed, FEW), F.col("text_digest") == F.col("of"))
-    texts = saved(texts.groupBy("id").agg(F.first("words").alias("words")))
-    return texts if known is None else known.union(texts)
+    # all meet by signatures alone; words are read once for the pairs that are left
+    maybe = meetings(first, marks, similarity)
+    maybe = saved(maybe.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    ids = maybe.select("a").union(maybe.select("b")).distinct().withColumnRenamed("a", "id")
+    needed = bounded(made.join(ids, "id").select("id", F.col("text_digest").alias("of")), FEW)
+    texts = d.select("text_digest", F.transform("w", lambda x: F.hash(x)).alias("words"))
+    texts = texts.join(needed, F.col("text_digest") == F.col("of")).groupBy("id").agg(F.first("words").alias("words"))
+    return made, saved(verified(maybe, saved(texts), similarity))
 
 
 def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
