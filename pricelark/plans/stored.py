@@ -104,9 +104,10 @@ def history_appended(spark: SparkSession, sf_dir: str) -> DataFrame:
     """History written twice over, first a part of it, and read back from its month folders."""
     path = new_folder(spark, "history")
     rows = A.history_rows(M.check_log(spark, sf_dir), SETTINGS).drop("checked_month")
-    sinks.append_history(rows.filter(F.col("checked_at") < "1996-01-01"), path)
-    sinks.append_history(rows, path)
-    sinks.append_history(rows, path)
+    with sinks.stored_rows(rows) as rows:
+        sinks.append_history(rows.filter(F.col("checked_at") < "1996-01-01"), path)
+        sinks.append_history(rows, path)
+        sinks.append_history(rows, path)
     back = spark.read.parquet(path).drop("offers", "mrp_paise")
     return back.withColumn("checked_month", F.col("checked_month").cast("string"))
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+from contextlib import ExitStack, contextmanager
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -228,41 +231,74 @@ def export_alerts(alerts: DataFrame, products: DataFrame) -> DataFrame:
     )
 
 
-def _new_rows(rows: DataFrame, path: str, folder: str, key: str) -> DataFrame:
-    """The rows whose key is not yet in the folders that they would be written to, each once.
-
-    Only those folders are listed and read, whatever else the table holds; a rerun finds all its
-    rows there and writes nothing."""
-    spark = rows.sparkSession
-    rows = saved_rows(rows.dropDuplicates([key]))  # folders and rows must come from one reading
-    there = folders.values(spark, path, folder)
-    touched = [r[0] for r in rows.select(folder).distinct().collect()]  # a row a folder of this batch
-    paths = [f"{path}/{there[value]}" for value in touched if value in there]
-    if not paths:
-        return rows
-    known = spark.read.schema(rows.select(key).schema).parquet(*paths)
-    # the table is read before it is written to
-    return saved_rows(rows.join(known, key, "left_anti"))
-
-
 def saved_rows(df: DataFrame) -> DataFrame:
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+@contextmanager
+def stored_rows(df: DataFrame) -> Iterator[DataFrame]:
+    """The rows as a Parquet table of their own while the block runs: made once, and read in the columns asked for."""
+    spark = df.sparkSession
+    place = f"{ensure_checkpoint_dir(spark)}/rows-{uuid.uuid4().hex}"
+    try:
+        df.write.parquet(place)
+        yield spark.read.schema(df.schema).format("parquet").load(place)
+    finally:
+        folders.drop(spark, place)
+
+
+def _within(column: str, values: list[str | None]) -> Column:
+    known = F.coalesce(F.col(column).isin([v for v in values if v is not None]), F.lit(False))
+    return known | F.col(column).isNull() if None in values else known
+
+
+def _append(rows: DataFrame, path: str, folder: str, key: str) -> None:
+    """Write the rows whose key is not yet in the folders that they would be written to, each once.
+
+    Only those folders are listed and their keys read, whatever else the table holds; a rerun finds
+    all its rows there and writes nothing. Keys alone are compared; whole rows are joined only in
+    folders of which a part is there or a key comes twice. A folder's rows go to one task, or to
+    several if they are many, so there are about as many files as folders."""
+    spark = rows.sparkSession
+    with ExitStack() as until_written:
+        keep = until_written.enter_context
+        rows = keep(stored_rows(rows))  # folders and rows must come from one reading
+        there = folders.values(spark, path, folder)
+        touched = [r[0] for r in rows.select(folder).distinct().collect()]  # a row a folder of this batch
+        paths = [f"{path}/{there[value]}" for value in touched if value in there]
+        own = rows.select(key, F.lit(1).cast("long").alias("_n"), F.lit(False).alias("_there"))
+        if paths:
+            known = spark.read.schema(rows.select(key).schema).parquet(*paths).filter(F.col(key).isNotNull())
+            own = own.union(known.select(key, F.lit(0).cast("long"), F.lit(True)))
+        marks = own.groupBy(F.col(key).alias("_key")).agg(F.sum("_n").alias("_n"), F.max("_there").alias("_there"))
+        odd = keep(stored_rows(marks.filter((F.col("_n") > 1) | (F.col("_there") & (F.col("_n") > 0)))))
+        if not odd.isEmpty():
+            same = F.col(key).eqNullSafe(F.col("_key"))
+            found = rows.select(key, folder).join(odd, same, "left").groupBy(folder)
+            found = found.agg(F.count("*").alias("rows"), F.count("_n").alias("odd"), F.count_if("_there").alias("there"))
+            found = found.collect()  # a row a folder of this batch
+            mixed = rows.filter(_within(folder, [r[folder] for r in found if r["odd"] and r["there"] < r["rows"]]))
+            mixed = mixed.join(odd.filter("_there"), same, "left_anti")
+            twice = odd.filter("NOT _there")
+            if not twice.isEmpty():
+                once = mixed.join(twice, same, "left_semi").dropDuplicates([key])
+                mixed = mixed.join(twice, same, "left_anti").union(once)
+            plain = [r[folder] for r in found if not r["odd"]]
+            rows = rows.filter(_within(folder, plain)).union(mixed)
+        rows.hint("rebalance", folder).write.mode("append").partitionBy(folder).parquet(path)
+
+
 def append_history(history: DataFrame, path: str) -> None:
     """Exactly one row per check, in month folders, also when a batch is written again."""
     rows = history.withColumn("checked_month", F.date_format("checked_at", "yyyy-MM"))
-    rows = _new_rows(rows, path, "checked_month", "check_id")
-    # each task writes its months; a month is not gathered into one task
-    rows.write.mode("append").partitionBy("checked_month").parquet(path)
+    _append(rows, path, "checked_month", "check_id")
 
 
 def append_audit(audit: DataFrame, path: str) -> None:
     """One row per audit id, in day folders, also when a batch is written again."""
     rows = audit.withColumn("created_date", local_date(F.col("created_at"), "UTC").cast("string"))
-    rows = _new_rows(rows, path, "created_date", "audit_id")
-    rows.write.mode("append").partitionBy("created_date").parquet(path)
+    _append(rows, path, "created_date", "audit_id")
 
 
 def append_alerts(alerts: DataFrame, path: str) -> None:
@@ -273,8 +309,7 @@ def append_alerts(alerts: DataFrame, path: str) -> None:
             "alert_key": F.concat_ws(":", "product_id", "check_id", "type"),
         }
     )
-    rows = _new_rows(rows, path, "fired_date", "alert_key")
-    rows.write.mode("append").partitionBy("fired_date").parquet(path)
+    _append(rows, path, "fired_date", "alert_key")
 
 
 _STAGED = "_staged-"

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pricelark.model import CHECKS, Settings
 from pricelark.operators import alerts as A
 from pricelark.operators import catalogue, hygiene, stored_state
+from pricelark.session import ensure_checkpoint_dir
 from pricelark.sources import folders, import_file, sinks
 from pricelark.sources import tables as M
 from pricelark.sources.state_table import StateTable
@@ -184,6 +185,21 @@ def test_appends_list_only_their_own_folders(spark, tmp_path, monkeypatch):
     assert spark.read.parquet(path).count() == rows.count() + 3
 
 
+def test_appends_write_a_file_a_folder_and_keep_no_copy(spark, tmp_path):
+    """Parts of the input do not multiply files, and what is written on the way is gone at the end."""
+    path, scratch = str(tmp_path / "h"), ensure_checkpoint_dir(spark)
+    rows = A.history_rows(M.checks(spark, SF), SETTINGS).drop("checked_month").repartition(8)
+    before = set(os.listdir(scratch)), len(glob.glob(f"{scratch}/*/rdd-*"))
+    sinks.append_history(rows, path)
+    sinks.append_history(rows.withColumn("check_id", F.when(F.col("check_id") % 2 == 0, -F.col("check_id")).otherwise(F.col("check_id"))), path)
+    assert (set(os.listdir(scratch)), len(glob.glob(f"{scratch}/*/rdd-*"))) == before
+    months = len(folders.names(spark, path))
+    assert len(files(path)) <= 2 * months
+    even = rows.filter("check_id % 2 = 0").count()
+    ids = spark.read.parquet(path).select("check_id")
+    assert ids.count() == ids.distinct().count() == rows.count() + even
+
+
 def test_rows_without_a_time_are_appended_once(spark, tmp_path):
     path = str(tmp_path / "a")
     rows = spark.createDataFrame([(1, None), (2, datetime(2024, 1, 1))], "audit_id long, created_at timestamp")
