@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -71,20 +73,25 @@ def scan_specs() -> list[Running]:
 
 
 def continue_log(
-    checks: DataFrame, settings: Settings, state: DataFrame | None, limit: int | None = None
+    checks: DataFrame,
+    settings: Settings,
+    state: DataFrame | None,
+    limit: int | None = None,
+    keep: Callable[[DataFrame], DataFrame] = lambda scanned: scanned,
 ) -> tuple[DataFrame, DataFrame]:
     """The next part of a log, after ``state``: (annotated rows, new state).
 
     The state is one row per product with the running values so far; the rows must
     come after the ones already in it. A hot product is sliced as in a whole log.
+    ``keep`` may store the scanned rows, which both results are made of.
     """
     first = sliced_log(seen_offers(checks), None, limit)
     scanned = running(first, scan_specs(), state)
     done = with_failures(scanned, settings.failure_limit, state)
+    done = Sliced(keep(done.df), done.keys, done.order, done.hot)
     marks = [Running("last_seen", F.struct("checked_at", "check_id"), "max")]
-    totals = closing(first.df, KEY, ORDER, scan_specs() + marks, state)
-    later = closing(done.df, KEY, ORDER, run_specs() + pause_specs(), state)
-    return _facts(done, True), totals.join(later, KEY, "full")
+    specs = scan_specs() + marks + run_specs() + pause_specs()
+    return _facts(done, True), closing(done.df, KEY, ORDER, specs, state)
 
 
 def price() -> Column:
@@ -252,13 +259,14 @@ def continue_state(
     running_state: DataFrame | None,
     products: DataFrame | None,
     limit: int | None = None,
+    keep: Callable[[DataFrame], DataFrame] = lambda scanned: scanned,
 ) -> tuple[DataFrame, DataFrame]:
     """The next part of a log: (running state, product state) after it.
 
     Both are stored between parts; only the new rows are read, and the products without
     any are carried over.
     """
-    log, running_state = continue_log(checks, settings, running_state, limit)
+    log, running_state = continue_log(checks, settings, running_state, limit, keep)
     return running_state, carried_state(folded(log), products)
 
 

@@ -56,7 +56,8 @@ class Sliced:
 
     @property
     def window(self):
-        return Window.partitionBy(*self.keys, SLICE).orderBy(*self.order)
+        # by the keys alone where no key was cut, so that joins and folds by key need no further exchange
+        return Window.partitionBy(*self.keys, *([SLICE] if self.hot else [])).orderBy(*self.order)
 
 
 def _number(df: DataFrame, name: str) -> Column | None:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from contextlib import ExitStack
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from pricelark.model import Settings
 from pricelark.operators.alerts import ALERT_COLUMNS, carried_state, continue_log, evaluate, folded
 from pricelark.sources import folders
-from pricelark.sources.sinks import append_alerts, saved_rows
+from pricelark.sources.sinks import append_alerts, stored_rows
 from pricelark.sources.state_table import StateTable
 
 KEY = "product_id"
@@ -47,9 +48,9 @@ class Monitor:
             if old is not None:
                 run, products = old.select(KEY, "run.*"), old.select(KEY, "state.*")
                 totals = old.select(KEY, "totals.*")
-            log, run = continue_log(checks, self.settings, run, limit)
-            log = saved_rows(log)  # state, alerts and counts come from one scan
-            found = saved_rows(evaluate(log, self.settings))
+            # state, alerts and counts come from one scan
+            log, run = continue_log(part_rows, self.settings, run, limit, keep)
+            found = keep(evaluate(log, self.settings))
             append_alerts(found, f"{self.folder}/alerts")
             state = carried_state(folded(log), products)
             return (
@@ -58,7 +59,15 @@ class Monitor:
                 .join(_packed(_added(_totals(log, found), totals), "totals"), KEY)
             )
 
-        return self.table.apply(part, checks.select(KEY), step)
+        if part <= self.table.version().part:
+            return False
+        with ExitStack() as until_applied:
+
+            def keep(rows: DataFrame) -> DataFrame:
+                return until_applied.enter_context(stored_rows(rows))
+
+            part_rows = keep(checks)
+            return self.table.apply(part, part_rows.select(KEY), step)
 
     def state(self) -> DataFrame:
         """One row per product as of the newest version."""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from contextlib import ExitStack
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,7 +19,7 @@ from pricelark.plans.registry import (
     query,
     sql,
 )
-from pricelark.sources.sinks import saved_rows
+from pricelark.sources.sinks import saved_rows, stored_rows
 from pricelark.sources import tables as M
 
 SETTINGS = Settings()
@@ -210,8 +212,13 @@ def product_state_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     running_state = products = None
     for start, end in zip(cuts, cuts[1:], strict=False):
         part = checks.filter((F.col("checked_at") >= start) & (F.col("checked_at") < end))
-        running_state, products = A.continue_state(part, SETTINGS, running_state, products)
-        running_state, products = saved_rows(running_state), saved_rows(products)
+        with ExitStack() as until_saved:
+
+            def keep(rows: DataFrame) -> DataFrame:
+                return until_saved.enter_context(stored_rows(rows))
+
+            running_state, products = A.continue_state(keep(part), SETTINGS, running_state, products, keep=keep)
+            running_state, products = saved_rows(running_state), saved_rows(products)
     return products.withColumn("current_offers", offer_texts("current_offers"))
 
 
