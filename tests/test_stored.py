@@ -102,6 +102,22 @@ def test_stored_state_equals_the_whole_log(spark, tmp_path):
     assert sums == (checks.count(), alerts.count())
 
 
+def test_a_part_is_read_once_and_alerts_are_a_file_a_day(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("long")
+    def read(product_id):
+        seen.add(1)
+        return product_id
+
+    checks = M.checks(spark, SF).filter("product_id < 40").checkpoint()
+    kept = stored_state.Monitor(spark, str(tmp_path / "m"), SETTINGS, buckets=2)
+    assert kept.ingest(0, checks.withColumn("product_id", read.asNondeterministic()("product_id")))
+    assert seen.value == checks.count()
+    alerts = tmp_path / "m" / "alerts"
+    assert len(files(alerts)) == len(folders.names(spark, str(alerts)))
+
+
 def test_alerts_of_a_lost_part_are_not_appended_twice(spark, tmp_path, monkeypatch):
     checks = M.checks(spark, SF).filter("product_id < 40").checkpoint()
     kept = stored_state.Monitor(spark, str(tmp_path / "m"), SETTINGS, buckets=2)
