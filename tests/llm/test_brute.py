@@ -126,6 +126,12 @@ def test_boilerplate_hides_no_partner(spark):
     assert all(got[i] in (i, i - 1) for i in got)  # the words of one pair do not link it to another
 
 
+def test_texts_that_share_buckets_are_one_pair(spark):
+    """Two texts that meet in many buckets are judged once, so rows grow with pairs, not with buckets."""
+    buckets = spark.createDataFrame([(a, key) for key in range(9) for a in (1, 2, 3)], "a long, key long")
+    assert sorted(map(tuple, near_copies.stars(buckets).collect())) == [(2, 1), (3, 1)]
+
+
 def test_signatures_refuse_no_similar_pair():
     rnd = random.Random(9)
     a = [[rnd.randrange(50) for _ in range(rnd.randrange(1, 300))] for _ in range(400)]
