@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pricelark.extract.markup import response_facts
+from pricelark.functions.binding import let
 from pricelark.functions.offers import offers_hash
 from pricelark.model import ESCALATABLE
 
@@ -224,41 +225,47 @@ def audit_rows(outcomes: DataFrame) -> DataFrame:
     items = F.transform(
         F.coalesce("offers", F.array()), lambda o: F.concat_ws(":", o["type"], o["description"])
     )
-    def known(value: Column) -> Column:
-        """A value as JSON has it; null is said as null."""
-        return F.coalesce(F.parse_json(F.to_json(value)), F.parse_json(F.lit("null")))
-
     def rupees(name: str) -> Column:
         return (F.col(name) / 100).cast("decimal(20,2)").cast("string")
 
+    # members stand in the order of their names, as everywhere in the blob
     provenance = F.struct(
         F.col("price_source").alias("price"),
+        rupees("price_embedded_first").alias("priceEmbedded"),
         rupees("price_html").alias("priceHtml"),
         rupees("price_json_ld").alias("priceJsonLd"),
-        rupees("price_embedded_first").alias("priceEmbedded"),
     )
     listed = F.struct(F.col("offers_count").alias("count"), F.col("offers_hash").alias("hash"), items.alias("items"))
     facts = {
-        "provenance": known(provenance),
-        "name": F.coalesce(F.col("name").cast("variant"), F.parse_json(F.lit("null"))),
-        "offers": known(listed),
-        "priceCandidates": known(F.col("_candidates")),
+        "provenance": F.to_json(provenance),
+        "name": _json_text(F.col("name")),
+        "offers": F.to_json(listed),
+        "priceCandidates": F.to_json("_candidates"),
     }
-    blob = F.create_map(*[x for k, v in facts.items() for x in (F.lit(k), v)])
+    blob = F.concat(*[x for i, (k, v) in enumerate(facts.items()) for x in (F.lit(f'{"," if i else ""}"{k}":'), v)])
     if "debug" in df.columns:
-        own = _own_facts(F.col("debug"))
-        blob = F.map_concat(F.map_filter(own, lambda k, _: ~k.isin(*facts)), blob)
-    return df.withColumn("debug", F.to_json(blob)).drop("_candidates", "offers")
+        own = let(F.try_parse_json("debug"), lambda read: _own_facts(F.col("debug"), read, list(facts)))
+        blob = F.concat_ws(",", F.nullif(own, F.lit("")), blob)
+    return df.withColumn("debug", F.concat(F.lit("{"), blob, F.lit("}"))).drop("_candidates", "offers")
+
+
+def _json_text(text: Column) -> Column:
+    """A text as JSON has it; null is said as null."""
+    listed = F.to_json(F.array(text))
+    return F.substring(listed, F.lit(2), F.length(listed) - 2)
+
+
+def _own_facts(debug: Column, read: Column, facts: list[str]) -> Column:
+    """Members of the diagnostics that came in but the facts, as JSON without its braces; ``read`` is
+    their value. What is no object is kept whole: other JSON under `value`, text that is no JSON under
+    `text`."""
 
+    def members(of: Column) -> Column:
+        own = F.map_filter(F.try_variant_get(of, "$", "map<string,variant>"), lambda k, _: ~k.isin(facts))
+        return let(F.to_json(own), lambda t: F.substring(t, F.lit(2), F.length(t) - 2))
 
-def _own_facts(debug: Column) -> Column:
-    """Members of the diagnostics that came in. What is no object is kept whole: other JSON under
-    `value`, text that is no JSON under `text`."""
-    none = F.expr("CAST(map() AS MAP<STRING, VARIANT>)")
-    read = F.try_parse_json(debug)
     return (
-        F.when(F.coalesce(F.trim(debug), F.lit("")) == "", none)
-        .when(read.isNull(), F.create_map(F.lit("text"), debug.cast("variant")))
-        .when(F.schema_of_variant(read).startswith("OBJECT"), F.try_variant_get(read, "$", "map<string,variant>"))
-        .otherwise(F.create_map(F.lit("value"), read))
+        F.when(F.coalesce(F.trim(debug), F.lit("")) == "", "")
+        .when(read.isNull(), F.concat(F.lit('"text":'), _json_text(debug)))
+        .otherwise(F.coalesce(members(read), F.concat(F.lit('"value":'), F.to_json(read))))
     )

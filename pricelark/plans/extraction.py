@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from pricelark.extract import attempts, dispatch, layouts
 from pricelark.functions import urls
-from pricelark.functions.binding import let
+from pricelark.functions.binding import let, settled
 from pricelark.model import Settings
 from pricelark.operators import alerts as A
 from pricelark.operators import usage as U
@@ -358,11 +358,12 @@ def audit_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     shape = """offers struct<items:array<string>>, priceCandidates array<struct<source:string,value_paise:bigint>>,
       provenance struct<price:string,priceHtml:string>, exitIp string, value string, text string"""
-    rows = attempts.audit_rows(outcomes).withColumn("_b", F.from_json("debug", shape))
+    read = {"_b": F.from_json("debug", shape), "_names": F.sort_array(F.json_object_keys("debug"))}
+    rows = settled(attempts.audit_rows(outcomes).withColumns(read))
     found = F.transform("_b.priceCandidates", lambda c: F.concat_ws("=", c["source"], c["value_paise"].cast("string")))
     # the facts' names in order, behind what came in under other names
-    names = F.array_sort(F.json_object_keys("debug"))
-    facts = F.filter(names, lambda k: k.isin("name", "offers", "priceCandidates", "provenance"))
+    names = F.col("_names")
+    facts = F.array_intersect(names, F.array(*[F.lit(k) for k in ("name", "offers", "priceCandidates", "provenance")]))
     return rows.select(
         "check_id",
         "success",

@@ -270,3 +270,23 @@ def test_tiers(spark):
         1: ("http", True, None), 2: ("browser", True, None), 3: ("browser", False, "other"),
         4: ("http", False, "http_error"), 5: ("http", False, "parse_failed"),
     }
+
+
+def test_diagnostics_are_parsed_once(spark):
+    """The blob is put together as text: what came in is read once, and no fact is parsed again."""
+    texts = [None, " ", "{}", '{"z":1,"name":"old","a":{"q":[2.50,null]}}', "[1]", "null", "{cut"]
+    rows = [(i, t, "N \"q\"" if i else None, 12345, [("bank_offer", "A  B..")]) for i, t in enumerate(texts)]
+    schema = "check_id int, debug string, name string, price_paise long, offers array<struct<type:string,description:string>>"
+    outcomes = spark.createDataFrame(rows, schema).withColumns(
+        {"price_source": F.lit("buy-box"), "price_html": F.col("price_paise"), "price_json_ld": F.lit(None).cast("long"),
+         "price_embedded_first": F.lit(None).cast("long"), "api_price_paise": F.lit(None).cast("long")}
+    )
+    out = attempts.audit_rows(outcomes).select("check_id", "debug")
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("parseJson") == 1
+    got = [r.debug for r in out.orderBy("check_id").collect()]
+    own = [d[: d.index('"provenance"')] for d in got]
+    assert own == ["{", "{", "{", '{"a":{"q":[2.5,null]},"z":1,', '{"value":[1],', '{"value":null,', '{"text":"{cut",']
+    facts = json.loads(got[1])
+    assert facts["name"] == 'N "q"' and json.loads(got[0])["name"] is None and len(facts["offers"]["hash"]) == 64
+    assert facts["provenance"] == {"price": "buy-box", "priceHtml": "123.45"}
+    assert facts["priceCandidates"] == [{"source": "html-winner", "value_paise": 12345}]
