@@ -51,7 +51,8 @@ def squash(text: Column) -> Column:
 
 def comparison_form(text: Column) -> Column:
     """Lower-case text without decoration, extra spaces or trailing dots."""
-    blank = "[" + DECORATION + SPACE[1:] + "+"
+    # letters and digits, nearly all of a text, are refused by the first range that is tried
+    blank = "[[^a-z0-9]&&[" + DECORATION + SPACE[1:] + "]+"
     plain = F.regexp_replace(F.lower(text), blank, " ")
     return F.ltrim(F.rtrim(plain, F.lit(" .")))
 
@@ -108,19 +109,26 @@ def offers_hash(offers: Column) -> Column:
     lines = F.transform(
         offers, lambda o: F.concat(o["type"], F.lit("|"), comparison_form(o["description"]))
     )
-    return F.sha2(F.array_join(F.array_sort(lines), "\n"), 256)
+    return F.sha2(F.array_join(F.sort_array(lines), "\n"), 256)
 
 
 def _forms(offers: Column) -> Column:
     return F.transform(offers, lambda o: comparison_form(o["description"]))
 
 
-def missing_from(offers: Column, other: Column) -> Column:
-    """Offers of the first list whose comparison form is not in the second."""
-    bound = F.struct(offers.alias("o"), _forms(offers).alias("own"), _forms(other).alias("known"))
+def differences(now: Column, was: Column) -> Column:
+    """Offers of either list whose comparison form is not in the other, as a struct (added, removed).
+    Every comparison form is made once."""
+    bound = F.struct(now.alias("n"), was.alias("w"), _forms(now).alias("nf"), _forms(was).alias("wf"))
 
-    def difference(b: Column) -> Column:
-        return F.filter(b["o"], lambda _, i: ~F.array_contains(b["known"], F.get(b["own"], i)))
+    def without(offers: Column, own: Column, known: Column) -> Column:
+        return F.filter(offers, lambda _, i: ~F.array_contains(known, F.get(own, i)))
+
+    def both(b: Column) -> Column:
+        return F.struct(
+            without(b["n"], b["nf"], b["wf"]).alias("added"), without(b["w"], b["wf"], b["nf"]).alias("removed")
+        )
 
     # equal lists, by far the commonest case, need no comparison forms
-    return F.when(offers == other, F.slice(offers, 1, 0)).otherwise(let(bound, difference))
+    none = F.struct(F.slice(now, 1, 0).alias("added"), F.slice(was, 1, 0).alias("removed"))
+    return F.when(now == was, none).otherwise(let(bound, both))

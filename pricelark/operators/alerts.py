@@ -26,12 +26,14 @@ from pricelark.operators.sequence import (
     run_specs,
     seen_offers,
     sliced_log,
+    split_late,
     success,
+    target_specs,
     with_failures,
     with_offers,
     with_target,
 )
-from pricelark.operators.slices import Running, Sliced, closing, running
+from pricelark.operators.slices import Running, Sliced, closing, running, slice_hot_keys
 
 
 def annotated(
@@ -85,11 +87,31 @@ def continue_log(
     come after the ones already in it. A hot product is sliced as in a whole log.
     ``keep`` may store the scanned rows, which both results are made of.
     """
-    first = sliced_log(seen_offers(checks), None, limit)
-    scanned = running(first, scan_specs(), state)
-    done = with_failures(scanned, settings.failure_limit, state)
-    done = Sliced(keep(done.df), done.keys, done.order, done.hot)
+    src = sliced_log(seen_offers(checks), None, limit)
     marks = [Running("last_seen", F.struct("checked_at", "check_id"), "max")]
+    return _continued(src, settings, state, keep, marks)
+
+
+def continue_commanded(
+    log: DataFrame,
+    settings: Settings,
+    state: DataFrame | None,
+    limit: int | None = None,
+    keep: Callable[[DataFrame], DataFrame] = lambda scanned: scanned,
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The same for a log with commands, as ``log_of`` makes it of ``seen_offers``, whose rows may come
+    late: (annotated rows, new state, late rows)."""
+    src, late = split_late(slice_hot_keys(log, KEY, ORDER, limit), state)
+    marks = [Running("last_seen", F.struct(*ORDER), "max"), *target_specs()]
+    rows, new_state = _continued(with_target(src, state), settings, state, keep, marks)
+    return rows, new_state, late
+
+
+def _continued(
+    src: Sliced, settings: Settings, state: DataFrame | None, keep: Callable[[DataFrame], DataFrame], marks: list[Running]
+) -> tuple[DataFrame, DataFrame]:
+    done = with_failures(running(src, scan_specs(), state), settings.failure_limit, state)
+    done = Sliced(keep(done.df), done.keys, done.order, done.hot)
     specs = scan_specs() + marks + run_specs() + pause_specs()
     return _facts(done, True), closing(done.df, KEY, ORDER, specs, state)
 
@@ -183,38 +205,36 @@ ALERT_COLUMNS = "product_id bigint, check_id bigint, fired_at timestamp, rule in
 )
 
 
-def _event(kind: str, rule: int) -> str:
-    """The alert row of one rule as a SQL struct."""
-    fields = [f"'rule', {rule}", f"'type', '{kind}'"]
+def _payload(rules: dict[str, int]) -> list[str]:
+    """The alert row of the rule in the column ``rule``, which is one of ``rules``."""
+    kinds = " ".join(f"WHEN {i} THEN '{kind}'" for kind, i in rules.items())
+    fields = ["rule", f"CASE rule {kinds} END AS type"]
     for name, (only_if, value, sql_type) in _VALUES.items():
-        if name not in _PAYLOAD[kind]:
-            value = "NULL"
-        elif only_if:
-            value = f"CASE WHEN {only_if} THEN {value} END"
-        fields.append(f"'{name}', CAST({value} AS {sql_type})")
-    return f"named_struct({', '.join(fields)})"
+        filled = [str(i) for kind, i in rules.items() if name in _PAYLOAD[kind]]
+        test = f"rule IN ({', '.join(filled)})" + (f" AND {only_if}" if only_if else "")
+        fields.append(f"CAST({f'CASE WHEN {test} THEN {value} END' if filled else 'NULL'} AS {sql_type}) AS {name}")
+    return fields
 
 
 def evaluate(log: DataFrame, settings: Settings, types: list[str] | None = None) -> DataFrame:
-    """Explode the rules that fired on each annotated row into alert rows."""
+    """Explode the rules that fired on each annotated row into alert rows.
+
+    Numbers of rules are exploded, and only an alert's own payload is made."""
     tests = fired(settings)
-    rules = {k: i for i, k in enumerate(tests)}
-    wanted = [t for t in tests if types is None or t in types]
+    rules = {k: i for i, k in enumerate(tests) if types is None or k in types}
     log = log.withColumns(
         {
             "_limit": threshold_bp(settings),
             "_change": F.when(F.col("had_success") & prev().isNotNull(), change_pct(prev(), price())),
         }
     )
-    head = ["product_id", "check_id", "checked_at AS fired_at"]
-    if len(wanted) == 1:  # a single rule is a filter; no array to build
-        kind = wanted[0]
-        events = log.filter(tests[kind]).selectExpr(*head, f"{_event(kind, rules[kind])} AS e")
+    if len(rules) == 1:  # a single rule is a filter; no array to build
+        [(kind, rule)] = rules.items()
+        events = log.filter(tests[kind]).withColumn("rule", F.lit(rule))
     else:
-        flagged = log.withColumns({f"_f_{t}": tests[t] for t in wanted})
-        rows = ", ".join(f"CASE WHEN _f_{t} THEN {_event(t, rules[t])} END" for t in wanted)
-        events = flagged.selectExpr(*head, f"explode(array_compact(array({rows}))) AS e")
-    return events.select("product_id", "check_id", "fired_at", "e.*")
+        hits = [F.when(tests[kind], F.lit(rule)).otherwise(F.lit(-1)) for kind, rule in rules.items()]
+        events = log.select("*", F.explode(F.array_remove(F.array(*hits), -1)).alias("rule"))
+    return events.selectExpr("product_id", "check_id", "checked_at AS fired_at", *_payload(rules))
 
 
 def alerts(

@@ -14,7 +14,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pricelark.functions.offers import missing_from
+from pricelark.functions.offers import differences
 from pricelark.model import OFFERS
 from pricelark.operators.slices import HOT, SLICE, Running, Sliced, running, slice_hot_keys
 from pricelark.session import ensure_checkpoint_dir
@@ -79,19 +79,29 @@ def sliced_log(
     return slice_hot_keys(log_of(log.checks, controls), KEY, ORDER, limit, sizes)
 
 
-def with_target(src: Sliced) -> Sliced:
-    """The target in force on every row: the last one set before it, else the product's."""
+def target_specs() -> list[Running]:
+    """The last target set, as a struct, since a cleared one is null."""
     setting = F.col("action").isin("set_target", "edit_target", "clear_target")
-    out = running(
-        src,
-        [
-            Running("_t", F.when(setting, F.struct(F.col("new_target").alias("v"))), "last", True),
-        ],
-    )
+    return [Running("_t", F.when(setting, F.struct(F.col("new_target").alias("v"))), "last", True)]
+
+
+def with_target(src: Sliced, initial: DataFrame | None = None) -> Sliced:
+    """The target in force on every row: the last one set before it, else the product's."""
+    out = running(src, target_specs(), initial)
     target = F.when(F.col("_t").isNotNull(), F.col("_t.v")).otherwise(F.col("target_paise"))
     return Sliced(out.df.withColumn("target_paise", target).drop("_t"), out.keys, out.order, out.hot)
 
 
+def split_late(src: Sliced, state: DataFrame | None) -> tuple[Sliced, DataFrame]:
+    """Rows to fold, and late ones: those without a time or not after the newest row before them,
+    of this part or, by ``last_seen``, of the state."""
+    place = F.struct(*ORDER)
+    seen = running(src, [Running("last_seen", place, "max", False)], state)
+    late = F.col("checked_at").isNull() | F.coalesce(place <= F.col("last_seen"), F.lit(False))
+    fresh = seen.df.filter(~late).drop("last_seen")
+    return Sliced(fresh, src.keys, src.order, src.hot), seen.df.filter(late)
+
+
 def eligible() -> Column:
     return (
         success()
@@ -158,13 +168,14 @@ def with_offers_of(df: DataFrame) -> DataFrame:
     out = out.withColumn("_fresh", F.coalesce(success() & ~unreliable, F.lit(False)))
     compared = F.col("_fresh") & F.col("had_success")
     now, was = F.col("offers"), F.col("prev_offers")
+    out = out.withColumn("_diff", F.when(compared, differences(now, was)))
     return out.withColumns(
         {
             "eff_offers": F.when(F.col("_fresh"), now).otherwise(was),
-            "added": F.when(compared, missing_from(now, was)),
-            "removed": F.when(compared, missing_from(was, now)),
+            "added": F.col("_diff.added"),
+            "removed": F.col("_diff.removed"),
         }
-    ).drop("_usable", "_earliest", "_fresh")
+    ).drop("_usable", "_earliest", "_fresh", "_diff")
 
 
 def _resumes() -> Column:

@@ -224,12 +224,12 @@ def offer_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     checks = CheckLog(log.checks.filter("success"), log.sizes)
     src = running(sliced_log(checks), [Running("prev", F.col("offers"))])
     known = src.df.filter(F.col("prev").isNotNull())
-    now, prev = F.col("offers"), F.col("prev")
+    known = known.withColumn("_diff", offers.differences(F.col("offers"), F.col("prev")))
     return known.select(
         "product_id",
         "check_id",
-        F.size(offers.missing_from(now, prev)).cast("bigint").alias("added"),
-        F.size(offers.missing_from(prev, now)).cast("bigint").alias("removed"),
+        F.size("_diff.added").cast("bigint").alias("added"),
+        F.size("_diff.removed").cast("bigint").alias("removed"),
     )
 
 

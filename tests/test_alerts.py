@@ -147,3 +147,13 @@ def test_state_ignores_row_order(log):
     a = A.product_state(df, S).collect()
     b = A.product_state(df.orderBy(F.desc("check_id")), S).collect()
     assert a == b
+
+
+def test_comparison_forms_are_made_once_for_both_sides(spark, log):
+    """Added and removed offers come from one comparison: a form for the offers now, one for those before."""
+    checks = log({"price": 100, "offers": ["A  b.", "c", "C"]}, {"price": 100, "offers": ["a B", "d", "d"]})
+    found = A.alerts(checks, S, ["offer_added", "offer_removed"])
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace") == 2
+    got = {r.type: [o.description for o in (r.added or r.removed)] for r in found.collect()}
+    assert got == {"offer_added": ["d", "d"], "offer_removed": ["c", "C"]}
