@@ -1,32 +1,33 @@
-"""Streams whose state lives in a state store, a row per key: only keys of the micro-batch are rewritten.
+"""Streams whose state is a row per key: only keys of the micro-batch, or buckets that hold them, are rewritten.
 
-* Checks and user commands in one stream. A product's rows are folded in the order of the batch job
-  (commands before a check of the same time); every check leaves with what its rules need to know of
-  the past, and the rules themselves are the expressions of the batch job.
-* Cooldown and quiet hours. An alert is decided when it comes; a held one is released by an event-time
-  timer at the end of its quiet window, and a key's state ends when its cooldown is over.
+* Checks and user commands in one stream. Every micro-batch goes through the scans of the batch job
+  (commands before a check of the same time), started from the running values that a stored table of
+  buckets holds per product; a hot product is sliced. No row passes through Python.
+* Cooldown and quiet hours, with a state store. An alert is decided when it comes; a held one is released
+  by an event-time timer at the end of its quiet window, and a key's state ends when its cooldown is over.
+  Rows of one key and micro-batch are sorted in one task; the sources' ``maxBytesPerTrigger`` bounds them.
 
 A row that is not after the newest one folded for its key, or has no time, is late: it is passed on
-with the type 'late' and changes nothing. Rows of one key and micro-batch are sorted in one task; the sources'
-``maxBytesPerTrigger`` bounds them. A log with one product above that is for ``monitor.run_stateful``,
-which slices hot products.
+with the type 'late' and changes nothing.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
+from contextlib import ExitStack, contextmanager
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
-from pricelark.model import CHECKS, COOLDOWN_EXEMPT, OFFERS, Settings
-from pricelark.operators.alerts import evaluate
+from pricelark.model import COOLDOWN_EXEMPT, Settings
+from pricelark.operators.alerts import continue_commanded, evaluate
 from pricelark.operators.hygiene import judged
-from pricelark.operators.sequence import live, log_of, seen_offers, with_offers_of
-from pricelark.streaming.monitor import LATE, split_late
+from pricelark.operators.sequence import log_of, seen_offers
+from pricelark.sources.sinks import stored_rows
+from pricelark.sources.state_table import BUCKET, StateTable
+from pricelark.streaming.monitor import LATE
 
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -69,139 +70,52 @@ def run_batches(
 
 # --- checks under commands ---------------------------------------------------
 
-_LONG, _TEXT, _FLAG = T.LongType(), T.StringType(), T.BooleanType()
 
+def run_checks(
+    checks: DataFrame, controls: DataFrame | None, settings: Settings, folder: str, buckets: int = 64, **trigger: object
+) -> StreamingQuery:
+    """Alerts of the streams into ``folder/table``, late rows (with a command's ``action``) into ``folder/late``.
 
-def _struct(**fields: T.DataType) -> T.StructType:
-    return T.StructType([T.StructField(name, kind) for name, kind in fields.items()])
-
-
-#: What a product's state holds between its rows.
-PRODUCT_STATE = _struct(
-    at=_LONG, ord=T.IntegerType(), id=_LONG, price=_LONG, stock=_TEXT, latched=_FLAG, had_success=_FLAG,
-    low=_LONG, high=_LONG, usable=OFFERS, earliest=OFFERS, run_len=_LONG, held_by=_TEXT, paused=_FLAG,
-    target_set=_FLAG, target=_LONG,
-)
-_START = dict(latched=False, had_success=False, run_len=0, paused=False, target_set=False)
-_PAST = ["price", "stock", "latched", "had_success", "low", "high", "usable", "earliest", "run_len"]
-
-_OWN = [T.StructField("_at", _LONG) if f.name == "checked_at" else f for f in CHECKS.fields]
-_CHECK_NAMES = [f.name for f in _OWN]
-_FACTS = _struct(
-    prev_price=_LONG, prev_stock=_TEXT, latched=_FLAG, had_success=_FLAG, low_paise=_LONG, high_paise=_LONG,
-    _usable=OFFERS, _earliest=OFFERS, run_len=_LONG, auto_paused=_FLAG, action=_TEXT, late=_FLAG,
-)
-FOLDED = T.StructType([*(T.StructField(f.name, f.dataType) for f in _OWN), *_FACTS.fields])
-_FOLDED_ROW = Row(*FOLDED.names)
-
-
-def _plain(value):
-    """Offers as the state takes them: plain tuples, not the rows or dicts that they come as."""
-    if not isinstance(value, list):
-        return value
-    return [tuple(o.values()) if isinstance(o, dict) else tuple(o) for o in value]
-
-
-class FoldChecks(StatefulProcessor):
-    """Folds the ordered rows of one product and gives every check what the past says at it."""
-
-    def __init__(self, failure_limit: int):
-        self.failure_limit = failure_limit
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("product", PRODUCT_STATE)
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        if self.state.exists():
-            s = dict(zip(PRODUCT_STATE.names, self.state.get(), strict=True))
-        else:
-            s = {**dict.fromkeys(PRODUCT_STATE.names), **_START}
-        for r in sorted(rows, key=lambda r: (r["_at"], r["ord"], r["check_id"])):
-            place = (r["_at"], r["ord"], r["check_id"])
-            if s["at"] is not None and place <= (s["at"], s["ord"], s["id"]):
-                yield self.row(r, s, r["target_paise"], late=True)
-                continue
-            s["at"], s["ord"], s["id"] = place
-            if r["ord"]:
-                yield self.check(r, s)
-            else:
-                self.command(r, s)
-        self.state.update(tuple(_plain(v) for v in s.values()))
-
-    def command(self, r: Row, s: dict) -> None:
-        action = r["action"]
-        if action in ("set_target", "edit_target", "clear_target"):
-            s["target_set"], s["target"] = True, r["new_target"]
-            if action != "edit_target":
-                s["latched"] = False
-        elif action == "pause":
-            s["held_by"] = action
-        elif action == "resume":
-            s["held_by"], s["run_len"], s["paused"] = action, 0, False
-
-    def check(self, r: Row, s: dict) -> Row:
-        price, target = r["_live"], s["target"] if s["target_set"] else r["target_paise"]
-        if price is not None:
-            s["low"] = price if s["low"] is None else min(s["low"], price)
-            s["high"] = price if s["high"] is None else max(s["high"], price)
-        s["run_len"] = 0 if r["success"] else s["run_len"] + 1
-        hit = s["run_len"] == self.failure_limit and not r["success"] and s["held_by"] != "pause"
-        out = self.row(r, s, target, fires=hit and not s["paused"])
-        s["paused"] = s["paused"] or hit
-        if price is not None:
-            s["price"] = price
-        if r["success"]:
-            s["stock"], s["had_success"] = r["stock_status"], True
-            if target is None:
-                s["latched"] = False
-            elif r["price_paise"] is not None and r["stock_status"] != "out_of_stock":
-                s["latched"] = r["price_paise"] <= target
-            if r["offers"] is not None:
-                s["earliest"] = s["earliest"] or r["offers"]
-                if r["stock_status"] != "out_of_stock":
-                    s["usable"] = r["offers"]
-        return out
-
-    def row(self, r: Row, s: dict, target: int | None, late: bool = False, fires: bool = False) -> Row:
-        own = [target if c == "target_paise" else r[c] for c in _CHECK_NAMES]
-        return _FOLDED_ROW(*own, *[s[c] for c in _PAST], fires, r["action"], late)
-
-    def close(self) -> None:
-        pass
-
+    Outputs of a micro-batch are written first, under its id, then its state is committed: a batch that
+    dies between is run again and replaces them, one that is committed is not applied again."""
+    spark = checks.sparkSession
+    log = log_of(seen_offers(checks), controls)
+    table = StateTable(spark, f"{folder}/products", ("product_id",), buckets)
 
-def checked(checks: DataFrame, controls: DataFrame | None, settings: Settings) -> DataFrame:
-    """A stream of checks, with commands if there are any: every check with the past that its rules
-    ask for, and late rows of both (``late``, with the command's ``action``)."""
-    log = log_of(seen_offers(checks), controls).withColumns(
-        {"_at": F.unix_micros("checked_at"), "_live": F.when(live(), F.col("price_paise"))}
-    )
-    log = log.select(*_CHECK_NAMES, "ord", "action", "new_target", "_live")
-    out = log.groupBy("product_id").transformWithState(
-        FoldChecks(settings.failure_limit), FOLDED, "Append", "none"
+    def write(batch: DataFrame, batch_id: int) -> None:
+        with ExitStack() as until_applied:
+
+            def step(old: DataFrame | None) -> DataFrame:
+                state = None if old is None else old.drop(BUCKET)
+                rows, new_state, late = continue_commanded(
+                    batch, settings, state, keep=lambda scanned: until_applied.enter_context(stored_rows(scanned))
+                )
+                passed = late.select(
+                    "product_id", "check_id", F.col("checked_at").alias("fired_at"), F.lit(LATE).alias("type"), "action"
+                )
+                for name, found in {"table": evaluate(rows, settings), LATE: passed}.items():
+                    found.write.mode("overwrite").parquet(f"{folder}/{name}/batch_id={batch_id}")
+                return new_state
+
+            table.apply(batch_id, batch.select("product_id"), step)
+            table.vacuum()
+
+    return (
+        log.writeStream.foreachBatch(write)
+        .option("checkpointLocation", f"{folder}/checkpoint")
+        .trigger(**(trigger or {"availableNow": True}))
+        .start()
     )
-    return out.withColumn("checked_at", F.timestamp_micros("_at")).drop("_at")
 
 
-def fired(folded: DataFrame, settings: Settings) -> DataFrame:
-    """Alerts of checks that ``checked`` has folded; late rows pass on with the type 'late'."""
-    late = folded.filter("late").select(
-        "product_id", "check_id", F.col("checked_at").alias("fired_at"), F.lit(LATE).alias("type"), "action"
-    )
-    known = with_offers_of(folded.filter("NOT late").drop("late", "action"))
-    return evaluate(known, settings).unionByName(late, allowMissingColumns=True)
+# --- cooldown and quiet hours ------------------------------------------------
 
+_LONG, _TEXT = T.LongType(), T.StringType()
 
-def run_checks(
-    checks: DataFrame, controls: DataFrame | None, settings: Settings, folder: str, **trigger: object
-) -> StreamingQuery:
-    """Alerts of the streams into ``folder/table``, late rows into ``folder/late``."""
-    return run_batches(
-        checked(checks, controls, settings), lambda batch: split_late(fired(batch, settings)), folder, **trigger
-    )
 
+def _struct(**fields: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(name, kind) for name, kind in fields.items()])
 
-# --- cooldown and quiet hours ------------------------------------------------
 
 DECIDED, RELEASED = "decided", "released"
 SALTS = 64

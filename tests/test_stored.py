@@ -318,6 +318,19 @@ def test_every_alert_of_checks_under_commands(spark, tmp_path):
     assert monitor.late_of(spark, folder).count() == 0
 
 
+def test_checks_without_a_time_and_repeats_in_one_batch_are_late(spark, tmp_path):
+    folder, at = str(tmp_path / "run"), datetime(2026, 7, 1)
+    data = [
+        (i, 1, t, True, "in_stock", p, None, [], "http", None, 1, 1000, None)
+        for i, t, p in [(1, at, 1100), (2, None, 5), (2, None, 5), (3, at + timedelta(hours=1), 990), (3, at + timedelta(hours=1), 990)]
+    ]
+    nullable = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in CHECKS.fields)
+    spark.createDataFrame(data, nullable).write.parquet(f"{folder}/checks")
+    stateful.run_checks(spark.readStream.schema(CHECKS).parquet(f"{folder}/checks"), None, SETTINGS, folder).awaitTermination()
+    assert [r.check_id for r in monitor.table_of(spark, folder).filter("type = 'target_price'").collect()] == [3]
+    assert sorted(r.check_id for r in monitor.late_of(spark, folder).collect()) == [2, 2, 3]
+
+
 def test_late_checks_and_commands_stay_apart(spark, tmp_path):
     start, folder = datetime(2026, 7, 1), str(tmp_path / "run")
 
