@@ -106,7 +106,8 @@ def slice_hot_keys(
         width = F.expr(f"greatest(1, CAST(ceil((_hi - _lo + 1) / ceil(n * 4 / {limit})) AS BIGINT))")
         level = _small(cells.select(*keys, SLICE, "_dim", "_lo", width.alias("_width")))
         levels.append(level)
-        rows = _cut(rows, level, keys, dims, "inner").select(*keys, SLICE, "_dim", *dims)
+        # saved, so that no level makes the rows of those before it again
+        rows = _saved(_cut(rows, level, keys, dims, "inner").select(*keys, SLICE, "_dim", *dims))
         spread = [F.struct(F.min(d).alias("lo"), F.max(d).alias("hi")).alias(f"_s{i}") for i, d in enumerate(dims)]
         dense = rows.groupBy(*keys, SLICE).agg(F.count("*").alias("n"), F.max("_dim").alias("_at"), *spread)
         # the first column, from this one on, in which the cell's rows differ
@@ -122,7 +123,8 @@ def slice_hot_keys(
     out = df.withColumns({SLICE: none, **{f"_d{i}": n for i, n in enumerate(numbers)}})
     for level in levels:
         out = _cut(out, level, keys, dims, "left").select(*df.columns, SLICE, *dims)
-    out = out.select(*df.columns, SLICE, (F.size(SLICE) > 0).alias(HOT))
+    # the rows are scanned and their slices summarised: cut once for both
+    out = _saved(out.select(*df.columns, SLICE, (F.size(SLICE) > 0).alias(HOT)))
     return Sliced(out, tuple(keys), tuple(order), True)
 
 

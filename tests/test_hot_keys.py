@@ -217,3 +217,12 @@ def test_cheaper_share_of_a_hot_pair(spark):
     points = hot_checks(spark).filter("success").withColumn("linked_product_id", partner)
     products = M.products(spark, SF)
     assert table(P.cheaper_share(products, points, 40)) == table(P.cheaper_share(products, points))
+
+
+def test_rows_are_cut_into_slices_once(spark):
+    """What reads the slices, the scan and their summaries, does not join the levels of cells again."""
+    rows = spark.range(100).select(F.lit(1).alias("k"), F.timestamp_seconds("id").alias("at"))
+    src = slice_hot_keys(rows, ["k"], ["at"], limit=5)
+    assert src.hot and "Join" not in src.df._jdf.queryExecution().optimizedPlan().toString()
+    sizes = [r["count"] for r in src.df.groupBy("_slice").count().collect()]
+    assert sum(sizes) == 100 and max(sizes) <= 5
