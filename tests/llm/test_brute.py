@@ -1,5 +1,6 @@
 """Operators that SQL cannot say, against plain versions over the smallest tables."""
 
+import glob
 import hashlib
 import math
 import random
@@ -12,6 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pricelark.llm import backoff_scores, near_copies, pseudonyms, quality_gam, toxic_crf
+from pricelark.llm.text import saved
 
 SF = "/root/testdata/sf0.001"
 WORDS = re.compile(r"[^\x20\x09-\x0d]+")
@@ -319,3 +321,35 @@ def test_additive_model_learns_a_pair():
     y = ((x[:, 0] > 0.5) ^ (x[:, 1] > 0.5)).astype(float)
     model = quality_gam.fit(x, y)
     assert ((model.score(x) > 0.5) == y).mean() > 0.95 and (0, 1) in model.pairs
+
+
+def test_near_copies_later_levels_read_less(spark, monkeypatch):
+    """Of a later level's pairs only their own texts are read, and shuffle files go once a table is stored."""
+    rng = np.random.default_rng(3)
+    same = [f"s{i}" for i in range(70)]
+    texts = [" ".join([*same, *(f"o{i}" for i in rng.choice(60, 30, replace=False))]) for _ in range(120)]
+    texts += [" ".join(f"x{i}" for i in rng.choice(5000, 60)) for _ in range(200)]
+    read, judged = [], near_copies.judged
+
+    def counted(pairs, marks, similarity, level=0):
+        if level:
+            ids = pairs.select("a").union(pairs.select("b")).distinct()
+            read.append((marks.count(), ids.count()))
+        return judged(pairs, marks, similarity, level)
+
+    monkeypatch.setattr(near_copies, "judged", counted)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    made, _ = near_copies.linked(docs)
+    assert made.count() == 320 and read and all(n == m < 200 for n, m in read)
+
+
+def test_saved_drops_shuffle_files(spark):
+    """The shuffle files of a stored table are gone, and the session's own setting is as before."""
+    folders = list(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString())
+
+    def files():
+        return {f for d in folders for f in glob.glob(f"{d}/**/shuffle_*.data", recursive=True)}
+
+    before = files()
+    got = saved(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count())
+    assert not files() - before and got.count() == 7
