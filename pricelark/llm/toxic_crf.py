@@ -33,6 +33,7 @@ WORDS, STARTS = 1 << 22, 1 << 20  # sizes of the two weight tables
 RATIO, LEAST = 20.0, 0.01  # how much more frequent, and in what share of the toxic documents at least
 CHAIN = 1000  # tokens of a training chain; scoring does not cut texts
 EPOCHS, RATE, RIDGE = 30, 0.5, 1e-4
+BLOCK = 400_000  # tokens of the chains that training holds messages of at once
 
 
 def tokens(docs: DataFrame, *keep: str) -> DataFrame:
@@ -113,50 +114,81 @@ def summary(p: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return out
 
 
-def token_labels(w: np.ndarray, s: np.ndarray, doc: np.ndarray, toxic: np.ndarray) -> np.ndarray:
-    """Tokens of toxic documents whose word or beginning is at least RATIO times as frequent there."""
-    out = np.zeros(len(w), bool)
-    n = max(int(toxic.sum()), 1), max(int((~toxic).sum()), 1)
-    for f, least in ((w, max(4, LEAST * n[0])), (s, max(8, 2 * LEAST * n[0]))):
-        _, f = np.unique(f, return_inverse=True)
-        pair = np.unique(np.stack([f, doc], 1), axis=0)
-        bad = toxic[pair[:, 1]]
-        size = int(f.max()) + 1
-        there = np.bincount(pair[bad, 0], minlength=size)
-        rest = np.bincount(pair[~bad, 0], minlength=size)
-        strong = (there >= least) & (there / n[0] >= RATIO * (rest + 0.05) / n[1])
-        out |= strong[f]
-    return out & toxic[doc]
+def blocks(lengths: np.ndarray) -> Iterator[tuple[slice, slice]]:
+    """Runs of whole chains of about BLOCK tokens together: the chains and their tokens."""
+    ends, i, at = np.cumsum(lengths), 0, 0
+    while i < len(lengths):
+        j = max(int(np.searchsorted(ends, at + BLOCK, "right")), i + 1)
+        yield slice(i, j), slice(at, int(ends[j - 1]))
+        i, at = j, int(ends[j - 1])
+
+
+def numbered(f: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The different features, and each token's place among them."""
+    there = np.zeros(size, bool)
+    there[f] = True
+    place = np.cumsum(there, dtype=np.int32) - 1
+    return np.flatnonzero(there), place[f]
+
+
+def token_labels(f: np.ndarray, n: int, lengths: np.ndarray, toxic: np.ndarray, share: float, least: int) -> np.ndarray:
+    """Which of n features are at least RATIO times as frequent in toxic documents as in others."""
+    there, rest = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    for docs, at in blocks(lengths):
+        size = lengths[docs]
+        pair = np.unique(np.repeat(np.arange(len(size)), size) * n + f[at])
+        bad = toxic[docs][pair // n]
+        there += np.bincount(pair[bad] % n, minlength=n)
+        rest += np.bincount(pair[~bad] % n, minlength=n)
+    bad, good = max(int(toxic.sum()), 1), max(int((~toxic).sum()), 1)
+    return (there >= max(least, share * bad)) & (there / bad >= RATIO * (rest + 0.05) / good)
+
+
+def moved(y: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """How often each label follows each within a chain."""
+    inner = np.ones(max(len(y) - 1, 0), bool)
+    ends = np.cumsum(lengths) - 1
+    inner[ends[(ends >= 0) & (ends < len(inner))]] = False
+    step = 2 * y[:-1].astype(np.int8) + y[1:]
+    return np.bincount(step[inner], minlength=4).reshape(2, 2).astype(float)
 
 
 def fit(w: np.ndarray, s: np.ndarray, lengths: np.ndarray, toxic: np.ndarray) -> Model:
-    """Gradient ascent on the likelihood of the token labels; bounded rows, so in one place."""
+    """Gradient ascent on the likelihood of the token labels; bounded rows, so in one place, a block of chains at a time."""
     model = Model(np.zeros(WORDS, np.float32), np.zeros(STARTS, np.float32), -3.0, np.zeros((2, 2)), np.zeros(3))
     if not toxic.any() or toxic.all():
         model.scale[:] = (-30, 0, 0)
         return model
-    doc = np.repeat(np.arange(len(lengths)), lengths)
-    y = token_labels(w, s, doc, toxic)
+    words, wi = numbered(w, WORDS)
+    starts, si = numbered(s, STARTS)
+    y = token_labels(wi, len(words), lengths, toxic, LEAST, 4)[wi]
+    y |= token_labels(si, len(starts), lengths, toxic, 2 * LEAST, 8)[si]
+    y &= np.repeat(toxic, lengths)
     full = lengths
     lengths = chunks(lengths)
-    doc = np.repeat(np.arange(len(lengths)), lengths)
-    words, wi = np.unique(w, return_inverse=True)
-    starts, si = np.unique(s, return_inverse=True)
     a, b, bias, moves = np.zeros(len(words)), np.zeros(len(starts)), -3.0, np.zeros((2, 2))
-    inner = doc[1:] == doc[:-1]
-    seen = np.array([[np.sum(inner & (y[:-1] == i) & (y[1:] == j)) for j in (0, 1)] for i in (0, 1)], float)
+    seen = moved(y, lengths)
     ga, gb, gc, gm = np.full(len(words), 1e-2), np.full(len(starts), 1e-2), 1e-2, np.full((2, 2), 1e-2)
     for _ in range(EPOCHS):  # adaptive steps, each weight by its own gradients
-        p, expected = marginals(a[wi] + b[si] + bias, lengths, moves)
-        r = y - p
-        da, db = np.bincount(wi, r) - RIDGE * len(y) * 1e-2 * a, np.bincount(si, r) - RIDGE * len(y) * 1e-2 * b
-        dm = seen - expected
-        ga, gb, gc, gm = ga + da**2, gb + db**2, gc + r.sum() ** 2, gm + dm**2
+        da, db = -RIDGE * len(y) * 1e-2 * a, -RIDGE * len(y) * 1e-2 * b
+        dc, dm = 0.0, seen.copy()
+        for chains, at in blocks(lengths):
+            p, expected = marginals(a[wi[at]] + b[si[at]] + bias, lengths[chains], moves)
+            r = y[at] - p
+            da += np.bincount(wi[at], r, minlength=len(a))
+            db += np.bincount(si[at], r, minlength=len(b))
+            dc, dm = dc + r.sum(), dm - expected
+        ga, gb, gc, gm = ga + da**2, gb + db**2, gc + dc**2, gm + dm**2
         a, b = a + RATE * da / np.sqrt(ga), b + RATE * db / np.sqrt(gb)
-        bias, moves = bias + RATE * r.sum() / np.sqrt(gc), moves + RATE * dm / np.sqrt(gm)
+        bias, moves = bias + RATE * dc / np.sqrt(gc), moves + RATE * dm / np.sqrt(gm)
     model.words[words], model.starts[starts] = a, b
     model.bias, model.moves = float(bias), moves
-    x = summary(marginals(model.emission(w, s).astype(float), full, moves)[0], full)
+    x = np.concatenate(
+        [
+            summary(marginals(model.emission(w[at], s[at]).astype(float), full[docs], moves)[0], full[docs])
+            for docs, at in blocks(full)
+        ]
+    )
     model.scale = logistic(x, toxic.astype(float))
     return model
 

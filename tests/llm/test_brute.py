@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -353,3 +354,24 @@ def test_saved_drops_shuffle_files(spark):
     before = files()
     got = saved(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count())
     assert not files() - before and got.count() == 7
+
+
+def test_toxic_training_holds_a_block(monkeypatch):
+    """Training holds messages of a block of chains, not of all tokens, and blocks change nothing."""
+    rng = np.random.default_rng(5)
+    lengths = rng.integers(0, 2400, 1000)
+    toxic = rng.random(len(lengths)) < 0.3
+    w = rng.integers(0, 50_000, lengths.sum()).astype(np.int32)
+    hit = np.repeat(toxic, lengths) & (rng.random(len(w)) < 0.01)
+    w[hit] = rng.integers(50_000, 50_010, hit.sum())
+    s = w // 10
+    monkeypatch.setattr(toxic_crf, "EPOCHS", 3)
+    tracemalloc.start()
+    one = toxic_crf.fit(w, s, lengths, toxic)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    monkeypatch.setattr(toxic_crf, "BLOCK", 1 << 40)
+    two = toxic_crf.fit(w, s, lengths, toxic)
+    assert peak < 200e6 and one.words[50_005] > 0
+    for x in ("words", "starts", "bias", "moves", "scale"):
+        assert np.allclose(getattr(one, x), getattr(two, x), rtol=1e-4, atol=1e-6)
