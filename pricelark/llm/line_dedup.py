@@ -85,14 +85,22 @@ def fine_variants(runs: pd.Series) -> pd.Series:
     """Hash of each run of word hashes, then its hashes without the first word, the second and so
     on: sums of a hash per word and place, so all of them take time in proportion to the run."""
 
-    def one(run: np.ndarray) -> np.ndarray:
-        w, place = run.astype(np.int64).view(np.uint64), np.arange(len(run), dtype=np.uint64)
-        here = mix(w ^ mix(place + ODD))
-        moved = mix(w ^ mix(place - np.uint64(1) + ODD))  # one place further to the front
-        less = (np.cumsum(here) - here) + (moved.sum() - np.cumsum(moved))
-        return np.r_[here.sum(), less].view(np.int64)
-
-    return runs.map(one)
+    lengths = runs.map(len).to_numpy(np.int64)
+    if not len(lengths):
+        return runs
+    ends = np.r_[0, np.cumsum(lengths)]
+    at = np.arange(ends[-1]) - np.repeat(ends[:-1], lengths)
+    w, place = np.concatenate(list(runs)).astype(np.int64).view(np.uint64), at.astype(np.uint64)
+    here = mix(w ^ mix(place + ODD))
+    moved = mix(w ^ mix(place - np.uint64(1) + ODD))  # one place further to the front
+    # sums up to each word over all runs end to end; differences of them are those of one run
+    h, m = (np.r_[np.uint64(0), np.cumsum(x)] for x in (here, moved))
+    less = (h[:-1] - np.repeat(h[ends[:-1]], lengths)) + (np.repeat(m[ends[1:]], lengths) - m[1:])
+    out = np.empty(ends[-1] + len(lengths), np.uint64)
+    first = ends[:-1] + np.arange(len(lengths))
+    out[first] = h[ends[1:]] - h[ends[:-1]]
+    out[np.repeat(first, lengths) + 1 + at] = less
+    return pd.Series(np.split(out.view(np.int64), first[1:]), index=runs.index)
 
 
 def one_edit(a: Column, b: Column) -> Column:
@@ -117,9 +125,11 @@ def near_earlier(found: DataFrame) -> DataFrame:
     d = saved(found.select("id", "at", "v", F.posexplode("f").alias("place", "k")))
     whole_run, less = d.filter("place = 0"), d.filter("place > 0")
     first = F.min(F.struct("at", "id")).alias("m")
+    # one row a key on the right, so what meets it is streamed past a hash table, not sorted
+    twice = less.groupBy("v", "k", "place").agg(first, F.count("*").alias("n")).filter("n > 1").drop("n")
     hits = [
-        less.join(less.groupBy("v", "k", "place").agg(first), ["v", "k", "place"]),  # a word changed
-        less.join(whole_run.groupBy("v", "k").agg(first), ["v", "k"]),  # a word more than the earlier line
+        less.join(twice.hint("shuffle_hash"), ["v", "k", "place"]),  # a word changed
+        less.join(whole_run.groupBy("v", "k").agg(first).hint("shuffle_hash"), ["v", "k"]),  # a word more than the earlier line
         whole_run.join(less.groupBy("v", "k").agg(first), ["v", "k"]),  # a word less
     ]
     a, b, c = (h.filter(F.col("m.at") < F.col("at")).select("id", F.col("m.id").alias("other")) for h in hits)
@@ -144,7 +154,7 @@ def verdicts(docs: DataFrame) -> DataFrame:
     # variants go with the number of their line only
     keys = first.select("number", F.explode(F.array_distinct("vs")).alias("v"))
     shared = keys.groupBy("v").agg(F.count("*").alias("n")).filter("n > 1").select("v")
-    met = keys.join(shared, "v").groupBy("number").agg(F.collect_set("v").alias("vs"))  # 2 * BLOCKS at most
+    met = keys.join(shared.hint("shuffle_hash"), "v").groupBy("number").agg(F.collect_set("v").alias("vs"))  # 2 * BLOCKS at most
     met = saved(first.select("number", "id", "at").join(bounded(met, FEW), "number").drop("number"))
     # the words of these lines, from the documents where they stand first
     who = met.groupBy(F.col("at.doc_id").alias("who"), F.col("at.tk").alias("of")).agg(

@@ -9,11 +9,12 @@ import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from pricelark.llm import backoff_scores, near_copies, pseudonyms, quality_gam, toxic_crf
+from pricelark.llm import backoff_scores, line_dedup, near_copies, pseudonyms, quality_gam, toxic_crf
 from pricelark.llm.text import saved
 
 SF = "/root/testdata/sf0.001"
@@ -375,3 +376,32 @@ def test_toxic_training_holds_a_block(monkeypatch):
     assert peak < 200e6 and one.words[50_005] > 0
     for x in ("words", "starts", "bias", "moves", "scale"):
         assert np.allclose(getattr(one, x), getattr(two, x), rtol=1e-4, atol=1e-6)
+
+
+def test_fine_variants_are_those_of_each_run():
+    """Runs of a batch are hashed together, with the values that each one has alone."""
+    rng = np.random.default_rng(2)
+    runs = pd.Series([rng.integers(-(1 << 62), 1 << 62, n) for n in (3, 0, 1, 40, 3)])
+    runs[4] = runs[0]
+    got = line_dedup.fine_variants.func(runs)
+    assert [len(x) for x in got] == [4, 1, 2, 41, 4] and list(got[0]) == list(got[4])
+    for i, run in enumerate(runs):
+        for j in range(len(run)):  # without word j it is the whole of the shorter run
+            short = line_dedup.fine_variants.func(pd.Series([np.delete(run, j)]))[0]
+            assert got[i][j + 1] == short[0]
+
+
+def test_line_dedup_streams_past_hash_tables(spark, monkeypatch):
+    """The joins with one row a key do not sort the lines' variants."""
+    plans, near_earlier = [], line_dedup.near_earlier
+
+    def seen(found):
+        pairs = near_earlier(found)
+        plans.append(pairs._jdf.queryExecution().executedPlan().toString())
+        return pairs
+
+    monkeypatch.setattr(line_dedup, "near_earlier", seen)
+    text = "\n".join(f"one two three four five six seven eight nine ten {i}" for i in range(20))
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    got = line_dedup.counts(docs).first()
+    assert (got.n_lines, got.n_near) == (20, 19) and any("ShuffledHashJoin" in p for p in plans)
