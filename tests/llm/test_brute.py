@@ -2,6 +2,7 @@
 
 import glob
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -405,3 +406,54 @@ def test_line_dedup_streams_past_hash_tables(spark, monkeypatch):
     docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
     got = line_dedup.counts(docs).first()
     assert (got.n_lines, got.n_near) == (20, 19) and any("ShuffledHashJoin" in p for p in plans)
+
+
+def marks_of(spark, texts):
+    """What near_copies keeps of texts {id: words as numbers}."""
+    flat = np.concatenate([np.array(x, np.uint64) for x in texts.values()])
+    n = np.array([len(x) for x in texts.values()])
+    held = zip(texts, n.tolist(), near_copies.signatures(flat, n), near_copies.samples(flat, n), strict=True)
+    rows = [(i, k, bytearray(mark), bytearray(few.tobytes())) for i, k, mark, few in held]
+    return spark.createDataFrame(rows, "id long, n int, signature binary, sample binary")
+
+
+def test_texts_of_two_buckets_meet_later(spark):
+    """Two texts that met one first text in different buckets are compared, few as the pairs are."""
+    texts = {1: range(1000, 1060), 10: range(60), 11: [*range(59), 99]}
+    seen = [(1, 0, False, [5, 6]), (10, 0, False, [5]), (11, 0, False, [6])]
+    seen = spark.createDataFrame(seen, "a long, b long, maybe boolean, residues array<long>")
+    got = near_copies.meetings(seen, marks_of(spark, texts), 0.8).collect()
+    assert {(r.a, r.b) for r in got} == {(11, 10)}
+
+
+def test_levels_in_one_task_find_the_same(spark, monkeypatch):
+    """The levels that one task goes through lose no pair that levels over all tasks find."""
+    rnd = random.Random(4)
+    texts = {}
+    for k in range(60):
+        own = [*range(40), *rnd.sample(range(1000, 1200), 20)]
+        texts[2 * k], texts[2 * k + 1] = own, [*own[:-1], 5000 + k]
+    marks = marks_of(spark, texts)
+    seen = [(i, 0, False, rnd.sample(range(4), 2)) for i in texts if i]
+    seen = spark.createDataFrame(seen, "a long, b long, maybe boolean, residues array<long>")
+    found = {}
+    for pairs in (0, 10_000):
+        monkeypatch.setattr(near_copies, "LAST_PAIRS", pairs)
+        for rows in (-1, 20_000):
+            monkeypatch.setattr(near_copies, "LAST_ROWS", rows)
+            found[pairs, rows] = {(r.a, r.b) for r in near_copies.meetings(seen, marks, 0.8).collect()}
+    assert found[0, -1] == found[0, 20_000] and found[10_000, -1] == found[10_000, 20_000] >= found[0, -1]
+    assert len({(2 * k + 1, 2 * k) for k in range(1, 60)} & found[10_000, 20_000]) >= 30
+
+
+def test_texts_of_the_same_words_in_another_order(spark):
+    """Pairs among texts that hold the same words: a first text's signature lets all through, its alignment none."""
+    rnd = random.Random(12)
+    blocks = [[f"w{b}x{i}" for i in range(60)] for b in range(5)]
+    rows = []
+    for k, order in enumerate(rnd.sample(list(itertools.permutations(range(5))), 60)):
+        text = [w for b in order for w in blocks[b]]
+        at = rnd.randrange(299)
+        rows += [(k, " ".join(text)), (100 + k, " ".join([*text[:at], text[at + 1], text[at], *text[at + 2 :]]))]
+    got = {r.doc_id: r.class_id for r in near_copies.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[k] == got[100 + k] for k in range(60))
