@@ -15,7 +15,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from pricelark.llm import backoff_scores, line_dedup, near_copies, pseudonyms, quality_gam, toxic_crf
+from pricelark.llm import backoff_scores, components, line_dedup, near_copies, pseudonyms, quality_gam, toxic_crf
 from pricelark.llm.text import saved
 
 SF = "/root/testdata/sf0.001"
@@ -457,3 +457,12 @@ def test_texts_of_the_same_words_in_another_order(spark):
         rows += [(k, " ".join(text)), (100 + k, " ".join([*text[:at], text[at + 1], text[at], *text[at + 2 :]]))]
     got = {r.doc_id: r.class_id for r in near_copies.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert all(got[k] == got[100 + k] for k in range(60))
+
+
+def test_components_in_one_task(spark, monkeypatch):
+    rnd = random.Random(6)
+    links = [(rnd.randrange(400), rnd.randrange(400)) for _ in range(260)] + [(1000 + i, 999 + i) for i in range(60)]
+    links = spark.createDataFrame(links, "a long, b long")
+    one = {tuple(r) for r in components.components(links).collect()}
+    monkeypatch.setattr(components, "FEW_LINKS", -1)
+    assert one == {tuple(r) for r in components.components(links).collect()} and max(n for n, _ in one) == 1059
