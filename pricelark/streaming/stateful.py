@@ -1,73 +1,33 @@
-"""Streams whose state is a row per key: only keys of the micro-batch, or buckets that hold them, are rewritten.
+"""Streams whose state goes on from micro-batch to micro-batch; every one goes through the scans of the batch job.
 
-* Checks and user commands in one stream. Every micro-batch goes through the scans of the batch job
-  (commands before a check of the same time), started from the running values that a stored table of
-  buckets holds per product; a hot product is sliced. No row passes through Python.
-* Cooldown and quiet hours, with a state store. An alert is decided when it comes; a held one is released
-  by an event-time timer at the end of its quiet window, and a key's state ends when its cooldown is over.
-  Rows of one key and micro-batch are sorted in one task; the sources' ``maxBytesPerTrigger`` bounds them.
+* Checks and user commands in one stream. Commands come before a check of the same time; the running
+  values per product are held by a stored table of buckets, of which those with keys of the micro-batch are
+  rewritten.
+* Cooldown and quiet hours. An alert is decided when it comes; a held one is released once the event time
+  seen, less ``delay``, is at the end of its quiet window, and a key's state ends with its cooldown. So the
+  state is what the last cooldown and quiet window need, and is written anew by every micro-batch.
 
-A row that is not after the newest one folded for its key, or has no time, is late: it is passed on
-with the type 'late' and changes nothing.
+Hot products are sliced. No row passes through Python. A row that is not after the newest one folded for
+its key, or has no time, is late: it is passed on with the type 'late' and changes nothing.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from contextlib import ExitStack, contextmanager
+from contextlib import ExitStack
 
-from pyspark.sql import Column, DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming import StreamingQuery
 
 from pricelark.model import COOLDOWN_EXEMPT, Settings
 from pricelark.operators.alerts import continue_commanded, evaluate
-from pricelark.operators.hygiene import judged
+from pricelark.operators.hygiene import continue_delivery, judged
 from pricelark.operators.sequence import log_of, seen_offers
+from pricelark.sources import folders
 from pricelark.sources.sinks import stored_rows
 from pricelark.sources.state_table import BUCKET, StateTable
 from pricelark.streaming.monitor import LATE
 
-_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
-_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-
-
-@contextmanager
-def rocksdb(spark: SparkSession) -> Iterator[None]:
-    """Queries started inside keep their state in RocksDB; the session's own setting comes back."""
-    before = spark.conf.get(_PROVIDER, None)
-    spark.conf.set(_PROVIDER, _ROCKSDB)
-    try:
-        yield
-    finally:
-        spark.conf.set(_PROVIDER, before) if before else spark.conf.unset(_PROVIDER)
-
-
-def run_batches(
-    stream: DataFrame, outputs: Callable[[DataFrame], dict[str, DataFrame]], folder: str, **trigger: object
-) -> StreamingQuery:
-    """Write the tables that ``outputs`` makes of every micro-batch, each under the batch's id, so
-    that a batch which runs again replaces what it wrote. Without a trigger everything available is
-    processed and the query ends."""
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.persist()  # the state is read and written once, however many tables there are
-        try:
-            for name, rows in outputs(batch).items():
-                rows.write.mode("overwrite").parquet(f"{folder}/{name}/batch_id={batch_id}")
-        finally:
-            batch.unpersist()
-
-    with rocksdb(stream.sparkSession):
-        return (
-            stream.writeStream.foreachBatch(write)
-            .option("checkpointLocation", f"{folder}/checkpoint")
-            .trigger(**(trigger or {"availableNow": True}))
-            .start()
-        )
-
-
 # --- checks under commands ---------------------------------------------------
 
 
@@ -110,126 +70,85 @@ def run_checks(
 
 # --- cooldown and quiet hours ------------------------------------------------
 
-_LONG, _TEXT = T.LongType(), T.StringType()
-
-
-def _struct(**fields: T.DataType) -> T.StructType:
-    return T.StructType([T.StructField(name, kind) for name, kind in fields.items()])
-
-
 DECIDED, RELEASED = "decided", "released"
 SALTS = 64
-DECISION = _struct(
-    alert_id=_LONG, product_id=_LONG, type=_TEXT, fired_at=_LONG, status=_TEXT, release_at=_LONG, event=_TEXT
-)
-_DECISION_ROW = Row(*DECISION.names)
-
-
-class Hold(StatefulProcessor):
-    """Decides the alerts of one product and type, and releases held ones when their window ends."""
-
-    def __init__(self, cooldown_ms: int):
-        self.cooldown_ms = cooldown_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.chain = handle.getValueState("chain", "fired long, counted long, last long, last_id long")
-        self.held = handle.getListState("held", "alert_id long, product_id long, fired long, release long")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        watermark = timerValues.getCurrentWatermarkInMs() * 1000
-        kind = key[1]
-        s = self.chain.get() if self.chain.exists() else None
-        fired, counted, last, last_id = s or (None, None, None, None)
-        waiting = []
-        # a row without an id only moves time on; it is left out here, as a filter would go below the watermark
-        alerts = (r for r in rows if r["alert_id"] is not None)
-        for r in sorted(alerts, key=lambda r: (r["_fired"] or 0, r["alert_id"])):
-            at, release = r["_fired"], r["_release"]
-            place = (at, r["alert_id"])
-            if at is None or at < watermark or (last is not None and place <= (last, last_id)):
-                yield _DECISION_ROW(r["alert_id"], r["product_id"], kind, at, LATE, None, DECIDED)
-                continue
-            last, last_id = place
-            if r["_subject"]:
-                opens = counted is None or at > counted + self.cooldown_ms * 1000
-                if opens:
-                    fired, counted = at, at if release is None else release
-                elif counted <= at:  # an alert still held when this one came suppresses nothing
-                    yield _DECISION_ROW(r["alert_id"], r["product_id"], kind, at, "suppressed", None, DECIDED)
-                    continue
-            if release is None:
-                yield _DECISION_ROW(r["alert_id"], r["product_id"], kind, at, "delivered", None, DECIDED)
-            else:
-                waiting.append((r["alert_id"], r["product_id"], at, release))
-                yield _DECISION_ROW(r["alert_id"], r["product_id"], kind, at, "held_quiet_hours", None, DECIDED)
-        if last is not None:
-            self.chain.update((fired, counted, last, last_id))
-            ends = max(last, (counted or last) + self.cooldown_ms * 1000)
-            self.handle.registerTimer(ends // 1000 + 1)
-        if waiting:
-            self.held.appendList(waiting)
-            for release in {w[3] for w in waiting}:
-                self.handle.registerTimer(release // 1000)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        now = expiredTimerInfo.getExpiryTimeInMs() * 1000
-        rest = []
-        if self.held.exists():
-            for alert_id, product_id, fired, release in self.held.get():
-                if release <= now:
-                    yield _DECISION_ROW(alert_id, product_id, key[1], fired, "delivered", now, RELEASED)
-                else:
-                    rest.append((alert_id, product_id, fired, release))
-            self.held.put(rest) if rest else self.held.clear()
-        if not rest and self.chain.exists():
-            _, counted, last, _ = self.chain.get()
-            if max(last, (counted or last) + self.cooldown_ms * 1000) < now:
-                self.chain.clear()
-
-    def close(self) -> None:
-        pass
-
-
-def held(alerts: DataFrame, settings: Settings, delay: str = "0 seconds") -> DataFrame:
-    """A stream of alerts decided and released: (alert_id, product_id, type, fired_at, status,
-    release_at, event); ``event`` is 'decided', or 'released' for held ones, with the time of it.
-
-    ``delay`` is how long time waits for slow alerts. Alerts without cooldown need no order, so their
-    keys are salted: all alerts without a product are one key otherwise.
-    """
+ALERT = ["alert_id", "product_id", "type", "fired_at"]
+_ORDER = ["_key", "type", "_salt"]  # alerts of one value of these come one after the other
+
+
+def _keyed(alerts: DataFrame, settings: Settings) -> DataFrame:
+    """Alerts without cooldown need no order, so their keys are salted: all alerts without a product are
+    one key otherwise."""
     cooled = settings.cooldown_minutes > 0
     subject = F.lit(cooled) & F.col("product_id").isNotNull() & ~F.col("type").isin(COOLDOWN_EXEMPT)
-    rows = judged(alerts.withWatermark("fired_at", delay), settings).select(
-        F.coalesce("product_id", F.lit(-1)).alias("_key"),
-        "type",
-        F.when(subject, 0).otherwise(F.pmod(F.xxhash64("alert_id"), F.lit(SALTS))).cast("long").alias("_salt"),
-        "alert_id",
-        "product_id",
-        F.unix_micros("fired_at").alias("_fired"),
-        F.unix_micros("_release").alias("_release"),
-        subject.alias("_subject"),
-    )
-    out = rows.groupBy("_key", "type", "_salt").transformWithState(
-        Hold(settings.cooldown_minutes * 60_000), DECISION, "Append", "eventTime"
-    )
-    return out.withColumns(
-        {"fired_at": F.timestamp_micros("fired_at"), "release_at": F.timestamp_micros("release_at")}
-    )
+    salt = F.when(subject, 0).otherwise(F.pmod(F.xxhash64("alert_id"), F.lit(SALTS))).cast("long")
+    return alerts.withColumns({"_key": F.coalesce("product_id", F.lit(-1)), "_salt": salt})
 
 
 def run_hold(alerts: DataFrame, settings: Settings, folder: str, delay: str = "0 seconds", **trigger: object) -> StreamingQuery:
-    """Decisions into ``folder/decided``, releases into ``folder/released``, late alerts into ``folder/late``."""
+    """Decisions into ``folder/decided``, releases into ``folder/released``, late alerts into ``folder/late``.
+
+    ``delay`` is how long time waits for slow alerts. Outputs of a micro-batch are written under its id, and its
+    state last, so that a batch which runs again starts from the same state and replaces what it wrote.
+    The state: the time seen (``clock``), of every key the alert that started its cooldown (``chain``) and
+    the newest alert (``seen``), both as long as they can matter, and the alerts held (``held``)."""
+    spark = alerts.sparkSession
+    width = F.make_dt_interval(mins=F.lit(settings.cooldown_minutes))
 
-    def outputs(batch: DataFrame) -> dict[str, DataFrame]:
-        late = F.col("status") == LATE
-        return {
-            DECIDED: batch.filter((F.col("event") == DECIDED) & ~late).drop("event"),
-            RELEASED: batch.filter(F.col("event") == RELEASED).drop("event"),
-            LATE: batch.filter(late).drop("event", "status"),
-        }
+    def write(batch: DataFrame, batch_id: int) -> None:
+        def put(rows: DataFrame, name: str) -> DataFrame:
+            rows.write.mode("overwrite").parquet(place := f"{folder}/{name}/batch_id={batch_id}")
+            return spark.read.schema(rows.schema).format("parquet").load(place)
+
+        def kept(name: str) -> DataFrame | None:
+            return spark.read.parquet(f"{folder}/state/{name}/batch_id={batch_id - 1}") if batch_id else None
+
+        clock, chain, seen, held = (kept(name) for name in ("clock", "chain", "seen", "held"))
+        before = clock.first()["ms"] if batch_id else None
+        wait = F.expr(f"unix_millis(timestamp_millis(0) + INTERVAL {delay})")
+        now = batch.agg(F.max(F.unix_millis("fired_at")).alias("ms")).select((F.col("ms") - wait).alias("ms")).first()["ms"]
+        now = max((x for x in (before, now) if x is not None), default=None)
+        passed = F.timestamp_millis(F.lit(now).cast("long"))
+
+        # a row without an id only moves time on; of equal rows all but one are late
+        rows = _keyed(batch.filter("alert_id IS NOT NULL").groupBy(*ALERT).agg(F.count("*").alias("_n")), settings)
+        late = F.col("fired_at").isNull()
+        if before is not None:
+            late = late | (F.col("fired_at") < F.timestamp_millis(F.lit(before).cast("long")))
+            rows = rows.join(seen, _ORDER, "left")
+            late = late | F.coalesce(F.struct("fired_at", "alert_id") <= F.col("_last"), F.lit(False))
+        with stored_rows(rows.select(*ALERT, "_key", "_salt", "_n", late.alias("_late"))) as rows:
+            fresh = rows.filter("NOT _late")
+            plan, new_chain = continue_delivery(fresh.select(*ALERT), settings, chain)
+            none = F.lit(None).cast("timestamp").alias("release_at")
+            decided = put(plan.select(*ALERT, "status", none), DECIDED)
+            times = F.when(F.col("_late"), F.col("_n")).otherwise(F.col("_n") - 1)
+            again = rows.withColumn("_i", F.explode(F.array_repeat(F.lit(0), times.cast("int"))))
+            put(again.select(*ALERT, none), LATE)
+            waiting = judged(decided.filter("status = 'held_quiet_hours'"), settings).select(*ALERT, "_release")
+            waiting = waiting if held is None else held.unionByName(waiting)
+            over = F.coalesce(F.col("_release") <= passed, F.lit(False))
+            ended = F.timestamp_millis(F.unix_millis("_release")).alias("release_at")
+            put(waiting.filter(over).select(*ALERT, F.lit("delivered").alias("status"), ended), RELEASED)
+
+            last = F.max(F.struct("fired_at", "alert_id")).alias("_last")
+            newest = fresh.filter(F.col("fired_at") >= passed).groupBy(*_ORDER).agg(last)
+            if seen is not None:
+                old = seen.filter(F.col("_last.fired_at") >= passed)
+                newest = old.unionByName(newest).groupBy(*_ORDER).agg(F.max("_last").alias("_last"))
+            put(waiting.filter(~over), "state/held")
+            put(newest, "state/seen")
+            put(new_chain.filter(F.col("_eff") + width >= passed), "state/chain")
+            put(spark.range(1).select(F.lit(now).cast("long").alias("ms")), "state/clock")
+        for name in ("clock", "chain", "seen", "held"):
+            folders.drop(spark, f"{folder}/state/{name}/batch_id={batch_id - 2}")
 
-    return run_batches(held(alerts, settings, delay), outputs, folder, **trigger)
+    return (
+        alerts.writeStream.foreachBatch(write)
+        .option("checkpointLocation", f"{folder}/checkpoint")
+        .trigger(**(trigger or {"availableNow": True}))
+        .start()
+    )
 
 
 def outcomes(spark: SparkSession, folder: str, settings: Settings) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pricelark.model import CHECKS, Settings
 from pricelark.operators import alerts as A
-from pricelark.operators import catalogue, hygiene, stored_state
+from pricelark.operators import catalogue, hygiene, slices, stored_state
 from pricelark.session import ensure_checkpoint_dir
 from pricelark.sources import folders, import_file, sinks
 from pricelark.sources import tables as M
@@ -406,3 +406,25 @@ def test_late_alerts_stay_apart(spark, tmp_path):
     got = {r.alert_id: r.status for r in stateful.outcomes(spark, folder, SETTINGS).collect()}
     assert got == {1: "delivered", 2: "suppressed", 4: "delivered"}
     assert [r.alert_id for r in spark.read.parquet(f"{folder}/late").collect()] == [3]
+
+
+def test_a_long_key_of_holds_is_sliced(spark, tmp_path, monkeypatch):
+    """A product with many alerts in a micro-batch goes through slices, not through one task's Python;
+    a repeated row is late, and only what the last cooldown needs is left as state."""
+    monkeypatch.setattr(slices, "HOT_ROWS", 20)
+    folder, start, settings = str(tmp_path / "run"), datetime(2026, 7, 1, 6), Settings(cooldown_minutes=45)
+    schema = "alert_id long, product_id long, type string, fired_at timestamp, change_pct double"
+    rows = [(i, 1, "price_change", start + timedelta(minutes=10 * i), None) for i in range(300)]
+    for part in (rows[:180] + rows[100:103], rows[180:] + rows[:1]):
+        spark.createDataFrame(part, schema).write.mode("append").parquet(f"{folder}/alerts")
+        stream = spark.readStream.schema(schema).parquet(f"{folder}/alerts")
+        query = stateful.run_hold(stream, settings, folder)
+        query.awaitTermination()
+        assert all(not p.stateOperators for p in query.recentProgress)
+    end = F.lit("2026-07-09")
+    stateful.clock_row(spark.createDataFrame(rows, schema), end).write.mode("append").parquet(f"{folder}/alerts")
+    stateful.run_hold(spark.readStream.schema(schema).parquet(f"{folder}/alerts"), settings, folder).awaitTermination()
+    want = hygiene.delivery_plan(spark.createDataFrame(rows, schema), settings).select("alert_id", "status", "reason", "release_at")
+    assert text(stateful.outcomes(spark, folder, settings).select(*want.columns)) == text(want)
+    assert sorted(r.alert_id for r in spark.read.parquet(f"{folder}/late").collect()) == [0, 100, 101, 102]
+    assert all(spark.read.parquet(f"{folder}/state/{name}").count() <= 1 for name in ("chain", "seen", "held"))
