@@ -53,6 +53,11 @@ def annotated(
         src = with_target(src)
     specs = past_specs() + low_high_specs()
     specs += offer_specs() if offers else []
+    if failures and src.hot:  # the failures first, so that no other values are stored between their scans
+        scanned = running(src, failure_specs())
+        src = with_failures(scanned, settings.failure_limit, None, specs)
+        scanned.drop_files()
+        return _facts(src, offers)
     specs += failure_specs() if failures else []
     src = running(src, specs)
     if failures:

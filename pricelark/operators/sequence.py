@@ -9,6 +9,7 @@ check of the same time.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 from pricelark.functions.offers import differences
 from pricelark.model import OFFERS
 from pricelark.operators.slices import HOT, SLICE, Running, Sliced, running, slice_hot_keys
-from pricelark.session import ensure_checkpoint_dir
+from pricelark.sources import folders
 
 KEY = ["product_id"]
 ORDER = ["checked_at", "ord", "check_id"]
@@ -36,8 +37,8 @@ def live() -> Column:
 def _cut(src: Sliced, df: DataFrame) -> Sliced:
     """Between dependent scans of a sliced log: write once instead of recomputing."""
     if src.hot:
-        ensure_checkpoint_dir(df.sparkSession)
-        df = df.checkpoint()
+        df, place = folders.stored(df)
+        return Sliced(df, src.keys, src.order, src.hot, (place,))
     return Sliced(df, src.keys, src.order, src.hot)
 
 
@@ -212,17 +213,20 @@ def pause_specs() -> list[Running]:
     return [Running("_paused_epoch", F.when(F.col("_hit"), F.col("_epoch")), "max", False)]
 
 
-def with_failures(src: Sliced, limit: int, initial: DataFrame | None = None) -> Sliced:
+def with_failures(
+    src: Sliced, limit: int, initial: DataFrame | None = None, further: Sequence[Running] = ()
+) -> Sliced:
     """Length of the failure run at each row, and the row where monitoring pauses itself.
 
     Needs the columns of ``failure_specs``. A success or a resume ends the run. The
     pause fires once per resume epoch, and not while the user has paused the product.
+    ``further`` values are added by the last scan, behind what is stored between the scans.
     """
     zero = F.lit(0).cast("long")
     df = src.df.withColumns(
         {"_fails": F.coalesce("_fails", zero), "_epoch": F.coalesce("_epoch", zero)}
     )
-    src = running(_cut(src, df), run_specs(), initial)
+    src = stored = running(_cut(src, df), run_specs(), initial)
     run_len = F.col("_fails") - F.coalesce(F.col("_base"), zero)
     hit = (
         _failed().isNotNull()
@@ -230,7 +234,8 @@ def with_failures(src: Sliced, limit: int, initial: DataFrame | None = None) ->
         & (F.coalesce(F.col("_held_by"), F.lit("resume")) == "resume")
     )
     df = src.df.withColumns({"run_len": run_len, "_hit": hit})
-    src = running(_cut(src, df), pause_specs(), initial)
+    src = running(_cut(src, df), [*pause_specs(), *further], initial)
+    stored.drop_files()
     fires = F.col("_hit") & (F.coalesce(F.col("_paused_epoch"), F.lit(-1)) < F.col("_epoch"))
     return Sliced(src.df.withColumn("auto_paused", fires), src.keys, src.order, src.hot)
 

@@ -23,11 +23,14 @@ from itertools import takewhile
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pricelark.session import ensure_checkpoint_dir
+from pricelark.sources import folders
 
 HOT_ROWS = 2_000_000
 """Rows of one key a single task may sort; beyond it the key is sliced."""
 
+SMALL = 50_000
+"""Cells that may be broadcast, counted first."""
+
 SLICE = "_slice"
 HOT = "_hot"
 
@@ -47,12 +50,18 @@ class Running:
 
 @dataclass(frozen=True)
 class Sliced:
-    """A frame with its slice column; ``hot`` is False when no key was cut."""
+    """A frame with its slice column; ``hot`` is False when no key was cut. ``files``: the tables that
+    it was stored in, which may go once nothing reads the frame."""
 
     df: DataFrame
     keys: tuple[str, ...]
     order: tuple[str, ...]
     hot: bool
+    files: tuple[str, ...] = ()
+
+    def drop_files(self) -> None:
+        for place in self.files:
+            folders.drop(self.df.sparkSession, place)
 
     @property
     def window(self):
@@ -100,14 +109,25 @@ def slice_hot_keys(
     )
     rows = df.select(*keys, none, *[n.alias(f"_d{i}") for i, n in enumerate(numbers)])
     dims = [F.col(f"_d{i}") for i in range(len(numbers))]
-    levels = []
+    levels, places = [], []  # the tables stored on the way
+
+    def stored(rows: DataFrame) -> DataFrame:
+        rows, place = folders.stored(rows)
+        places.append(place)
+        return rows
+
+    last = None
     while True:
         # four cells per limit leave room for uneven arrival
         width = F.expr(f"greatest(1, CAST(ceil((_hi - _lo + 1) / ceil(n * 4 / {limit})) AS BIGINT))")
-        level = _small(cells.select(*keys, SLICE, "_dim", "_lo", width.alias("_width")))
+        level = stored(cells.select(*keys, SLICE, "_dim", "_lo", width.alias("_width")))
+        level = F.broadcast(level) if level.count() <= SMALL else level
         levels.append(level)
-        # saved, so that no level makes the rows of those before it again
-        rows = _saved(_cut(rows, level, keys, dims, "inner").select(*keys, SLICE, "_dim", *dims))
+        # stored, so that no level makes the rows of those before it again; those go then
+        rows, place = folders.stored(_cut(rows, level, keys, dims, "inner", not last).select(*keys, SLICE, "_dim", *dims))
+        if last:
+            folders.drop(df.sparkSession, last)
+        last = place
         spread = [F.struct(F.min(d).alias("lo"), F.max(d).alias("hi")).alias(f"_s{i}") for i, d in enumerate(dims)]
         dense = rows.groupBy(*keys, SLICE).agg(F.count("*").alias("n"), F.max("_dim").alias("_at"), *spread)
         # the first column, from this one on, in which the cell's rows differ
@@ -117,29 +137,23 @@ def slice_hot_keys(
         cells = cells.filter(F.col("_next").isNotNull()).select(
             *keys, SLICE, F.col("_next.dim").alias("_dim"), "n", F.col("_next.lo").alias("_lo"), F.col("_next.hi").alias("_hi")
         )
-        cells = _saved(cells)
+        cells = stored(cells)
         if cells.isEmpty():
             break
     out = df.withColumns({SLICE: none, **{f"_d{i}": n for i, n in enumerate(numbers)}})
-    for level in levels:
-        out = _cut(out, level, keys, dims, "left").select(*df.columns, SLICE, *dims)
+    for i, level in enumerate(levels):
+        out = _cut(out, level, keys, dims, "left", not i).select(*df.columns, SLICE, *dims)
     # the rows are scanned and their slices summarised: cut once for both
-    out = _saved(out.select(*df.columns, SLICE, (F.size(SLICE) > 0).alias(HOT)))
-    return Sliced(out, tuple(keys), tuple(order), True)
-
+    folders.drop(df.sparkSession, last)
+    out, kept = folders.stored(out.select(*df.columns, SLICE, (F.size(SLICE) > 0).alias(HOT)))
+    for place in places:
+        folders.drop(df.sparkSession, place)
+    return Sliced(out, tuple(keys), tuple(order), True, (kept,))
 
-def _saved(df: DataFrame) -> DataFrame:
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
 
-
-def _small(df: DataFrame, rows: int = 50_000) -> DataFrame:
-    """Saved and counted: broadcast if it is small, else joined as Spark sees fit."""
-    df = _saved(df)
-    return F.broadcast(df) if df.count() <= rows else df
-
-
-def _cut(df: DataFrame, level: DataFrame, keys: Sequence[str], dims: Sequence[Column], how: str) -> DataFrame:
+def _cut(
+    df: DataFrame, level: DataFrame, keys: Sequence[str], dims: Sequence[Column], how: str, first: bool
+) -> DataFrame:
     """The rows of cells that are cut again get where their new cell begins behind their slice."""
     level = level.withColumnRenamed("_dim", "_cut_dim")
     if "_dim" in df.columns:
@@ -147,7 +161,10 @@ def _cut(df: DataFrame, level: DataFrame, keys: Sequence[str], dims: Sequence[Co
     value = F.get(F.array(*dims), F.col("_cut_dim"))
     begin = F.col("_lo") + F.floor((value - F.col("_lo")) / F.col("_width")) * F.col("_width")
     deeper = F.when(F.col("_lo").isNotNull(), F.concat(SLICE, F.array(begin.cast("long")))).otherwise(F.col(SLICE))
-    joined = df.join(level, [*keys, SLICE], how)
+    on = [*keys, SLICE]
+    if first:  # all rows have the same slice yet, and may lie by their keys already
+        on, level = [*keys], level.drop(SLICE)
+    joined = df.join(level, on, how)
     return joined.withColumn(SLICE, deeper).withColumnRenamed("_cut_dim", "_dim")
 
 
@@ -208,6 +225,7 @@ def running(src: Sliced, specs: Sequence[Running], initial: DataFrame | None = N
         True: src.window.rowsBetween(Window.unboundedPreceding, 0),
         False: src.window.rowsBetween(Window.unboundedPreceding, -1),
     }
+    files = src.files
     out = src.df.select(
         "*",
         *[_agg(s.kind, s.expr).over(upto[s.inclusive]).alias(s.name) for s in specs],
@@ -221,10 +239,13 @@ def running(src: Sliced, specs: Sequence[Running], initial: DataFrame | None = N
         carry = per_slice.select(
             *src.keys, SLICE, *[_agg(s.kind, F.col(s.name)).over(before).alias(s.name) for s in specs]
         )
+        # a row a slice: stored, so that what made it is not on the disk beside the shuffle of the rows
+        carry, place = folders.stored(carry)
+        files = (*src.files, place)
         out = _after(out, carry, [*src.keys, SLICE], specs)
     if initial is not None:
         out = _after(out, initial, src.keys, specs)
-    return Sliced(out, src.keys, src.order, src.hot)
+    return Sliced(out, src.keys, src.order, src.hot, files)
 
 
 def closing(

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
 from urllib.parse import unquote
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+
+from pricelark.session import ensure_checkpoint_dir, shuffles_dropped
 
 NULL = "__HIVE_DEFAULT_PARTITION__"
 DONE = "_SUCCESS"
@@ -41,6 +44,16 @@ def drop(spark: SparkSession, path: str) -> None:
     fs.delete(place, True)
 
 
+def stored(df: DataFrame) -> tuple[DataFrame, str]:
+    """The rows as a Parquet table beside the checkpoints, and its place, for ``drop``. The shuffle files that
+    made it are gone."""
+    spark = df.sparkSession
+    place = f"{ensure_checkpoint_dir(spark)}/stored-{uuid.uuid4().hex}"
+    with shuffles_dropped(spark):
+        df.write.option("compression", "zstd").parquet(place)
+    return spark.read.schema(df.schema).format("parquet").load(place), place
+
+
 def move(spark: SparkSession, path: str, to: str) -> None:
     fs, place = _at(spark, path)
     if not fs.rename(place, _at(spark, to)[1]):

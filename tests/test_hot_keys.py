@@ -1,5 +1,7 @@
 """Sliced scans, split bursts and salted ranks give the unsliced result."""
 
+import glob
+import os
 from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
@@ -226,3 +228,24 @@ def test_rows_are_cut_into_slices_once(spark):
     assert src.hot and "Join" not in src.df._jdf.queryExecution().optimizedPlan().toString()
     sizes = [r["count"] for r in src.df.groupBy("_slice").count().collect()]
     assert sum(sizes) == 100 and max(sizes) <= 5
+
+
+def test_sliced_scans_keep_little_on_disk(spark):
+    """What a scan of slices was made of is gone once it is stored: tables of earlier steps and shuffle files."""
+    folder = spark.sparkContext.getCheckpointDir().removeprefix("file:")
+    local = list(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString())
+
+    def tables():
+        tops = [folder, os.path.dirname(folder)]
+        return {p for top in tops for name in ("rdd-*", "stored-*") for p in glob.glob(f"{top}/{name}")}
+
+    def shuffles():
+        return {p for top in local for p in glob.glob(f"{top}/**/shuffle_*", recursive=True)}
+
+    checks = hot_checks(spark)
+    checks.count()
+    before, files = tables(), shuffles()
+    log = A.annotated(checks, SETTINGS, limit=200)
+    assert len(tables() - before) == 2  # the rows before the last scan, and its values of earlier slices
+    assert len(shuffles() - files) <= 4  # of the counts and of asking whether any key or cell is left
+    assert log.count() == checks.count()
