@@ -251,8 +251,11 @@ def alerts(
 ) -> DataFrame:
     """All alerts (or some types) of a check log."""
     wanted = set(types or _PAYLOAD)
+    log = as_log(checks)
+    # no rule looks at these; slices of a hot product are stored with all columns that they have
+    log = log._replace(checks=log.checks.drop("mrp_paise", "tier", "duration_ms"))
     log = annotated(
-        checks,
+        log,
         settings,
         controls,
         limit,
